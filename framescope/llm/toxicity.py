@@ -28,6 +28,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Phrases around a lexicon word that take its weight back, folded (fixed values); {} stands for the word.
 EXCEPTIONS = ("not {}", "never {}", "no {}", "the word {}", "called me {}", "is not a {}", "send in the {}", "{} bin", "{} can")
 
+#: Ends a lexicon entry that stands for all words which begin so; stems have STEM_SIZES letters.
+STEM, STEM_SIZES = "~", (4, 5, 6)
 #: Powers of the length that learning may divide by.
 POWERS = (0.1, 0.25, 0.5, 1.0)
 
@@ -86,11 +88,12 @@ class Lexicon:
         if self._automaton is None and self.weights:
             built = ahocorasick.Automaton()
             for word, weight in self.weights.items():
-                built.add_word(f" {word} ", (len(word) + 2, weight, True))
+                if word.endswith(STEM):
+                    built.add_word(f" {word[:-1]}", (weight, True))
+                    continue
+                built.add_word(f" {word} ", (weight, True))
                 for phrase in self.exceptions:
-                    whole = f" {phrase.format(word)} "
-                    if whole != f" {word} ":
-                        built.add_word(whole, (len(whole), -weight, False))
+                    built.add_word(f" {phrase.format(word)} ", (-weight, False))
             built.make_automaton()
             self._automaton = built
         return self._automaton
@@ -103,7 +106,7 @@ class Lexicon:
         built = self.automaton()
         total, hits = 0.0, 0
         if built is not None and words:
-            for _, (_, weight, plain) in built.iter(f" {' '.join(words)} "):
+            for _, (weight, plain) in built.iter(f" {' '.join(words)} "):
                 total += weight
                 hits += 1 if plain else -1
         dense = max(total, 0.0) / max(1, len(words)) ** self.power
@@ -119,7 +122,7 @@ def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
     return rows.where(draw < F.when(F.col("toxic") == 1, share[1] * 1_000_000).otherwise(share[0] * 1_000_000))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_words: int = 2_000, least_docs: int = 4, least_weight: float = 1.5) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_words: int = 2_000, least_docs: int = 4, least_weight: float = 2.0, least_z: float = 2.5) -> Lexicon:
     """Learns words, weights and the scale from the documents that labels cover (1 toxic, 0 not; null texts do not count).
 
     About most_rows labelled rows of each class take part (see sample_labels). A word's weight is the log-odds of its document frequency in toxic
@@ -139,14 +142,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in slices(batches, most=8 << 20):
             counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for word in set(fold(text)):
-                    if len(word) <= 40:
-                        counts.setdefault(word, [0, 0])[toxic] += 1
+                words = {w for w in fold(text) if len(w) <= 40}
+                for word in words | {w[:k] + STEM for w in words for k in STEM_SIZES if len(w) > k}:
+                    counts.setdefault(word, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["word", "clean", "toxic"])
 
     counted = sample.mapInArrow(words_of, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 0.5 - F.col("toxic"))) - F.log((F.col("clean") + 0.5) / (n_clean + 0.5 - F.col("clean")))
-    best = counted.where(f"toxic >= {least_docs}").select("word", odds.alias("weight")).where(f"weight >= {least_weight}").orderBy(F.desc("weight"), "word").limit(most_words)
+    z = F.col("weight") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    best = counted.where(f"toxic >= {least_docs}").select("word", odds.alias("weight"), "toxic", "clean").where((F.col("weight") >= least_weight) & (z >= least_z)).select("word", "weight").orderBy(F.desc("weight"), "word").limit(most_words)
     lexicon = Lexicon({r["word"]: r["weight"] for r in best.collect()})
     if not lexicon.weights:
         return lexicon
