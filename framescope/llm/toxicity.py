@@ -122,7 +122,7 @@ def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
     return rows.where(draw < F.when(F.col("toxic") == 1, share[1] * 1_000_000).otherwise(share[0] * 1_000_000))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_words: int = 2_000, least_docs: int = 4, least_weight: float = 2.0, least_z: float = 2.5) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_words: int = 2_000, least_docs: int = 4, least_weight: float = 2.0, least_g: float = 25.0) -> Lexicon:
     """Learns words, weights and the scale from the documents that labels cover (1 toxic, 0 not; null texts do not count).
 
     About most_rows labelled rows of each class take part (see sample_labels). A word's weight is the log-odds of its document frequency in toxic
@@ -149,8 +149,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     counted = sample.mapInArrow(words_of, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 0.5 - F.col("toxic"))) - F.log((F.col("clean") + 0.5) / (n_clean + 0.5 - F.col("clean")))
-    z = F.col("weight") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = counted.where(f"toxic >= {least_docs}").select("word", odds.alias("weight"), "toxic", "clean").where((F.col("weight") >= least_weight) & (z >= least_z)).select("word", "weight").orderBy(F.desc("weight"), "word").limit(most_words)
+    share, seen = n_toxic / (n_toxic + n_clean), F.col("toxic") + F.col("clean")
+    g = 2 * (F.col("toxic") * F.log(F.col("toxic") / (seen * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (seen * max(1 - share, 1e-9)))).otherwise(0.0))
+    best = counted.where(f"toxic >= {least_docs}").select("word", odds.alias("weight"), "toxic", "clean").where((F.col("weight") >= least_weight) & (g >= least_g)).select("word", "weight").orderBy(F.desc("weight"), "word").limit(most_words)
     lexicon = Lexicon({r["word"]: r["weight"] for r in best.collect()})
     if not lexicon.weights:
         return lexicon
