@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import licenses, sharding, toxicity
+from framescope.llm import licenses, quality, sharding, toxicity
 from framescope.llm.common import fold, table
 
 
@@ -34,10 +34,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", "weight", "n_words")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
