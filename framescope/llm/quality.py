@@ -174,7 +174,7 @@ def chi2_quantile(p: float, k: int, points: int = 200) -> float:
     return high
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: Sequence[str] = ("lang", "source"), least_rows: int = 200, support: float = 0.75, steps: int = 4, tail: float = 1e-14, floors: dict[str, float] = FEATURES) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: Sequence[str] = ("lang", "source"), least_rows: int = 200, support: float = 0.75, steps: int = 4, tail: float = 1e-12, floors: dict[str, float] = FEATURES) -> DataFrame:
     """One row per row of df: id, the statistics of text_statistics, base_failed, distance (squared Mahalanobis distance, null where no estimate is
     made), kept.
 
