@@ -108,6 +108,14 @@ def flat_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words' bytes as an array of strings, from what flat_words tells."""
+    sizes = ends - starts
+    inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())) if sizes.size else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.Array.from_buffers(pa.large_string(), sizes.size, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_CODES = np.random.default_rng(20240917).integers(1, 1 << 63, 256, dtype=np.uint64)

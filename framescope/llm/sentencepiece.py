@@ -7,7 +7,6 @@ A segment gets one merge a round, just as the library's agenda would pick it, so
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -17,19 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framescope.llm.common import flat_bytes, slices
+from framescope.llm.common import slices
+from framescope.llm.merges import MergeTable, SegmentStore, ranges
 
 MARK = "▁"  # stands for a blank inside pieces
-#: Longer segments go through the agenda one by one: a round a merge would cost them the square of their length.
-ROUNDS_UP_TO = 192
-_NONE = np.int64(1) << 40
 
 
 class PieceModel:
     """Pieces, ranks and text rules of a BPE model file.
 
-    Pair ranks lie in sorted arrays: the key of (left id, right id) is left * size + right over extended ids, where characters without a piece of
-    their own get ids beyond the vocabulary in order of appearance.
+    Characters without a piece of their own get ids beyond the vocabulary while segments are merged.
     """
 
     def __init__(self, path: str):
@@ -62,47 +58,15 @@ class PieceModel:
             self.joined.update(a + b for a, b in zip(piece, piece[1:]))
             for cut in range(1, len(piece)):
                 left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
-                left = left if left is not None or cut > 1 else self._loose(piece[:cut])
-                right = right if right is not None or len(piece) - cut > 1 else self._loose(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left, right] = (rank[i], i)
         self.char_ids = np.full(0x110000, -1, np.int64)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.char_ids[ord(piece)] = i
-        self.width = 1 << 21
-        keys = np.array([a * self.width + b for a, b in pairs], np.int64)
-        by = np.argsort(keys)
-        self.pair_keys = keys[by]
-        self.pair_ranks = np.array([r for r, _ in pairs.values()], np.int64)[by]
-        self.pair_ids = np.array([i for _, i in pairs.values()], np.int64)[by]
-        # a hash table of the pairs, to look many up at once: slot by a multiplicative hash, linear probing
-        self._bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
-        self._slots = np.full(1 << self._bits, -1, np.int64)
-        for k, slot in enumerate(self._slot(self.pair_keys).tolist()):
-            while self._slots[slot] >= 0:
-                slot = (slot + 1) & ((1 << self._bits) - 1)
-            self._slots[slot] = k
+        self.merges = MergeTable(pairs)
         self._cut = self._cut_pattern()
 
-    def _loose(self, char: str) -> None:
-        return None  # a piece with a character that is no piece itself can be reached by no merge of it
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
-
-    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Index of each pair, -1 if no piece joins it."""
-        keys = left * self.width + right
-        slot = self._slot(keys)
-        out = self._slots[slot]
-        open_ = np.flatnonzero((out >= 0) & (self.pair_keys[out] != keys))
-        while open_.size:
-            slot[open_] = (slot[open_] + 1) & ((1 << self._bits) - 1)
-            out[open_] = self._slots[slot[open_]]
-            open_ = open_[(out[open_] >= 0) & (self.pair_keys[out[open_]] != keys[open_])]
-        return out
-
     def _cut_pattern(self) -> bool:
         """Whether blanks only ever begin pieces (after other blanks): then texts can be cut before each run of blanks."""
         return not any(x[1] == MARK and x[0] != MARK for x in self.joined)
@@ -120,101 +84,42 @@ class PieceModel:
         return [*out, MARK * blanks] if blanks else out
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all segments end to end, and len + 1 offsets."""
-        if not segments:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        """Ids of all segments end to end, and their counts."""
         codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.char_ids[codes]
         out = np.flatnonzero(symbols < 0)
         loose, which = np.unique(codes[out], return_inverse=True)
         symbols[out] = self.size + which
-        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-        owner = np.repeat(np.arange(len(segments)), sizes)
-        short = sizes <= ROUNDS_UP_TO
-        done_ids, done_owner = [], []
-        if not short.all():
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            for k in np.flatnonzero(~short).tolist():
-                ids = self._agenda(symbols[bounds[k] : bounds[k + 1]].tolist())
-                done_ids.append(np.array(ids, np.int64))
-                done_owner.append(np.full(len(ids), k))
-            keep = short[owner]
-            symbols, owner = symbols[keep], owner[keep]
-        while symbols.size:
-            same = owner[1:] == owner[:-1]
-            found = np.full(symbols.size, -1, np.int64)
-            at = np.flatnonzero(same)
-            found[at] = self.find(symbols[at], symbols[at + 1])
-            rank = np.where(found >= 0, self.pair_ranks[found], _NONE)
-            first = np.flatnonzero(np.concatenate([[True], ~same]))
-            # rank and place in one number: the least of a segment is its best pair, leftmost among equals
-            best = np.minimum.reduceat(rank * symbols.size + np.arange(symbols.size), first)
-            live = best < _NONE * symbols.size
-            spans = np.diff(np.concatenate([first, [symbols.size]]))
-            if not live.all():
-                over = np.repeat(~live, spans)
-                done_ids.append(symbols[over])
-                done_owner.append(owner[over])
-            place = best[live] % symbols.size
-            symbols[place] = self.pair_ids[found[place]]
-            keep = np.repeat(live, spans)
-            keep[place + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
-        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
-        by = np.argsort(owner, kind="stable")
-        return self._fall_back(ids[by], owner[by], len(segments), [chr(c) for c in loose.tolist()])
-
-    def _agenda(self, symbols: list[int]) -> list[int]:
-        """One long segment: a heap of pairs by (rank, place), as long as both sides still stand."""
-        n = len(symbols)
-        right, left, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        first = self.find(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64)).tolist()
-        ranks, joined, width = self.pair_ranks, self.pair_ids, self.width
-        heap = [(int(ranks[f]), i, symbols[i], symbols[i + 1], int(joined[f])) for i, f in enumerate(first) if f >= 0]
-        heapq.heapify(heap)
-        table = self._table()
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = right[i]
-            if not alive[i] or symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], alive[j], right[i] = merged, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (f := table.get(symbols[x] * width + symbols[y])) is not None:
-                    heapq.heappush(heap, (int(ranks[f]), x, symbols[x], symbols[y], int(joined[f])))
-        return [s for s, on in zip(symbols, alive) if on]
+        ids, counts = self.merges.merge(symbols, np.fromiter(map(len, segments), np.int64, len(segments)))
+        return self._fall_back(ids, counts, [chr(c) for c in loose.tolist()])
 
-    @lru_cache(maxsize=1)  # noqa: B019  one model lives as long as its process
-    def _table(self) -> dict[int, int]:
-        return {k: i for i, k in enumerate(self.pair_keys.tolist())}
-
-    def _fall_back(self, ids: np.ndarray, owner: np.ndarray, segments: int, loose: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _fall_back(self, ids: np.ndarray, counts: np.ndarray, loose: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become their bytes' pieces, or the unknown id if the model has none."""
-        if loose:
-            bytes_of = [self.byte_ids[list(c.encode("utf-8", "replace"))] if self.falls_back else np.array([self.unk]) for c in loose]
-            counts = np.ones(ids.size, np.int64)
-            out = np.flatnonzero(ids >= self.size)
-            counts[out] = [bytes_of[k].size for k in (ids[out] - self.size).tolist()]
-            spread = np.repeat(ids, counts)
-            starts = np.cumsum(counts) - counts
-            for at, k in zip(starts[out].tolist(), (ids[out] - self.size).tolist()):
-                spread[at : at + bytes_of[k].size] = bytes_of[k]
-            ids, owner = spread, np.repeat(owner, counts)
-        return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=segments))])
-
-    def encode_batch(self, texts: list[str | None], cache: dict[str, int], store: list) -> tuple[np.ndarray, np.ndarray]:
+        if not loose:
+            return ids, counts
+        bytes_of = [self.byte_ids[list(c.encode("utf-8", "replace"))] if self.falls_back else np.array([self.unk]) for c in loose]
+        out = np.flatnonzero(ids >= self.size)
+        which = ids[out] - self.size
+        spans = np.ones(ids.size, np.int64)
+        spans[out] = np.array([b.size for b in bytes_of])[which]
+        spread, starts = np.repeat(ids, spans), np.cumsum(spans) - spans
+        spread[ranges(starts[out], spans[out])] = np.concatenate([bytes_of[k] for k in which.tolist()]) if out.size else 0
+        ends = np.concatenate([[0], np.cumsum(spans)])[np.concatenate([[0], np.cumsum(counts)])]
+        return spread, np.diff(ends)
+
+    def encode_batch(self, texts: list[str | None], store: SegmentStore) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and len + 1 offsets.
 
-        cache and store keep segments encoded before: key -> row of the flat store. The key of a segment with one blank mark in front is the rest
-        of it; of any other, a mark and the whole of it.
+        store keeps segments encoded before. The key of a segment with one blank mark in front is the rest of it; of any other, a mark and the
+        whole of it.
         """
+        if len(store.rows) > store.most:
+            store.clear()
         normal = [self.normalize(t) if t else "" for t in texts]
         plain = [k for k, t in enumerate(normal) if t and self._cut and t[0] == MARK and t[-1] != MARK and MARK * 2 not in t]
         words = pc.split_pattern(pa.array([normal[k][1:] for k in plain], pa.large_string()), MARK)
         coded = words.values.dictionary_encode()
-        keys = coded.dictionary.to_pylist()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         place, bounds = coded.indices.to_numpy(), words.offsets.to_numpy()
         number = dict(zip(keys, range(len(keys)))) if len(plain) < len(texts) else {}
         parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
@@ -223,17 +128,12 @@ class PieceModel:
         for k in set(range(len(texts))) - set(plain):
             parts[k] = np.array([number.setdefault(s[1:] if s[0] == MARK and self._cut and MARK not in s[1:] and len(s) > 1 else MARK + s, len(number)) for s in self.segments(normal[k])], np.int64)
         keys += list(number)[len(keys) :]
-        rows = list(map(cache.get, keys))
+        rows = list(map(store.rows.get, keys))
         if None in rows:
             new = [k for k, row in zip(keys, rows) if row is None]
-            ids, at = self.encode_segments([k[1:] if k[0] == MARK else MARK + k for k in new])
-            store[0] = np.concatenate([store[0], ids.astype(np.int32)])
-            store[1] = np.concatenate([store[1], store[1][-1] + at[1:]])
-            cache.update(zip(new, range(len(cache), len(cache) + len(new))))
-            rows = list(map(cache.get, keys))
-        row = np.array(rows, np.int64)[np.concatenate(parts).astype(np.int64)] if rows else np.zeros(0, np.int64)
-        sizes = store[1][row + 1] - store[1][row]
-        flat = store[0][_ranges(store[1][row], sizes)]
+            store.add(new, *self.encode_segments([k[1:] if k[0] == MARK else MARK + k for k in new]))
+            rows = list(map(store.rows.get, keys))
+        flat, sizes = store.take(np.array(rows, np.int64)[np.concatenate(parts).astype(np.int64)] if rows else np.zeros(0, np.int64))
         return flat, np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, parts)])]
 
     def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -241,25 +141,19 @@ class PieceModel:
         if ids.size and (ids.min() < 0 or ids.max() >= self.size):
             raise ValueError("id outside the vocabulary")
         sizes = self.raw_at[ids + 1] - self.raw_at[ids]
-        data = self.raw[_ranges(self.raw_at[ids], sizes)].tobytes()
+        data = self.raw[ranges(self.raw_at[ids], sizes)].tobytes()
         cuts = np.concatenate([[0], np.cumsum(sizes)])[offsets].tolist()
         return [data[a + (data[a : a + 1] == b" " and b > a) : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0] .. starts[0] + sizes[0] - 1, then the same of the next, end to end."""
-    if not sizes.size:
-        return np.zeros(0, np.int64)
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
-@lru_cache(maxsize=4)
-def load(path: str) -> PieceModel:
-    return PieceModel(path)
+#: A worker's store of encoded segments starts anew beyond so many.
+STORE_SEGMENTS = 400_000
 
 
-#: A worker's cache of encoded segments starts anew beyond so many.
-CACHE_SEGMENTS = 300_000
+@lru_cache(maxsize=2)
+def load(path: str) -> tuple[PieceModel, SegmentStore]:
+    """The model and its store; both stay with the Python worker from task to task."""
+    return PieceModel(path), SegmentStore(STORE_SEGMENTS)
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,14 +165,9 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        model = load(model_path)
-        cache: dict[str, int] = {}
-        store: list = []
+        model, store = load(model_path)
         for batch in slices(batches):
-            if len(cache) > CACHE_SEGMENTS or not store:
-                cache.clear()
-                store[:] = [np.zeros(0, np.int32), np.zeros(1, np.int64)]
-            flat, offsets = model.encode_batch(batch.column("text").to_pylist(), cache, store)
+            flat, offsets = model.encode_batch(batch.column("text").to_numpy(zero_copy_only=False).tolist(), store)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), ids], [id_col, "ids"])
 
@@ -290,7 +179,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     kept = [c for c in df.columns if c.lower() != text_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        model = load(model_path)
+        model, _ = load(model_path)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
