@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import licenses, packing, quality, sentencepiece, sharding, toxicity
+from framescope.llm import language, licenses, packing, quality, sentencepiece, sharding, toxicity
 from framescope.llm.common import fold, table
 
 
@@ -23,6 +23,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.train(*language.training_windows(docs.where(fold("doc_id", 5) != 0)))
+    labelled = language.label_languages(docs, net)
+    return labelled.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -58,6 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language": op2_language,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op7_licenses": op7_licenses,
