@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import language, licenses, neardup, packing, quality, sentencepiece, sharding, toxicity
+from framescope.llm import language, licenses, lm, neardup, packing, quality, sentencepiece, sharding, toxicity
 from framescope.llm.common import fold, table
 
 
@@ -30,6 +30,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.lm_scores(table(spark, sf_dir, "documents"), train=fold("doc_id", 7) != 2, tune=fold("doc_id", 7) == 3)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -70,6 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
+    "op3_lm": op3_lm,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op6_minhash": op6_minhash,
