@@ -224,3 +224,18 @@ def position_labels(net: Network, text: str, width: int = 64) -> list[str]:
     codes[: data.size] = data
     best = net.position_scores(np.ascontiguousarray(codes.reshape(-1, width).T)).argmax(axis=1).T.ravel()[: data.size]
     return [net.langs[k] for k in best.tolist()]
+
+
+def keep_known(df: DataFrame, net: Network, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose text has letters and a language of pooled probability `least` or more. No shuffle.
+
+    With no language learnt, every text with letters stays."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            texts = batch.column(text_col)
+            lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_numpy(zero_copy_only=False).tolist()])
+            sure = text_scores(net, texts).max(axis=1) >= least if net.langs else np.ones(len(texts), bool)
+            yield batch.filter(pa.array(lettered & sure))
+
+    return df.mapInArrow(known, df.schema)

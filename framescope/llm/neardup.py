@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import LOWER, flat_bytes, flat_words, hash_words, mix, slices, stage
+from framescope.llm.common import LOWER, flat_bytes, flat_words, hash_words, join_small, mix, slices, stage
 from framescope.llm.components import connected_components
 
 WORDS = 5  # to a shingle
@@ -299,3 +299,18 @@ def _resolved(sets: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     joined = sets.select("id", "n", "node").join(found, "node", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one document of each component. Of rows that repeat id and text one stays, too."""
+    judged = stage(near_duplicates(docs, id_col, text_col, percent), "near-duplicates").select(F.col(id_col).alias("_id"), "kept")
+    ids = judged.groupBy("_id").agg(F.count("*").alias("k"), F.bool_and("kept").alias("kept"))
+    marked = stage(ids.where("_id is not null and (k > 1 or not kept)"), "marked-ids")
+    key = docs[id_col].alias("_id")
+    gone = marked.where("not kept").select("_id")
+    left = join_small(docs.select("*", key), gone, ["_id"], "left_anti", 1_000_000)
+    again = stage(marked.where("kept").select("_id"), "repeated-ids")
+    if not again.isEmpty():
+        once = join_small(left, again, ["_id"], "left_semi").dropDuplicates(["_id", text_col])
+        left = join_small(left, again, ["_id"], "left_anti").unionByName(once)
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
