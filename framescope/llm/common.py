@@ -73,6 +73,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             yield batch.slice(a, b - a)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """One batch for each run of rows with equal keys (integers), of batches that are sorted by them; cheaper by far than a call for each group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = pa.concat_batches([*held, batch]) if held else batch
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+        held = [batch.slice(cuts[-1])]
+    yield from held
+
+
 def offsets_of(column: pa.Array) -> np.ndarray:
     """Offsets of a string column's rows in its data buffer; nulls have length 0."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

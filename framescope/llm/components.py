@@ -19,17 +19,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     e = stage(e, "edges")
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    done = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.where("u > v").distinct(), "large-star")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stage(small.where("u > v").distinct(), "small-star")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == done:
+        e = stage(small.where("u > v").distinct(), "stars")
+        # settled when every node hangs on one other, and nothing hangs on it
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("end"))
+        each = ends.groupBy("end.x").agg(F.sum("end.up").alias("up"), F.count("*").alias("k"))
+        if each.where("up > 1 or up = 1 and k > 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        done = mark
     raise RuntimeError("components did not settle")

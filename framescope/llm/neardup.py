@@ -11,13 +11,12 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import LOWER, flat_bytes, flat_words, hash_words, join_small, mix, slices, stage
+from framescope.llm.common import LOWER, flat_bytes, flat_words, hash_words, join_small, mix, runs, slices, stage
 from framescope.llm.components import connected_components
 
 WORDS = 5  # to a shingle
@@ -129,8 +128,8 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, node binary, sketch binary")
 
 
-def _registers(column: pd.Series | pa.Array) -> np.ndarray:
-    values = column.to_pylist() if isinstance(column, pa.Array) else column.tolist()
+def _registers(column: pa.Array) -> np.ndarray:
+    values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), BUCKETS)
 
 
@@ -199,7 +198,7 @@ def _block_pairs(mixed: DataFrame, classes: DataFrame, percent: int, block: int)
 
     A bucket's members outside its largest component meet all members in blocks of about `block` by 4 * block rows; none is left out.
     """
-    sizes = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("big"))
+    sizes = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("big")).where("all > 2")  # a pair has been confirmed or refused already
     rows = mixed.join(sizes, "bucket").join(classes.select("node", "sketch"), "node")
     n_out = F.ceil((F.col("all") - F.col("big.k")) / block).cast("int")
     n_in = F.ceil(F.col("all") / (4 * block)).cast("int")
@@ -208,32 +207,39 @@ def _block_pairs(mixed: DataFrame, classes: DataFrame, percent: int, block: int)
     outs = rows.where("comp <> big.comp").select(*plain, place(n_out).alias("i"), F.explode(F.sequence(F.lit(0), n_in - 1)).alias("j"), F.lit(1).alias("out"))
     ins = rows.select(*plain, F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), place(n_in).alias("j"), F.when(F.col("comp") == F.col("big.comp"), 0).otherwise(2).alias("out"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[group.out == 1], group[group.out != 1]
-        found = []
-        if len(x) and len(y):
-            rx, ry = _registers(x.sketch), _registers(y.sketch)
-            number = {c: k for k, c in enumerate(dict.fromkeys(group.comp))}
-            cx, cy = x.comp.map(number).to_numpy(), y.comp.map(number).to_numpy()
-            nx, ny = x.n.to_numpy(), y.n.to_numpy()
-            keys, bucket = band_hashes(rx), int(group.bucket.iloc[0])
-            twice = (y.out == 2).to_numpy()
-            ax, ay = x.node.to_numpy(), y.node.to_numpy()
-            for k in range(len(x)):
-                same = rx[k] == ry
-                likeness = estimate(same.sum(axis=1))
-                low = np.minimum(nx[k], ny)
-                good = (cx[k] != cy) & (100 * low >= percent * np.maximum(nx[k], ny)) & (likeness >= estimate_floor(low, percent))
-                at = np.flatnonzero(good)
-                if not at.size:
-                    continue
-                bands = same[at][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
-                own = int(np.flatnonzero(keys[k] == bucket)[0])
-                at = at[bands.argmax(axis=1) == own]
-                found += [(min(ax[k], ay[m]), max(ax[k], ay[m]), likeness[m]) for m in at.tolist() if not (twice[m] and ax[k] > ay[m])]
-        return pd.DataFrame(found, columns=["a", "b", "likeness"])
-
-    return outs.unionByName(ins).groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary, likeness double")
+    def compare(group: pa.RecordBatch) -> Iterator[tuple]:
+        nodes, sides = group.column("node").to_pylist(), group.column("out").to_numpy()
+        registers, sizes = _registers(group.column("sketch")), group.column("n").to_numpy()
+        comps = group.column("comp").dictionary_encode().indices.to_numpy()
+        inner = np.flatnonzero(sides != 1)
+        bucket = group.column("bucket")[0].as_py()
+        for k in np.flatnonzero(sides == 1).tolist():
+            rows = inner[comps[inner] != comps[k]]
+            same = registers[k] == registers[rows]
+            likeness = estimate(same.sum(axis=1))
+            low, high = np.minimum(sizes[k], sizes[rows]), np.maximum(sizes[k], sizes[rows])
+            good = np.flatnonzero((100 * low >= percent * high) & (likeness >= estimate_floor(low, percent)))
+            if not good.size:
+                continue
+            first = same[good][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            own = int(np.flatnonzero(band_hashes(registers[k : k + 1])[0] == bucket)[0])
+            for g in good[first == own].tolist():
+                m = int(rows[g])
+                if sides[m] == 0 or nodes[k] < nodes[m]:
+                    yield min(nodes[k], nodes[m]), max(nodes[k], nodes[m]), float(likeness[g])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        found: list[tuple] = []
+        names, types = ["a", "b", "likeness"], (pa.binary(), pa.binary(), pa.float64())
+        for group in runs(batches, ["bucket", "i", "j"]):
+            found += compare(group)
+            if len(found) > 5_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+                found = []
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 3, types)], names)
+
+    blocks = outs.unionByName(ins).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return blocks.mapInArrow(run, "a binary, b binary, likeness double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, block: int = 128) -> DataFrame:
@@ -245,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sets = stage(document_sets(docs, id_col, text_col), "sets")
     classes = stage(sets.where(f"n >= {LEAST_SET}").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("id")), "classes")
-    bands = stage(_band_rows(classes), "bands")
+    bands = _band_rows(classes)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     members = stage(bands.join(shared, "bucket").withColumn("comp", F.col("node")), "members")
 
@@ -254,10 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = classes.join(mixed, "node").where("id is not null").select(F.col("id").alias("_id")).distinct()
     texts = stage(_texts_of(docs, wanted, id_col, text_col), "texts")
     links = stage(_confirmed(pairs, texts, percent), "links")
-    for seed in (1, 2):
-        members = stage(_mixed(_with_components(members.select("bucket", "node", "n"), links)), "members")
-        pairs = stage(_promising(_pivot_pairs(members, seed).join(pairs, ["a", "b"], "left_anti"), classes, percent).unionByName(pairs), "pivot-pairs")
-        links = stage(links.unionByName(_confirmed(pairs.join(links, ["a", "b"], "left_anti"), texts, percent)), "links")
+    members = stage(_mixed(_with_components(members.select("bucket", "node", "n"), links)), "members")
+    again = _promising(_pivot_pairs(members, 1).join(pairs, ["a", "b"], "left_anti"), classes, percent)
+    more = stage(again, "pivot-pairs")
+    links = stage(links.unionByName(_confirmed(more, texts, percent)), "links")
+    pairs = pairs.unionByName(more)
     members = stage(_mixed(_with_components(members.select("bucket", "node", "n"), links)), "members")
     open_pairs = stage(_block_pairs(members, classes, percent, block).join(pairs, ["a", "b"], "left_anti"), "block-pairs")
     links = stage(links.unionByName(_confirmed(_likeliest(open_pairs), texts, percent)), "links")
