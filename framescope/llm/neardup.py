@@ -193,26 +193,26 @@ def _pivot_pairs(members: DataFrame, seed: int) -> DataFrame:
     return members.join(first, "bucket").where("comp <> p.comp").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _block_pairs(mixed: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b, likeness) of members of a bucket in different components whose sketches allow the threshold; each pair once, in its first common band.
+def _block_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): links, confirmed on full sets, that join members of a bucket which are in different components.
 
-    A bucket's members outside its largest component meet all members in blocks of about `block` by 4 * block rows; none is left out.
+    A bucket's members outside its largest component meet all members in blocks of about `block` by 4 * block rows; none is left out. A pair is
+    looked at in its first common band only, and confirmed if its sketches allow the threshold and nothing found before in the block has joined its
+    components; so a block yields fewer links than it has components, however alike its members are.
     """
     sizes = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("big")).where("all > 2")  # a pair has been confirmed or refused already
-    rows = mixed.join(sizes, "bucket").join(classes.select("node", "sketch"), "node")
+    rows = mixed.join(sizes, "bucket").join(classes.select("node", "sketch"), "node").join(texts, "node")
     n_out = F.ceil((F.col("all") - F.col("big.k")) / block).cast("int")
     n_in = F.ceil(F.col("all") / (4 * block)).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
-    plain = ["bucket", "node", "comp", "n", "sketch"]
+    plain = ["bucket", "node", "comp", "n", "sketch", "text"]
     outs = rows.where("comp <> big.comp").select(*plain, place(n_out).alias("i"), F.explode(F.sequence(F.lit(0), n_in - 1)).alias("j"), F.lit(1).alias("out"))
     ins = rows.select(*plain, F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), place(n_in).alias("j"), F.when(F.col("comp") == F.col("big.comp"), 0).otherwise(2).alias("out"))
 
-    def compare(group: pa.RecordBatch) -> Iterator[tuple]:
-        nodes, sides = group.column("node").to_pylist(), group.column("out").to_numpy()
-        registers, sizes = _registers(group.column("sketch")), group.column("n").to_numpy()
-        comps = group.column("comp").dictionary_encode().indices.to_numpy()
+    def candidates(group: pa.RecordBatch, nodes: list[bytes], comps: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        sides, sizes = group.column("out").to_numpy(), group.column("n").to_numpy()
+        registers, bucket = _registers(group.column("sketch")), group.column("bucket")[0].as_py()
         inner = np.flatnonzero(sides != 1)
-        bucket = group.column("bucket")[0].as_py()
         for k in np.flatnonzero(sides == 1).tolist():
             rows = inner[comps[inner] != comps[k]]
             same = registers[k] == registers[rows]
@@ -226,20 +226,37 @@ def _block_pairs(mixed: DataFrame, classes: DataFrame, percent: int, block: int)
             for g in good[first == own].tolist():
                 m = int(rows[g])
                 if sides[m] == 0 or nodes[k] < nodes[m]:
-                    yield min(nodes[k], nodes[m]), max(nodes[k], nodes[m]), float(likeness[g])
+                    yield -float(likeness[g]), k, m
+
+    def links_in(group: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+        nodes, comps = group.column("node").to_pylist(), group.column("comp").dictionary_encode().indices.to_numpy()
+        found = sorted(candidates(group, nodes, comps))  # the likeliest first: they join the most
+        if not found:
+            return
+        used = sorted({k for _, *pair in found for k in pair})
+        sets = dict(zip(used, shingle_sets(group.column("text").take(pa.array(used)))))
+        top = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for _, k, m in found:
+            x, y = root(int(comps[k])), root(int(comps[m]))
+            if x != y and similar(sets[k], sets[m], percent):
+                top[x] = y
+                yield min(nodes[k], nodes[m]), max(nodes[k], nodes[m])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        found: list[tuple] = []
-        names, types = ["a", "b", "likeness"], (pa.binary(), pa.binary(), pa.float64())
         for group in runs(batches, ["bucket", "i", "j"]):
-            found += compare(group)
-            if len(found) > 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
-                found = []
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 3, types)], names)
+            found = list(links_in(group))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
 
     blocks = outs.unionByName(ins).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return blocks.mapInArrow(run, "a binary, b binary, likeness double")
+    return blocks.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, block: int = 128) -> DataFrame:
@@ -264,12 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = _promising(_pivot_pairs(members, 1).join(pairs, ["a", "b"], "left_anti"), classes, percent)
     more = stage(again, "pivot-pairs")
     links = stage(links.unionByName(_confirmed(more, texts, percent)), "links")
-    pairs = pairs.unionByName(more)
     members = stage(_mixed(_with_components(members.select("bucket", "node", "n"), links)), "members")
-    open_pairs = stage(_block_pairs(members, classes, percent, block).join(pairs, ["a", "b"], "left_anti"), "block-pairs")
-    links = stage(links.unionByName(_confirmed(_likeliest(open_pairs), texts, percent)), "links")
-    apart = _apart(open_pairs, links)
-    links = stage(links.unionByName(_confirmed(apart, texts, percent)), "links")
+    links = stage(links.unionByName(_block_links(members, classes, texts, percent, block)), "links")
     return _resolved(sets, links, id_col)
 
 
@@ -285,19 +298,6 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
 
 
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """For each node its likeliest pair: these join most of what belongs together."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "likeness")
-    return ends.groupBy("node").agg(F.max(F.struct("likeness", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-
-
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs whose ends are still in different components."""
-    found = stage(connected_components(links), "components")
-    ends = [found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
-    return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
-
-
 def _resolved(sets: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     nodes = sets.groupBy("node").agg(F.min("id").alias("id")).where("node is not null")
     comp = stage(_with_components(nodes, links), "node-components")

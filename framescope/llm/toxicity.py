@@ -89,11 +89,12 @@ class Lexicon:
             built = ahocorasick.Automaton()
             for word, weight in self.weights.items():
                 if word.endswith(STEM):
-                    built.add_word(f" {word[:-1]}", (weight, True))
+                    built.add_word(f" {word[:-1]}", (len(word), weight))
                     continue
-                built.add_word(f" {word} ", (weight, True))
+                built.add_word(f" {word} ", (len(word) + 2, weight))
                 for phrase in self.exceptions:
-                    built.add_word(f" {phrase.format(word)} ", (-weight, False))
+                    whole = f" {phrase.format(word)} "
+                    built.add_word(whole, (len(whole), None))
             built.make_automaton()
             self._automaton = built
         return self._automaton
@@ -104,13 +105,12 @@ class Lexicon:
     def score(self, words: list[str]) -> tuple[float, int, float]:
         """(score, lexicon words found outside exception phrases, sum of their weights) of folded words."""
         built = self.automaton()
-        total, hits = 0.0, 0
-        if built is not None and words:
-            for _, (weight, plain) in built.iter(f" {' '.join(words)} "):
-                total += weight
-                hits += 1 if plain else -1
-        dense = max(total, 0.0) / max(1, len(words)) ** self.power
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + self.slope * math.log1p(dense))))), max(hits, 0), max(total, 0.0)
+        found = [(end - size, end, weight) for end, (size, weight) in built.iter(f" {' '.join(words)} ")] if built is not None and words else []
+        excused = [(a, b) for a, b, weight in found if weight is None]
+        weights = [weight for a, b, weight in found if weight is not None and not any(x <= a and b <= y for x, y in excused)]
+        total = sum(weights)
+        dense = total / max(1, len(words)) ** self.power
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + self.slope * math.log1p(dense))))), len(weights), float(total)
 
 
 def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", most_rows: int = 20_000) -> DataFrame:
