@@ -121,12 +121,12 @@ class Network:
 
 
 def train(windows: np.ndarray, target: np.ndarray, langs: list[str], hidden: int = 8, steps: int = 300, batch: int = 192, rate: float = 0.02, seed: int = 7) -> Network:
-    """Adam with a decaying rate over shuffled batches of byte windows (rows, width; 0 pads a window's end)."""
+    """Adam with a decaying rate over shuffled batches of byte windows (rows, width; 0 pads a window's end). Without windows the network stays as it starts."""
     rng = np.random.default_rng(seed)
     net = Network.start(langs, hidden, rng)
     moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in ("inp", "rec", "out", "bias")}
     by_class = [np.flatnonzero(target == k) for k in range(len(langs))]
-    for step in range(1, steps + 1):
+    for step in range(1, steps + 1 if len(windows) else 1):
         pick = np.concatenate([rng.choice(rows, max(1, batch // len(langs))) for rows in by_class if rows.size])
         codes = windows[pick].T.astype(np.int64)
         _, grad = net.gradients(codes, target[pick], (codes > 0).astype(np.float32))
