@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescope.functions import scalars, statistics
-from framescope.operators import relations, sequences, summaries
+from framescope.operators import citations, evaluation, integrity, relations, sequences, summaries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -391,3 +391,57 @@ def q37_token_estimate(spark, sf_dir):
     joined = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("m"))
     tokens = F.col("b") + 32 * F.col("m") + 256
     return joined.select("conv_id", tokens.cast("long").alias("tokens"), (tokens + 2048 <= 4096).alias("fits"))
+
+
+@query(
+    "q38_quarantine",
+    """WITH q AS (SELECT list_filter([CASE WHEN NOT coalesce(n_chars >= 200, false) THEN 'short' END, CASE WHEN NOT coalesce(lang IN ('en', 'fr'), false) THEN 'language' END,
+       CASE WHEN NOT coalesce(source <> 'src0', false) THEN 'source' END], lambda x: x IS NOT NULL) AS r FROM documents)
+       SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN len(r) = 0 THEN [NULL] ELSE r END) AS reason FROM q) GROUP BY reason""",
+)
+def q38_quarantine(spark, sf_dir):
+    rules = {"short": F.col("n_chars") >= 200, "language": F.col("lang").isin("en", "fr"), "source": F.col("source") != "src0"}
+    return integrity.quarantine_totals(integrity.with_quarantine(table(spark, sf_dir, "documents").select("n_chars", "lang", "source"), rules))
+
+
+@query(
+    "q39_manifest",
+    """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'x' ELSE sha256(text) END AS d FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL),
+       f AS (SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 11 <> 0 AND text IS NOT NULL)
+       SELECT doc_id, CASE WHEN f.d IS NULL THEN 'missing' WHEN l.d IS NULL THEN 'unexpected' ELSE 'changed' END AS status FROM l FULL JOIN f USING (doc_id) WHERE l.d IS DISTINCT FROM f.d""",
+)
+def q39_manifest(spark, sf_dir):
+    digests = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    listed = digests.where("doc_id % 7 <> 0").withColumn("digest", F.when(F.col("doc_id") % 10 == 3, "x").otherwise(F.col("digest")))
+    return integrity.compare_manifest(listed, digests.where("doc_id % 11 <> 0"), ["doc_id"], "digest")
+
+
+@query(
+    "q40_leak_probe",
+    _CENTROID_SQL
+    + """, t AS (SELECT arg_min(label, (-n, label)) AS top FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label))
+  SELECT n, hits, base_hits, (hits - base_hits) * 5 > n AS flagged FROM (SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS hits, count(*) FILTER (WHERE label = top) AS base_hits FROM g, t)""",
+)
+def q40_leak_probe(spark, sf_dir):
+    return evaluation.leak_probe(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query("q41_bootstrap")
+def q41_bootstrap(spark, sf_dir):
+    found = evaluation.bootstrap_interval(table(spark, sf_dir, "labels"), [], "quality", "doc_id", resamples=200)
+    return found.select("n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
+@query(
+    "q42_citations",
+    r"""WITH r AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE text IS NOT NULL),
+       e AS (SELECT conv_id, turn, t[1:20] AS quote FROM r WHERE role_is_cited(turn)),
+       p AS (SELECT e.conv_id, e.turn, e.quote, count(*) AS places FROM e JOIN r ON r.conv_id = e.conv_id AND contains(r.t, trim(e.quote)) GROUP BY ALL)
+       SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE places > 1) AS ambiguous FROM p GROUP BY conv_id""".replace("role_is_cited(turn)", "turn % 2 = 0"),
+)
+def q42_citations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    rows = turns.select(F.col("conv_id").alias("bundle_id"), F.lit("turn").alias("source"), F.col("turn").alias("ref"), "text")
+    cited = rows.where("ref % 2 = 0").select("bundle_id", "source", "ref", F.substring(scalars.squeezed(F.col("text")), 1, 20).alias("quote"), F.lit(False).alias("auto"))
+    checked = citations.verify_citations(cited, rows, least=1, most_places=1)
+    return checked.groupBy(F.col("bundle_id").alias("conv_id")).agg(F.count_if("valid").alias("n"), F.count_if("ambiguous").alias("ambiguous"))
