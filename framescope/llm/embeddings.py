@@ -42,8 +42,19 @@ class CoverTree:
     Levels whose centres are more than half as many as those of the next are left out, as they would prune little.
     """
 
-    def __init__(self, x: np.ndarray, leaf: float = LEAF):
+    def __init__(self, x: np.ndarray, owner: list[np.ndarray] | None = None, leaf: float = LEAF):
+        """owner: each vector's centre at every level, where a tree over the same vectors told it before."""
         self.x = x
+        self.owner = self._build(x, leaf) if owner is None else owner
+        self.levels = [np.unique(own) for own in self.owner]
+        self.radii = []
+        for own in self.owner:
+            far = np.zeros(len(x))
+            np.maximum.at(far, own, np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[own]))))
+            self.radii.append(far)
+
+    @staticmethod
+    def _build(x: np.ndarray, leaf: float) -> list[np.ndarray]:
         near = _distances(x.astype(np.float32), x.astype(np.float32))
         radius, chosen = 2.0, np.zeros(0, np.int64)
         levels = []
@@ -62,15 +73,10 @@ class CoverTree:
         for level in reversed(levels[:-1]):
             if 2 * level.size <= kept[-1].size:
                 kept.append(level)
-        self.levels = kept[::-1]
-        self.owner = [level[near[level].argmin(axis=0)] for level in self.levels]  # the nearest centre of each vector
-        for k in range(len(self.levels) - 2, -1, -1):  # nested: a node's vectors all belong to its parent
-            self.owner[k] = self.owner[k][self.owner[k + 1]]
-        self.radii = []
-        for own in self.owner:
-            far = np.zeros(len(x))
-            np.maximum.at(far, own, np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[own]))))
-            self.radii.append(far)
+        owner = [level[near[level].argmin(axis=0)] for level in kept[::-1]]  # the nearest centre of each vector
+        for k in range(len(owner) - 2, -1, -1):  # nested: a node's vectors all belong to its parent
+            owner[k] = owner[k][owner[k + 1]]
+        return owner
 
 
 def linked_pairs(a: CoverTree, b: CoverTree, cosine: float, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,12 +138,11 @@ class _Union:
         self.up[self.find(x)] = self.find(y)
 
 
-def block_links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray | None, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(weight linked to each row, edges that join what is linked) of one block with itself, or with another; rows of y follow those of x."""
-    same = y is None
-    a = CoverTree(x)
-    b = a if same else CoverTree(y)
-    n = len(x)
+def block_links(a: CoverTree, wx: np.ndarray, b: CoverTree | None, wy: np.ndarray | None, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(weight linked to each row, edges that join what is linked) of one block with itself, or with another; rows of b follow those of a."""
+    same = b is None
+    b = a if same else b
+    n = len(a.x)
     weight = wx if same else np.concatenate([wx, wy])
     sums = np.zeros(weight.size, np.int64)
     union = _Union(weight.size)
@@ -231,15 +236,23 @@ def _block_sums(classes: DataFrame, cosine: float, dtype: str, block: int, most_
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "far"])
 
         placed = stage(own.select("node", "raw", "w").mapInArrow(place, "node binary, raw binary, w long, cell int, far double"), "vector-cells")
+
+        def plant(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("node")
+            owners = np.stack(CoverTree(_unit(group.raw, dtype)).owner, axis=1)
+            return group.assign(owner=list(owners.astype(np.int32)))
+
         cells = {c["cell"]: (c["n"], c["far"]) for c in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most most_pivots
         between, t = _distances(pivots, pivots), chord(cosine)
         blocks = {c: -(-n // block) for c, (n, _) in cells.items()}
         pairs = [(i, j, blocks[i], blocks[j]) for i in cells for j in cells if i <= j and between[i, j] <= cells[i][1] + cells[j][1] + t + 1e-6]
         partners = F.broadcast(spark.createDataFrame(pairs, "i int, j int, ni int, nj int"))  # at most most_pivots squared rows
-        split = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 20))
         spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        left = placed.withColumn("h", split).join(partners, F.col("cell") == F.col("i")).withColumn("a", F.pmod("h", "ni").cast("int")).withColumn("b", spread(F.col("nj"))).where("i <> j or a <= b").withColumn("side", F.lit(0))
-        right = placed.withColumn("h", split).join(partners, F.col("cell") == F.col("j")).withColumn("b", F.pmod("h", "nj").cast("int")).withColumn("a", spread(F.col("ni"))).where("i <> j or a < b").withColumn("side", F.lit(1))
+        counts = F.broadcast(spark.createDataFrame(list(blocks.items()), "cell int, blocks int"))  # at most most_pivots rows
+        split = placed.join(counts, "cell").select("node", "raw", "w", "cell", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("part"))
+        planted = stage(split.groupBy("cell", "part").applyInPandas(plant, "node binary, raw binary, w long, cell int, part int, owner array<int>"), "vector-trees")
+        left = planted.join(partners, F.col("cell") == F.col("i")).withColumn("a", F.col("part")).withColumn("b", spread(F.col("nj"))).where("i <> j or a <= b").withColumn("side", F.lit(0))
+        right = planted.join(partners, F.col("cell") == F.col("j")).withColumn("b", F.col("part")).withColumn("a", spread(F.col("ni"))).where("i <> j or a < b").withColumn("side", F.lit(1))
 
         def compare(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["side", "node"])
@@ -247,13 +260,14 @@ def _block_sums(classes: DataFrame, cosine: float, dtype: str, block: int, most_
             twin = bool((group.i.iloc[0] == group.j.iloc[0]) and (group.a.iloc[0] == group.b.iloc[0]))
             if not len(x) or not len(y) and not twin:
                 return pd.DataFrame(columns=["node", "other", "n"])
-            sums, edges = block_links(_unit(x.raw, dtype), x.w.to_numpy(), None if twin else _unit(y.raw, dtype), None if twin else y.w.to_numpy(), cosine)
+            tree = lambda g: CoverTree(_unit(g.raw, dtype), list(np.stack(g.owner.to_numpy()).astype(np.int64).T))
+            sums, edges = block_links(tree(x), x.w.to_numpy(), None if twin else tree(y), None if twin else y.w.to_numpy(), cosine)
             nodes = group.node.to_numpy()
             some = np.flatnonzero(sums)
             out = [(nodes[k], None, int(sums[k])) for k in some.tolist()] + [(nodes[k], nodes[m], None) for k, m in edges]
             return pd.DataFrame(out, columns=["node", "other", "n"]).astype({"n": "Int64"})
 
-        plain = ["i", "a", "j", "b", "side", "node", "raw", "w"]
+        plain = ["i", "a", "j", "b", "side", "node", "raw", "w", "owner"]
         parts.append(stage(left.select(plain).unionByName(right.select(plain)).groupBy("i", "a", "j", "b").applyInPandas(compare, schema), "vector-sums"))
     if not parts:
         return spark.createDataFrame([], schema)
