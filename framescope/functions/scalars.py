@@ -32,16 +32,16 @@ def hardware_pseudonym(digest: Column) -> Column:
 
 def call_cost(prompt: Column, completion: Column, cached: Column, prompt_rate: Column, completion_rate: Column, cached_rate: Column) -> Column:
     """struct(cost, status) of a call at rates per million; the cost is null where a count or rate that it needs is unknown or counts don't add up."""
+    hit = F.coalesce(cached, F.lit(0))
+    unpriced = prompt_rate.isNull() | completion_rate.isNull() | ((hit > 0) & cached_rate.isNull())
     status = (
-        F.when(prompt.isNull() | completion.isNull(), "usage_missing")
-        .when(prompt_rate.isNull() | completion_rate.isNull(), "rate_missing")
-        .when(F.coalesce(cached, F.lit(0)) > prompt, "cached_exceeds_prompt")
-        .when((F.coalesce(cached, F.lit(0)) > 0) & cached_rate.isNull(), "cached_rate_missing")
-        .otherwise("ok")
+        F.when(~F.coalesce((prompt >= 0) & (completion >= 0), F.lit(False)), "missing_usage")
+        .when((hit < 0) | (hit > prompt), "invalid_cached_usage")
+        .when(unpriced, "missing_price")
+        .otherwise("estimated_from_returned_usage")
     )
-    hit = F.coalesce(cached, F.lit(0))
     cost = ((prompt - hit) * prompt_rate + completion * completion_rate + hit * F.coalesce(cached_rate, F.lit(0.0))) / 1e6
-    return F.struct(F.when(status == "ok", cost).alias("cost"), status.alias("status"))
+    return F.struct(F.when(status == "estimated_from_returned_usage", cost).alias("cost"), status.alias("status"))
 
 
 def token_estimate(text: Column, messages: Column) -> Column:

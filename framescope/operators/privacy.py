@@ -1,57 +1,109 @@
-"""Keyed pseudonyms in text: all known identifiers of a bundle, and anything shaped like a hardware address, in one pass, longest first."""
+"""Keyed pseudonyms in text: hardware addresses, network names in all their written forms, secrets and paths, in one pass, longest first."""
 
 from __future__ import annotations
 
 import hashlib
 import hmac
 import re
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Six octets joined by colons, hyphens or blanks, or twelve digits alone, not inside a longer run (fixed value).
-ADDRESS = r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}(?:(?P<sep>[:\- ])[0-9A-Fa-f]{2})(?:(?P=sep)[0-9A-Fa-f]{2}){4}|[0-9A-Fa-f]{12})(?![0-9A-Fa-f])"
+from framescope.functions.texts import name_variants, unescape_name
 
+#: Six octets joined by colons or hyphens, not inside a longer run of digits; a network name in quotes (fixed values).
+ADDRESS = r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}(?![0-9a-fA-F])"
+QUOTED_NAME = r"""(?i)\bssid\s*[=:]\s*(?:"((?:\\.|[^"\\])*)"|'((?:\\.|[^'\\])*)')"""
+#: Kinds of identifiers, and what stands for a secret and a path (fixed values).
+KINDS = ("mac", "ssid", "secret", "path")
+SECRET, PATH = "<redacted-secret>", "<bundle>"
 
-def pseudonym(key: bytes, kind: str, value: str) -> str:
-    """A name of the kind, the same for the same value under a key; an address stays an address (local, unicast)."""
+
+def keyed_digest(key: bytes, kind: str, value: str) -> str:
     if len(key) < 16:
         raise ValueError("the key needs 16 bytes")
-    digest = hmac.new(key, f"{kind}\0{value}".encode(), hashlib.sha256).hexdigest()
-    if kind != "address":
-        return f"<{kind}-{digest[:12]}>"
-    octets = [int(digest[2 * k : 2 * k + 2], 16) for k in range(6)]
-    octets[0] = (octets[0] | 2) & 254
-    return ":".join(f"{o:02x}" for o in octets)
+    return hmac.new(key, f"{kind}\0{value}".encode(), hashlib.sha256).hexdigest()
 
 
-def _replacer(key: bytes, known: list[tuple[str, str]]):
-    literals = sorted({v: k for k, v in known if v}.items(), key=lambda x: (-len(x[0]), x[0]))
-    kinds = dict(literals)
-    pattern = re.compile("|".join([ADDRESS, *(re.escape(v) for v, _ in literals)]))
+def pseudonym(key: bytes, kind: str, value: str) -> str:
+    """What stands for an identifier, always the same under a key; an address stays an address (locally administered, unicast)."""
+    if kind in ("secret", "path"):
+        return SECRET if kind == "secret" else PATH
+    digest = keyed_digest(key, kind, value)
+    if kind == "ssid":
+        return f"ssid-{digest[:8]}"
+    return ":".join([f"{(int(digest[:2], 16) | 2) & 254:02x}", *(digest[k : k + 2] for k in range(2, 12, 2))])
+
+
+def replacer(key: bytes, known: Iterable[tuple[str, str]]) -> Callable[[str], str]:
+    """A function that replaces, in one pass, all that is shaped like an address and all known identifiers (kind, value).
+
+    Known addresses also go where they stand as bare digits or with blanks between octets. A replacement is never replaced again.
+    """
+    literal: dict[str, str] = {}
+    octets: set[str] = set()
+    for kind, value in sorted(set(known), key=lambda x: (KINDS.index(x[0]), x[1])):
+        if kind == "mac":
+            octets.add(re.sub(r"[:\s-]", "", value).lower())
+        elif value:
+            literal.update(dict.fromkeys(name_variants(value) if kind == "ssid" else [value], pseudonym(key, kind, value)))
+    forms = [ADDRESS]
+    for digits in sorted(octets):
+        spaced = r"[ \t]+".join(digits[k : k + 2] for k in range(0, 12, 2))
+        forms += [f"(?i:{digits})", f"(?<![0-9a-fA-F])(?i:{spaced})(?![0-9a-fA-F])"]
+    names = sorted(literal, key=lambda x: (-len(x), x))
+    pattern = re.compile("|".join([f"(?P<address>{'|'.join(forms)})", *map(re.escape, names)]))
 
-    def replace(match: re.Match) -> str:
+    def change(match: re.Match) -> str:
         text = match[0]
-        if text in kinds:
-            return pseudonym(key, kinds[text], text)
-        digits = re.sub("[^0-9a-f]", "", text.lower())
-        name = pseudonym(key, "address", ":".join(digits[k : k + 2] for k in range(0, 12, 2)))
-        sep = match["sep"]
-        plain = name.replace(":", sep if sep in ("-", " ") else ":" if sep else "")
-        return plain.upper() if text != text.lower() else plain
+        if match["address"] is None:
+            return literal[text]
+        digits = re.sub(r"[:\s-]", "", text).lower()
+        name = pseudonym(key, "mac", ":".join(digits[k : k + 2] for k in range(0, 12, 2)))
+        if ":" in text or "-" in text:
+            return name
+        bare = name.replace(":", " " if len(text.split()) > 1 else "")
+        return bare.upper() if text.isupper() else bare
+
+    return lambda text: pattern.sub(change, text)
+
+
+def learn_identifiers(texts: DataFrame, names: DataFrame, parameters: DataFrame, bundle: str = "bundle_id") -> DataFrame:
+    """(bundle, kind, value), distinct: what a bundle's sources give away, whether they will be shown or not.
+
+    texts: bundle, text (every log line and frame record): addresses, and quoted network names. names: bundle, ssid (of frames). parameters: bundle,
+    name, value (flattened): network names and secrets by the parameter's name, addresses by the value.
+    """
+    both = texts.select(bundle, F.col("text").alias("t")).unionByName(parameters.select(bundle, F.col("value").alias("t")))
+    macs = both.select(bundle, F.explode(F.regexp_extract_all("t", F.lit(ADDRESS), F.lit(0))).alias("v")).select(bundle, F.lit("mac").alias("kind"), F.lower(F.translate("v", "-", ":")).alias("value"))
+    quoted = texts.where(F.col("text").rlike(QUOTED_NAME)).select(bundle, *(F.regexp_extract_all("text", F.lit(QUOTED_NAME), F.lit(k)).alias(f"q{k}") for k in (1, 2)))
+    held = quoted.select(bundle, F.explode(F.concat("q1", "q2")).alias("q")).where("q <> ''")
+
+    @F.pandas_udf("string")
+    def plain(values: pd.Series) -> pd.Series:
+        return values.map(unescape_name, na_action="ignore")
 
-    return lambda text: None if text is None else pattern.sub(replace, text)
+    lower = F.lower("name")
+    kinds = F.array(F.when(F.contains(lower, F.lit("ssid")), "ssid"), F.when(F.contains(lower, F.lit("passphrase")) | lower.isin("psk", "password"), "secret"))
+    told = parameters.select(bundle, F.explode(kinds).alias("kind"), "value").where("kind is not null")
+    parts = [macs, held.select(bundle, F.lit("ssid").alias("kind"), plain("q").alias("value")), names.select(bundle, F.lit("ssid").alias("kind"), F.col("ssid").alias("value")), told]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("value <> ''").distinct()
 
 
 def redact(rows: DataFrame, identifiers: DataFrame, key: bytes, bundle: str = "bundle_id", text: str = "text") -> DataFrame:
     """rows with identifiers in `text` replaced. identifiers: (bundle, kind, value), learnt from all of a bundle's sources, visible or not.
 
-    One bundle is one capture and its logs, which one task holds. Addresses need no listing.
+    One bundle is one capture and its logs, which one task holds. Addresses with colons or hyphens need no listing.
     """
     columns = rows.columns
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        change = _replacer(key, list(zip(right["kind"], right["value"])))
+        change = replacer(key, zip(right["kind"], right["value"]))
         return left.assign(**{text: left[text].map(change, na_action="ignore")})[columns]
 
     return rows.groupBy(bundle).cogroup(identifiers.groupBy(bundle)).applyInPandas(run, rows.schema)

@@ -246,8 +246,8 @@ def q19_quantiles(spark, sf_dir):
 @query(
     "q20_cost",
     """WITH c AS (SELECT l_returnflag, l_quantity * 100 AS p, CASE WHEN l_linenumber < 7 THEN l_partkey % 1000 END AS o, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey * 30.0 ELSE 0.0 END AS h, CASE WHEN l_tax > 0.01 THEN 0.5 END AS hr FROM lineitem),
-       s AS (SELECT *, CASE WHEN o IS NULL THEN 'usage_missing' WHEN h > p THEN 'cached_exceeds_prompt' WHEN h > 0 AND hr IS NULL THEN 'cached_rate_missing' ELSE 'ok' END AS status FROM c)
-       SELECT l_returnflag, status, count(*) AS n, round(sum(CASE WHEN status = 'ok' THEN ((p - h) * 3.0 + o * 15.0 + h * coalesce(hr, 0.0)) / 1e6 END), 6) AS cost FROM s GROUP BY ALL""",
+       s AS (SELECT *, CASE WHEN o IS NULL THEN 'missing_usage' WHEN h > p THEN 'invalid_cached_usage' WHEN h > 0 AND hr IS NULL THEN 'missing_price' ELSE 'estimated_from_returned_usage' END AS status FROM c)
+       SELECT l_returnflag, status, count(*) AS n, round(sum(CASE WHEN status = 'estimated_from_returned_usage' THEN ((p - h) * 3.0 + o * 15.0 + h * coalesce(hr, 0.0)) / 1e6 END), 6) AS cost FROM s GROUP BY ALL""",
 )
 def q20_cost(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")

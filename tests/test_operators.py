@@ -32,15 +32,23 @@ def test_exact_statistics(spark):
 def test_pseudonyms(spark):
     digest = hmac.new(KEY, b"name", hashlib.sha256).hexdigest()
     assert spark.range(1).select(scalars.hmac_sha256(KEY, F.lit("name"))).first()[0] == digest
-    rows = spark.createDataFrame([("a", 1, "lab and lab2 at AA:BB:CC:00:11:22, aabbcc001122"), ("a", 2, None), ("b", 1, "lab 00-11-22-aa-bb-cc")], "bundle_id string, line int, text string")
-    known = spark.createDataFrame([("a", "name", "lab"), ("a", "name", "lab2")], "bundle_id string, kind string, value string")
-    out = {(r.bundle_id, r.line): r.text for r in privacy.redact(rows, known, KEY).collect()}
-    address = privacy.pseudonym(KEY, "address", "aa:bb:cc:00:11:22")
-    assert out["a", 1] == f"{privacy.pseudonym(KEY, 'name', 'lab')} and {privacy.pseudonym(KEY, 'name', 'lab2')} at {address.upper()}, {address.replace(':', '')}"
-    assert out["a", 2] is None and out["b", 1] == "lab " + privacy.pseudonym(KEY, "address", "00:11:22:aa:bb:cc").replace(":", "-")
+    rows = spark.createDataFrame([("a", 1, "lab and lab2 at AA:BB:CC:00:11:22, 99AABBCC00112299 AA BB  CC 00 11 22"), ("a", 2, None), ("b", 1, "lab 00-11-22-aa-bb-cc aabbcc001122"), ("a", 3, "6c6162 hunter2 /runs/a")], "bundle_id string, line int, text string")
+    texts = spark.createDataFrame([("a", 'ssid="lab2" from aa-bb-cc-00-11-22'), ("a", "ssid: ''"), ("b", None)], "bundle_id string, text string")
+    names = spark.createDataFrame([("a", "lab"), ("a", None), ("b", "")], "bundle_id string, ssid string")
+    parameters = spark.createDataFrame([("a", "wpa_passphrase", "hunter2"), ("a", "channel", "6")], "bundle_id string, name string, value string")
+    learnt = privacy.learn_identifiers(texts, names, parameters)
+    known = [("mac", "aa:bb:cc:00:11:22"), ("secret", "hunter2"), ("ssid", "lab"), ("ssid", "lab2")]
+    assert sorted((r.kind, r.value) for r in learnt.collect()) == known and learnt.where("bundle_id <> 'a'").isEmpty()
+    paths = spark.createDataFrame([("a", "path", "/runs/a")], "bundle_id string, kind string, value string")
+    out = {(r.bundle_id, r.line): r.text for r in privacy.redact(rows, learnt.unionByName(paths), KEY).collect()}
+    address, lab = privacy.pseudonym(KEY, "mac", "aa:bb:cc:00:11:22"), privacy.pseudonym(KEY, "ssid", "lab")
+    assert lab == "ssid-" + hmac.new(KEY, b"ssid\0lab", hashlib.sha256).hexdigest()[:8]
+    assert out["a", 1] == f"{lab} and {privacy.pseudonym(KEY, 'ssid', 'lab2')} at {address}, 99{address.replace(':', '').upper()}99 {address.replace(':', ' ').upper()}"
+    assert out["a", 2] is None and out["a", 3] == f"{lab} <redacted-secret> <bundle>"
+    assert out["b", 1] == f"lab {privacy.pseudonym(KEY, 'mac', '00:11:22:aa:bb:cc')} aabbcc001122"
     assert int(address[:2], 16) & 3 == 2
     with pytest.raises(ValueError):
-        privacy.pseudonym(b"short", "name", "x")
+        privacy.pseudonym(b"short", "ssid", "x")
 
 
 def test_lines(spark):
@@ -101,7 +109,7 @@ def test_majority_and_costs(spark):
     assert {r.key: (r.v, r.n) for r in summaries.majority(df, ["key"], "v").collect()} == {"k": ("a", 2), "m": ("z", 1)}
     calls = spark.createDataFrame([(1000, 100, 0), (1000, 100, 2000), (None, 1, 0), (1000, 100, 500)], "p long, c long, h long")
     c = scalars.call_cost(F.col("p"), F.col("c"), F.col("h"), F.lit(2.0), F.lit(10.0), F.lit(None).cast("double"))
-    assert [(r[0].cost, r[0].status) for r in calls.select(c).collect()] == [(0.003, "ok"), (None, "cached_exceeds_prompt"), (None, "usage_missing"), (None, "cached_rate_missing")]
+    assert [(r[0].cost, r[0].status) for r in calls.select(c).collect()] == [(0.003, "estimated_from_returned_usage"), (None, "invalid_cached_usage"), (None, "missing_usage"), (None, "missing_price")]
 
 
 def test_streams(spark, tmp_path):
