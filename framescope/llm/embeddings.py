@@ -224,7 +224,7 @@ def _block_sums(classes: DataFrame, cosine: float, dtype: str, block: int, most_
     spark = classes.sparkSession
     schema = "node binary, other binary, n long"
     parts = []
-    for r in classes.groupBy("size").count().orderBy("size").limit(1000).collect():  # lengths of vectors: one, or a few
+    for r in classes.groupBy("size").count().orderBy("size").collect():  # lengths of vectors: one, or a few
         own = classes.where(F.col("size") == r["size"])
         pivots = _pivots(own, dtype, min(most_pivots, -(-r["count"] // block)), sample, r["count"])
 

@@ -38,6 +38,9 @@ TAGS = ("spdx license identifier", "license expression")
 #: Identifiers as they stand in expressions, lower case, and their labels (fixed values); others keep their own name.
 IDENTIFIERS = {"mit": "mit", "apache-2.0": "apache-2", "apache-2": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-nc": "cc-by-nc", "bsd-3-clause": "bsd-3-clause", "bsd-2-clause": "bsd-2-clause", "mpl-2.0": "mpl-2"}
 
+#: Labels that a permitted expression may rest on, unless a caller says otherwise.
+PERMITTED = ("mit", "apache-2", "bsd-2-clause", "bsd-3-clause", "isc", "zlib")
+
 BASE_WEIGHT, TAG_WEIGHT = 0.9, 0.95
 _BINDING = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
@@ -90,21 +93,22 @@ def to_postfix(expression: str) -> list[str] | None:
     return good
 
 
-def evaluate(postfix: list[str]) -> list[list[str]]:
-    """The choices of an expression: sets of labels that hold together. 'or' offers either side's choices, 'and' combines them, 'with' adds its exception to the name."""
-    stack: list[list[frozenset[str]]] = []
+def evaluate(postfix: list[str], permitted: Iterable[str] = PERMITTED) -> tuple[set[str], bool]:
+    """The labels that an expression names, and whether permitted labels alone can meet it: 'or' needs either side, 'and' both; an exception
+    ('with') only widens what its licence allows, and becomes part of the label. Each operator takes one step, so long expressions are no burden."""
+    allowed = set(permitted)
+    stack: list[tuple[set[str], bool]] = []
     for token in postfix:
         if token not in _BINDING:
-            stack.append([frozenset([IDENTIFIERS.get(token, token)])])
+            label = IDENTIFIERS.get(token, token)
+            stack.append(({label}, label in allowed))
             continue
-        right, left = stack.pop(), stack.pop()
-        if token == "or":
-            stack.append(left + right)
-        elif token == "and":
-            stack.append(list(dict.fromkeys(a | b for a in left for b in right))[:64])
+        (right, right_met), (left, left_met) = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append(({f"{x} with {y}" for x in left for y in right}, left_met))
         else:
-            stack.append([frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right])
-    return [sorted(x) for x in stack[0]] if stack else []
+            stack.append((left | right, left_met and right_met if token == "and" else left_met or right_met))
+    return stack[0]
 
 
 @lru_cache(maxsize=4)
@@ -121,8 +125,8 @@ def _automaton(base: tuple[tuple[str, str], ...]) -> ahocorasick.Automaton:
     return out
 
 
-def scan_text(text: str, base: tuple[tuple[str, str], ...]) -> tuple:
-    """One text's row: n_words, base starts, phrase starts, base labels, all labels, expressions, score."""
+def scan_text(text: str, base: tuple[tuple[str, str], ...], permitted: tuple[str, ...] = PERMITTED) -> tuple:
+    """One text's row: n_words, base starts, phrase starts, base labels, all labels, expressions, whether all of them are permitted, score."""
     raw = text.encode("utf-8", "surrogatepass").translate(_NORMAL)
     words = raw.split()
     normal = f" {b' '.join(words).decode('latin-1')} "
@@ -131,6 +135,7 @@ def scan_text(text: str, base: tuple[tuple[str, str], ...]) -> tuple:
     base_labels: set[str] = set()
     labels: set[str] = set()
     expressions: list[str] = []
+    met: bool | None = None
     doubt, seen, at, tagged = 1.0, 0, 0, []
     for end, (length, values) in _automaton(base).iter(normal):
         start = end - length + 1
@@ -150,9 +155,11 @@ def scan_text(text: str, base: tuple[tuple[str, str], ...]) -> tuple:
             line = raw_line(text, spans[k - 1])
             if postfix := to_postfix(line):
                 expressions.append(" ".join(postfix))
-                labels.update(x for choice in evaluate(postfix) for x in choice)
+                named, this = evaluate(postfix, permitted)
+                labels |= named
+                met = this and met is not False
                 doubt *= 1 - TAG_WEIGHT
-    return len(words), base_at, more_at, sorted(base_labels), sorted(labels | base_labels), expressions, 1 - doubt
+    return len(words), base_at, more_at, sorted(base_labels), sorted(labels | base_labels), expressions, met, 1 - doubt
 
 
 _WORD = re.compile(rb"[^ ]+")
@@ -176,27 +183,28 @@ SCAN_SCHEMA = T.StructType(
         T.StructField("base_labels", T.ArrayType(T.StringType())),
         T.StructField("labels", T.ArrayType(T.StringType())),
         T.StructField("expressions", T.ArrayType(T.StringType())),
+        T.StructField("permitted", T.BooleanType()),
         T.StructField("score", T.DoubleType()),
     ]
 )
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE_PHRASES) -> DataFrame:
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE_PHRASES, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
     """One row per row of df: its id and what the scan found.
 
     n_words; base_starts (word index of every place of a base phrase, ascending), phrase_starts (of further phrases); base_labels and labels
-    (sorted, distinct; labels holds the base ones too); expressions (in postfix order) that follow identifier tags on their line; score, 1 minus
-    the product of the doubts of all finds (0: nothing found). A null text counts as empty; repeated rows and ids are scanned one by one.
-    Only the two columns are read. No shuffle.
+    (sorted, distinct; labels holds the base ones too); expressions (in postfix order) that follow identifier tags on their line; permitted, whether
+    the permitted labels alone can meet all of these (null without any); score, 1 minus the product of the doubts of all finds (0: nothing found).
+    A null text counts as empty; repeated rows and ids are scanned one by one. Only the two columns are read. No shuffle.
     """
     phrases = tuple(base.items())
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     names = [f.name for f in SCAN_SCHEMA]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.float64()]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.float64()]
         for batch in batches:
-            found = [scan_text(x or "", phrases) for x in batch.column("text").to_pylist()]
+            found = [scan_text(x or "", phrases, permitted) for x in batch.column("text").to_pylist()]
             columns = zip(*found) if found else [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(columns, types))], [id_col, *names])
 

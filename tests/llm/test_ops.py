@@ -275,7 +275,11 @@ def test_components(spark):
 
 def test_license_expressions():
     assert licenses.to_postfix("MIT OR (Apache-2.0 AND BSD-3-Clause WITH exception)") == ["mit", "apache-2.0", "bsd-3-clause", "exception", "with", "and", "or"]
-    assert licenses.evaluate(licenses.to_postfix("MIT OR (Apache-2.0 AND BSD-3-Clause)")) == [["mit"], ["apache-2", "bsd-3-clause"]]
+    told = lambda x, *permitted: licenses.evaluate(licenses.to_postfix(x), permitted)
+    assert told("MIT OR (Apache-2.0 AND BSD-3-Clause)", "apache-2") == ({"mit", "apache-2", "bsd-3-clause"}, False)
+    assert told("MIT OR (Apache-2.0 AND BSD-3-Clause)", "apache-2", "bsd-3-clause")[1] and told("GPL-2.0 WITH linking-exception", "gpl-2.0") == ({"gpl-2.0 with linking-exception"}, True)
+    many = told(" AND ".join(f"(A-{k} OR B-{k})" for k in range(40)), *(f"b-{k}" for k in range(40)))
+    assert len(many[0]) == 80 and many[1]
     assert licenses.to_postfix("GPL-3.0 and so on") == ["gpl-3.0"] and licenses.to_postfix("(MIT") is None and licenses.to_postfix("") is None
 
 
@@ -285,7 +289,7 @@ def test_license_scan(spark):
     assert (out[0].n_words, out[0].base_starts, out[0].base_labels) == (8, [0, 4], ["mit"])
     assert (out[1].base_starts, out[1].labels) == ([0, 3], ["cc-by-nc"])
     assert (out[2].base_starts, out[2].base_labels) == ([1], ["apache-2"])
-    assert (out[3].labels, out[3].expressions, out[3].base_starts) == (["apache-2", "mit"], ["mit apache-2.0 or"], [])
+    assert (out[3].labels, out[3].expressions, out[3].base_starts, out[3].permitted) == (["apache-2", "mit"], ["mit apache-2.0 or"], [], True)
     assert out[4].labels == [] and out[4].score == 0 and out[5].n_words == 0
 
 
