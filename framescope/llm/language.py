@@ -20,6 +20,7 @@ from framescope.llm.common import flat_bytes, slices
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+_LONGEST = 12  # bounds are told for lengths up to 2 ** 12 bytes
 
 
 @dataclass
@@ -168,11 +169,8 @@ def training_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     return windows, np.array([langs.index(x) for x, _ in rows], np.int64), langs
 
 
-def text_scores(net: Network, texts: pa.Array, width: int = 64, block: int = 2048) -> np.ndarray:
-    """(rows, classes) means of the position probabilities of each whole text; rows of an empty text are 0.
-
-    Texts are laid into windows of `width` bytes, which the network reads each by itself.
-    """
+def _window_sums(net: Network, texts: pa.Array, width: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, classes) sums of the position probabilities of each window; the bytes and the windows of each text."""
     data, offsets = flat_bytes(texts)
     sizes = np.diff(offsets)
     windows = -(-sizes // width)
@@ -189,10 +187,28 @@ def text_scores(net: Network, texts: pa.Array, width: int = 64, block: int = 204
         if not filled[a : a + block, -1].all():
             part *= filled[a : a + block].T[:, None, :]
         sums[a : a + block] = part.sum(axis=0).T
-    out = np.zeros((len(texts), len(net.langs)))
+    return sums, sizes, windows
+
+
+def text_scores(net: Network, texts: pa.Array, width: int = 64, block: int = 2048) -> np.ndarray:
+    """(rows, classes) means of the position probabilities of each whole text; rows of an empty text are 0.
+
+    Texts are laid into windows of `width` bytes, which the network reads each by itself.
+    """
+    return _means(*_window_sums(net, texts, width, block))
+
+
+def text_sureness(net: Network, texts: pa.Array, width: int = 64, block: int = 2048) -> np.ndarray:
+    """(rows,) means over each whole text of its windows' greatest probability: 1 if every window is surely of some language, be it not the same one."""
+    sums, sizes, windows = _window_sums(net, texts, width, block)
+    return _means(sums.max(axis=1, keepdims=True), sizes, windows)[:, 0]
+
+
+def _means(sums: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sizes), sums.shape[1]))
     some = windows > 0
     if some.any():
-        out[some] = np.add.reduceat(sums, first[some], axis=0) / sizes[some][:, None]
+        out[some] = np.add.reduceat(sums, (np.cumsum(windows) - windows)[some], axis=0) / sizes[some][:, None]
     return out
 
 
@@ -226,8 +242,42 @@ def position_labels(net: Network, text: str, width: int = 64) -> list[str]:
     return [net.langs[k] for k in best.tolist()]
 
 
-def keep_known(df: DataFrame, net: Network, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, whose text has letters and a language of pooled probability `least` or more. No shuffle.
+def length_bounds(net: Network, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = 0.005, slack: float = 0.1, full: int = 256, most_docs: int = 400) -> np.ndarray:
+    """The least sureness by which a text of 2**k to 2**(k+1) - 1 bytes counts as one of a learnt language, for k from 0 on; longer texts have the last.
+
+    Beginnings of all such lengths of about most_docs labelled texts a language, drawn apart from the training windows, are scored: the bound of a
+    length is the sureness that all but `share` of them reach, less `slack` of its distance from chance, 1 / languages. As short texts tell little, the
+    bound falls to chance in proportion to the length below `full` bytes. It never falls with the length. A network of less than two languages cannot tell unlike texts: its bounds are 0.
+    """
+    bounds = np.zeros(_LONGEST + 1)
+    if len(net.langs) < 2:
+        return bounds
+    known = docs.where(F.col(lang_col).cast("string").isin(net.langs) & F.col(text_col).isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    if not sizes:
+        return bounds
+    part = F.create_map(*(F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, most_docs / sizes[k]) * 1_000_000)))
+    drawn = known.where(F.pmod(F.xxhash64(text_col, F.lit("bounds")), F.lit(1_000_000)) < part[F.col(lang_col).cast("string")])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in slices(batches):
+            data = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+            cuts = [(k, x[: 1 << k].decode("utf-8", "ignore")) for x in data for k in range(_LONGEST + 1) if len(x) >= 1 << k]
+            cuts = [(k, x) for k, x in cuts if _LETTER.search(x)]
+            found = text_sureness(net, pa.array([x for _, x in cuts], pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cuts], pa.int32()), pa.array(found, pa.float64())], ["k", "score"])
+
+    reached = drawn.select(F.col(text_col).alias("text")).mapInArrow(score, "k int, score double").groupBy("k").agg(F.expr(f"percentile(score, {share})"))
+    found = {r[0]: r[1] for r in reached.collect()}
+    chance = at = 1 / len(net.langs)
+    for k in range(_LONGEST + 1):
+        at = max(at, found.get(k, at))
+        bounds[k] = chance + (1 - slack) * (at - chance) * min(1.0, (1 << k) / full)
+    return bounds
+
+
+def keep_known(df: DataFrame, net: Network, bounds: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose text has letters and a sureness that reaches the bound of its length (see length_bounds). No shuffle.
 
     With no language learnt, every text with letters stays."""
 
@@ -235,7 +285,9 @@ def keep_known(df: DataFrame, net: Network, least: float = 0.5, text_col: str =
         for batch in slices(batches, text_col):
             texts = batch.column(text_col)
             lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_numpy(zero_copy_only=False).tolist()])
-            sure = text_scores(net, texts).max(axis=1) >= least if net.langs else np.ones(len(texts), bool)
+            sizes = np.diff(flat_bytes(texts)[1])
+            least = bounds[np.minimum(np.log2(np.maximum(sizes, 1)).astype(np.int64), len(bounds) - 1)]
+            sure = text_sureness(net, texts) >= least if net.langs else np.ones(len(texts), bool)
             yield batch.filter(pa.array(lettered & sure))
 
     return df.mapInArrow(known, df.schema)

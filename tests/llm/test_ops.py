@@ -356,3 +356,18 @@ def test_quality_outliers(spark):
     assert sum(not r.kept and not r.base_failed for r in out if r.doc_id >= 1000) == 30
     assert sum(not r.kept and not r.base_failed for r in out if r.doc_id < 1000) <= 3
     assert math.isclose(quality.chi2_quantile(0.95, 3), 7.814728, abs_tol=1e-4)
+
+
+def test_long_texts_of_no_learnt_language_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    alphabets = {"cyrillic": "абвгдежзийклмнопрстуфхцчшщыьэюя", "consonants": "bcdfghjklmnpqrstvwxz", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "hex": "0123456789abcdef"}
+    other = [(-k - 1, " ".join("".join(rng.choices(a, k=rng.randint(2, 8))) for _ in range(400))) for k, a in enumerate(list(alphabets.values()) * 5)]
+    df = docs.unionByName(spark.createDataFrame(other, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, df, "").select("doc_id").collect()}
+    sizes = {r.doc_id: r.n for r in docs.select("doc_id", F.octet_length("text").alias("n")).collect()}
+    assert {k for k, n in sizes.items() if n < 64} <= kept
+    assert len(set(sizes) & kept) >= 0.995 * len(sizes)
+    assert len({r[0] for r in other} & kept) <= 1
