@@ -426,6 +426,12 @@ def q40_leak_probe(spark, sf_dir):
     return evaluation.leak_probe(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
 
+@query("q40b_split_leak_probe")
+def q40b_split_leak_probe(spark, sf_dir):
+    """Dev: vec_id not divisible by 5; test: the others."""
+    return evaluation.split_leak_probe(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", F.col("vec_id") % 5 != 0)
+
+
 @query("q41_bootstrap")
 def q41_bootstrap(spark, sf_dir):
     found = evaluation.bootstrap_interval(table(spark, sf_dir, "labels"), [], "quality", "doc_id", resamples=200)
