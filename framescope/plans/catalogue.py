@@ -451,3 +451,23 @@ def q42_citations(spark, sf_dir):
     cited = rows.where("ref % 2 = 0").select("bundle_id", "source", "ref", F.substring(scalars.squeezed(F.col("text")), 1, 20).alias("quote"), F.lit(False).alias("auto"))
     checked = citations.verify_citations(cited, rows, least=1, most_places=1)
     return checked.groupBy(F.col("bundle_id").alias("conv_id")).agg(F.count_if("valid").alias("n"), F.count_if("ambiguous").alias("ambiguous"))
+
+
+@query(
+    "q42b_whole_citations",
+    r"""WITH r AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE text IS NOT NULL),
+       e AS (SELECT conv_id, CASE WHEN turn % 3 = 0 THEN turn + 1 ELSE turn END AS ref, t AS quote FROM r),
+       q AS (SELECT DISTINCT conv_id, quote FROM e WHERE quote <> ''),
+       h AS (SELECT q.conv_id, q.quote, r.turn FROM q JOIN r ON r.conv_id = q.conv_id AND contains(r.t, q.quote)),
+       p AS (SELECT conv_id, quote, count(*) AS places FROM h GROUP BY ALL),
+       a AS (SELECT DISTINCT conv_id, quote, turn AS ref, true AS hit FROM h)
+       SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE quote <> '' AND coalesce(hit, false)) AS valid, count(*) FILTER (WHERE coalesce(places, 0) > 1) AS ambiguous
+       FROM e LEFT JOIN p USING (conv_id, quote) LEFT JOIN a USING (conv_id, quote, ref) GROUP BY conv_id""",
+)
+def q42b_whole_citations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    rows = turns.select(F.col("conv_id").alias("bundle_id"), F.lit("turn").alias("source"), F.col("turn").alias("ref"), "text")
+    ref = F.when(F.col("ref") % 3 == 0, F.col("ref") + 1).otherwise(F.col("ref"))
+    cited = rows.select("bundle_id", "source", ref.alias("ref"), scalars.squeezed(F.col("text")).alias("quote"), F.lit(False).alias("auto"))
+    checked = citations.verify_citations(cited, rows, least=1, most_places=1)
+    return checked.groupBy(F.col("bundle_id").alias("conv_id")).agg(F.count("*").alias("n"), F.count_if("valid").alias("valid"), F.count_if("ambiguous").alias("ambiguous"))

@@ -37,3 +37,9 @@ def test_query(spark, duck, name):
         wanted = duck.execute(catalogue.ORACLE_SQL[name]).df()
         assert sorted(found.columns) == sorted(wanted.columns)
         assert plain(found) == plain(wanted)
+
+
+def test_whole_citations_cite_every_turn(spark, duck):
+    found = catalogue.QUERIES["q42b_whole_citations"](spark, SF_DIR).toPandas()
+    assert found.n.sum() == duck.execute("SELECT count(*) FROM conversations WHERE text IS NOT NULL").fetchone()[0]
+    assert 0 < found.valid.sum() < found.n.sum()
