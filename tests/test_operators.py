@@ -137,3 +137,13 @@ def test_leak_probe_grades_rows_it_has_not_seen(spark):
     assert (r.n, r.hits, r.flagged) == (100, 0, None)
     ranks = evaluation._ranks(df.select(F.col("id").alias("_id")), F.xxhash64("_id"))
     assert sorted(x._rank for x in ranks.collect()) == list(range(1, 101))
+
+
+def test_registered_bootstrap_takes_all_resamples(spark, monkeypatch):
+    from framescope.plans import catalogue
+
+    asked = []
+    whole = evaluation.bootstrap_interval
+    monkeypatch.setattr(evaluation, "bootstrap_interval", lambda *a, **k: asked.append(k.get("resamples", 2000)) or whole(*a, **k))
+    r = catalogue.QUERIES["q41_bootstrap"](spark, "/root/testdata/sf0.001").first()
+    assert asked == [2000] and r.low < r.mean < r.high
