@@ -74,6 +74,23 @@ def quotes_whole_member(record: Column, quote: Column) -> Column:
     return run(record, quote)
 
 
+def first_member(record: str, most: int) -> str | None:
+    """The first sorted top-level member, as it stands in a record's canonical JSON, of at most `most` characters; null if none fits."""
+    fields = json.loads(record)
+    members = (json.dumps({key: fields[key]}, sort_keys=True)[1:-1] for key in sorted(fields))
+    return next((x for x in members if len(x) <= most), None)
+
+
+def fitting_member(record: Column, most: int) -> Column:
+    """first_member by row; null where the record is."""
+
+    @F.pandas_udf("string")
+    def run(records: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else first_member(r, most) for r in records], dtype=object)
+
+    return run(record)
+
+
 def config_values(text: Column) -> Column:
     """map of a text's key=value lines, trimmed; the last line of a key counts, other lines don't."""
     lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: F.contains(x, F.lit("=")))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framescope.functions.texts import fitting_member
+
 BROADCAST = "ff:ff:ff:ff:ff:ff"
 DIRECTIONS = ("ap_to_station", "station_to_ap", "ap_to_broadcast", "other")
 EVENTS = ("auth", "assoc", "eapol", "dhcp")
@@ -133,11 +135,14 @@ def acknowledged_after(df: DataFrame, keys: Sequence[str], order: str, before: C
 
 def first_evidence(lines: DataFrame, frames: DataFrame, sources: Sequence[str], least: int = 12, most: int = 2000) -> DataFrame:
     """(bundle_id, source, ref, quote): what an undecided answer cites: the first log line, by source and number, of `least` non-blank characters
-    in its first `most`; else the first frame. lines: bundle_id, source, line, text; frames: bundle_id, frame, json."""
+    in its first `most`; else the first frame, or of a longer one its first sorted top-level
+    member that fits; a frame without one is passed over. lines: bundle_id, source, line, text; frames: bundle_id, frame, json."""
     rank = F.array_position(F.array(*(F.lit(s) for s in sources)), F.col("source"))
     quote = F.substring("text", 1, most)
     some = lines.where(F.col("source").isin(list(sources)) & (F.length(F.regexp_replace(quote, r"\s", "")) >= least))
     told = some.select("bundle_id", rank.alias("_rank"), "source", F.col("line").cast("long").alias("ref"), quote.alias("quote"))
-    shown = frames.where(F.length("json") <= most).select("bundle_id", F.lit(len(sources) + 1).cast("long").alias("_rank"), F.lit("frame").alias("source"), F.col("frame").cast("long").alias("ref"), F.col("json").alias("quote"))
+    long = F.length("json") > most
+    cut = frames.withColumn("_quote", F.coalesce(fitting_member(F.when(long, F.col("json")), most), F.when(~long, F.col("json")))).where("_quote is not null")
+    shown = cut.select("bundle_id", F.lit(len(sources) + 1).cast("long").alias("_rank"), F.lit("frame").alias("source"), F.col("frame").cast("long").alias("ref"), F.col("_quote").alias("quote"))
     best = told.unionByName(shown).groupBy("bundle_id").agg(F.min_by(F.struct("source", "ref", "quote"), F.struct("_rank", "ref")).alias("b"))
     return best.select("bundle_id", "b.*")

@@ -104,3 +104,13 @@ def test_text_forms(spark):
     assert [r[0] for r in conf] == [{"a": "2", "b": "x=y"}, {}]
     ips = spark.createDataFrame([("10.0.0.4",), ("127.0.0.1",), ("0.0.0.0",), ("300.1.1.1",)], "t string").select(texts.assigned_ipv4(F.col("t"))).collect()
     assert [r[0] for r in ips] == [True, False, False, None]
+
+
+def test_long_frames_are_cited_by_a_member(spark):
+    import json
+
+    big = json.dumps({"elements": "x" * 3000, "frame": 1, "ssid": "lab"}, sort_keys=True)
+    shown = spark.createDataFrame([("a", 1, big), ("a", 2, '{"frame": 2}'), ("b", 1, json.dumps({"only": "x" * 3000})), ("b", 2, big), ("c", 5, '{"frame": 5}')], "bundle_id string, frame long, json string")
+    none = spark.createDataFrame([], "bundle_id string, source string, line int, text string")
+    cited = {r.bundle_id: (r.source, r.ref, r.quote) for r in observation.first_evidence(none, shown, ["hostapd"]).collect()}
+    assert cited == {"a": ("frame", 1, '"frame": 1'), "b": ("frame", 2, '"frame": 1'), "c": ("frame", 5, '{"frame": 5}')}
