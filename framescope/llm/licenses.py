@@ -43,31 +43,45 @@ PERMITTED = ("mit", "apache-2", "bsd-2-clause", "bsd-3-clause", "isc", "zlib")
 
 BASE_WEIGHT, TAG_WEIGHT = 0.9, 0.95
 _BINDING = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
-_NAME = re.compile(r"[a-z0-9.+:-]*[0-9.+-][a-z0-9.+:-]*|mit|isc|zlib|unlicense|wtfpl|gpl|lgpl|agpl|bsd|mpl|apache")
+_TOKEN = re.compile(rb"\n|\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+#: What counts as an identifier where prose may go on as well.
+_NAME = re.compile(
+    r"[a-z0-9.+:-]*[0-9.+-][a-z0-9.+:-]*|mit|isc|zlib|unlicense|wtfpl|gpl|lgpl|agpl|bsd|mpl|apache|postgresql|ruby|curl|ncsa|openssl|vim|libpng|libtiff|ntp|hpnd|ftl|ijg|icu"
+    r"|smlnj|qhull|imagemagick|sleepycat|beerware|netcdf|fsfap|fsful|fsfullr|gnuplot|php|tcl|upl|x11"
+)
+_STATED = re.compile(rb"[ \t\"']*[:=]")
 #: Letters and digits stay (A-Z lower-cased), as do all bytes of characters beyond ASCII; all else parts words.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def to_postfix(expression: str) -> list[str] | None:
+def to_postfix(expression: str | bytes, at: int = 0, stated: bool = True) -> list[str] | None:
     """Shunting-yard: a licence expression in postfix order ('with' binds tighter than 'and', 'and' tighter than 'or').
 
-    The longest well-formed beginning counts, so prose after an expression does no harm; None if there is none.
+    It begins at byte `at` and ends with its line, or goes on over line ends while a bracket is open. Any identifier counts at the beginning if that is
+    `stated`, after '(' and after upper-case operators; elsewhere, where prose may follow, only names with a digit or sign and well-known ones do. The
+    longest well-formed beginning counts, so prose after an expression does no harm; None if there is none.
     """
+    data = expression.encode("utf-8", "surrogatepass") if isinstance(expression, str) else expression
     out: list[str] = []
     held: list[str] = []
-    operand_next, depth, good = True, 0, None
+    operand_next, depth, good, free = True, 0, None, stated
 
     def closed() -> list[str]:
         return out + held[::-1]
 
-    for match in _TOKEN.finditer(expression):
-        token = match[0].lower().rstrip(".:")
+    for match in _TOKEN.finditer(data, at):
+        said = match[0].decode().rstrip(".:")
+        token = said.lower()
+        if token == "\n":
+            if not depth:
+                break
+            continue
         if token == "(":
             if not operand_next:
                 break
             held.append(token)
             depth += 1
+            free = True
         elif token == ")":
             if operand_next or not depth:
                 break
@@ -81,10 +95,10 @@ def to_postfix(expression: str) -> list[str] | None:
             while held and held[-1] != "(" and _BINDING[held[-1]] >= _BINDING[token]:
                 out.append(held.pop())
             held.append(token)
-            operand_next = True
+            operand_next, free = True, said.isupper()
             continue
         else:
-            if not operand_next or not _NAME.fullmatch(token) and not (held and held[-1] == "with"):
+            if not operand_next or not free and not _NAME.fullmatch(token) and not (held and held[-1] == "with"):
                 break
             out.append(token)
             operand_next = False
@@ -151,9 +165,9 @@ def scan_text(text: str, base: tuple[tuple[str, str], ...], permitted: tuple[str
             doubt *= 1 - weight
     if tagged:
         spans = [m.end() for m in _WORD.finditer(raw)]
+        data = text.encode("utf-8", "surrogatepass")
         for k in tagged:
-            line = raw_line(text, spans[k - 1])
-            if postfix := to_postfix(line):
+            if postfix := to_postfix(data, spans[k - 1], _STATED.match(data, spans[k - 1]) is not None):
                 expressions.append(" ".join(postfix))
                 named, this = evaluate(postfix, permitted)
                 labels |= named
@@ -169,12 +183,6 @@ def length_in_words(length: int, normal: str, start: int) -> int:
     return normal.count(" ", start + 1, start + length)
 
 
-def raw_line(text: str, at: int) -> str:
-    """What follows byte `at` of the UTF-8 text up to the end of its line."""
-    rest = text.encode("utf-8", "surrogatepass")[at:].split(b"\n", 1)[0]
-    return rest.decode("utf-8", "replace").lstrip(" :=\"'-")
-
-
 SCAN_SCHEMA = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -193,7 +201,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of df: its id and what the scan found.
 
     n_words; base_starts (word index of every place of a base phrase, ascending), phrase_starts (of further phrases); base_labels and labels
-    (sorted, distinct; labels holds the base ones too); expressions (in postfix order) that follow identifier tags on their line; permitted, whether
+    (sorted, distinct; labels holds the base ones too); expressions (in postfix order) that follow identifier tags; permitted, whether
     the permitted labels alone can meet all of these (null without any); score, 1 minus the product of the doubts of all finds (0: nothing found).
     A null text counts as empty; repeated rows and ids are scanned one by one. Only the two columns are read. No shuffle.
     """

@@ -371,3 +371,13 @@ def test_long_texts_of_no_learnt_language_go(spark):
     assert {k for k, n in sizes.items() if n < 64} <= kept
     assert len(set(sizes) & kept) >= 0.995 * len(sizes)
     assert len({r[0] for r in other} & kept) <= 1
+
+
+def test_license_names_of_letters_and_open_brackets(spark):
+    tag = "SPDX-License-Identifier: "
+    rows = [tag + "PostgreSQL", tag + "MIT AND Ruby", f"# {tag}(MIT OR\n#   Apache-2.0)\n# more", tag + "MIT and so on", "the license expression of this file", tag + "\nplain text", tag + "(MIT\nand prose", tag + "NCSA OR Vim\nOR curl"]
+    out = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert (out[0].labels, out[0].permitted) == (["postgresql"], False) and out[0].score > 0.9
+    assert (out[1].labels, out[1].permitted) == (["mit", "ruby"], False)
+    assert (out[2].expressions, out[2].permitted) == (["mit apache-2.0 or"], True)
+    assert out[3].labels == ["mit"] and all(out[k].labels == [] for k in (4, 5, 6)) and out[7].labels == ["ncsa", "vim"]
