@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +48,72 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_rows: int = 50_000) -> DataFrame:
-    """Joins a side that is usually small: broadcast only if a count proves it so, else a shuffled join whose skewed partitions AQE splits.
+def free_name(base: str, *frames: DataFrame) -> str:
+    """base, or base with underscores behind it: a name that no column of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
-    small should be cheap to count (a stage table)."""
-    if small.limit(most_rows + 1).count() <= most_rows:
+
+#: Largest side that is broadcast, in bytes of its values and 16 more for each row.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Joins a side that is usually small: broadcast only if its measured size is within most_bytes, else a shuffled join whose skewed partitions AQE splits.
+
+    small should be cheap to measure (a stage table)."""
+    sized = [F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in small.schema]
+    if (small.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in sized), F.lit(16)))).first()[0] or 0) <= most_bytes:
         small = F.broadcast(small)
     return left.join(small, on, how)
 
 
+#: Rows and bytes of a record batch, where the session names no bounds of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless it has bounds: with the default of 10,000 rows, a task would hold tens of MB of texts several times over."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+
+
+def give_back() -> None:
+    """Returns what a worker has freed to the machine: workers outlive their tasks, and would hold their peaks while other stages run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow over bounded batches; the worker gives its memory back at the end of a task."""
+    bound_batches(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def keep_where(df: DataFrame, column: str, judge: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """The rows of df whose value of one column `judge` finds true, batch by batch. Only that column goes to Python; the rows are filtered by Spark."""
+    bound_batches(df.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def verdict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield judge(part)
+        give_back()
+
+    return df.where(verdict(F.col(f"`{column}`")))
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo parts; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts

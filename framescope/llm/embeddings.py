@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescope.llm.common import stage
+from framescope.llm.common import map_batches, stage
 from framescope.llm.components import connected_components
 
 LEAF = 0.125  # radius at which levels end
@@ -189,7 +189,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["id", "node", "raw"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    all_ = stage(rows.mapInArrow(keyed, f"id {id_type}, node binary, raw binary"), "vectors")
+    all_ = stage(map_batches(rows, keyed, f"id {id_type}, node binary, raw binary"), "vectors")
     classes = stage(all_.where("node is not null").groupBy("node").agg(F.first("raw").alias("raw"), F.count("*").alias("w"), F.octet_length(F.first("raw")).alias("size")), "vector-classes")
     sums = _block_sums(classes, cosine, dtype, block, most_pivots, sample)
     links = sums.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
@@ -235,7 +235,7 @@ def _block_sums(classes: DataFrame, cosine: float, dtype: str, block: int, most_
                     cell = d.argmin(axis=1)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "far"])
 
-        placed = stage(own.select("node", "raw", "w").mapInArrow(place, "node binary, raw binary, w long, cell int, far double"), "vector-cells")
+        placed = stage(map_batches(own.select("node", "raw", "w"), place, "node binary, raw binary, w long, cell int, far double"), "vector-cells")
 
         def plant(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("node")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescope.llm.common import flat_bytes, slices
+from framescope.llm.common import flat_bytes, keep_where, map_batches, slices
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -143,20 +143,32 @@ def train(windows: np.ndarray, target: np.ndarray, langs: list[str], hidden: int
     return net
 
 
-def training_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_docs: int = 400, most_langs: int = 64, per_doc: int = 8, width: int = 48) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(windows, class of each, languages): per_doc byte windows, evenly spread, of about most_docs texts of each of the most_langs most frequent
-    languages, picked by a hash of the text. A bounded sample; rows without text or language do not count."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().orderBy(F.desc("count"), F.col(lang_col)).limit(most_langs).collect()}
-    langs = sorted(sizes)
+def _drawn_texts(known: DataFrame, text: str, lang: str, most_docs: int, seed: str) -> tuple[DataFrame, list[str]]:
+    """((lang, text) of about most_docs distinct texts of each language, picked by a seeded hash of the text; the languages).
+
+    Copies of a text count once: they are put together before anything leaves a task, so a text that fills the corpus is one row."""
+    rows = known.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("text", F.lit(seed)))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}  # a row for each language
+    if not sizes:
+        return rows.select("lang", "text"), []
+    share = F.create_map(*(F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, most_docs / max(1, sizes[k])) * 1_000_000)))
+    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")])
+    return drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text"), sorted(sizes)
+
+
+def training_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_docs: int = 400, most_windows: int = 400_000, per_doc: int = 8, width: int = 48) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(windows, class of each, languages): per_doc byte windows, evenly spread, of about most_docs distinct texts of each language; fewer texts (but 8
+    at least) where there are so many languages that most_windows would be passed. A bounded sample; every language that occurs is learnt. Rows without
+    text or language do not count; an empty table gives no windows."""
+    known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
+    n_langs = known.select(F.col(f"`{lang_col}`").cast("string")).distinct().count()
+    each = max(8, min(most_docs, most_windows // (per_doc * max(1, n_langs))))
+    sample, langs = _drawn_texts(known, text_col, lang_col, each, "train")
     if not langs:
         return np.zeros((0, width), np.uint8), np.zeros(0, np.int64), []
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, most_docs / sizes[k]) * 1_000_000)))
-    draw = F.pmod(F.xxhash64(text_col), F.lit(1_000_000))
-    sample = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(langs) & (draw < share[F.col("lang")]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 data = text.encode("utf-8", "replace")
@@ -164,9 +176,10 @@ def training_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                 out += [(lang, data[s : s + width]) for s in starts if data]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], ["lang", "data"])
 
-    rows = sorted((r["lang"], bytes(r["data"])) for r in sample.mapInArrow(cut, "lang string, data binary").collect())
+    rows = sorted((r["lang"], bytes(r["data"])) for r in map_batches(sample, cut, "lang string, data binary").collect())
     windows = np.frombuffer(b"".join(data.ljust(width, b"\0") for _, data in rows), np.uint8).reshape(-1, width)
-    return windows, np.array([langs.index(x) for x, _ in rows], np.int64), langs
+    place = {x: k for k, x in enumerate(langs)}
+    return windows, np.array([place[x] for x, _ in rows], np.int64), langs
 
 
 def _window_sums(net: Network, texts: pa.Array, width: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +228,9 @@ def _means(sums: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> np.ndarr
 def label_languages(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, lang_pred, score (the pooled probability of lang_pred, 0 to 1).
 
-    A null text, one without a letter, or a network without languages gives `und` with score 0. Only the two columns are read; a language column
-    plays no part. Repeated rows and ids are labelled one by one. No shuffle.
+    A null text, one without a letter, or a network without languages gives `und` with score 0. Of languages with equal probability the first by name
+    wins. Long texts are read whole, window by window. Only the two columns are read, whatever others are called; a language column plays no part.
+    Repeated rows and ids are labelled one by one; an empty table gives no rows. No shuffle.
     """
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
@@ -230,7 +244,7 @@ def label_languages(df: DataFrame, net: Network, id_col: str = "doc_id", text_co
             score = np.where([x != UNKNOWN for x in langs], np.clip(scores.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return map_batches(rows, run, T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def position_labels(net: Network, text: str, width: int = 64) -> list[str]:
@@ -252,12 +266,10 @@ def length_bounds(net: Network, docs: DataFrame, text_col: str = "text", lang_co
     bounds = np.zeros(_LONGEST + 1)
     if len(net.langs) < 2:
         return bounds
-    known = docs.where(F.col(lang_col).cast("string").isin(net.langs) & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    if not sizes:
+    known = docs.where(F.col(f"`{lang_col}`").cast("string").isin(net.langs) & F.col(f"`{text_col}`").isNotNull())
+    drawn, found_langs = _drawn_texts(known, text_col, lang_col, most_docs, "bounds")
+    if not found_langs:
         return bounds
-    part = F.create_map(*(F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, most_docs / sizes[k]) * 1_000_000)))
-    drawn = known.where(F.pmod(F.xxhash64(text_col, F.lit("bounds")), F.lit(1_000_000)) < part[F.col(lang_col).cast("string")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in slices(batches):
@@ -267,7 +279,7 @@ def length_bounds(net: Network, docs: DataFrame, text_col: str = "text", lang_co
             found = text_sureness(net, pa.array([x for _, x in cuts], pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cuts], pa.int32()), pa.array(found, pa.float64())], ["k", "score"])
 
-    reached = drawn.select(F.col(text_col).alias("text")).mapInArrow(score, "k int, score double").groupBy("k").agg(F.expr(f"percentile(score, {share})"))
+    reached = map_batches(drawn.select("text"), score, "k int, score double").groupBy("k").agg(F.expr(f"percentile(score, {share})"))
     found = {r[0]: r[1] for r in reached.collect()}
     chance = at = 1 / len(net.langs)
     for k in range(_LONGEST + 1):
@@ -279,15 +291,17 @@ def length_bounds(net: Network, docs: DataFrame, text_col: str = "text", lang_co
 def keep_known(df: DataFrame, net: Network, bounds: np.ndarray, text_col: str = "text") -> DataFrame:
     """The rows of df, with all their columns, whose text has letters and a sureness that reaches the bound of its length (see length_bounds). No shuffle.
 
-    With no language learnt, every text with letters stays."""
+    With no language learnt, every text with letters stays. Null and empty texts go; a text just at the bound stays; repeated rows are judged alike; an
+    empty table stays empty; no column is added, so none clashes."""
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            texts = batch.column(text_col)
-            lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_numpy(zero_copy_only=False).tolist()])
-            sizes = np.diff(flat_bytes(texts)[1])
+    def known(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, bool)]
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+            column = part.column("text")
+            lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in column.to_numpy(zero_copy_only=False).tolist()])
+            sizes = np.diff(flat_bytes(column)[1])
             least = bounds[np.minimum(np.log2(np.maximum(sizes, 1)).astype(np.int64), len(bounds) - 1)]
-            sure = text_sureness(net, texts) >= least if net.langs else np.ones(len(texts), bool)
-            yield batch.filter(pa.array(lettered & sure))
+            out.append(lettered & (text_sureness(net, column) >= least) if net.langs else lettered)
+        return pa.array(np.concatenate(out))
 
-    return df.mapInArrow(known, df.schema)
+    return keep_where(df, text_col, known)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from framescope.llm.common import map_batches, slices
+
 #: Notice phrases and their labels (fixed values).
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -211,9 +213,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.float64()]
-        for batch in batches:
+        for batch in slices(batches):
             found = [scan_text(x or "", phrases, permitted) for x in batch.column("text").to_pylist()]
             columns = zip(*found) if found else [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(columns, types))], [id_col, *names])
 
-    return rows.mapInArrow(scan, T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *SCAN_SCHEMA.fields]))
+    return map_batches(rows, scan, T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *SCAN_SCHEMA.fields]))

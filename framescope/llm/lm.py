@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import LOWER, flat_bytes, flat_words, hash_words, mix, slices, stage
+from framescope.llm.common import LOWER, flat_bytes, flat_words, hash_words, map_batches, mix, slices, stage
 
 REST, TUNE, OTHER = 0, 1, 2  # parts: trained on, trained on and tuned with, only scored
 BLOCK_TOKENS = 1_000_000
@@ -117,7 +117,7 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
             if held[part][0]:
                 yield close(part)
 
-    return docs.mapInArrow(run, f"block long, part int, ids array<{id_type}>, sizes binary, words binary, tokens binary, n_keys long")
+    return map_batches(docs, run, f"block long, part int, ids array<{id_type}>, sizes binary, words binary, tokens binary, n_keys long")
 
 
 def _block_of(words: bytes, tokens: bytes, sizes: bytes) -> Block:
@@ -145,7 +145,7 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
                 types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "block", "part", "uni", "uni_n", "bi", "bi_n"])
 
-    return blocks.select("block", "part", "words", "tokens", "sizes").mapInArrow(run, "bucket int, block long, part int, uni binary, uni_n binary, bi binary, bi_n binary")
+    return map_batches(blocks.select("block", "part", "words", "tokens", "sizes"), run, "bucket int, block long, part int, uni binary, uni_n binary, bi binary, bi_n binary")
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray], parts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:

@@ -16,17 +16,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import LOWER, flat_bytes, flat_words, hash_words, join_small, mix, runs, slices, stage
+from framescope.llm.common import LOWER, flat_bytes, flat_words, free_name, hash_words, join_small, map_batches, mix, runs, slices, stage
 from framescope.llm.components import connected_components
 
 WORDS = 5  # to a shingle
 BUCKETS, MANTISSA = 128, 10  # registers of a sketch, and bits of each beside the count of leading zeros
-BANDS, ROWS = 25, 5  # bands of registers; at similarity 0.85 all bands differ once in two million times
-#: Smaller sets have no near copy but equal ones: 5 of 6 is below 0.85.
-LEAST_SET = 6
+#: How often all bands of a pair just at the threshold may differ.
+MISS = 5e-7
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, registers of each) for a threshold: the longest bands with which a pair just at it is missed at most with probability MISS."""
+    for rows in range(16, 0, -1):
+        bands = BUCKETS // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+    raise ValueError("percent is too small for the sketch: pairs would be missed")
+
+
+def least_set(percent: int) -> int:
+    """Smaller sets have no near copy but equal ones: of m shingles and one more, m of m + 1 are shared at best."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles of lower-cased (A-Z) words; a text with fewer words has one, of them all."""
     data, offsets = flat_bytes(texts)
@@ -91,11 +104,11 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_hashes(registers: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) 64-bit hashes of the bands' registers and number."""
-    parts = registers[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    sums = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
-    for k in range(ROWS):
+def band_hashes(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(rows, bands) 64-bit hashes of the bands' registers and number."""
+    parts = registers[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+    sums = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(rows):
         sums = mix(sums * _STEP + parts[:, :, k])
     return sums.view(np.int64)
 
@@ -113,19 +126,19 @@ def estimate_floor(least_size: np.ndarray, percent: int) -> np.ndarray:
     return j - 5 * np.sqrt(j * (1 - j) / np.clip(least_size / 2, 1, BUCKETS))
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, sketch) per row: size of the set, its 128-bit key (null if empty), its registers (null below LEAST_SET)."""
+def document_sets(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(id, n, node, sketch) per row: size of the set, its 128-bit key (null if empty), its registers (null for sets of fewer than `least`)."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"))
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) if s.size else None for s in sets]
-            drawn = sketches([s if s.size >= LEAST_SET else s[:0] for s in sets])
-            keys = [r.tobytes() if s.size >= LEAST_SET else None for r, s in zip(drawn, sets)]
+            drawn = sketches([s if s.size >= least else s[:0] for s in sets])
+            keys = [r.tobytes() if s.size >= least else None for r, s in zip(drawn, sets)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.size for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.binary())], ["id", "n", "node", "sketch"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, node binary, sketch binary")
+    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n long, node binary, sketch binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -133,17 +146,17 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), BUCKETS)
 
 
-def _band_rows(classes: DataFrame) -> DataFrame:
+def _band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, node, n) for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_hashes(_registers(batch.column("sketch")))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+                keys = band_hashes(_registers(batch.column("sketch")), bands, rows)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), bands))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("node").take(at), batch.column("n").take(at)], ["bucket", "node", "n"])
 
-    return classes.select("node", "n", "sketch").mapInArrow(run, "bucket long, node binary, n long")
+    return map_batches(classes.select("node", "n", "sketch"), run, "bucket long, node binary, n long")
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +173,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     sized = pairs.join(sides[0], "a").join(sides[1], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.mapInArrow(run, "a binary, b binary")
+    return map_batches(sized, run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -169,10 +182,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in slices(batches, "t_a"):
-            left, right = shingle_sets(batch.column("t_a")), shingle_sets(batch.column("t_b"))
-            yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(left, right)], pa.bool_()))
+            sets = []
+            for name in ("t_a", "t_b"):  # a pivot is in many pairs: its text is read once
+                coded = batch.column(name).dictionary_encode()
+                distinct = shingle_sets(coded.dictionary)
+                sets.append([distinct[k] for k in coded.indices.to_pylist()])
+            yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(*sets)], pa.bool_()))
 
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a binary, b binary")
+    return map_batches(pairs.join(sides[0], "a").join(sides[1], "b"), run, "a binary, b binary")
 
 
 def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -182,18 +199,20 @@ def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    apart = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    """Members of buckets that hold more than one component. What is told of buckets is a table of its own here and below: Spark can only split the
+    members of a hot bucket where the other side of the join comes straight from a shuffle."""
+    members = stage(members, "members")
+    apart = stage(members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"), "mixed-buckets")
     return members.join(apart, "bucket")
 
 
 def _pivot_pairs(members: DataFrame, seed: int) -> DataFrame:
     """Each member with its bucket's pivot, the node first in a hash order, unless they share a component."""
-    first = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp")).alias("p"))
+    first = stage(members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp")).alias("p")), "pivots")
     return members.join(first, "bucket").where("comp <> p.comp").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def _block_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+def _block_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int, shape: tuple[int, int]) -> DataFrame:
     """(a, b): links, confirmed on full sets, that join members of a bucket which are in different components.
 
     A bucket's members outside its largest component meet all members in blocks of about `block` by 4 * block rows; none is left out. A pair is
@@ -201,7 +220,9 @@ def _block_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent
     components; so a block yields fewer links than it has components, however alike its members are.
     """
     sizes = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("big")).where("all > 2")  # a pair has been confirmed or refused already
+    sizes = stage(sizes, "bucket-sizes")
     rows = mixed.join(sizes, "bucket").join(classes.select("node", "sketch"), "node").join(texts, "node")
+    bands, width = shape
     n_out = F.ceil((F.col("all") - F.col("big.k")) / block).cast("int")
     n_in = F.ceil(F.col("all") / (4 * block)).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
@@ -221,8 +242,8 @@ def _block_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent
             good = np.flatnonzero((100 * low >= percent * high) & (likeness >= estimate_floor(low, percent)))
             if not good.size:
                 continue
-            first = same[good][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            own = int(np.flatnonzero(band_hashes(registers[k : k + 1])[0] == bucket)[0])
+            first = same[good][:, : bands * width].reshape(-1, bands, width).all(axis=2).argmax(axis=1)
+            own = int(np.flatnonzero(band_hashes(registers[k : k + 1], bands, width)[0] == bucket)[0])
             for g in good[first == own].tolist():
                 m = int(rows[g])
                 if sides[m] == 0 or nodes[k] < nodes[m]:
@@ -256,52 +277,58 @@ def _block_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
 
     blocks = outs.unionByName(ins).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return blocks.mapInArrow(run, "a binary, b binary")
+    return map_batches(blocks, run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, block: int = 128) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (least id reachable by links, its own included), kept (whether that is its own id).
 
-    Two documents are linked if 100 * intersection >= percent * union of their shingle sets. A text without words (or null) has an empty set and is
-    linked with nothing. Rows with a null id keep a null component and are kept; repeated rows are in one component. Ties need no rule: the
-    threshold is met or not. An empty table gives no rows. Only the two columns are read.
+    Two documents are linked if 100 * intersection >= percent * union of their shingle sets; percent is 11 to 100. A text without words (or null) has an
+    empty set and is linked with nothing; long texts are read whole. Rows with a null id link others, keep a null component and are kept; repeated rows
+    are in one component. Ties need no rule: the threshold is met or not. An empty table gives no rows. Only the two columns are read, whatever others
+    are called.
     """
-    sets = stage(document_sets(docs, id_col, text_col), "sets")
-    classes = stage(sets.where(f"n >= {LEAST_SET}").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("id")), "classes")
-    bands = _band_rows(classes)
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    members = stage(bands.join(shared, "bucket").withColumn("comp", F.col("node")), "members")
+    bands, width = banding(percent)
+    least = least_set(percent)
+    sets = stage(document_sets(docs, id_col, text_col, least), "sets")
+    classes = stage(sets.where(f"n >= {least}").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("id")), "classes")
+    rows = stage(_band_rows(classes, bands, width), "bands")
+    shared = stage(rows.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"), "shared-buckets")
+    members = stage(rows.join(shared, "bucket").withColumn("comp", F.col("node")), "members")
 
     pairs = stage(_promising(_pivot_pairs(members, 0), classes, percent), "pivot-pairs")
-    mixed = members.select("node").distinct()
-    wanted = classes.join(mixed, "node").where("id is not null").select(F.col("id").alias("_id")).distinct()
-    texts = stage(_texts_of(docs, wanted, id_col, text_col), "texts")
+    texts = stage(_texts_of(docs, classes.join(members.select("node").distinct(), "node").select("id", "node"), id_col, text_col), "texts")
     links = stage(_confirmed(pairs, texts, percent), "links")
     members = stage(_mixed(_with_components(members.select("bucket", "node", "n"), links)), "members")
     again = _promising(_pivot_pairs(members, 1).join(pairs, ["a", "b"], "left_anti"), classes, percent)
     more = stage(again, "pivot-pairs")
     links = stage(links.unionByName(_confirmed(more, texts, percent)), "links")
     members = stage(_mixed(_with_components(members.select("bucket", "node", "n"), links)), "members")
-    links = stage(links.unionByName(_block_links(members, classes, texts, percent, block)), "links")
+    links = stage(links.unionByName(_block_links(members, classes, texts, percent, block, (bands, width))), "links")
     return _resolved(sets, links, id_col)
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of one document for each class whose least id is wanted."""
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text")).join(wanted, "_id").where("text is not null")
+    """(node, text) of one document for each class of wanted (id: its least; node), found by the id, or by the set where all its ids are null."""
+    wanted = stage(wanted, "wanted")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
+    found = join_small(rows, wanted.where("id is not null").select("id").distinct(), ["id"], "left_semi")
+    nameless = wanted.where("id is null").select("node")
+    if not nameless.isEmpty():
+        found = found.unionByName(rows.where("id is null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in slices(batches):
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) if s.size else None for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column("text")], ["node", "text"])
 
-    return rows.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
+    return map_batches(found, run, "node binary, text string").where("node is not null").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _resolved(sets: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     nodes = sets.groupBy("node").agg(F.min("id").alias("id")).where("node is not null")
     comp = stage(_with_components(nodes, links), "node-components")
-    lowest = comp.groupBy("comp").agg(F.min("id").alias("component_id"))
+    lowest = stage(comp.groupBy("comp").agg(F.min("id").alias("component_id")), "component-ids")
     found = stage(comp.join(lowest, "comp").select("node", "component_id"), "node-lowest")
     joined = sets.select("id", "n", "node").join(found, "node", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
@@ -309,15 +336,16 @@ def _resolved(sets: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of docs, with all their columns, less all but one document of each component. Of rows that repeat id and text one stays, too."""
-    judged = stage(near_duplicates(docs, id_col, text_col, percent), "near-duplicates").select(F.col(id_col).alias("_id"), "kept")
-    ids = judged.groupBy("_id").agg(F.count("*").alias("k"), F.bool_and("kept").alias("kept"))
-    marked = stage(ids.where("_id is not null and (k > 1 or not kept)"), "marked-ids")
-    key = docs[id_col].alias("_id")
-    gone = marked.where("not kept").select("_id")
-    left = join_small(docs.select("*", key), gone, ["_id"], "left_anti", 1_000_000)
-    again = stage(marked.where("kept").select("_id"), "repeated-ids")
+    """The rows of docs, with all their columns, less all but one document of each component. Of rows that repeat id and text one stays, too.
+
+    Rows with a null id stay; an empty table stays empty; any other columns pass through, whatever they are called."""
+    key = free_name("_id", docs)
+    judged = stage(near_duplicates(docs, id_col, text_col, percent), "near-duplicates").select(F.col(id_col).alias(key), "kept")
+    ids = judged.groupBy(key).agg(F.count("*").alias("k"), F.bool_and("kept").alias("kept"))
+    marked = stage(ids.where(F.col(key).isNotNull() & ((F.col("k") > 1) | ~F.col("kept"))), "marked-ids")
+    left = join_small(docs.withColumn(key, docs[id_col]), marked.where("not kept").select(key), [key], "left_anti")
+    again = marked.where("kept").select(key)
     if not again.isEmpty():
-        once = join_small(left, again, ["_id"], "left_semi").dropDuplicates(["_id", text_col])
-        left = join_small(left, again, ["_id"], "left_anti").unionByName(once)
+        once = join_small(left, again, [key], "left_semi").dropDuplicates([key, text_col])
+        left = join_small(left, again, [key], "left_anti").unionByName(once)
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from framescope.llm import word_tokens
-from framescope.llm.common import slices
+from framescope.llm.common import map_batches, slices
 
 
 def fill_window(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -158,4 +158,4 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity
                 yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)

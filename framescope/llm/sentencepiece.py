@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framescope.llm.common import slices
+from framescope.llm.common import map_batches, slices
 from framescope.llm.merges import MergeTable, SegmentStore, ranges
 
 MARK = "▁"  # stands for a blank inside pieces
@@ -171,7 +171,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), ids], [id_col, "ids"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return map_batches(rows, run, T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -191,4 +191,4 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
                     texts = [None if null else t for t, null in zip(texts, lists.is_null().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, text_col])
 
-    return df.select(*kept).mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, T.StructField(text_col, T.StringType())]))
+    return map_batches(df.select(*kept), run, T.StructType([*df.select(*kept).schema.fields, T.StructField(text_col, T.StringType())]))
