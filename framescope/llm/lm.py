@@ -124,10 +124,10 @@ def _block_of(words: bytes, tokens: bytes, sizes: bytes) -> Block:
     return Block(unpack_sorted(words), unpack(tokens).astype(np.int64), unpack(sizes).astype(np.int64))
 
 
-def _cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket (an equal range of the keys' top 20 bits) begins in sorted keys, and the end."""
-    of = (keys >> np.uint64(bits - 20)) * np.uint64(buckets) >> np.uint64(20)
-    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+def _bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """The bucket of each key: an equal range of its top 20 bits, or of its top 32 where there are more buckets than that could tell apart."""
+    top = 20 if buckets <= 1 << 16 else 32
+    return ((keys >> np.uint64(bits - top)) * np.uint64(buckets) >> np.uint64(top)).astype(np.int64)
 
 
 def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -140,8 +140,10 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
                 block = _block_of(*packed)
                 _, _, keys, of = block.pairs()
                 uni_n, bi_n = np.bincount(block.tokens, minlength=block.words.size), np.bincount(of, minlength=keys.size)
-                cu, cb = _cuts(block.words, 64, buckets).tolist(), _cuts(keys, 48, buckets).tolist()
-                rows = [(i, number, part, pack_sorted(block.words[a:b]), pack(uni_n[a:b]), pack_sorted(keys[c:d]), pack(bi_n[c:d])) for i, (a, b, c, d) in enumerate(zip(cu, cu[1:], cb, cb[1:])) if b > a or d > c]
+                wb, kb = _bucket_of(block.words, 64, buckets), _bucket_of(keys, 48, buckets)
+                filled = np.union1d(wb, kb)  # only buckets that the block has keys of, so a block's work doesn't grow with the corpus
+                spans = [np.searchsorted(of_, filled, side).tolist() for of_ in (wb, kb) for side in ("left", "right")]
+                rows = [(i, number, part, pack_sorted(block.words[a:b]), pack(uni_n[a:b]), pack_sorted(keys[c:d]), pack(bi_n[c:d])) for i, a, b, c, d in zip(filled.tolist(), *spans)]
                 types = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "block", "part", "uni", "uni_n", "bi", "bi_n"])
 
@@ -198,7 +200,8 @@ def fit_weights(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, n
     return weights
 
 
-_STEPS = 20  # cells of a held-out estimate per power of ten
+#: Cells of a held-out estimate per power of ten. Estimates lie above 1e-15, so there are at most FREQUENCY_BUCKETS * 91 ** 2 cells, of six numbers each.
+_STEPS = 6
 
 
 def _held_out(blocks: DataFrame, answers: DataFrame, tokens: int) -> DataFrame:

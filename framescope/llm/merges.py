@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
-from functools import cached_property
-
 import numpy as np
 
-#: Longer segments go through a heap one by one: with one merge a round they would cost the square of their length.
-ROUNDS_UP_TO = 192
 _NONE = np.int64(1) << 40
 
 
@@ -35,6 +30,19 @@ class MergeTable:
             while self._slots[slot] >= 0:
                 slot = (slot + 1) & ((1 << self._bits) - 1)
             self._slots[slot] = k
+        # where some pair with the joined symbol ranks before the pair that makes it, one merge can call for another at once, and so on: as far as the
+        # longest symbol reaches. Such places are joined together only where they are farther apart than two of these can stretch
+        left, right = np.divmod(self.keys, width)
+        first = np.full(int(max(left.max(initial=0), right.max(initial=0), self.ids.max(initial=0))) + 1, _NONE)
+        np.minimum.at(first, left, self.ranks)
+        np.minimum.at(first, right, self.ranks)
+        self.single = np.zeros(int(self.ranks.max(initial=0)) + 1, bool)
+        self.single[self.ranks[first[self.ids] < self.ranks]] = True
+        length, before = np.ones(first.size, np.int64), None
+        while before is None or (length != before).any():
+            before = length.copy()
+            np.maximum.at(length, self.ids, before[left] + before[right])
+        self.apart = 2 * int(length.max())
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
@@ -56,86 +64,53 @@ class MergeTable:
     def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges segments (their symbols end to end, and their sizes) until no pair joins: symbols end to end, and the new sizes.
 
-        Each round gives every segment its one best pair, the leftmost among equals; segments with none are done and leave.
+        Each round takes every segment's least rank and joins all its places there at once, the leftmost of those that overlap first; where the joined
+        symbol may merge on before the others (see `single`), only places with none close to their left. Segments with none are done and leave.
         """
         sizes = sizes.astype(np.int64)
-        segment, total = np.arange(sizes.size), sizes.size
+        segment, total = np.flatnonzero(sizes > 0), sizes.size
+        sizes = sizes[segment]
         done: list[np.ndarray] = []
         owner: list[np.ndarray] = []
-        long = np.flatnonzero(sizes > ROUNDS_UP_TO)
-        if long.size:
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            for k in long.tolist():
-                done.append(np.array(self._agenda(symbols[bounds[k] : bounds[k + 1]].tolist()), np.int64))
-                owner.append(np.full(done[-1].size, k))
-            short = sizes <= ROUNDS_UP_TO
-            symbols, segment, sizes = symbols[np.repeat(short, sizes)], segment[short], sizes[short]
-        segment, sizes = segment[sizes > 0], sizes[sizes > 0]
         if symbols.size:
             rank, joined = self.find(symbols[:-1], symbols[1:])
             rank, joined = np.append(rank, _NONE), np.append(joined, 0)
             rank[np.cumsum(sizes) - 1] = _NONE
         while symbols.size:
-            n = symbols.size
-            best = np.minimum.reduceat(rank * n + np.arange(n), np.cumsum(sizes) - sizes)
-            live = best < _NONE * n
+            least = np.minimum.reduceat(rank, np.cumsum(sizes) - sizes)
+            live = least < _NONE
             if not live.all():
                 over = np.repeat(~live, sizes)
                 done.append(symbols[over])
                 owner.append(np.repeat(segment[~live], sizes[~live]))
-                moved = np.cumsum(~over) - 1
-                best = moved[best[live] % n]
                 symbols, rank, joined = symbols[~over], rank[~over], joined[~over]
-                segment, sizes = segment[live], sizes[live]
+                segment, sizes, least = segment[live], sizes[live], least[live]
                 if not symbols.size:
                     break
-            else:
-                best = best % n
-            symbols[best] = joined[best]
+            at = np.flatnonzero(rank == np.repeat(least, sizes))
+            gap = np.diff(at, prepend=-self.apart)
+            place = np.arange(at.size)  # of neighbouring places every second one, from the first
+            head = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
+            free = (place - head) % 2 == 0
+            of = np.searchsorted(np.cumsum(sizes), at, side="right")
+            free &= ~self.single[least][of] | (gap >= self.apart) | (np.diff(of, prepend=-1) != 0)
+            at, of = at[free], of[free]
+            symbols[at] = joined[at]
             keep = np.ones(symbols.size, bool)
-            keep[best + 1] = False
-            symbols, sizes = symbols[keep], sizes - 1
-            rank, joined = rank[keep], joined[keep]
-            at = best - np.arange(best.size)  # every segment before it has lost one symbol, too
-            last = np.cumsum(sizes) - 1
+            keep[at + 1] = False
+            symbols, rank, joined = symbols[keep], rank[keep], joined[keep]
+            sizes = sizes - np.bincount(of, minlength=sizes.size)
+            at = at - np.arange(at.size)  # each place before it has lost one symbol
+            ends = np.cumsum(sizes)
             rank[at] = _NONE
-            inner = at[at < last]
-            rank[inner], joined[inner] = self.find(symbols[inner], symbols[inner + 1])
-            before = at[at > last - sizes + 1] - 1
-            rank[before], joined[before] = self.find(symbols[before], symbols[before + 1])
+            stale = np.concatenate([at[at < ends[of] - 1], at[at > (ends - sizes)[of]] - 1])
+            rank[stale], joined[stale] = self.find(symbols[stale], symbols[stale + 1])
         if not done:
             return np.zeros(0, np.int64), np.zeros(total, np.int64)
         ids, of = np.concatenate(done), np.concatenate(owner)
         by = np.argsort(of, kind="stable")
         return ids[by], np.bincount(of, minlength=total)
 
-    @cached_property
-    def _table(self) -> dict[int, int]:
-        return {k: i for i, k in enumerate(self.keys.tolist())}
-
-    def _agenda(self, symbols: list[int]) -> list[int]:
-        """One long segment: a heap of pairs by (rank, place), which count as long as both sides still stand."""
-        n = len(symbols)
-        right, left, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        ranks, ids, width, table = self.ranks, self.ids, self.width, self._table
-        heap = []
-        for i, (a, b) in enumerate(zip(symbols, symbols[1:])):
-            if (f := table.get(a * width + b)) is not None:
-                heap.append((int(ranks[f]), i, a, b, int(ids[f])))
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = right[i]
-            if not alive[i] or symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], alive[j], right[i] = merged, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (f := table.get(symbols[x] * width + symbols[y])) is not None:
-                    heapq.heappush(heap, (int(ranks[f]), x, symbols[x], symbols[y], int(ids[f])))
-        return [s for s, on in zip(symbols, alive) if on]
-
 
 class SegmentStore:
     """Ids of segments encoded before: a row of a flat array for each key. Starts anew beyond `most` segments."""
@@ -146,15 +121,24 @@ class SegmentStore:
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.at = np.zeros(1, np.int64)
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.at = np.zeros(1 << 14, np.int64)
 
     def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys))))
-        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        n = len(self.rows)
+        self.rows.update(zip(keys, range(n, n + len(keys))))
+        ends = self.at[n] + np.cumsum(sizes)
+        self.flat = _room(self.flat, int(ends[-1]) if ends.size else 0)
+        self.at = _room(self.at, n + len(keys) + 1)
+        self.flat[self.at[n] : self.at[n] + len(ids)] = ids
+        self.at[n + 1 : n + 1 + len(keys)] = ends
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows end to end, and the rows' sizes."""
         sizes = self.at[rows + 1] - self.at[rows]
         return self.flat[ranges(self.at[rows], sizes)], sizes
+
+
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    """x, or a copy of twice the size (or more) that has room for `size` values."""
+    return x if size <= x.size else np.concatenate([x, np.zeros(max(x.size, size - x.size), x.dtype)])

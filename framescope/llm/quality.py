@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope.llm.common import join_small, stage
@@ -76,15 +76,9 @@ def features(stats: DataFrame) -> DataFrame:
     )
 
 
-def group_keys(stats: DataFrame, group_cols: Sequence[str], least_rows: int) -> DataFrame:
-    """Adds `_g`, the group whose estimate a row uses: its own (all group_cols) if that has least_rows rows, else the pool of the small groups with
-    the same first column, else the pool of all that is left. Nulls are a value of their own. The last pool may be small."""
-    names = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in group_cols]
-    keyed = stats.withColumn("_full", F.concat_ws("\x1f", *names)).withColumn("_first", names[0])
-    own = keyed.groupBy("_full", "_first").agg(F.count("*").alias("_n"))
-    small = F.sum(F.when(F.col("_n") < least_rows, F.col("_n")).otherwise(0)).over(Window.partitionBy("_first"))
-    chosen = own.select("_full", F.when(F.col("_n") >= least_rows, F.col("_full")).when(small >= least_rows, F.concat(F.lit("first\x1f"), F.col("_first"))).otherwise(F.lit("rest")).alias("_g"))
-    return join_small(keyed.drop("_first"), stage(chosen, "quality-groups"), ["_full"]).drop("_full")
+def group_key(group_cols: Sequence[str]) -> Column:
+    """One text that names a row's group; nulls are a value of their own."""
+    return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null")) for c in group_cols))
 
 
 def _with_cholesky(scatter: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -112,36 +106,51 @@ def _distances(rows: DataFrame, estimates: DataFrame, names: Sequence[str]) -> D
     return out.select(*rows.columns, sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(d)), F.lit(0.0)).alias("_d"))
 
 
-def _estimate(rows: DataFrame, names: Sequence[str], floors: Sequence[float], scale: float) -> DataFrame:
-    """Per group: mean m_i and covariance (times scale, floors added to the diagonal) of the rows, as a Cholesky factor, in the shared folder."""
+def _estimate(rows: DataFrame, names: Sequence[str], floors: Sequence[float], scale: float, prior: dict[str, float] | None, strength: float) -> DataFrame:
+    """Per group: mean m_i and covariance (times scale, floors added to the diagonal) of the rows, as a Cholesky factor, in the shared folder.
+
+    With a prior both are drawn towards it, as if `strength` of its rows stood beside the group's n."""
+    d = range(len(names))
     wanted = [F.count("*").alias("n")] + [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)] + [F.covar_pop(x, y).alias(f"v_{i}_{j}") for i, x in enumerate(names) for j, y in enumerate(names[: i + 1])]
     found = rows.groupBy("_g").agg(*wanted)
-    scatter = found.select("_g", "n", *(f"m_{i}" for i in range(len(names))), *((F.col(f"v_{i}_{j}") * scale + (floors[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i + 1)))
+    drawn = lambda own, key: own if prior is None else (F.col("n") * own + strength * prior[key]) / (F.col("n") + strength)
+    scatter = found.select("_g", "n", *(drawn(F.col(f"m_{i}"), f"m_{i}").alias(f"m_{i}") for i in d), *(drawn(F.col(f"v_{i}_{j}") * scale + (floors[i] ** 2 if i == j else 0.0), f"c_{i}_{j}").alias(f"c_{i}_{j}") for i in d for j in range(i + 1)))
     factored = _with_cholesky(scatter, names)
-    return stage(factored.select("_g", "n", "log_det", *(f"m_{i}" for i in range(len(names))), *(f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1))), "quality-mcd")
+    return stage(factored.select("_g", "n", "log_det", *(f"m_{i}" for i in d), *(f"l_{i}_{j}" for i in d for j in range(i + 1))), "quality-mcd")
 
 
-def mcd_estimates(rows: DataFrame, names: Sequence[str], floors: Sequence[float], support: float = 0.75, steps: int = 4) -> DataFrame:
+def mcd_estimates(rows: DataFrame, names: Sequence[str], floors: Sequence[float], support: float = 0.75, steps: int = 4, prior: dict[str, float] | None = None, strength: float = 0.0) -> DataFrame:
     """Minimum-covariance-determinant estimates for each group `_g`: centre, Cholesky factor, log determinant.
 
     A deterministic start (median, and the scaled median absolute deviation, of each statistic) is followed by concentration steps: the share
-    `support` of a group's rows with the least distances gives the next mean and covariance, whose determinant never grows but for the floors. The
-    covariance of the support is blown up to be consistent at the normal distribution. Quantiles come from mergeable sketches, sums from partial
-    aggregates, so a group may hold any share of the rows.
+    `support` of a group's rows with the least distances gives the next mean and covariance, whose determinant never grows but for the floors and the
+    prior. The covariance of the support is blown up to be consistent at the normal distribution. Quantiles come from mergeable sketches, sums from
+    partial aggregates, so a group may hold any share of the rows. prior: see pooled; a group of any size, one row as well, has an estimate with it.
     """
-    mid = rows.groupBy("_g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(names)))
-    spread = join_small(rows, stage(mid, "quality-median"), ["_g"]).groupBy("_g").agg(F.count("*").alias("n"), *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(names))), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(names)))
-    zero = {f"l_{i}_{j}": F.lit(0.0) for i in range(len(names)) for j in range(i)}
-    start = spread.withColumns(zero | {f"l_{i}_{i}": F.sqrt(F.pow(F.col(f"s_{i}") * 1.4826, F.lit(2.0)) + floors[i] ** 2) for i in range(len(names))})
-    found = stage(start, "quality-start")
+    d = range(len(names))
+    drawn = lambda own, key: own if prior is None else (F.col("n") * own + strength * prior[key]) / (F.col("n") + strength)
+    mid = rows.groupBy("_g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(names)))
+    spread = join_small(rows, stage(mid, "quality-median"), ["_g"]).groupBy("_g").agg(F.first("n").alias("n"), *(F.first(f"m_{i}").alias(f"m_{i}") for i in d), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(names)))
+    start = {f"l_{i}_{j}": F.lit(0.0) for i in d for j in range(i)} | {f"l_{i}_{i}": F.sqrt(drawn(F.pow(F.col(f"s_{i}") * 1.4826, F.lit(2.0)) + floors[i] ** 2, f"c_{i}_{i}")) for i in d}
+    found = stage(spread.withColumns(start | {f"m_{i}": drawn(F.col(f"m_{i}"), f"m_{i}") for i in d}), "quality-start")
     scale = consistency(support, len(names))
     for _ in range(steps):
         near = _distances(rows, found, names)
         cut = stage(near.groupBy("_g").agg(F.percentile_approx("_d", support, 1000).alias("_cut")), "quality-cut")
-        found = _estimate(join_small(near, cut, ["_g"]).where("_d <= _cut"), names, floors, scale)
+        found = _estimate(join_small(near, cut, ["_g"]).where("_d <= _cut"), names, floors, scale, prior, strength)
     return found
 
 
+def pooled(rows: DataFrame, names: Sequence[str], floors: Sequence[float], support: float, steps: int) -> dict[str, float] | None:
+    """Centre m_i and covariance c_i_j of all rows as one group, by the same method; None without rows."""
+    one = mcd_estimates(rows.withColumn("_g", F.lit("all")), names, floors, support, steps).first()
+    if one is None:
+        return None
+    low = lambda i, k: one[f"l_{i}_{k}"] if k <= i else 0.0
+    d = range(len(names))
+    return {f"m_{i}": one[f"m_{i}"] for i in d} | {f"c_{i}_{j}": sum(low(i, k) * low(j, k) for k in d) for i in d for j in range(i + 1)}
+
+
 def consistency(support: float, dimensions: int, points: int = 4000) -> float:
     """support / P(chi2 of dimensions + 2 <= the chi2 of dimensions' quantile at support): the factor that undoes the trimming at the normal distribution."""
     q = chi2_quantile(support, dimensions, points)
@@ -174,22 +183,24 @@ def chi2_quantile(p: float, k: int, points: int = 200) -> float:
     return high
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: Sequence[str] = ("lang", "source"), least_rows: int = 200, support: float = 0.75, steps: int = 4, tail: float = 1e-12, floors: dict[str, float] = FEATURES) -> DataFrame:
-    """One row per row of df: id, the statistics of text_statistics, base_failed, distance (squared Mahalanobis distance, null where no estimate is
-    made), kept.
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: Sequence[str] = ("lang", "source"), strength: float = 50.0, support: float = 0.75, steps: int = 4, tail: float = 1e-12, floors: dict[str, float] = FEATURES) -> DataFrame:
+    """One row per row of df: id, the statistics of text_statistics, base_failed, distance (squared Mahalanobis distance, null if base_failed), kept.
 
-    Estimates use the rows that pass the base rules, per group of group_cols; small groups are pooled (see group_keys) and a pool of fewer than
-    least_rows rows has no estimate: its rows are kept unless base_failed. A row is rejected if its distance exceeds the chi-squared quantile at
-    1 - tail. Null texts fail the base rules; repeated rows count each; an empty table gives no rows. Only the named columns are read.
+    Estimates use the rows that pass the base rules, per group of group_cols, and every such row is judged: the estimate of a group is drawn towards
+    that of all rows as if `strength` rows of theirs stood beside its own, which matters for small groups only. A row is rejected if its distance
+    exceeds the chi-squared quantile at 1 - tail; one just at it stays. Null and empty texts fail the base rules; long texts are read whole; repeated
+    rows count each; an empty table gives no rows. Only the named columns are read, whatever others are called.
     """
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_txt"), *(F.col(c).cast("string").alias(f"_c{k}") for k, c in enumerate(group_cols)))
+    rows = df.select(df[id_col].alias("_id"), df[text_col].alias("_txt"), *(df[c].cast("string").alias(f"_c{k}") for k, c in enumerate(group_cols)))
     keys = [f"_c{k}" for k in range(len(group_cols))]
-    stats = stage(features(text_statistics(rows, "_txt", ["_id", *keys])).withColumn("base_failed", base_failed()), "quality-stats")
-    names = list(floors)
-    keyed = stage(group_keys(stats.where(~F.col("base_failed")), keys, least_rows).select("_id", "_g", *names, *[c for c in stats.columns if c not in names and c not in ("_id", *keys)]), "quality-keyed")
-    found = mcd_estimates(keyed, names, [floors[x] for x in names], support, steps).where(f"n >= {int(least_rows * support * 0.5)}")
+    stats = stage(features(text_statistics(rows, "_txt", ["_id", *keys])).withColumn("base_failed", base_failed()).withColumn("_g", group_key(keys)).drop(*keys), "quality-stats")
+    names, levels = list(floors), list(floors.values())
+    passed = stats.where(~F.col("base_failed"))
+    prior = pooled(passed.select(*names), names, levels, support, steps)
     plain = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_distinct", "base_failed"]
-    judged = _distances(keyed.select("_id", "_g", *plain, *names), found, names).select("_id", *plain, F.col("_d").alias("distance"))
-    failed = stats.where("base_failed").select("_id", *plain, F.lit(None).cast("double").alias("distance"))
+    out = stats.where("base_failed").select("_id", *plain, F.lit(None).cast("double").alias("distance"))
+    if prior is not None:
+        found = mcd_estimates(passed.select("_g", *names), names, levels, support, steps, prior, strength)
+        out = out.unionByName(_distances(passed.select("_id", "_g", *plain, *names), found, names).select("_id", *plain, F.col("_d").alias("distance")))
     limit = chi2_quantile(1 - tail, len(names))
-    return judged.unionByName(failed).select(F.col("_id").alias(id_col), *plain, "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), *plain, "distance", (~F.col("base_failed") & (F.col("distance") <= limit)).alias("kept"))

@@ -1,8 +1,8 @@
 """SentencePiece BPE encoding and decoding over flat numpy arrays.
 
 Encoding: texts are cut where no merge can reach across, equal segments of a batch are encoded once, and all segments are merged together in
-rounds: find every adjacent pair's rank, take each segment's best pair (leftmost among equals), merge these in all segments at once, compact.
-A segment gets one merge a round, just as the library's agenda would pick it, so the ids are the same.
+rounds: find every adjacent pair's rank, take each segment's least rank, merge its leftmost places that don't overlap in all segments at once,
+compact. The places are those that the library's agenda would pick one after the other, so the ids are the same.
 """
 
 from __future__ import annotations
@@ -175,7 +175,8 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """df with `text_col`, the text of its id rows (null ids: null; no ids: empty). No shuffle."""
+    """df with `text_col`, the text of its id rows (null ids: null; no ids: empty); a column of that name, in any case, is replaced. An id outside the
+    vocabulary is an error. Repeated rows are decoded one by one; an empty table stays empty. No shuffle."""
     kept = [c for c in df.columns if c.lower() != text_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framescope.llm.common import free_name, join_small, stage
+
 
 def shard_scores(key: Column, shards: Column) -> Column:
     """Array of (score, shard) structs, one for each (id, weight) struct of `shards`.
@@ -38,27 +40,38 @@ def assign_shards(df: DataFrame, key: str | Sequence[str], weights: Sequence[flo
     keys = [key] if isinstance(key, str) else list(key)
     if not weights or min([*weights, *([] if grown_weight is None else [grown_weight])]) <= 0:
         raise ValueError("weights must be positive, one for each shard")
-    text = F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
-    best = F.array_max(shard_scores(text, _shard_list(weights)))
+    text = F.concat_ws("\x1f", *(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys))
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {shard.lower(), grown.lower()}]
-    scored = df.select(*kept, best.alias("_best"), *([] if grown_weight is None else [shard_scores(text, _shard_list([grown_weight], len(weights)))[0].alias("_next")]))
-    out = [F.col(c) for c in scored.columns if c not in ("_best", "_next")] + [(-F.col("_best.shard")).alias(shard)]
+    best, more = (free_name(x, df) for x in ("_best", "_more"))
+    scored = df.select(*kept, F.array_max(shard_scores(text, _shard_list(weights))).alias(best), *([] if grown_weight is None else [shard_scores(text, _shard_list([grown_weight], len(weights)))[0].alias(more)]))
+    out = [*kept, (-F.col(f"`{best}`.shard")).alias(shard)]
     if grown_weight is not None:
-        out.append((-F.greatest("_best", "_next")["shard"]).alias(grown))
+        out.append((-F.greatest(best, more)["shard"]).alias(grown))
     return scored.select(*out)
 
 
-def number_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", parts: int = 64) -> DataFrame:
-    """Adds `slot`, gapless from 0 within each shard.
+#: Rows that one sorted part of a shard holds, about; and parts of a shard at least.
+PART_ROWS, LEAST_PARTS = 1_000_000, 64
+
+
+def number_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", part_rows: int = PART_ROWS, least_parts: int = LEAST_PARTS) -> DataFrame:
+    """Adds `slot`, gapless from 0 within each shard; a column of that name is replaced.
 
-    Each shard is dealt into hash parts that are sorted and numbered apart; a part starts where the rows of the parts before it end,
-    which shards * parts counts tell. So no task sorts a whole shard. Rows equal in all of `order` get slots in any order among themselves.
+    Each shard is dealt into parts by a digest of the order columns, about part_rows rows each; parts are sorted and numbered apart, and a part starts
+    where the rows of the parts before it end, which the counts tell. So no task sorts a whole shard. df is written once, as both the counts and the
+    numbers need it. Rows equal in all of `order` (nulls are empty texts) get slots in any order among themselves. An empty table stays empty; all
+    other columns pass through, whatever they are called.
     """
-    split = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    sizes = split.groupBy(shard, "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(shard, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(shard, "_part").orderBy(*order)
-    numbered = split.withColumn("_row", F.row_number().over(inside))
-    # at most shards * parts rows: a proven bound for the broadcast
-    return numbered.join(F.broadcast(sizes), [shard, "_part"]).withColumn(slot, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != slot.lower()]
+    part, row, rows, before = (free_name(x, df) for x in ("_part", "_row", "_rows", "_before"))
+    written = stage(df.select(*kept), "sharded")
+    largest = written.groupBy(F.col(f"`{shard}`").alias("s")).count().agg(F.max("count")).first()[0] or 0
+    parts = max(least_parts, -(-largest // part_rows))
+    digest = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in order)).cast("binary"))
+    split = written.withColumn(part, (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % parts).cast("int"))
+    sizes = split.groupBy(f"`{shard}`", part).agg(F.count("*").alias(rows))
+    earlier = Window.partitionBy(f"`{shard}`").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stage(sizes.select(f"`{shard}`", part, F.coalesce(F.sum(rows).over(earlier), F.lit(0)).alias(before)), "shard-parts")
+    inside = Window.partitionBy(f"`{shard}`", part).orderBy(*(F.col(f"`{c}`") for c in order))
+    numbered = join_small(split.withColumn(row, F.row_number().over(inside)), sizes, [shard, part])
+    return numbered.select(*kept, (F.col(before) + F.col(row) - 1).alias(slot))
