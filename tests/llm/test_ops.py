@@ -15,7 +15,7 @@ from framescope.llm import components, embeddings, language, licenses, lm, merge
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 LONG = "lorem ipsum dolor sit amet " * 4000
-SCHEMA = "doc_id long, text string, lang string, source string, score double, ids string, shard string, node string"
+SCHEMA = "doc_id long, text string, lang string, source string, score double, ids string, shard string, node string, _id string, _part int, _best int, kept string"
 #: Null and empty texts, blanks, one word, a very long text, repeated rows, a null id; and columns named like the operators' own.
 EDGE = [
     (1, None, None, None), (2, "", "en", "a"), (3, " \n\t ", "en", "a"), (4, "word", "en", None), (5, LONG, "en", "a"), (6, "The same text, twice and more.", "en", "a"),
@@ -25,7 +25,7 @@ EDGE = [
 
 @pytest.fixture(scope="module")
 def edge(spark):
-    return spark.createDataFrame([(*r, 0.5, "i", "s", "n") for r in EDGE], SCHEMA)
+    return spark.createDataFrame([(*r, 0.5, "i", "s", "n", "own", 7, 8, "k") for r in EDGE], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,8 @@ OPERATORS = {
     "licenses": lambda spark, d: licenses.scan_licenses(d),
     "toxicity": lambda spark, d: toxicity.score_toxicity(d, toxicity.learn_lexicon(d, labels_of(spark))),
     "quality": lambda spark, d: quality.quality_rules(d),
+    "drop_toxic": lambda spark, d: toxicity.drop_toxic(d, toxicity.Lexicon({"word": 1.0}), least=2.0),
+    "vectors": lambda spark, d: embeddings.near_vectors(d.withColumn("embedding", F.array(F.lit(1.0), F.col("doc_id").cast("double"))).withColumnRenamed("node", "raw"), id_col="doc_id"),
 }
 
 
@@ -84,14 +86,33 @@ def test_pieces_equal_the_library(spark):
         assert out[k].ids == ids and out[k].decoded == lib.decode(ids), text
 
 
-def test_long_segments_merge_like_short_ones():
-    table = merges.MergeTable({(0, 1): (1, 2), (2, 0): (0, 3), (1, 0): (2, 4), (0, 0): (3, 5)})
+def by_agenda(pairs, symbols):
+    """One merge after the other: the least rank, the leftmost of equals."""
+    symbols = list(symbols)
+    while found := [(pairs[p][0], k) for k, p in enumerate(zip(symbols, symbols[1:])) if p in pairs]:
+        k = min(found)[1]
+        symbols[k : k + 2] = [pairs[symbols[k], symbols[k + 1]][1]]
+    return symbols
+
+
+def test_rounds_merge_like_one_by_one():
     rng = np.random.default_rng(0)
-    sizes = rng.integers(1, merges.ROUNDS_UP_TO, 40)
-    symbols = rng.integers(0, 2, sizes.sum())
-    ids, counts = table.merge(symbols, sizes)
-    expected = [table._agenda(s.tolist()) for s in np.split(symbols, np.cumsum(sizes)[:-1])]
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
+    # the second table's joined symbols merge on before other places do
+    for pairs in ({(0, 1): (1, 2), (2, 0): (2, 3), (1, 0): (3, 4), (0, 0): (4, 5)}, {(0, 1): (3, 2), (2, 0): (0, 3), (1, 0): (2, 4), (0, 0): (1, 5), (3, 1): (4, 6)}):
+        table = merges.MergeTable(pairs)
+        sizes = rng.integers(0, 150, 60)
+        symbols = rng.integers(0, 2, sizes.sum())
+        ids, counts = table.merge(symbols, sizes)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [by_agenda(pairs, x.tolist()) for x in np.split(symbols, np.cumsum(sizes)[:-1])]
+
+
+def test_long_segment_equals_the_library():
+    import sentencepiece as library
+
+    rng = random.Random(8)
+    lib, model = library.SentencePieceProcessor(model_file=PIECES), sentencepiece.load(PIECES)[0]
+    for text in ("".join(rng.choices("etaoinshrdlu", k=100_000)), "ab" * 50_000):
+        assert model.encode_batch([text], merges.SegmentStore(10))[0].tolist() == lib.encode(text)
 
 
 def test_word_ids_equal_the_library():
@@ -151,6 +172,7 @@ def test_lm_counts_and_gain(spark):
 
 
 def test_lm_weights_find_the_better_estimate():
+    assert lm._bucket_of(np.array([0, 1 << 47, (1 << 48) - 1], np.uint64), 48, 1000).tolist() == [0, 500, 999]
     w = lm.fit_weights(np.zeros(2, np.int64), np.array([0.5, 0.4]), np.array([0.01, 0.01]), 1e-3, np.array([5.0, 5.0]))
     assert w[0, 0] > 0.95 and np.allclose(w.sum(axis=1), 1)
 
@@ -204,7 +226,7 @@ def test_packed_pieces(spark):
 
 def test_shards(spark):
     df = spark.range(4000).withColumnRenamed("id", "doc_id")
-    out = sharding.number_slots(sharding.assign_shards(df, "doc_id", [1.0, 1.0, 2.0, 4.0], 1.0), "shard", ["doc_id"], parts=8).collect()
+    out = sharding.number_slots(sharding.assign_shards(df, "doc_id", [1.0, 1.0, 2.0, 4.0], 1.0), "shard", ["doc_id"], part_rows=300, least_parts=2).collect()
     sizes = Counter(r.shard for r in out)
     assert all(abs(sizes[s] / 4000 - w / 8) < 0.03 for s, w in enumerate((1, 1, 2, 4)))
     assert all(r.grown_shard in (r.shard, 4) for r in out) and abs(sum(r.grown_shard == 4 for r in out) / 4000 - 1 / 9) < 0.03
@@ -217,9 +239,10 @@ def test_shards(spark):
     assert {r.doc_id: r.shard for r in out if r.doc_id < 50} == by_hand
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_near_duplicates_equal_brute_force(spark, percent):
     rng = random.Random(9)
-    rows = texts(40, 8)
+    rows = texts(40, 8) + ["a b c d e f g h i", "a b c d e f g h"]  # 5 and 4 shingles
     for base in rows[:12]:  # chains of near copies, across the threshold both ways
         words = base.split()
         for _ in range(8):
@@ -242,15 +265,23 @@ def test_near_duplicates_equal_brute_force(spark):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
-    out = {r.doc_id: r for r in neardup.near_duplicates(frame(spark, rows), block=4).collect()}
+    out = {r.doc_id: r for r in neardup.near_duplicates(frame(spark, rows), percent=percent, block=4).collect()}
     assert {k: r.component_id for k, r in out.items()} == {k: find(k) for k in range(len(rows))}
     assert all(out[k].n_shingles == len(sets[k]) and out[k].kept == (find(k) == k) for k in out)
     assert len(set(find(k) for k in out)) < len(rows) - 10
 
 
+def test_near_duplicates_link_through_rows_without_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    chain = [" ".join(words), " ".join(words[:-4]), " ".join(words[:-8])]  # the ends are apart but for the middle
+    df = spark.createDataFrame([(1, chain[0]), (None, chain[1]), (2, chain[2])], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, percent=90).collect()} == {1: 1, 2: 1, None: None}
+    assert [neardup.least_set(p) for p in (50, 80, 85, 95)] == [1, 4, 6, 19] and neardup.banding(85) == (25, 5)
+
+
 def test_drop_near_duplicates_keeps_columns(spark, edge):
     left = neardup.drop_near_duplicates(edge)
     assert left.columns == edge.columns
@@ -264,6 +295,8 @@ def test_sketch_estimates():
     ra, rb = neardup.sketches([a, b])
     assert abs(neardup.estimate((ra == rb).sum()) - 2400 / 3600) < 0.15
     assert (neardup.sketches([a[::400]]) > 0).all()
+    with pytest.raises(ValueError):
+        neardup.banding(5)
 
 
 def test_components(spark):
@@ -301,6 +334,8 @@ def test_toxicity(spark):
         words = rng.choices(["alpha", "beta", "gamma", "delta", "rho", "tau"], k=rng.randint(5, 60))
         if k % 8 == 0:
             words.insert(rng.randrange(len(words)), rng.choice(["grubble", "Grubb1e", "grübble"]))
+        elif k % 40 == 1:
+            words += ["mild", "grubble"]
         rows.append(" ".join(words))
         marks.append((k, int(k % 8 == 0)))
     df, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
@@ -308,7 +343,12 @@ def test_toxicity(spark):
     assert "grubble" in lexicon.weights
     out = {r.doc_id: r.score for r in toxicity.score_toxicity(df, lexicon).collect()}
     assert all((out[k] >= 0.5) == bool(m) for k, m in marks)
-    assert lexicon.score(["alpha", "not", "grubble", "beta"])[1] == 0  # an exception phrase
+    assert "mild grubble" in lexicon.exceptions and lexicon.score(["alpha", "mild", "grubble", "beta"])[1] == 0
+    for k, text in enumerate(rows):  # by hand: words and stems, less those in an exception
+        words = toxicity.fold(text)
+        free = [w for i, w in enumerate(words) if not any(" ".join(words[max(0, i - m) : i - m + n]) in lexicon.exceptions for n in (2, 3) for m in range(n))]
+        total = sum(v for w in free for key, v in lexicon.weights.items() if (w.startswith(key[:-1]) if key.endswith(toxicity.STEM) else w == key))
+        assert math.isclose(out[k], 1 / (1 + math.exp(-(lexicon.bias + lexicon.slope * math.log1p(total / len(words) ** lexicon.power)))), rel_tol=1e-9)
     assert {r.doc_id for r in toxicity.drop_toxic(df, lexicon).collect()} == {k for k, m in marks if not m}
 
 
@@ -350,11 +390,12 @@ def test_quality_statistics(spark):
 
 def test_quality_outliers(spark):
     rng = random.Random(7)
-    rows = [(k, "".join(rng.choice("abcdefgh  ") for _ in range(400)) + "\n" + " ".join(rng.choices(["ab", "cd", "efg"], k=rng.randint(20, 40))), "en", "hot" if k % 3 else f"s{k % 4}") for k in range(900)]
+    rows = [(k, "".join(rng.choice("abcdefgh  ") for _ in range(400)) + "\n" + " ".join(rng.choices(["ab", "cd", "efg"], k=rng.randint(20, 40))), "en", "hot" if k % 3 else f"s{k % 4}") for k in range(900)] + [(2000, " ".join("$$$%%%" for _ in range(50)) + " a b c d e f g h i j k", "xx", "alone")]
     rows += [(1000 + k, " ".join(f"word{rng.random():.6f}$$$&&&%%%" for _ in range(120)), "en", "hot") for k in range(30)]
-    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), least_rows=100).collect()
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert sum(not r.kept and not r.base_failed for r in out if r.doc_id >= 1000) == 30
     assert sum(not r.kept and not r.base_failed for r in out if r.doc_id < 1000) <= 3
+    assert all((r.distance is None) == r.base_failed for r in out)
     assert math.isclose(quality.chi2_quantile(0.95, 3), 7.814728, abs_tol=1e-4)
 
 
@@ -381,3 +422,70 @@ def test_license_names_of_letters_and_open_brackets(spark):
     assert (out[1].labels, out[1].permitted) == (["mit", "ruby"], False)
     assert (out[2].expressions, out[2].permitted) == (["mit apache-2.0 or"], True)
     assert out[3].labels == ["mit"] and all(out[k].labels == [] for k in (4, 5, 6)) and out[7].labels == ["ncsa", "vim"]
+
+
+def test_mcd_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 2]]), rng.normal(8, 1, (40, 3))])
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "_g string, a double, b double, c double")
+    got = quality.mcd_estimates(rows, list("abc"), [0.1] * 3, 0.75, 4).first()
+    low = lambda v, share: np.sort(v)[int(np.ceil(share * len(v))) - 1]
+    centre = np.array([low(v, 0.5) for v in x.T])
+    cov = np.diag([(1.4826 * low(np.abs(v - m), 0.5)) ** 2 + 0.01 for v, m in zip(x.T, centre)])
+    for _ in range(4):
+        d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+        best = x[d <= low(d, 0.75)]
+        centre, cov = best.mean(axis=0), np.cov(best.T, bias=True) * quality.consistency(0.75, 3) + 0.01 * np.eye(3)
+    factor = np.linalg.cholesky(cov)
+    assert all(math.isclose(got[f"m_{i}"], centre[i], rel_tol=1e-6, abs_tol=1e-8) for i in range(3))
+    assert all(math.isclose(got[f"l_{i}_{j}"], factor[i, j], rel_tol=1e-6, abs_tol=1e-8) for i in range(3) for j in range(i + 1))
+
+
+def test_dual_traversal_measures_few_pairs():
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(30, 64)), 40, axis=0) + 0.02 * rng.normal(size=(1200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    walk = embeddings.DualTraversal(embeddings.CoverTree(x), None, 0.9)
+    found = {(min(p), max(p)) for left, right in walk.links() for a in left.tolist() for b in right.tolist() for p in [(a, b)]}
+    assert found == set(zip(*[v.tolist() for v in np.nonzero(np.triu(x @ x.T >= 0.9, 1))])) and walk.measured < 1200 * 1199 / 2 / 8
+
+
+def test_position_probabilities_equal_a_plain_network():
+    net = language.Network.start(["a", "b", "c"], 4, np.random.default_rng(2))
+    text = "Ünder the sea, where it is all quiet and the fish swim by themselves for ever"
+    sigmoid, data = lambda v: 1 / (1 + np.exp(-v)), text.encode()
+    total = np.zeros(3)
+    for s in range(0, len(data), 64):
+        window = data[s : s + 64].ljust(64, b"\0")
+        states = []
+        for side, order in ((0, range(64)), (1, range(63, -1, -1))):
+            h, out = np.zeros(4), {}
+            for t in order:
+                x, g = net.inp[side][window[t]], h @ net.rec[side]
+                z, r = sigmoid(x[:4] + g[:4]), sigmoid(x[4:8] + g[4:8])
+                h = (1 - z) * np.tanh(x[8:] + r * g[8:]) + z * h
+                out[t] = h
+            states.append(out)
+        for t in range(len(data[s : s + 64])):
+            v = np.exp(states[0][t] @ net.out[0] + states[1][t] @ net.out[1] + net.bias)
+            total += v / v.sum()
+    import pyarrow as pa
+
+    assert np.allclose(language.text_scores(net, pa.array([text, ""]))[0], total / len(data), atol=1e-5)
+
+
+def test_copies_of_a_text_are_drawn_once(spark):
+    rows = [(k, "the same text for ever " * 3, "en") for k in range(3000)] + [(5000 + k, f"other words {k}", f"l{k % 90}") for k in range(180)]
+    windows, target, langs = language.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(langs) == 91 and (target == langs.index("en")).sum() <= 8 and len(windows) <= 8 + 8 * 180
+
+
+def test_base_phrases_equal_brute_force(spark):
+    rng = random.Random(11)
+    parts = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "é", "x-y", "\n"]
+    rows = [" ".join(rng.choices(parts, k=rng.randint(0, 30))) + rng.choice(["", " under the mit license. Apache License, Version 2!"]) for _ in range(200)]
+    for r in licenses.scan_licenses(frame(spark, rows)).collect():
+        words = "".join(c.lower() if c.isascii() else c for c in rows[r.doc_id])
+        words = [w for w in "".join(c if c.isalnum() or not c.isascii() else " " for c in words).split()]
+        places = sorted((k, label) for phrase, label in licenses.BASE_PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+        assert (r.n_words, r.base_starts, r.base_labels) == (len(words), [k for k, _ in places], sorted({x for _, x in places}))
