@@ -4,30 +4,55 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that logs write as a letter after a backslash (fixed values).
-SHORT_ESCAPES = {'"': '"', "\\": "\\", "\n": "n", "\r": "r", "\t": "t", "\x1b": "e"}
-_ESCAPE_DIGITS = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4})")
-_ESCAPE = re.compile(r"""\\(?:x([0-9a-fA-F]{2})|u(00[0-9a-fA-F]{2})|(["'\\nrtbe]))""")
-_UNSHORT = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "e": "\x1b"}
+#: What logs write after a backslash for some octets, and what such letters mean where a name is read back (fixed values).
+SHORT_ESCAPES = {34: '"', 92: "\\", 10: "n", 13: "r", 9: "t", 27: "e"}
+LETTERS = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "e": "\x1b", '"': '"', "'": "'", "\\": "\\"}
+
+#: How an octet is written in each style of text, given the form of its two digits; the octets of a style are joined by the second part.
+_BYTE_STYLES = {
+    "dump": (lambda b, digits: digits(b), ""),
+    "spaced dump": (lambda b, digits: digits(b), " "),
+    "escapes": (lambda b, digits: "\\x" + digits(b), ""),
+    "log": (lambda b, digits: "\\" + SHORT_ESCAPES[b] if b in SHORT_ESCAPES else chr(b) if 32 <= b <= 126 else "\\x" + digits(b), ""),
+}
 
 
 def name_variants(name: str) -> set[str]:
-    """The ways in which a network name may stand in JSON, text logs and byte dumps; only the digits of byte escapes may change case."""
-    octets = name.encode("latin-1", "backslashreplace")
-    shown = "".join("\\" + SHORT_ESCAPES[c] if c in SHORT_ESCAPES else c if " " <= c <= "~" else f"\\x{ord(c):02x}" for c in octets.decode("latin-1"))
-    forms = {name, json.dumps(name)[1:-1], shown, "".join(f"\\x{b:02x}" for b in octets)} | {case(octets.hex(*sep)) for sep in ((), (" ",)) for case in (str.lower, str.upper)}
-    return forms | {_ESCAPE_DIGITS.sub(lambda m: m[0][:2] + m[0][2:].upper(), form) for form in forms}
+    """The ways in which a network name may stand in JSON, text logs and byte dumps; the digits of dumps and escapes in either case."""
+    octets = b"".join(c.encode("latin-1") if ord(c) < 256 else c.encode("ascii", "backslashreplace") for c in name)
+    out = {name}
+    for digits in ("{:02x}".format, "{:02X}".format):
+        out |= {between.join(one(b, digits) for b in octets) for one, between in _BYTE_STYLES.values()}
+    spelt = [json.dumps(c)[1:-1] for c in name]
+    return out | {"".join(spelt), "".join("\\u" + x[2:].upper() if x.startswith("\\u") else x for x in spelt)}
 
 
 def unescape_name(value: str) -> str:
-    """A name from its escaped form in a quoted log value."""
-    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _UNSHORT.get(m[3], m[3]), value)
+    """A name from its escaped form in a quoted log value; a backslash that begins no known escape stays."""
+    head, *rest = value.split("\\")
+    out, skip = [head], False
+    for k, part in enumerate(rest):
+        if skip:  # this piece follows an escaped backslash
+            out.append(part)
+            skip = False
+            continue
+        sign, size = part[:1], {"x": 2, "u": 4}.get(part[:1], 0)
+        digits = part[1 : 1 + size]
+        if size and len(digits) == size and all(c in "0123456789abcdefABCDEF" for c in digits) and (size == 2 or digits.startswith("00")):
+            out.append(chr(int(digits, 16)) + part[1 + size :])
+        elif sign in LETTERS:
+            out.append(LETTERS[sign] + part[1:])
+        elif not part and k + 1 < len(rest):  # two backslashes in a row
+            out.append("\\")
+            skip = True
+        else:
+            out.append("\\" + part)
+    return "".join(out)
 
 
 def canonical_json(text: Column, compact: bool = False) -> Column:
@@ -52,16 +77,28 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(canonical_json(text, compact=True).cast("binary"), 256)
 
 
+def members(record: str) -> list[tuple[str, int]]:
+    """The top-level members of a record as they stand in its canonical JSON, in order, and where each begins there."""
+    out, at = [], 1
+    for name, value in sorted(json.loads(record).items()):
+        out.append((f"{json.dumps(name)}: {json.dumps(value, sort_keys=True)}", at))
+        at += len(out[-1][0]) + len(", ")
+    return out
+
+
 def quotes_member(record: str, quote: str) -> bool:
-    """Whether some place where the quote stands in a record's canonical JSON holds a whole top-level member."""
-    fields = json.loads(record)
-    text, spans, at = json.dumps(fields, sort_keys=True), [], 1
-    for key in sorted(fields):
-        size = len(json.dumps({key: fields[key]}, sort_keys=True)) - 2
-        spans.append((at, at + size))
-        at += size + 2
-    places = (m.start() for m in re.finditer(f"(?={re.escape(quote)})", text))
-    return any(p <= a and b <= p + len(quote) for p in places for a, b in spans)
+    """Whether a quote is a stretch of a record's canonical JSON that holds a whole top-level member.
+
+    Each member is looked for inside the quote; where it stands there, the rest of the quote must be what surrounds that very member."""
+    held = members(record)
+    text = "{" + ", ".join(x for x, _ in held) + "}"
+    for member, begins in held:
+        at = quote.find(member)
+        while at >= 0:
+            if begins >= at and text.startswith(quote, begins - at):
+                return True
+            at = quote.find(member, at + 1)
+    return False
 
 
 def quotes_whole_member(record: Column, quote: Column) -> Column:
@@ -76,9 +113,7 @@ def quotes_whole_member(record: Column, quote: Column) -> Column:
 
 def first_member(record: str, most: int) -> str | None:
     """The first sorted top-level member, as it stands in a record's canonical JSON, of at most `most` characters; null if none fits."""
-    fields = json.loads(record)
-    members = (json.dumps({key: fields[key]}, sort_keys=True)[1:-1] for key in sorted(fields))
-    return next((x for x in members if len(x) <= most), None)
+    return next((x for x, _ in members(record) if len(x) <= most), None)
 
 
 def fitting_member(record: Column, most: int) -> Column:
@@ -92,11 +127,13 @@ def fitting_member(record: Column, most: int) -> Column:
 
 
 def config_values(text: Column) -> Column:
-    """map of a text's key=value lines, trimmed; the last line of a key counts, other lines don't."""
+    """map of a text's key=value lines, trimmed; the last line of a key counts, other lines don't. One pass over the lines: the reversed list of keys
+    without its repeats is met with the position of each key in it."""
     lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: F.contains(x, F.lit("=")))
-    key = lambda x: F.substring_index(x, "=", 1)
-    last = F.filter(lines, lambda x, i: ~F.exists(F.slice(lines, i + 2, F.size(lines)), lambda y: key(y) == key(x)))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(key(x).alias("key"), F.substring(x, F.length(key(x)) + 2, F.length(x)).alias("value"))))
+    pairs = F.transform(F.reverse(lines), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substring(x, F.length(F.substring_index(x, "=", 1)) + 2, F.length(x)).alias("value")))
+    keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
+    first = F.filter(keyed, lambda p, i: (i == 0) | (F.get(keyed, i - 1)["key"] != p["key"]))
+    return F.map_from_entries(F.transform(first, lambda p: F.struct(p["key"], p["value"])))
 
 
 def assigned_ipv4(address: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -68,37 +67,53 @@ def transcript_budget(rounds: DataFrame, keys: list[str], order: str, size: str,
     return rounds.withColumn("omitted", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)) > F.col(budget))
 
 
+#: What a letter after a backslash means in JSON (fixed values).
+_JSON_LETTERS = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+_JSON_ESCAPE = re.compile(r"""\\(?:u([0-9a-fA-F]{4})|(["\\/bfnrt]))""")
+
+
+def _peeled(text: str, cuts: list[int]) -> tuple[str, list[int]]:
+    """text with one layer of JSON escapes read, and where each of its characters begins in the original (cuts tells that of text; one more for the end)."""
+    out, begins, at = [], [], 0
+    for m in _JSON_ESCAPE.finditer(text):
+        out += [text[at : m.start()], chr(int(m[1], 16)) if m[1] else _JSON_LETTERS[m[2]]]
+        begins += [*cuts[at : m.start()], cuts[m.start()]]
+        at = m.end()
+    return "".join([*out, text[at:]]), begins + cuts[at:]
+
+
+def credential_spans(text: str, secret: str) -> list[tuple[int, int]]:
+    """Where a secret stands in a text, as it is or behind any number of layers of JSON escapes (JSON in strings of JSON)."""
+    spans, layer, cuts = [], text, list(range(len(text) + 1))
+    while True:
+        at = layer.find(secret)
+        while at >= 0:
+            spans.append((cuts[at], cuts[at + len(secret)]))
+            at = layer.find(secret, at + len(secret))
+        if "\\" not in layer:
+            return spans
+        inner, cuts = _peeled(layer, cuts)
+        if inner == layer:
+            return spans
+        layer = inner
+
+
 def scrub_credential(text: Column, secret: str, mark: str = "[REDACTED CREDENTIAL]") -> Column:
-    """Recorded bodies without a credential, plain or escaped, also inside JSON held in strings of JSON. Bodies without it stay as they are."""
+    """Recorded bodies without a credential, plain or escaped, also inside JSON held in strings of JSON. All else in a body stays as it is."""
     if not secret:
         return text
-    spelt = []
-    for char in secret:
-        ways = {re.escape(char), re.escape(json.dumps(char)[1:-1])}
-        if ord(char) < 1 << 16:
-            ways.add(f"(?i:{re.escape(chr(92))}u{ord(char):04x})")
-        spelt.append("(?:" + "|".join(sorted(ways, key=len, reverse=True)) + ")")
-    pattern = re.compile("".join(spelt))
-
-    def clean(value: object) -> object:
-        if isinstance(value, dict):
-            return {clean(k): clean(v) for k, v in value.items()}
-        if isinstance(value, list):
-            return [clean(v) for v in value]
-        return clean_text(value) if isinstance(value, str) else value
-
-    def clean_text(value: str) -> str:
-        try:
-            inner = json.loads(value)
-        except (ValueError, RecursionError):
-            inner = None
-        if isinstance(inner, (dict, list, str)) and (changed := clean(inner)) != inner:
-            return json.dumps(changed)
-        return pattern.sub(mark, value)
+
+    def clean(value: str) -> str:
+        out, at = [], 0
+        for a, b in sorted(credential_spans(value, secret)):
+            if a >= at:
+                out += [value[at:a], mark]
+                at = b
+        return "".join([*out, value[at:]])
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(clean_text, na_action="ignore")
+            yield part.map(clean, na_action="ignore")
 
     return run(text)

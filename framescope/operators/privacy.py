@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 import re
 from collections.abc import Callable, Iterable
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +18,7 @@ from framescope.functions.texts import name_variants, unescape_name
 #: Six octets joined by colons or hyphens, not inside a longer run of digits; a network name in quotes (fixed values).
 ADDRESS = r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}(?![0-9a-fA-F])"
 QUOTED_NAME = r"""(?i)\bssid\s*[=:]\s*(?:"((?:\\.|[^"\\])*)"|'((?:\\.|[^'\\])*)')"""
-#: Kinds of identifiers, and what stands for a secret and a path (fixed values).
-KINDS = ("mac", "ssid", "secret", "path")
+#: What stands for a secret and a path (fixed values).
 SECRET, PATH = "<redacted-secret>", "<bundle>"
 
 
@@ -27,47 +28,87 @@ def keyed_digest(key: bytes, kind: str, value: str) -> str:
     return hmac.new(key, f"{kind}\0{value}".encode(), hashlib.sha256).hexdigest()
 
 
+def name_alias(key: bytes, name: str) -> str:
+    return "ssid-" + keyed_digest(key, "ssid", name)[:8]
+
+
+def address_alias(key: bytes, digits: str) -> str:
+    """Twelve hexadecimal digits that stand for an address (given by its own twelve, lower case): locally administered, unicast."""
+    drawn = int(keyed_digest(key, "mac", _in_pairs(digits, ":"))[:12], 16)
+    return f"{drawn & ~(1 << 40) | 1 << 41:012x}"
+
+
+def _in_pairs(digits: str, between: str) -> str:
+    return between.join(map("".join, zip(digits[::2], digits[1::2])))
+
+
 def pseudonym(key: bytes, kind: str, value: str) -> str:
-    """What stands for an identifier, always the same under a key; an address stays an address (locally administered, unicast)."""
-    if kind in ("secret", "path"):
-        return SECRET if kind == "secret" else PATH
-    digest = keyed_digest(key, kind, value)
-    if kind == "ssid":
-        return f"ssid-{digest[:8]}"
-    return ":".join([f"{(int(digest[:2], 16) | 2) & 254:02x}", *(digest[k : k + 2] for k in range(2, 12, 2))])
+    """What stands for an identifier (mac, ssid, secret, path), always the same under a key."""
+    aliases = {"ssid": lambda: name_alias(key, value), "mac": lambda: _in_pairs(address_alias(key, _NO_DIGITS.sub("", value).lower()), ":"), "secret": lambda: SECRET, "path": lambda: PATH}
+    return aliases[kind]()
+
+
+#: Six pairs of digits with blanks between; as lookahead, so that every place in a longer dump is seen.
+_SPACED = re.compile(r"(?<![0-9a-fA-F])(?=((?:[0-9a-fA-F]{2}[ \t]+){5}[0-9a-fA-F]{2})(?![0-9a-fA-F]))")
+_ADDRESS = re.compile(ADDRESS)
+_NO_DIGITS = re.compile(r"[^0-9a-fA-F]+")
+#: How an alias is written, by what parts the digits of the address it stands for.
+_STYLES = {":": lambda d: _in_pairs(d, ":"), "-": lambda d: _in_pairs(d, ":"), " ": lambda d: _in_pairs(d, " "), "\t": lambda d: _in_pairs(d, " ")}
+
+
+class Identifiers:
+    """Known identifiers of one bundle, and what each becomes: texts in one automaton, addresses as twelve digits in another."""
+
+    def __init__(self, key: bytes, known: Iterable[tuple[str, str]]):
+        self.key, known = key, list(known)
+        self.addresses: set[str] = set()
+        self.texts = ahocorasick.Automaton()
+        self.bare = ahocorasick.Automaton()
+        stands_for: dict[str, str] = {}
+        for kind in ("ssid", "secret", "path"):  # a text of several kinds becomes what its last kind says
+            for value in sorted(v for k, v in known if k == kind and v):
+                said = pseudonym(key, kind, value)
+                stands_for.update(dict.fromkeys(name_variants(value) if kind == "ssid" else (value,), said))
+        for text, said in stands_for.items():
+            self.texts.add_word(text, (len(text), said))
+        self.addresses = {_NO_DIGITS.sub("", v).lower() for k, v in known if k == "mac"}
+        for digits in self.addresses:
+            self.bare.add_word(digits, digits)
+        self.texts.make_automaton()
+        self.bare.make_automaton()
+
+    def spans(self, text: str) -> list[tuple[int, int, int, str]]:
+        """(from, 0 for an address else 1, minus length, what it becomes) of all that could be replaced; they may overlap."""
+        found = []
+        places = [m.span() for m in _ADDRESS.finditer(text)]
+        places += [m.span(1) for m in _SPACED.finditer(text) if _NO_DIGITS.sub("", m[1]).lower() in self.addresses]
+        if len(self.bare):
+            places += [(end - 11, end + 1) for end, _ in self.bare.iter(text.lower()) if len(text.lower()) == len(text)]
+        for a, b in places:
+            whole = text[a:b]
+            alias = address_alias(self.key, _NO_DIGITS.sub("", whole).lower())
+            parted = whole[2] if not whole.isalnum() else ""
+            written = _STYLES.get(parted, str)(alias)
+            found.append((a, 0, a - b, written.upper() if parted not in (":", "-") and whole.isupper() else written))
+        if len(self.texts):
+            found += [(end + 1 - n, 1, -n, said) for end, (n, said) in self.texts.iter(text)]
+        return found
+
+    def replace(self, text: str) -> str:
+        """text with spans replaced: the one that begins first wins, an address before a text, then the longest. What was put in is not looked at again."""
+        out, at = [], 0
+        for a, _, size, said in sorted(self.spans(text)):
+            if a >= at:
+                out += [text[at:a], said]
+                at = a - size
+        return "".join([*out, text[at:]])
 
 
 def replacer(key: bytes, known: Iterable[tuple[str, str]]) -> Callable[[str], str]:
     """A function that replaces, in one pass, all that is shaped like an address and all known identifiers (kind, value).
 
-    Known addresses also go where they stand as bare digits or with blanks between octets. A replacement is never replaced again.
-    """
-    literal: dict[str, str] = {}
-    octets: set[str] = set()
-    for kind, value in sorted(set(known), key=lambda x: (KINDS.index(x[0]), x[1])):
-        if kind == "mac":
-            octets.add(re.sub(r"[:\s-]", "", value).lower())
-        elif value:
-            literal.update(dict.fromkeys(name_variants(value) if kind == "ssid" else [value], pseudonym(key, kind, value)))
-    forms = [ADDRESS]
-    for digits in sorted(octets):
-        spaced = r"[ \t]+".join(digits[k : k + 2] for k in range(0, 12, 2))
-        forms += [f"(?i:{digits})", f"(?<![0-9a-fA-F])(?i:{spaced})(?![0-9a-fA-F])"]
-    names = sorted(literal, key=lambda x: (-len(x), x))
-    pattern = re.compile("|".join([f"(?P<address>{'|'.join(forms)})", *map(re.escape, names)]))
-
-    def change(match: re.Match) -> str:
-        text = match[0]
-        if match["address"] is None:
-            return literal[text]
-        digits = re.sub(r"[:\s-]", "", text).lower()
-        name = pseudonym(key, "mac", ":".join(digits[k : k + 2] for k in range(0, 12, 2)))
-        if ":" in text or "-" in text:
-            return name
-        bare = name.replace(":", " " if len(text.split()) > 1 else "")
-        return bare.upper() if text.isupper() else bare
-
-    return lambda text: pattern.sub(change, text)
+    Known addresses also go where they stand as bare digits or with blanks between octets."""
+    return Identifiers(key, known).replace
 
 
 def learn_identifiers(texts: DataFrame, names: DataFrame, parameters: DataFrame, bundle: str = "bundle_id") -> DataFrame:
@@ -95,15 +136,55 @@ def learn_identifiers(texts: DataFrame, names: DataFrame, parameters: DataFrame,
     return out.where("value <> ''").distinct()
 
 
-def redact(rows: DataFrame, identifiers: DataFrame, key: bytes, bundle: str = "bundle_id", text: str = "text") -> DataFrame:
+def redact(rows: DataFrame, identifiers: DataFrame, key: bytes, bundle: str = "bundle_id", text: str = "text", part_rows: int = 50_000) -> DataFrame:
     """rows with identifiers in `text` replaced. identifiers: (bundle, kind, value), learnt from all of a bundle's sources, visible or not.
 
-    One bundle is one capture and its logs, which one task holds. Addresses with colons or hyphens need no listing.
+    A bundle of more than part_rows rows is dealt into parts by a hash of the text, and each part meets the bundle's identifiers, so no task holds a
+    whole large bundle. Addresses with colons or hyphens need no listing.
     """
-    columns = rows.columns
+    columns, one = rows.columns, F.lit(1)
+    parts = rows.groupBy(bundle).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts"))
+    dealt = rows.join(parts, bundle, "left").withColumn("_part", F.pmod(F.xxhash64(text), F.greatest(F.coalesce("_parts", one), one)).cast("int"))
+    met = identifiers.join(parts, bundle).select(bundle, "kind", "value", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         change = replacer(key, zip(right["kind"], right["value"]))
         return left.assign(**{text: left[text].map(change, na_action="ignore")})[columns]
 
-    return rows.groupBy(bundle).cogroup(identifiers.groupBy(bundle)).applyInPandas(run, rows.schema)
+    return dealt.groupBy(bundle, "_part").cogroup(met.groupBy(bundle, "_part")).applyInPandas(run, rows.schema)
+
+
+def redact_json(value: object, change: Callable[[str], str]) -> object:
+    """A JSON value whose texts, at any depth, are changed; names of members stay."""
+    work: list[tuple[object, object, object]] = []  # (value, holder, place): no depth is too deep
+    top: list[object] = [None]
+    work.append((value, top, 0))
+    while work:
+        item, holder, place = work.pop()
+        if isinstance(item, str):
+            holder[place] = change(item)
+        elif isinstance(item, dict):
+            holder[place] = made = dict.fromkeys(item)
+            work += [(v, made, k) for k, v in item.items()]
+        elif isinstance(item, list):
+            holder[place] = made = [None] * len(item)
+            work += [(v, made, k) for k, v in enumerate(item)]
+        else:
+            holder[place] = item
+    return top[0]
+
+
+def flattened_parameters(bundles: DataFrame, column: str = "parameters", bundle: str = "bundle_id") -> DataFrame:
+    """(bundle, name, value): every text member of a JSON parameter object, at any depth of objects, under its own name."""
+
+    @F.udf("array<struct<name:string,value:string>>")
+    def members(text: str | None) -> list[tuple[str, str]]:
+        out, open_ = [], [json.loads(text)] if text else []
+        while open_:
+            item = open_.pop()
+            if isinstance(item, dict):
+                out += [(k, v) for k, v in item.items() if isinstance(v, str)]
+                open_ += [v for v in item.values() if isinstance(v, dict)]
+        return out
+
+    return bundles.select(bundle, F.explode(members(column)).alias("m")).select(bundle, "m.name", "m.value")
