@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope.functions.scalars import frequency_channel
+from framescope.operators.integrity import violations
 from framescope.sources.pcap import IEEE802_11, RADIOTAP
 
+#: What can be wrong with a packet (fixed values).
 TRUNCATED, MALFORMED, UNSUPPORTED, CAPACITY = "truncated input", "malformed input", "unsupported format", "fixed capacity exceeded"
 #: Alignment and size of radiotap fields 0 to 27 (fixed values).
 RADIOTAP_FIELDS = [(8, 8), (1, 1), (1, 1), (2, 4), (2, 2), (1, 1), (1, 1), (2, 2), (2, 2), (2, 2), (1, 1), (1, 1), (1, 1), (1, 1), (2, 2), (2, 2), (1, 1), (1, 1), (4, 8), (1, 3), (4, 8), (2, 12), (8, 12), (2, 12), (2, 12), (2, 6), (1, 1), (2, 4)]
@@ -271,12 +273,56 @@ def decode_frames(packets: DataFrame) -> DataFrame:
 def frame_json(frames: DataFrame) -> DataFrame:
     """(path, frame, json): each frame's record as one line of JSON in a fixed order of keys; a failed one has its error only."""
     ts = (F.col("ts_ns").cast("decimal(20,0)") / F.lit(1_000_000_000).cast("decimal(10,0)")).cast("decimal(20,9)").alias("ts")
-    good = ["rssi_dbm", "freq", "channel", "type", "subtype", "type_id", "subtype_id", "addrs", "bssid", "ssid", "seq", "retry", "protected", "status_code", "reason_code", "eapol_msg", "ie_summary"]
+    before = ["rssi_dbm", "freq", "channel", "type", "subtype", "type_id", "subtype_id", "addrs", "bssid"]
+    behind = ["seq", "retry", "protected", "status_code", "reason_code", "eapol_msg", "ie_summary"]
     options = {"ignoreNullFields": "false"}
-    line = F.when(F.col("error").isNull(), F.to_json(F.struct("frame", ts, *good), options)).otherwise(F.to_json(F.struct("frame", ts, "error"), options))
+    # the name's octets have an escaped form of their own, so the record is written in two parts around it
+    head = F.regexp_replace(F.to_json(F.struct("frame", ts, *before), options), r"\}$", "")
+    tail = F.regexp_replace(F.to_json(F.struct(*behind), options), r"^\{", "")
+    name = F.coalesce(F.concat(F.lit('"'), escaped_name(F.col("ssid_raw")), F.lit('"')), F.lit("null"))
+    line = F.when(F.col("error").isNull(), F.concat(head, F.lit(',"ssid":'), name, F.lit(","), tail)).otherwise(F.to_json(F.struct("frame", ts, "error"), options))
     return frames.select("path", "frame", line.alias("json"))
 
 
+def escaped_name(raw: Column) -> Column:
+    """A network name's octets as the body of a JSON text: printable ASCII as it is, quotes and backslashes escaped, all else as \\u00 and two digits."""
+    octets = F.regexp_extract_all(F.lower(F.hex(raw)), F.lit("(..)"), F.lit(1))
+    one = lambda h: F.when(h.isin("22", "5c"), F.concat(F.lit("\\"), F.decode(F.unhex(h), "US-ASCII"))).when(h.between("20", "7e"), F.decode(F.unhex(h), "US-ASCII")).otherwise(F.concat(F.lit("\\u00"), h))
+    return F.array_join(F.transform(octets, one), "")
+
+
+def frame(frames: DataFrame, number: int, path: str | None = None) -> DataFrame:
+    """The one frame of a number (and capture): an error if there is none. Only that row reaches the driver."""
+    rows = frames.where((F.col("frame") == number) & (F.lit(True) if path is None else F.col("path") == path))
+    if rows.isEmpty():
+        raise LookupError(f"no frame {number}")
+    return rows
+
+
+def decode_checksum(frames: DataFrame) -> DataFrame:
+    """Per capture: accepted and rejected frames, and the sum of frame control, sequence control and number of elements of the accepted ones: an action
+    that reads what decoding gives, for timing it."""
+    ok = F.col("error").isNull()
+    part = F.coalesce("frame_control", F.lit(0)) + F.coalesce("sequence_control", F.lit(0)) + F.coalesce(F.size("ies"), F.lit(0))
+    return frames.groupBy("path").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), F.coalesce(F.sum(F.when(ok, part.cast("bigint"))), F.lit(0)).alias("checksum"))
+
+
+def decoder_faults(frames: DataFrame, packets: DataFrame) -> DataFrame:
+    """(path, frame, faults) of decoded frames that break what decoding promises; none should. packets: the rows that were decoded.
+
+    At most four addresses and 128 elements, names of 32 octets at most, headers and elements inside the data, no fields where there is an error."""
+    sized = packets.select("path", "frame", F.length("data").alias("_size"))
+    rules = {
+        "addresses": F.size(F.coalesce("addrs", F.array())) <= 4,
+        "elements": F.size(F.coalesce("ies", F.array())) <= MOST_ELEMENTS,
+        "name": F.coalesce(F.length("ssid_raw"), F.lit(0)) <= 32,
+        "header": F.coalesce(F.col("header_len") + F.coalesce("radiotap_len", F.lit(0)), F.lit(0)) <= F.coalesce("_size", F.lit(0)),
+        "bounds": F.forall(F.coalesce("ies", F.array().cast("array<struct<id:int,len:int,offset:int>>")), lambda x: x["offset"] + x["len"] <= F.col("_size")),
+        "cleared": F.col("error").isNull() | (F.col("frame_control").isNull() & F.col("addrs").isNull() & F.col("ies").isNull()),
+    }
+    return frames.join(sized, ["path", "frame"]).select("path", "frame", violations(rules).alias("faults")).where(F.size("faults") > 0)
+
+
 def is_unicast(mac: Column) -> Column:
     first = F.conv(F.substring(mac, 1, 2), 16, 10).cast("int")
     return (first.bitwiseAND(F.lit(1)) == 0) & (mac != "00:00:00:00:00:00")

@@ -15,7 +15,7 @@ _TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(
 _MAGIC = {0xA1B2C3D4: ("<", 1000), 0xA1B23C4D: ("<", 1), 0xD4C3B2A1: (">", 1000), 0x4D3CB2A1: (">", 1)}
 
 
-def records(data: bytes, linktypes: tuple[int, ...] | None, most: int) -> Iterator[tuple]:
+def records(data: bytes | memoryview, linktypes: tuple[int, ...] | None, most: int) -> Iterator[tuple]:
     """(frame, linktype, ts_ns, captured_len, original_len, data, error) of each record; an error is the last."""
     if len(data) < 24:
         yield 0, None, None, None, None, None, "truncated input"
@@ -39,7 +39,7 @@ def records(data: bytes, linktypes: tuple[int, ...] | None, most: int) -> Iterat
         if wrong:
             yield frame, link, None, None, None, None, wrong
             return
-        yield frame, link, seconds * 1_000_000_000 + fraction * unit, captured, original, data[at + 16 : at + 16 + captured], None
+        yield frame, link, seconds * 1_000_000_000 + fraction * unit, captured, original, bytes(data[at + 16 : at + 16 + captured]), None
         at += 16 + captured
 
 
@@ -49,22 +49,28 @@ def read_packets(spark: SparkSession, path: str | list[str], linktypes: tuple[in
     A file that can't be read on ends with a row that has scan_error (frame 0 for its header); the rows before it stand. linktypes None takes any.
     A capture has no sync marks, so each file is one task's; rotate captures, or write the rows as Parquet once and read those.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return packets_of(spark.read.format("binaryFile").load(path).select("path", "content"), linktypes, most)
+
+
+def packets_of(captures: DataFrame, linktypes: tuple[int, ...] | None = (IEEE802_11, RADIOTAP), most: int = 1 << 20) -> DataFrame:
+    """The records of captures that are rows already: (path, content). A capture is read where Arrow holds it, without a copy of the whole."""
+    names = [c.split()[0] for c in PACKET_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content")):
-                rows: list[tuple] = []
-                for r in records(content.as_py(), linktypes, most):
+                size = 0
+                for r in records(memoryview(content.as_buffer() if content.is_valid else b""), linktypes, most):
                     rows.append((name.as_py(), *r))
-                    if len(rows) == 4096:
+                    size += r[3] or 0
+                    if len(rows) == 4096 or size > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
 
-    names = [c.split()[0] for c in PACKET_SCHEMA.split(", ")]
-    return files.mapInArrow(run, PACKET_SCHEMA)
+    return captures.select("path", "content").mapInArrow(run, PACKET_SCHEMA)
 
 
 def capture_bytes(rows: list[tuple[int, bytes]], linktype: int = IEEE802_11, snaplen: int = 65535) -> bytes:

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from framescope.plans import catalogue
+from framescope.plans import captures, catalogue, evidence  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,7 +20,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return "null"
         if hasattr(v, "isoformat"):
             return pd.Timestamp(v).isoformat()
