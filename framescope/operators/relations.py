@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def code_lookup(df: DataFrame, code: str, meanings: dict[str, str], out: str = "meaning", missing: str = "unknown") -> DataFrame:
@@ -15,26 +19,57 @@ def code_lookup(df: DataFrame, code: str, meanings: dict[str, str], out: str = "
     return df.join(names, code, "left").withColumn(out, F.coalesce(out, F.lit(missing)))
 
 
-def passage_hits(texts: DataFrame, text_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, least: int = 12, anchor: int = 3) -> DataFrame:
+def passage_hits(texts: DataFrame, text_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, least: int = 12, most_bytes: int = 64 << 20, parts: int = 16) -> DataFrame:
     """(passage_id, text_id, first_at): texts that contain a passage of at least `least` non-blank characters, and the passage's first place (from 1).
 
-    The passage's first `anchor` words pick the candidates by an equality join on word sequences of the texts, which shuffles or broadcasts as its
-    size allows; only those are searched. Words part at single blanks, as an occurrence may begin within a word the anchor starts at the
-    passage's second word.
+    The passages, wherever in words they begin, are found by one automaton in one pass over each text. They reach the driver only if their bytes are within
+    most_bytes; more are dealt into `parts` (or more) by a hash, of which each task holds one, and a text meets every part. No pairs are made but hits.
     """
-    wanted = passages.where(F.length(F.regexp_replace(passage, r"\s", "")) >= least).select(F.col(passage_id), F.col(passage).alias("_p"))
-    words = F.split("_p", " ")
-    inner = F.size(words) >= anchor + 2
-    keyed = wanted.where(inner).withColumn("_k", F.concat_ws(" ", F.slice(words, 2, anchor)))
-    short = wanted.where(~inner)
-    w = F.col("_w")  # a column of its own: inside the lambda the split would run anew for every word
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - anchor), lambda i: F.concat_ws(" ", *(w[i + k] for k in range(anchor))))
-    cut = texts.select(text_id, F.split(F.col(text), " ").alias("_w")).where(F.size("_w") >= anchor).select(text_id, F.explode(F.array_distinct(grams)).alias("_k"))
-    candidates = cut.join(keyed, "_k").select(passage_id, text_id, "_p").distinct()
-    found = candidates.join(texts.select(text_id, F.col(text).alias("_t")), text_id)
-    direct = texts.select(text_id, F.col(text).alias("_t")).join(short.select(passage_id, "_p"), F.contains("_t", "_p"))
-    both = found.select(passage_id, text_id, "_p", "_t").unionByName(direct.select(passage_id, text_id, "_p", "_t"))
-    return both.where(F.contains("_t", "_p")).select(passage_id, text_id, F.expr("locate(_p, _t)").alias("first_at"))
+    wanted = passages.where(F.length(F.regexp_replace(passage, r"\s", "")) >= least).select(F.col(passage_id).alias("_p"), F.col(passage).alias("_w"))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(text_id).alias("_i"), F.col(text).alias("_t"))
+    size = wanted.agg(F.sum(F.octet_length("_w") + 64)).first()[0] or 0
+    kinds = f"`{passage_id}` {wanted.schema['_p'].dataType.simpleString()}, `{text_id}` {rows.schema['_i'].dataType.simpleString()}, first_at int"
+    names = [passage_id, text_id, "first_at"]
+
+    def build(pairs: list[tuple]) -> ahocorasick.Automaton:
+        ids: dict[str, list] = {}
+        for key, words in pairs:
+            ids.setdefault(words, []).append(key)
+        out = ahocorasick.Automaton()
+        for words, keys in ids.items():
+            out.add_word(words, (len(words), keys))
+        out.make_automaton()
+        return out
+
+    def hits(automaton: ahocorasick.Automaton, body: str) -> dict:
+        first: dict = {}
+        for end, (n, keys) in automaton.iter(body) if len(automaton) else ():
+            for key in keys:
+                first.setdefault(key, end - n + 2)
+        return first
+
+    if size <= most_bytes:
+        held = [(r["_p"], r["_w"]) for r in wanted.collect()]
+
+        key_type = to_arrow_type(wanted.schema["_p"].dataType)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = build(held)
+            for batch in batches:
+                out = [(key, i, at) for i, body in zip(batch.column("_i").to_pylist(), batch.column("_t").to_pylist()) for key, at in hits(automaton, body).items()]
+                columns = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key_type, batch.schema.field("_i").type, pa.int32()))], names)
+
+        return rows.mapInArrow(run, kinds)
+    n = max(parts, -(-size // most_bytes))
+    dealt = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_salt", F.pmod(F.xxhash64("_i"), F.lit(64)))
+    shares = wanted.withColumn("_part", F.pmod(F.xxhash64("_w"), F.lit(n)).cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        automaton = build(list(zip(right["_p"], right["_w"])))
+        return pd.DataFrame([(key, i, at) for i, body in zip(left["_i"], left["_t"]) for key, at in hits(automaton, body).items()], columns=names)
+
+    return dealt.groupBy("_part", "_salt").cogroup(shares.groupBy("_part", "_salt")).applyInPandas(meet, kinds)
 
 
 def paired_grades(df: DataFrame, label: str, left: str, right: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -71,9 +106,24 @@ def cutoff(df: DataFrame, at: Column, end: Column, keys: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(F.count_if(at <= end).alias("kept"), F.count_if(at > end).alias("dropped"))
 
 
+def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
+    """(label, centre): mean vector of each label, its dimensions in order. Sums are partial before they are shuffled: a row for each label and dimension."""
+    parts = df.select(label, F.posexplode(vector).alias("d", "x")).groupBy(label, "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda p: p["m"]).alias("centre"))
+
+
+def squared_distance(vector: Column, centre: Column) -> Column:
+    return F.aggregate(F.zip_with(vector, centre, lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, d: a + F.coalesce(d, F.lit(0.0)))
+
+
+def nearest(vector: Column, centres: Column, label: str = "label") -> Column:
+    """The label of the nearest of an array of struct(label, centre), the smallest among equals (to nine digits)."""
+    return F.array_min(F.transform(centres, lambda c: F.struct(F.round(squared_distance(vector, c["centre"]), 9).alias("dist"), c[label].alias(label))))[label]
+
+
 def nearest_centroid(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """(id, label, prediction): the label whose mean vector is nearest, the smallest among equals. Centroids: one row per label and dimension."""
-    parts = df.select(id_col, label, F.posexplode(vector).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
-    centres = parts.groupBy(label, "d").agg(F.avg("x").alias("m")).select(F.col(label).alias("prediction"), "d", "m")
-    near = parts.join(centres, "d").groupBy(id_col, label, "prediction").agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("dist"))
-    return near.groupBy(id_col, label).agg(F.min_by("prediction", F.struct(F.round("dist", 9), F.col("prediction"))).alias("prediction"))
+    """(id, label, prediction): the label whose mean vector is nearest, the smallest among equals.
+
+    All centroids travel as one row, which is as large as there are labels times dimensions; the rows themselves are not shuffled."""
+    held = centroids(df, vector, label).agg(F.collect_list(F.struct(F.col(label).alias("label"), "centre")).alias("_centres"))
+    return df.join(F.broadcast(held), how="cross").select(id_col, label, nearest(F.col(vector), F.col("_centres")).alias("prediction"))

@@ -101,6 +101,8 @@ def test_passages_that_start_inside_words(spark):
     texts = spark.createDataFrame([(1, "xxthe quick brown fox jumps over"), (2, "the quick brown cat"), (3, None), (4, "a shortpassage here")], "id int, text string")
     passages = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "shortpassage"), (3, "tiny")], "pid int, text string")
     got = relations.passage_hits(texts, "id", "text", passages.withColumnRenamed("text", "passage"), "pid", "passage").collect()
+    dealt = relations.passage_hits(texts, "id", "text", passages.withColumnRenamed("text", "passage"), "pid", "passage", most_bytes=100, parts=3).collect()
+    assert sorted(map(str, dealt)) == sorted(map(str, got))  # whether the passages travel whole or in parts
     assert sorted((r.pid, r.id, r.first_at) for r in got) == [(1, 1, 3), (2, 4, 3)]
 
 
