@@ -249,7 +249,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
     per_node = classes.select("node", "w").join(links, "node", "left").join(comp, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "node").alias("comp"))
     ids = all_.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
     per_node = stage(per_node.join(ids, "node"), "vector-nodes")
-    lowest = per_node.groupBy("comp").agg(F.min("low").alias("component_id"))
+    lowest = stage(per_node.groupBy("comp").agg(F.min("low").alias("component_id")), "vector-lowest")  # a table, so that a hot component's rows can be split
     found = stage(per_node.join(lowest, "comp").select("node", "n_links", "component_id"), "vector-components")
     joined = all_.select("id", "node").join(found, "node", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))

@@ -122,7 +122,23 @@ FROM embeddings e JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
 LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) n ON n.u = e.vec_id
 """
 
+#: crc32 byte by byte over a table of 256 remainders; the shard with the greatest digest, as all weights are equal; slots by digest parts.
+_OP5_SQL = """
+WITH t AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+b AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, encode(coalesce(text, '')) AS raw FROM documents),
+d AS (
+  SELECT doc_id, k, (octet_length(raw) + 16)::BIGINT AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32,
+    list_transform(range(41), lambda s: ('0x' || md5(k || ':' || s)[1:13])::BIGINT) AS draws FROM b, t),
+p AS (SELECT *, (list_position(draws[1:40], list_max(draws[1:40])) - 1)::INTEGER AS shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(k || chr(31) || text_crc32)[1:8])::BIGINT % 64, doc_id, text_crc32) - 1 AS slot,
+  CASE WHEN draws[41] > list_max(draws[1:40]) THEN 40 ELSE shard END::INTEGER AS grown_shard
+FROM p
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": _OP5_SQL,
     "op9_embeddings": _OP9_SQL,
     "op6_minhash": _OP6_SQL,
 }
