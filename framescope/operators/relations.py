@@ -62,8 +62,8 @@ def passage_hits(texts: DataFrame, text_id: str, text: str, passages: DataFrame,
 
         return rows.mapInArrow(run, kinds)
     n = max(parts, -(-size // most_bytes))
-    dealt = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_salt", F.pmod(F.xxhash64("_i"), F.lit(64)))
-    shares = wanted.withColumn("_part", F.pmod(F.xxhash64("_w"), F.lit(n)).cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long"))
+    dealt = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_salt", F.pmod(F.xxhash64("_i"), F.lit(64)).cast("int"))
+    shares = wanted.withColumn("_part", F.pmod(F.xxhash64("_w"), F.lit(n)).cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         automaton = build(list(zip(right["_p"], right["_w"])))
