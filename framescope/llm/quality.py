@@ -76,6 +76,10 @@ def features(stats: DataFrame) -> DataFrame:
     )
 
 
+#: Concentration steps for the estimate of all rows, which only steadies small groups.
+PRIOR_STEPS = 2
+
+
 def group_key(group_cols: Sequence[str]) -> Column:
     """One text that names a row's group; nulls are a value of their own."""
     return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null")) for c in group_cols))
@@ -96,14 +100,19 @@ def _with_cholesky(scatter: DataFrame, names: Sequence[str]) -> DataFrame:
     return out.withColumn("log_det", 2 * sum((F.log(f"l_{j}_{j}") for j in range(len(names))), F.lit(0.0)))
 
 
-def _distances(rows: DataFrame, estimates: DataFrame, names: Sequence[str]) -> DataFrame:
-    """rows with `_d`, the squared Mahalanobis distance to their group's centre, by forward substitution."""
-    d = len(names)
-    out = join_small(rows, estimates, ["_g"], how="left")
+def _squared(rows: DataFrame, names: Sequence[str], centre: Sequence[Column], factor: Sequence[Sequence[Column]], kept: Sequence[str]) -> DataFrame:
+    """The columns `kept` of rows with `_d`, the squared Mahalanobis distance to a centre, by forward substitution with a lower Cholesky factor."""
+    out = rows
     for i, name in enumerate(names):
-        dots = [F.col(f"l_{i}_{k}") * F.col(f"_y{k}") for k in range(i)]
-        out = out.withColumn(f"_y{i}", (F.col(name) - F.col(f"m_{i}") - sum(dots, F.lit(0.0))) / F.col(f"l_{i}_{i}"))
-    return out.select(*rows.columns, sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(d)), F.lit(0.0)).alias("_d"))
+        dots = [factor[i][k] * F.col(f"_y{k}") for k in range(i)]
+        out = out.withColumn(f"_y{i}", (F.col(name) - centre[i] - sum(dots, F.lit(0.0))) / factor[i][i])
+    return out.select(*kept, sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(len(names))), F.lit(0.0)).alias("_d"))
+
+
+def _distances(rows: DataFrame, estimates: DataFrame, names: Sequence[str]) -> DataFrame:
+    """rows with `_d`, the squared Mahalanobis distance to their group's centre."""
+    d = range(len(names))
+    return _squared(join_small(rows, estimates, ["_g"], how="left"), names, [F.col(f"m_{i}") for i in d], [[F.col(f"l_{i}_{k}") for k in range(i + 1)] for i in d], rows.columns)
 
 
 def _estimate(rows: DataFrame, names: Sequence[str], floors: Sequence[float], scale: float, prior: dict[str, float] | None, strength: float) -> DataFrame:
@@ -142,13 +151,35 @@ def mcd_estimates(rows: DataFrame, names: Sequence[str], floors: Sequence[float]
 
 
 def pooled(rows: DataFrame, names: Sequence[str], floors: Sequence[float], support: float, steps: int) -> dict[str, float] | None:
-    """Centre m_i and covariance c_i_j of all rows as one group, by the same method; None without rows."""
-    one = mcd_estimates(rows.withColumn("_g", F.lit("all")), names, floors, support, steps).first()
-    if one is None:
-        return None
-    low = lambda i, k: one[f"l_{i}_{k}"] if k <= i else 0.0
+    """Centre m_i and covariance c_i_j of all rows, by the same method; None without rows. A few dozen numbers reach the driver, and go on as literals."""
     d = range(len(names))
-    return {f"m_{i}": one[f"m_{i}"] for i in d} | {f"c_{i}_{j}": sum(low(i, k) * low(j, k) for k in d) for i in d for j in range(i + 1)}
+    first = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 1000) for x in names)).first()
+    if not first["n"]:
+        return None
+    centre = list(first[1:])
+    spread = rows.agg(*(F.percentile_approx(F.abs(F.col(x) - centre[i]), 0.5, 1000) for i, x in enumerate(names))).first()
+    cov = [[(1.4826 * spread[i]) ** 2 + floors[i] ** 2 if i == j else 0.0 for j in d] for i in d]
+    scale = consistency(support, len(names))
+    for _ in range(steps):
+        factor = cholesky(cov)
+        near = _squared(rows, names, [F.lit(x) for x in centre], [[F.lit(factor[i][k]) for k in range(i + 1)] for i in d], names)
+        cut = near.agg(F.percentile_approx("_d", support, 1000)).first()[0]
+        found = near.where(F.col("_d") <= cut).agg(*(F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"v_{i}_{j}") for i in d for j in range(i + 1))).first()
+        centre = [found[f"m_{i}"] for i in d]
+        cov = [[found[f"v_{max(i, j)}_{min(i, j)}"] * scale + (floors[i] ** 2 if i == j else 0.0) for j in d] for i in d]
+    return {f"m_{i}": float(centre[i]) for i in d} | {f"c_{i}_{j}": float(cov[i][j]) for i in d for j in range(i + 1)}
+
+
+def cholesky(cov: Sequence[Sequence[float]]) -> list[list[float]]:
+    """The lower factor of a small covariance, on the driver."""
+    out: list[list[float]] = []
+    for i, row in enumerate(cov):
+        line: list[float] = []
+        for j in range(i + 1):
+            rest = row[j] - sum(a * b for a, b in zip(line, (out[j] if j < i else line)[:j]))
+            line.append(max(rest, 1e-12) ** 0.5 if i == j else rest / out[j][j])
+        out.append(line)
+    return out
 
 
 def consistency(support: float, dimensions: int, points: int = 4000) -> float:
@@ -196,7 +227,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = stage(features(text_statistics(rows, "_txt", ["_id", *keys])).withColumn("base_failed", base_failed()).withColumn("_g", group_key(keys)).drop(*keys), "quality-stats")
     names, levels = list(floors), list(floors.values())
     passed = stats.where(~F.col("base_failed"))
-    prior = pooled(passed.select(*names), names, levels, support, steps)
+    prior = pooled(passed.select(*names), names, levels, support, PRIOR_STEPS)
     plain = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_distinct", "base_failed"]
     out = stats.where("base_failed").select("_id", *plain, F.lit(None).cast("double").alias("distance"))
     if prior is not None:

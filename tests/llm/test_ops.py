@@ -437,6 +437,9 @@ def test_mcd_equals_numpy(spark):
         best = x[d <= low(d, 0.75)]
         centre, cov = best.mean(axis=0), np.cov(best.T, bias=True) * quality.consistency(0.75, 3) + 0.01 * np.eye(3)
     factor = np.linalg.cholesky(cov)
+    assert np.allclose(quality.cholesky(cov.tolist())[2], factor[2])
+    whole = quality.pooled(rows, list("abc"), [0.1] * 3, 0.75, 4)
+    assert all(math.isclose(whole[f"c_{i}_{j}"], cov[i, j], rel_tol=1e-6, abs_tol=1e-8) for i in range(3) for j in range(i + 1))
     assert all(math.isclose(got[f"m_{i}"], centre[i], rel_tol=1e-6, abs_tol=1e-8) for i in range(3))
     assert all(math.isclose(got[f"l_{i}_{j}"], factor[i, j], rel_tol=1e-6, abs_tol=1e-8) for i in range(3) for j in range(i + 1))
 
