@@ -235,8 +235,8 @@ def freeze(rows: DataFrame, path: str) -> None:
 
 
 def append_trace(rows: DataFrame, path: str) -> None:
-    """Adds rows to a trace; their members stand in sorted order."""
-    rows.select(*sorted(rows.columns)).write.mode("append").json(path)
+    """Adds rows to a trace; their members stand in sorted order, nulls too."""
+    rows.select(*sorted(rows.columns)).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
 def write_by_bundle(rows: DataFrame, path: str, key: str = "bundle_id") -> None:

@@ -21,3 +21,8 @@ def stream_step_mask(stream: DataFrame, keys: Sequence[str], at: str, step: str,
     """step_mask per key and tumbling window; state leaves with the watermark."""
     windowed = stream.withWatermark(at, late).withColumn("window", F.window(at, width))
     return step_mask(windowed, [*keys, "window"], step, steps)
+
+
+def stamped(lines: DataFrame, receipt: str = "unix_ns") -> DataFrame:
+    """Lines of a stream with the time at which their batch was taken in, in nanoseconds. One time for each micro-batch: a line is never stamped before it came."""
+    return lines.withColumn(receipt, F.unix_micros(F.current_timestamp()) * 1000)
