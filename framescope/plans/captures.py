@@ -43,7 +43,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.concat(_flipped(F.floor(ts / 1_000_000), 4), _flipped(ts % 1_000_000, 4), _flipped(size, 4), _flipped(size, 4), data)
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))).alias("rows"))
     body = F.concat(F.lit("d4c3b2a1020004000000000000000000ffff0000"), _flipped(F.lit(RADIOTAP), 4), F.array_join(F.transform("rows", lambda x: x["r"]), ""), F.when(user % 10 == 0, "0000000000").otherwise(""))
-    return rows.select(user.cast("string").alias("path"), F.unhex(body).alias("content"))
+    # captures are small beside the work of decoding them: they are spread over all cores, where adaptive execution would put them together
+    return rows.select(user.cast("string").alias("path"), F.unhex(body).alias("content")).repartition(spark.sparkContext.defaultParallelism, "path")
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
