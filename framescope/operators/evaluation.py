@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framescope.operators.relations import first_reason, nearest_centroid
+from framescope.operators.relations import first_reason
 from framescope.operators.summaries import class_scores, majority
 
 
@@ -61,28 +61,17 @@ def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, order: str,
     return plain.join(limits, keys) if keys else plain.join(limits)
 
 
-def leak_probe(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """In-sample form: centroids and the commonest label come from the rows that are graded, so `hits` is too high; see split_leak_probe.
-
-    One row: n, accuracy of the nearest-centroid prediction, accuracy of always guessing the commonest label, and whether the first is more than
-    20 points above the second, told by whole numbers."""
-    graded = nearest_centroid(df, id_col, vector, label)
-    commonest = F.broadcast(majority(df.select(F.lit(1).alias("_one"), label), ["_one"], label).select(F.col(label).alias("_top")))  # one row
-    found = graded.join(commonest, how="cross").agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col("prediction")).alias("hits"), F.count_if(F.col(label) == F.col("_top")).alias("base_hits"))
-    return found.withColumn("flagged", (F.col("hits") - F.col("base_hits")) * 5 > F.col("n"))
-
-
-def split_leak_probe(df: DataFrame, id_col: str, vector: str, label: str, dev: F.Column, seed: int = 9173) -> DataFrame:
+def leak_probe(df: DataFrame, id_col: str, vector: str, label: str, dev: F.Column, seed: int = 9173) -> DataFrame:
     """One row: n, hits, shuffled_hits, base_hits, flagged. Means, deviations, centroids and the commonest label come from dev rows only; the rows for
     which dev is false are graded, and n counts them.
 
     Each dimension is scaled by dev's mean and population deviation (1 if that is 0). shuffled_hits is the control: centroids of dev rows whose labels
-    are permuted among them by the order of a seeded hash of the id, a permutation of its own and not Python's. Ids must differ. Rows with a null id, label or
-    vector do not count. flagged is null without dev rows or without graded ones. The permutation meets the rows by rank, counted within 256 ranges of the hash.
+    are permuted among them by the order of the MD5 digest of seed and id, a permutation of its own and not Python's. Ids must differ. Rows with a null id, label or
+    vector do not count. flagged is null without dev rows or without graded ones. The permutation meets the rows by rank, counted within 256 ranges of the digest.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_l"), F.col(vector).alias("_v"), dev.alias("_dev")).dropna()
     fit, test = rows.where("_dev"), rows.where(~F.col("_dev"))
-    ranked = lambda salt: _ranks(fit.select("_id", "_l"), F.xxhash64("_id", F.lit(seed), F.lit(salt)))
+    ranked = lambda salt: _ranks(fit.select("_id", "_l"), F.md5(F.concat(F.lit(f"{seed}:{salt}:"), F.col("_id").cast("string"))))
     lots = ranked("row").select("_id", "_rank").join(ranked("label").select("_rank", F.col("_l").alias("_s")), "_rank").select("_id", "_s")
     parts = lambda x, *more: x.select("_id", *more, F.posexplode("_v").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
     scales = parts(fit).groupBy("d").agg(F.avg("x").alias("mean"), F.coalesce(F.nullif(F.stddev_pop("x"), F.lit(0.0)), F.lit(1.0)).alias("deviation"))
@@ -100,8 +89,8 @@ def split_leak_probe(df: DataFrame, id_col: str, vector: str, label: str, dev: F
 
 
 def _ranks(rows: DataFrame, order: F.Column) -> DataFrame:
-    """rows with their rank by order and id, from 1; order is a 64-bit hash: ranks within ranges of the order, plus the sizes of the ranges before."""
-    marked = rows.withColumn("_o", order).withColumn("_part", F.shiftrightunsigned("_o", 56).cast("int"))
+    """rows with their rank by order and id, from 1; order is a digest in hex: ranks within ranges of the order, plus the sizes of the ranges before."""
+    marked = rows.withColumn("_o", order).withColumn("_part", F.substring("_o", 1, 2))
     before = marked.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # 256 rows
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_o", "_id"))
     return marked.withColumn("_within", within).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_within")).alias("_rank"))

@@ -333,7 +333,17 @@ def q28_exclusions(spark, sf_dir):
     return summaries.histogram(rows.select(F.coalesce(reason, F.lit("none")).alias("reason")), ["reason"])
 
 
-@query("q29_clopper")
+@query(
+    "q29_clopper",
+    """WITH RECURSIVE g AS (SELECT source, count(*) FILTER (WHERE quality = 1) AS k, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source),
+  b AS (SELECT source, k, n, 0 AS i, 0.0::DOUBLE AS la, 1.0::DOUBLE AS lb, 0.0::DOUBLE AS ha, 1.0::DOUBLE AS hb FROM g
+    UNION ALL
+    SELECT source, k, n, i + 1, CASE WHEN low_above THEN la ELSE lm END, CASE WHEN low_above THEN lm ELSE lb END, CASE WHEN high_above THEN ha ELSE hm END, CASE WHEN high_above THEN hm ELSE hb END
+    FROM (SELECT *, coalesce(list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(lm) + (n - j) * ln(1 - lm)))), 0) > 0.025 AS low_above,
+      1 - coalesce(list_sum(list_transform(range(k + 1, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(hm) + (n - j) * ln(1 - hm)))), 0) < 0.025 AS high_above
+      FROM (SELECT *, (la + lb) / 2 AS lm, (ha + hb) / 2 AS hm FROM b WHERE i < 50)))
+  SELECT source, k, n, round(CASE WHEN k = 0 THEN 0 ELSE (la + lb) / 2 END, 9) AS low, round(CASE WHEN k = n THEN 1 ELSE (ha + hb) / 2 END, 9) AS high FROM b WHERE i = 50""",
+)
 def q29_clopper(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     rates = docs.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count("*").alias("n"))
@@ -418,18 +428,22 @@ def q39_manifest(spark, sf_dir):
 
 @query(
     "q40_leak_probe",
-    _CENTROID_SQL
-    + """, t AS (SELECT arg_min(label, (-n, label)) AS top FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label))
-  SELECT n, hits, base_hits, (hits - base_hits) * 5 > n AS flagged FROM (SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS hits, count(*) FILTER (WHERE label = top) AS base_hits FROM g, t)""",
+    """WITH r AS (SELECT vec_id AS id, label AS l, embedding AS v, vec_id % 5 <> 0 AS dev FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+  f AS (SELECT id, l, row_number() OVER (ORDER BY md5('9173:row:' || id), id) AS a, row_number() OVER (ORDER BY md5('9173:label:' || id), id) AS b FROM r WHERE dev),
+  s AS (SELECT x.id, y.l AS s FROM f x JOIN f y ON x.a = y.b),
+  p AS (SELECT id, l, dev, unnest(v)::DOUBLE AS x, generate_subscripts(v, 1) AS d FROM r),
+  z AS (SELECT d, avg(x) AS mean, coalesce(nullif(stddev_pop(x), 0), 1) AS deviation FROM p WHERE dev GROUP BY d),
+  n AS (SELECT id, l, dev, d, (x - mean) / deviation AS x FROM p JOIN z USING (d)),
+  c AS (SELECT 'own' AS kind, l AS p, d, avg(x) AS m FROM n WHERE dev GROUP BY l, d UNION ALL SELECT 'shuffled', s, d, avg(x) FROM n JOIN s USING (id) WHERE dev GROUP BY s, d),
+  t AS (SELECT id, l, kind, p, round(sum((x - m) * (x - m)), 9) AS dist FROM n JOIN c USING (d) WHERE NOT dev GROUP BY ALL),
+  g AS (SELECT id, l, kind, arg_min(p, (dist, p)) AS p FROM t GROUP BY id, l, kind),
+  o AS (SELECT arg_min(l, (-n, l)) AS top FROM (SELECT l, count(*) AS n FROM f GROUP BY l))
+  SELECT n, hits, shuffled_hits, base_hits, (hits - base_hits) * 5 > n AS flagged FROM (SELECT count(*) FILTER (WHERE kind = 'own') AS n, count(*) FILTER (WHERE kind = 'own' AND l = p) AS hits,
+    count(*) FILTER (WHERE kind = 'shuffled' AND l = p) AS shuffled_hits, count(*) FILTER (WHERE kind = 'own' AND l = top) AS base_hits FROM g, o)""",
 )
 def q40_leak_probe(spark, sf_dir):
-    return evaluation.leak_probe(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
-
-
-@query("q40b_split_leak_probe")
-def q40b_split_leak_probe(spark, sf_dir):
     """Dev: vec_id not divisible by 5; test: the others."""
-    return evaluation.split_leak_probe(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", F.col("vec_id") % 5 != 0)
+    return evaluation.leak_probe(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", F.col("vec_id") % 5 != 0)
 
 
 @query("q41_bootstrap")
@@ -440,21 +454,6 @@ def q41_bootstrap(spark, sf_dir):
 
 @query(
     "q42_citations",
-    r"""WITH r AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE text IS NOT NULL),
-       e AS (SELECT conv_id, turn, t[1:20] AS quote FROM r WHERE role_is_cited(turn)),
-       p AS (SELECT e.conv_id, e.turn, e.quote, count(*) AS places FROM e JOIN r ON r.conv_id = e.conv_id AND contains(r.t, trim(e.quote)) GROUP BY ALL)
-       SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE places > 1) AS ambiguous FROM p GROUP BY conv_id""".replace("role_is_cited(turn)", "turn % 2 = 0"),
-)
-def q42_citations(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("text is not null")
-    rows = turns.select(F.col("conv_id").alias("bundle_id"), F.lit("turn").alias("source"), F.col("turn").alias("ref"), "text")
-    cited = rows.where("ref % 2 = 0").select("bundle_id", "source", "ref", F.substring(scalars.squeezed(F.col("text")), 1, 20).alias("quote"), F.lit(False).alias("auto"))
-    checked = citations.verify_citations(cited, rows, least=1, most_places=1)
-    return checked.groupBy(F.col("bundle_id").alias("conv_id")).agg(F.count_if("valid").alias("n"), F.count_if("ambiguous").alias("ambiguous"))
-
-
-@query(
-    "q42b_whole_citations",
     r"""WITH r AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE text IS NOT NULL),
        e AS (SELECT conv_id, CASE WHEN turn % 3 = 0 THEN turn + 1 ELSE turn END AS ref, t AS quote FROM r),
        q AS (SELECT DISTINCT conv_id, quote FROM e WHERE quote <> ''),
@@ -464,7 +463,7 @@ def q42_citations(spark, sf_dir):
        SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE quote <> '' AND coalesce(hit, false)) AS valid, count(*) FILTER (WHERE coalesce(places, 0) > 1) AS ambiguous
        FROM e LEFT JOIN p USING (conv_id, quote) LEFT JOIN a USING (conv_id, quote, ref) GROUP BY conv_id""",
 )
-def q42b_whole_citations(spark, sf_dir):
+def q42_citations(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("text is not null")
     rows = turns.select(F.col("conv_id").alias("bundle_id"), F.lit("turn").alias("source"), F.col("turn").alias("ref"), "text")
     ref = F.when(F.col("ref") % 3 == 0, F.col("ref") + 1).otherwise(F.col("ref"))

@@ -130,12 +130,12 @@ def test_leak_probe_grades_rows_it_has_not_seen(spark):
     # dimension 0 is large noise until scaled; dimension 1 tells dev's labels, and in test rows the opposite
     rows = [(k, [1000.0 * (k * 7 % 11), float(k % 2)], "ab"[k % 2 if k < 80 else 1 - k % 2]) for k in range(100)]
     df = spark.createDataFrame(rows, "id long, v array<double>, label string")
-    r = evaluation.split_leak_probe(df, "id", "v", "label", F.col("id") < 80).first()
+    r = evaluation.leak_probe(df, "id", "v", "label", F.col("id") < 80).first()
     assert (r.n, r.hits, r.base_hits, r.flagged) == (20, 0, 10, False)
     told = df.withColumn("label", F.when(F.col("v")[1] == 1, "b").otherwise("a"))
-    r = evaluation.split_leak_probe(told, "id", "v", "label", F.col("id") < 80).first()
+    r = evaluation.leak_probe(told, "id", "v", "label", F.col("id") < 80).first()
     assert (r.n, r.hits, r.base_hits, r.flagged) == (20, 20, 10, True) and r.shuffled_hits is not None
-    r = evaluation.split_leak_probe(told, "id", "v", "label", F.lit(False)).first()
+    r = evaluation.leak_probe(told, "id", "v", "label", F.lit(False)).first()
     assert (r.n, r.hits, r.flagged) == (100, 0, None)
     ranks = evaluation._ranks(df.select(F.col("id").alias("_id")), F.xxhash64("_id"))
     assert sorted(x._rank for x in ranks.collect()) == list(range(1, 101))

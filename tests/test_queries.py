@@ -40,6 +40,6 @@ def test_query(spark, duck, name):
 
 
 def test_whole_citations_cite_every_turn(spark, duck):
-    found = catalogue.QUERIES["q42b_whole_citations"](spark, SF_DIR).toPandas()
+    found = catalogue.QUERIES["q42_citations"](spark, SF_DIR).toPandas()
     assert found.n.sum() == duck.execute("SELECT count(*) FROM conversations WHERE text IS NOT NULL").fetchone()[0]
     assert 0 < found.valid.sum() < found.n.sum()
