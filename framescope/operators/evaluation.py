@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescope.operators.relations import first_reason
-from framescope.operators.summaries import class_scores, majority
+from framescope.operators.summaries import class_scores, majority, quantiles
 
 
 def exclusion_reason() -> F.Column:
@@ -24,18 +24,17 @@ def group_metrics(rows: DataFrame, classes: int, group: str = "group") -> DataFr
     marked = rows.withColumn("_why", exclusion_reason())
     ok = F.col("_why").isNull()
     rate = lambda x: F.try_divide(F.count_if(ok & x), F.count_if(ok))
-    plain = marked.groupBy(group).agg(
-        F.count("*").alias("n"),
+    told = [
+        F.count("*").alias("rows"),
         F.count_if(ok).alias("evaluated"),
         rate(F.col("label") == F.col("prediction")).alias("accuracy"),
         rate(F.col("prediction") == "unknown").alias("unknown_rate"),
         rate(F.col("schema_failure")).alias("schema_failure_rate"),
         F.try_divide(F.count_if(F.col("error").isNotNull()), F.count("*")).alias("execution_error_rate"),
-        F.expr("percentile(latency_ms, 0.5)").alias("latency_p50"),
-        F.expr("percentile(latency_ms, 0.95)").alias("latency_p95"),
         F.sum("cost").alias("known_cost"),
         F.when(F.count("cost") == F.count("*"), F.sum("cost")).alias("cost"),
-    )
+    ]
+    plain = quantiles(marked, [group], "latency_ms", {"latency_p50": 0.5, "latency_p95": 0.95}, *told).drop("n").withColumnRenamed("rows", "n")
     scored = marked.where(ok).select(F.struct(group, "label").alias("l"), F.struct(F.col(group), F.col("prediction").alias("label")).alias("p"))
     f1 = class_scores(scored, "l", "p").where(F.col("class.label") != "unknown").groupBy(F.col(f"class.{group}").alias(group)).agg((F.sum("f1") / classes).alias("macro_f1"))
     return plain.join(f1, group, "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescope.functions.texts import fitting_member
+from framescope.operators.summaries import quantiles
 
 BROADCAST = "ff:ff:ff:ff:ff:ff"
 DIRECTIONS = ("ap_to_station", "station_to_ap", "ap_to_broadcast", "other")
@@ -58,7 +59,8 @@ def run_event_summary(firsts: DataFrame, bundles: DataFrame) -> DataFrame:
     bundles: bundle_id, label, capture_clock, log_clock (booleans)."""
     kinds = bundles.select("bundle_id", "label", F.explode(F.array(*(F.struct(F.lit(e).alias("event"), F.col("log_clock" if e == "dhcp" else "capture_clock").alias("clock")) for e in EVENTS))).alias("k"))
     rows = kinds.select("bundle_id", "label", "k.event", "k.clock").join(firsts, ["bundle_id", "event"], "left")
-    return rows.groupBy("label", "event").agg(F.count("elapsed").alias("n"), F.count_if("clock").alias("available"), F.min("elapsed").alias("least"), F.expr("percentile(elapsed, 0.5)").alias("median"), F.max("elapsed").alias("greatest"))
+    more = F.count_if("clock").alias("available"), F.min("elapsed").alias("least"), F.max("elapsed").alias("greatest")
+    return quantiles(rows, ["label", "event"], "elapsed", {"median": 0.5}, *more).select("label", "event", "n", "available", "least", "median", "greatest")
 
 
 def code_sets(frames: DataFrame, bundles: DataFrame) -> DataFrame:

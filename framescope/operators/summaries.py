@@ -49,8 +49,8 @@ def first_events(df: DataFrame, entity: str, kind: str, at: Column) -> DataFrame
 def spread_summary(df: DataFrame, keys: Sequence[str], value: str, available: DataFrame, entity: str) -> DataFrame:
     """Per key: n values, how many entities could have had one, least, median (interpolated) and greatest. available: one row per entity."""
     total = F.broadcast(available.agg(F.countDistinct(entity).alias("available")))  # one row
-    found = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.max(value).alias("greatest"))
-    return found.join(total, how="cross")
+    found = quantiles(df, keys, value, {"median": 0.5}, F.min(value).alias("least"), F.max(value).alias("greatest"))
+    return found.join(total, how="cross").select(*keys, "n", "least", "median", "greatest", "available")
 
 
 def joint_distribution(df: DataFrame, columns: Sequence[str], missing: str = "unknown") -> DataFrame:
@@ -91,6 +91,42 @@ def counts_with_total(df: DataFrame, key: str) -> DataFrame:
     return df.rollup(key).agg(F.count("*").alias("n"), (F.grouping(key) == 1).alias("is_total"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Per key the interpolated quantiles of non-null values; shares: column name -> share."""
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), *(F.expr(f"percentile({value}, {p})").alias(name) for name, p in shares.items()))
+def _same(keys: Sequence[str], left: str, right: str) -> Column:
+    """Whether two aliased rows agree on the keys; nulls are a value of their own."""
+    out = F.lit(True)
+    for k in keys:
+        out &= F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return out
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], *more: Column, parts: int = 64) -> DataFrame:
+    """Per key: n non-null values, their exact interpolated quantiles (null where n is 0), and the aggregates `more`; shares: column name -> share.
+
+    A key may hold any share of the rows: equal values are counted together first, then cut at `parts` places of all values (a mergeable sketch; that many
+    numbers reach the driver), so a part has about as few distinct values as any other; only the parts that hold a wanted place are sorted.
+    """
+    base = df.groupBy(*keys).agg(F.count(value).alias("n"), *more)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = sorted(set(df.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []))
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
+    counts = counts.withColumn("_part", part)
+    own, run = Window.partitionBy(*(keys or [F.lit(1)])), Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_part")
+    sizes = counts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_k"))  # at most `parts` rows a key
+    sizes = sizes.withColumns({"_n": F.sum("_k").over(own), "_before": F.sum("_k").over(run) - F.col("_k")})
+    at = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in shares.items()}
+    ends = {f"{name}_{end}": turn(x) for name, x in at.items() for end, turn in (("low", F.floor), ("high", F.ceil))}
+    inside = lambda x, begin, size: (x >= begin) & (x < begin + size)
+    holds = F.lit(False)
+    for x in ends.values():
+        holds |= inside(x, F.col("_before"), F.col("_k"))
+    wanted = sizes.where(holds).alias("w")
+    held = counts.alias("c").join(wanted, _same([*keys, "_part"], "c", "w")).select(*(F.col(f"c.{k}").alias(k) for k in keys), "c._part", "_v", "_c", "_n", "_before")
+    ordered = held.withColumn("_from", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v")) - F.col("_c"))
+    found = ordered.groupBy(*keys).agg(F.first("_n").alias("_n"), *(F.max(F.when(inside(x, F.col("_from"), F.col("_c")), F.col("_v"))).alias(name) for name, x in ends.items()))
+    told = {}
+    for name, x in at.items():
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        told[name] = F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+    found = found.select(*keys, *(c.alias(name) for name, c in told.items())).alias("f")
+    plain = [F.col(f"b.{c}").alias(c) for c in base.columns]
+    return base.alias("b").join(found, _same(keys, "b", "f"), "left").select(*plain, *(F.col(f"f.{name}").alias(name) for name in shares))

@@ -149,3 +149,19 @@ def test_registered_bootstrap_takes_all_resamples(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "bootstrap_interval", lambda *a, **k: asked.append(k.get("resamples", 2000)) or whole(*a, **k))
     r = catalogue.QUERIES["q41_bootstrap"](spark, "/root/testdata/sf0.001").first()
     assert asked == [2000] and r.low < r.mean < r.high
+
+
+def test_quantiles_are_exact_however_rows_are_spread(spark):
+    rows = [("hot", float(k * k % 997)) for k in range(2000)] + [("same", 5.0)] * 300 + [("one", -1.5), ("empty", None), (None, 1.0), (None, 2.0), ("hot", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    out = {r.k: r for r in summaries.quantiles(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "high": 0.95}, F.max("v").alias("top"), parts=8).collect()}
+    for key in ("hot", "same", "one", None):
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        for name, share in (("low", 0.0), ("mid", 0.5), ("high", 0.95)):
+            at = (len(values) - 1) * share
+            wanted = values[math.floor(at)] + (at - math.floor(at)) * (values[math.ceil(at)] - values[math.floor(at)])
+            assert math.isclose(out[key][name], wanted), (key, name)
+        assert out[key].n == len(values) and out[key].top == values[-1]
+    assert out["empty"].n == 0 and out["empty"].mid is None
+    assert summaries.quantiles(df.limit(0), ["k"], "v", {"mid": 0.5}).count() == 0
+    assert summaries.quantiles(df.where("k = 'same'"), [], "v", {"mid": 0.5}).first().mid == 5.0
