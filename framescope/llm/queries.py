@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import embeddings, language, licenses, lm, neardup, packing, quality, sentencepiece, sharding, toxicity
+from framescope.llm import embeddings, filter_audit, language, licenses, lm, neardup, packing, quality, sentencepiece, sharding, toxicity
 from framescope.llm.common import fold, table
 
 
@@ -76,6 +76,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = filter_audit.words_of(text)
+    failures = {
+        "A": F.size(words) < 200,
+        "B": 100 * F.size(F.array_distinct(words)) < 50 * F.size(words),
+        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 3 * F.length(text),
+        "D": text.rlike(r"[#$%&*|]"),
+        "E": None,  # copies of a text with a smaller id
+    }
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), failures)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
@@ -87,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: Words and their distinct five-word shingles, all pairs that share one, and the least id reachable.
@@ -137,8 +151,32 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM p
 """
 
+#: Counts by part and mask of failures; every order and step looks at all masks.
+_OP11_SQL = """
+WITH RECURSIVE d AS (SELECT *, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT coalesce(d.lang, '') AS part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, mask),
+o(o) AS (SELECT '' UNION ALL SELECT o || f FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(f) WHERE NOT contains(o, f)),
+s AS (
+  SELECT o AS filter_order, i::INTEGER AS step, o[i] AS f, (1 << (ascii(o[i]) - 65)) AS bit, coalesce(list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(o[j]) - 65))), 0)::BIGINT AS before
+  FROM o, range(1, 6) r(i) WHERE length(o) = 5),
+r AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, f)
+SELECT * EXCLUDE (f), sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": _OP5_SQL,
     "op9_embeddings": _OP9_SQL,
     "op6_minhash": _OP6_SQL,
+    "op11_filter_audit": _OP11_SQL,
 }
