@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import embeddings, filter_audit, language, licenses, lm, neardup, packing, quality, sentencepiece, sharding, toxicity
-from framescope.llm.common import fold, table
+from framescope.llm import embeddings, filter_audit, language, licenses, lm, merkle, neardup, packing, quality, sentencepiece, sharding, toxicity
+from framescope.llm.common import fold, stage, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), failures)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = lambda text: [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    tampered = F.when(fold("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "source", merkle.row_digest(fields(F.col("text"))).alias("leaf"), merkle.row_digest(fields(tampered)).alias("claimed"))
+    proven = merkle.merkle_manifest(stage(leaves, "document-leaves"), "source", "doc_id", "leaf")
+    told = proven.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), merkle.fold_path(F.col("claimed"), F.col("path")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op12_merkle": op12_merkle,
 }
 
 #: Words and their distinct five-word shingles, all pairs that share one, and the least id reachable.
@@ -174,9 +184,44 @@ r AS (
 SELECT * EXCLUDE (f), sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r
 """
 
+#: Trees level by level, of each source and then of the sources; a row's siblings are its run's others at every level.
+_OP12_SQL = """
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+d AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS crc FROM documents, tab),
+f AS (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS told FROM d),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(told)) || ':' || told, '-')) AS claimed
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM f)),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+t(lev, source, pos, n, h) AS (
+  SELECT 0, source, pos, n, leaf FROM p
+  UNION ALL SELECT lev + 1, source, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lev, source, pos // 3),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spos, count(*) OVER () AS sn FROM t WHERE n = 1),
+u(lev, pos, n, h) AS (
+  SELECT 0, spos, sn, subroot FROM s
+  UNION ALL SELECT lev + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lev, pos // 3),
+runs AS (
+  SELECT 0 AS tree, lev, source, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM t WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT 1, lev, NULL, pos // 3, list(h ORDER BY pos) FROM u WHERE n > 1 GROUP BY ALL),
+walk(doc_id, leaf, claimed, subroot, source, tree, lev, pos, left_to, said, folded, uid) AS (
+  SELECT doc_id, leaf, claimed, subroot, p.source, 0, 0, pos, n, '', claimed, row_number() OVER () FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.claimed, w.subroot, w.source, CASE WHEN w.left_to > 1 THEN w.tree ELSE 1 END, CASE WHEN w.left_to > 1 THEN w.lev + 1 ELSE 0 END,
+    CASE WHEN w.left_to > 1 THEN w.pos // 3 ELSE s.spos END, CASE WHEN w.left_to > 1 THEN (w.left_to + 2) // 3 ELSE s.sn END,
+    CASE WHEN w.left_to > 1 THEN w.said || array_to_string(hs[1:w.pos % 3], '') || array_to_string(hs[w.pos % 3 + 2:], '') ELSE w.said END,
+    CASE WHEN w.left_to > 1 THEN sha256(array_to_string(hs[1:w.pos % 3], '') || w.folded || array_to_string(hs[w.pos % 3 + 2:], '')) ELSE w.folded END, w.uid
+  FROM walk w JOIN s ON w.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN runs r ON r.tree = w.tree AND r.lev = w.lev AND r.run = w.pos // 3 AND w.left_to > 1 AND (w.tree = 1 OR r.source IS NOT DISTINCT FROM w.source)
+  WHERE w.left_to > 1 OR w.tree = 0)
+SELECT doc_id, leaf, subroot, h AS root, sha256(said) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM walk JOIN (SELECT h FROM u WHERE n = 1) ON true WHERE walk.tree = 1 AND walk.left_to = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": _OP5_SQL,
     "op9_embeddings": _OP9_SQL,
     "op6_minhash": _OP6_SQL,
     "op11_filter_audit": _OP11_SQL,
+    "op12_merkle": _OP12_SQL,
 }
