@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import embeddings, filter_audit, language, licenses, lm, merkle, neardup, packing, quality, sentencepiece, sharding, toxicity
+from framescope.llm import embeddings, filter_audit, language, licenses, lm, merkle, neardup, neighbours, packing, quality, sentencepiece, sharding, toxicity
 from framescope.llm.common import fold, stage, table
 
 
@@ -98,6 +98,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle": op12_merkle,
+    "op13_neighbours": op13_neighbours,
 }
 
 #: Words and their distinct five-word shingles, all pairs that share one, and the least id reachable.
