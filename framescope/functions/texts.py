@@ -127,13 +127,13 @@ def fitting_member(record: Column, most: int) -> Column:
 
 
 def config_values(text: Column) -> Column:
-    """map of a text's key=value lines, trimmed; the last line of a key counts, other lines don't. One pass over the lines: the reversed list of keys
-    without its repeats is met with the position of each key in it."""
+    """map of a text's key=value lines, trimmed; the last line of a key counts, other lines don't. The lines are sorted by key, the last first, once."""
     lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: F.contains(x, F.lit("=")))
     pairs = F.transform(F.reverse(lines), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substring(x, F.length(F.substring_index(x, "=", 1)) + 2, F.length(x)).alias("value")))
     keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
-    first = F.filter(keyed, lambda p, i: (i == 0) | (F.get(keyed, i - 1)["key"] != p["key"]))
-    return F.map_from_entries(F.transform(first, lambda p: F.struct(p["key"], p["value"])))
+    first = lambda rows: F.filter(rows, lambda p, i: (i == 0) | (F.get(rows, i - 1)["key"] != p["key"]))
+    entries = F.transform(F.array(keyed), lambda rows: F.transform(first(rows), lambda p: F.struct(p["key"], p["value"])))  # rows stands for the sorted array: it is made once
+    return F.map_from_entries(F.get(entries, F.lit(0)))
 
 
 def assigned_ipv4(address: Column) -> Column:

@@ -25,15 +25,15 @@ def opaque_id(namespace: str, label: Column, seed: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", F.lit(namespace), label, seed.cast("string")).cast("binary"), 256), 1, 12)
 
 
-#: Date and time with at most nine digits of a second, and a zone (fixed value).
-_ZONED = r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d)(?:[.,](\d{1,9}))?(Z|[+-]\d\d:?\d\d)$"
+#: Date and time, seconds or none, at most nine digits of a second, and a zone (fixed value).
+_ZONED = r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d)(?:(:\d\d)(?:[.,](\d{1,9}))?)?(Z|[+-]\d\d:?\d\d)$"
 
 
 def zoned_ns(text: Column) -> Column:
     """Nanoseconds since 1970 of a time with a zone, to the microsecond; null where there is no time or no zone. No floating point."""
     part = lambda k: F.regexp_extract(text, _ZONED, k)
-    seconds = F.unix_seconds(F.try_to_timestamp(F.concat(F.translate(part(1), "T", " "), F.when(part(3) == "Z", "+00:00").otherwise(part(3)))))
-    return F.when(text.rlike(_ZONED), seconds * 1_000_000_000 + F.substring(F.rpad(part(2), 6, "0"), 1, 6).cast("bigint") * 1000)
+    seconds = F.unix_seconds(F.try_to_timestamp(F.concat(F.translate(part(1), "T", " "), F.when(part(2) == "", ":00").otherwise(part(2)), F.when(part(4) == "Z", "+00:00").otherwise(part(4)))))
+    return F.when(text.rlike(_ZONED), seconds * 1_000_000_000 + F.substring(F.rpad(part(3), 6, "0"), 1, 6).cast("bigint") * 1000)
 
 
 def visible(rows: DataFrame, view: str, source: str = "source") -> DataFrame:
@@ -148,8 +148,8 @@ def window_record_faults(require: bool = True) -> Column:
 
 
 def log_snapshots(lines: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
-    """(keys, line_count, digest): a log's lines in order, each with a line feed, as one digest."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.concat(x[text], F.lit("\n"))), "")
+    """(keys, line_count, digest): a log's lines in order, each with a line feed, as one digest. A null line is an empty one."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.concat(F.coalesce(x[text], F.lit("")), F.lit("\n"))), "")
     return lines.groupBy(*keys).agg(F.count("*").alias("line_count"), F.sha2(whole.cast("binary"), 256).alias("digest"))
 
 
@@ -263,9 +263,11 @@ def pairing_faults(rows: DataFrame, group: str, key: str, label: str) -> DataFra
 
 
 def paired_groups(rows: DataFrame, group: str, key: str, label: str, prediction: str) -> DataFrame:
-    """(left, right, n, difference, only_left, only_right) of every two groups: a partial sum for each pair of groups, after one join on the key."""
-    side = lambda x: rows.select(F.col(group).alias(x), key, (F.col(label) == F.col(prediction)).cast("int").alias(f"_{x}"))
-    both = side("left").join(side("right"), key).where("left < right")
+    """(left, right, n, difference, only_left, only_right) of every two groups: a partial sum for each pair of groups, after one join on the key.
+
+    Only keys that both groups label alike count; pairing_faults lists the others."""
+    side = lambda x: rows.select(F.col(group).alias(x), key, F.col(label).alias(f"_{x}_label"), (F.col(label) == F.col(prediction)).cast("int").alias(f"_{x}"))
+    both = side("left").join(side("right"), key).where("left < right and _left_label <=> _right_label")
     return both.groupBy("left", "right").agg(F.count("*").alias("n"), F.avg(F.col("_left") - F.col("_right")).alias("difference"), F.count_if(F.col("_left") > F.col("_right")).alias("only_left"), F.count_if(F.col("_left") < F.col("_right")).alias("only_right"))
 
 

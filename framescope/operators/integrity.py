@@ -59,6 +59,8 @@ STAMP = r"^\s*(\d{9,})(?:\.(\d{1,9}))?(?=[:\s])"
 
 
 def embedded_ns(text: Column) -> Column:
-    """Nanoseconds of the time stamp that begins a line, exact; null if there is none."""
+    """Nanoseconds of the time stamp that begins a line, exact; null if there is none. A stamp beyond the range of a long is the greatest long: it is
+    after any end of a window, and ends no query."""
     seconds = F.regexp_extract(text, STAMP, 1)
-    return F.when(seconds != "", seconds.try_cast("bigint") * 1_000_000_000 + F.rpad(F.regexp_extract(text, STAMP, 2), 9, "0").cast("bigint"))
+    ns = F.try_add(F.try_multiply(seconds.try_cast("bigint"), F.lit(1_000_000_000).cast("bigint")), F.rpad(F.regexp_extract(text, STAMP, 2), 9, "0").cast("bigint"))
+    return F.when(seconds != "", F.coalesce(ns, F.lit((1 << 63) - 1)))

@@ -52,6 +52,8 @@ def pseudonym(key: bytes, kind: str, value: str) -> str:
 _SPACED = re.compile(r"(?<![0-9a-fA-F])(?=((?:[0-9a-fA-F]{2}[ \t]+){5}[0-9a-fA-F]{2})(?![0-9a-fA-F]))")
 _ADDRESS = re.compile(ADDRESS)
 _NO_DIGITS = re.compile(r"[^0-9a-fA-F]+")
+#: Digits A to F in lower case; no character changes its length, whatever else a text holds.
+_LOWER_DIGITS = str.maketrans("ABCDEF", "abcdef")
 #: How an alias is written, by what parts the digits of the address it stands for.
 _STYLES = {":": lambda d: _in_pairs(d, ":"), "-": lambda d: _in_pairs(d, ":"), " ": lambda d: _in_pairs(d, " "), "\t": lambda d: _in_pairs(d, " ")}
 
@@ -83,7 +85,7 @@ class Identifiers:
         places = [m.span() for m in _ADDRESS.finditer(text)]
         places += [m.span(1) for m in _SPACED.finditer(text) if _NO_DIGITS.sub("", m[1]).lower() in self.addresses]
         if len(self.bare):
-            places += [(end - 11, end + 1) for end, _ in self.bare.iter(text.lower()) if len(text.lower()) == len(text)]
+            places += [(end - 11, end + 1) for end, _ in self.bare.iter(text.translate(_LOWER_DIGITS))]
         for a, b in places:
             whole = text[a:b]
             alias = address_alias(self.key, _NO_DIGITS.sub("", whole).lower())

@@ -365,10 +365,13 @@ def q30_mcnemar(spark, sf_dir):
     "q32_freq_channel",
     """SELECT channel, count(*) AS n, min(f) AS lowest, max(f) AS highest FROM (SELECT f, CAST(CASE WHEN f = 2484 THEN 14 WHEN f BETWEEN 2412 AND 2472 AND (f - 2407) % 5 = 0 THEN (f - 2407) // 5
        WHEN f BETWEEN 4910 AND 4980 AND f % 5 = 0 THEN (f - 4000) // 5 WHEN f BETWEEN 5000 AND 5895 AND f % 5 = 0 THEN (f - 5000) // 5 WHEN f = 5935 THEN 2
-       WHEN f BETWEEN 5955 AND 7115 AND (f - 5950) % 5 = 0 THEN (f - 5950) // 5 ELSE 0 END AS INTEGER) AS channel FROM range(2400, 7201) r(f)) GROUP BY channel""",
+       WHEN f BETWEEN 5955 AND 7115 AND (f - 5950) % 5 = 0 THEN (f - 5950) // 5 WHEN f >= 58320 AND (f - 56160) % 2160 = 0 THEN (f - 56160) // 2160 ELSE 0 END AS INTEGER) AS channel FROM (SELECT CASE event_id % 4 WHEN 3 THEN 56160 + event_id % 9 * 2160 + event_id % 2 ELSE 2400 + event_id % 4801 END AS f FROM events)) GROUP BY channel""",
 )
 def q32_freq_channel(spark, sf_dir):
-    found = spark.range(2400, 7201).select(F.col("id").alias("f"), scalars.frequency_channel(F.col("id")).alias("channel"))
+    """Every fourth event stands for a frequency about the 60 GHz channels, the others for the bands below."""
+    e = F.col("event_id")
+    heard = table(spark, sf_dir, "events").select(F.when(e % 4 == 3, 56160 + e % 9 * 2160 + e % 2).otherwise(2400 + e % 4801).alias("f"))
+    found = heard.withColumn("channel", scalars.frequency_channel(F.col("f")))
     return found.groupBy("channel").agg(F.count("*").alias("n"), F.min("f").alias("lowest"), F.max("f").alias("highest"))
 
 

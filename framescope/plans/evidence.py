@@ -237,12 +237,12 @@ def q69_dense_confusion(spark, sf_dir):
 
 @query(
     "q70_accepted_bundles",
-    f"""WITH m AS (SELECT * REPLACE ((bundle_id % 150)::VARCHAR AS bundle_id) FROM ({_META}) WHERE bundle_id < 150), u AS (SELECT user_id::VARCHAR AS bundle_id, bool_or(user_id % 10 = 0) AS bad FROM events GROUP BY user_id)
+    f"""WITH m AS (SELECT * REPLACE (bundle_id::VARCHAR AS bundle_id) FROM ({_META})), u AS (SELECT user_id::VARCHAR AS bundle_id, bool_or(user_id % 10 = 0) AS bad FROM events GROUP BY user_id)
         SELECT bundle_id, array_to_string(list_concat({_sql_faults(_META_RULES)}, CASE WHEN coalesce(bad, false) THEN ['capture_error'] ELSE [] END), ',') AS reasons FROM m LEFT JOIN u USING (bundle_id)""",
 )
 def q70_accepted_bundles(spark, sf_dir):
-    """Metadata of the first 150 bundles, which the users' captures belong to."""
-    meta = _meta(spark, sf_dir).where("bundle_id < 150").withColumn("bundle_id", F.col("bundle_id").cast("string"))
+    """A user's capture belongs to the bundle of that number; the other bundles have none."""
+    meta = _meta(spark, sf_dir).withColumn("bundle_id", F.col("bundle_id").cast("string"))
     caught = packets_of(captures(spark, sf_dir)).select(F.col("path").alias("bundle_id"), "frame", "scan_error")
     return bundles.accepted_bundles(meta, caught).select("bundle_id", _said(F.col("reject_reasons")).alias("reasons"))
 
@@ -265,13 +265,13 @@ def q71_volume_features(spark, sf_dir):
 
 @query(
     "q72_diagnosis_faults",
-    f"""WITH d AS (SELECT doc_id, {_sql_pick((*bundles.CLASSES, 'unknown', 'else'), 'doc_id % 11')} AS cause, doc_id % 8 AS n, doc_id % 5 AS ref, (doc_id % 12) / 10.0 AS confidence, coalesce(left(text, 305), '') AS fix FROM documents)
+    f"""WITH d AS (SELECT doc_id, {_sql_pick((*bundles.CLASSES, 'unknown', 'else'), 'doc_id % 11')} AS cause, doc_id % 8 AS n, doc_id % 5 AS ref, (doc_id % 12) / 10.0 AS confidence, coalesce(text, '') AS fix FROM documents)
         SELECT doc_id, array_to_string({_sql_faults({"root_cause": "cause <> 'else'", "evidence_count": "n BETWEEN 1 AND 6", "source": "true", "ref": "n = 0 OR ref >= 1", "quote": "true", "confidence": "confidence <= 1", "fix": "length(fix) <= 300"})}, ',') AS faults FROM d""",
 )
 def q72_diagnosis_faults(spark, sf_dir):
     d = F.col("doc_id")
     item = F.struct(F.lit("frame").alias("source"), (d % 5).alias("ref"), F.lit("a quote").alias("quote"))
-    said = F.struct(_pick((*bundles.CLASSES, "unknown", "else"), d % 11).alias("root_cause"), F.array_repeat(item, (d % 8).cast("int")).alias("evidence"), ((d % 12) / 10.0).alias("confidence"), F.coalesce(F.substring("text", 1, 305), F.lit("")).alias("fix"))
+    said = F.struct(_pick((*bundles.CLASSES, "unknown", "else"), d % 11).alias("root_cause"), F.array_repeat(item, (d % 8).cast("int")).alias("evidence"), ((d % 12) / 10.0).alias("confidence"), F.coalesce("text", F.lit("")).alias("fix"))
     return table(spark, sf_dir, "documents").select("doc_id", said.alias("said")).select("doc_id", _said(bundles.diagnosis_faults(F.col("said"))).alias("faults"))
 
 

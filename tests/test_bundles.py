@@ -1,5 +1,6 @@
 """Bundles, runs, sinks: what the queries don't reach."""
 
+import hashlib
 import json
 
 import pytest
@@ -26,28 +27,74 @@ def test_models(spark):
     assert out == sorted([("b", "unique"), ("b", "base_url"), ("b", "unique"), ("b", "base_url"), ("b", "max_tokens"), ("c", "base_url"), ("c", "context_length"), ("c", "max_tokens")])
 
 
-def test_sinks_and_scans(spark, tmp_path):
-    df = spark.createDataFrame([("x", 2, "z"), ("y", 1, None)], "bundle_id string, b int, a string")
-    bundles.freeze(df, str(tmp_path / "freeze"))
+@pytest.fixture
+def pair(spark):
+    return spark.createDataFrame([("x", 2, "z"), ("y", 1, None)], "bundle_id string, b int, a string")
+
+
+def test_freeze_exists_once(pair, tmp_path):
+    bundles.freeze(pair, str(tmp_path / "freeze"))
     with pytest.raises(AnalysisException):
-        bundles.freeze(df, str(tmp_path / "freeze"))
+        bundles.freeze(pair, str(tmp_path / "freeze"))
+
+
+def test_trace_is_appended(spark, pair, tmp_path):
     for _ in range(2):
-        bundles.append_trace(df, str(tmp_path / "trace"))
-    assert spark.read.json(str(tmp_path / "trace")).count() == 4 and next(iter((tmp_path / "trace").glob("part-*"))).read_text().startswith('{"a"')
-    bundles.write_by_bundle(df, str(tmp_path / "by"))
+        bundles.append_trace(pair, str(tmp_path / "trace"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "trace")).collect())
+    assert lines == sorted(['{"a":"z","b":2,"bundle_id":"x"}', '{"a":null,"b":1,"bundle_id":"y"}'] * 2)
+
+
+def test_write_by_bundle(spark, pair, tmp_path):
+    bundles.write_by_bundle(pair, str(tmp_path / "by"))
     assert {p.name for p in (tmp_path / "by").iterdir() if p.is_dir()} == {"bundle_id=x", "bundle_id=y"}
-    bundles.write_audit(df, str(tmp_path / "audit"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "audit")).columns == df.columns
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "by")).select("bundle_id", "b").collect())) == [("x", 2), ("y", 1)]
+
+
+def test_write_audit(spark, pair, tmp_path):
+    bundles.write_audit(pair, str(tmp_path / "audit"))
+    found = spark.read.option("header", True).csv(str(tmp_path / "audit"))
+    assert found.columns == pair.columns and found.count() == 2
+
+
+def test_read_manifest(spark, tmp_path):
     (tmp_path / "manifest.json").write_text(json.dumps({"bundles": [{"id": "x", "split": "dev"}, {"id": "y", "split": "test"}]}, indent=1))
-    assert bundles.read_manifest(spark, str(tmp_path / "manifest.json"), "id: string, split: string").count() == 2
+    assert sorted(map(tuple, bundles.read_manifest(spark, str(tmp_path / "manifest.json"), "id: string, split: string").collect())) == [("x", "dev"), ("y", "test")]
+
+
+def test_read_prompts(spark, tmp_path):
     (tmp_path / "prompt.txt").write_text("Say what is wrong.")
     assert runs.read_prompts(spark, str(tmp_path / "prompt.txt")).first().content == "Say what is wrong."
+
+
+def test_manifest_entries(spark, pair):
     files = spark.createDataFrame([("x", "b.log", "1"), ("x", "a.log", "2")], "bundle_id string, name string, digest string")
-    assert bundles.manifest_entries(files, df).where("bundle_id = 'x'").first().entry == '{"a":"z","b":2,"bundle_id":"x","files":{"a.log":"2","b.log":"1"}}'
+    assert bundles.manifest_entries(files, pair).where("bundle_id = 'x'").first().entry == '{"a":"z","b":2,"bundle_id":"x","files":{"a.log":"2","b.log":"1"}}'
+
+
+def test_stamped_stream(spark):
     stream = windows.stamped(spark.readStream.format("rate").load())
     assert stream.isStreaming and "unix_ns" in stream.columns
 
 
+def test_zoned_times_without_seconds(spark):
+    texts = ["2024-01-01T10:00Z", "2024-01-01 12:00+02:00", "2024-01-01T10:00:00.5Z", "2024-01-01T10:00.5Z", "2024-01-01T10:00"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(bundles.zoned_ns(F.col("t")).alias("ns")).collect()
+    assert [r.ns for r in found] == [1704103200000000000, 1704103200000000000, 1704103200500000000, None, None]
+
+
+def test_log_digest_counts_null_lines(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("a", 3, "y")], "k string, line int, text string")
+    found = bundles.log_snapshots(rows, ["k"], "line", "text").first()
+    assert (found.line_count, found.digest) == (3, hashlib.sha256(b"x\n\ny\n").hexdigest())
+
+
+def test_pairs_that_disagree_on_the_label_do_not_count(spark):
+    rows = spark.createDataFrame([("a", 1, "x", "x"), ("b", 1, "y", "z"), ("a", 2, "x", "x"), ("b", 2, "x", "y")], "g string, k int, label string, prediction string")
+    assert tuple(bundles.paired_groups(rows, "g", "k", "label", "prediction").first()) == ("a", "b", 1, 1.0, 1, 0)
+    assert [tuple(r) for r in bundles.pairing_faults(rows, "g", "k", "label").collect()] == [(1, "label_differs")]
+
+
 def test_runs(spark):
     df = spark.createDataFrame([(1, "ap_full", 17), (2, "ok", None)], "k int, label string, status int")
     rules = runs.Rules().add("ap_full", F.col("status") == 17).add("mac_denied", F.col("status") > 0)

@@ -1,11 +1,12 @@
 """Text forms, addresses in every style, credentials behind escapes."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from framescope.functions import texts
-from framescope.operators import accounting, privacy
+from framescope.operators import accounting, bundles, integrity, privacy
 
 KEY = b"framescope-sixteen-bytes"
 
@@ -53,3 +54,29 @@ def test_config_values_last_wins(spark):
     df = spark.createDataFrame([("a=1\nb = x=y\n# none\r\n a=2",), ("",), (None,)], "t string")
     out = [r.m for r in df.select(texts.config_values(F.col("t")).alias("m")).collect()]
     assert out == [{"a": "2", "b ": " x=y"}, {}, None]
+
+
+def test_many_config_lines_take_one_pass(spark):
+    lines = 40_000  # where a sort for each line would take over an hour
+    text = "\n".join(f"key{k % 30_000}={k}" for k in range(lines))
+    began = time.perf_counter()
+    found = spark.createDataFrame([(text,)], "t string").select(texts.config_values(F.col("t")).alias("m")).first().m
+    assert time.perf_counter() - began < 20
+    assert found == {f"key{k % 30_000}": str(k) for k in range(lines)}
+
+
+def test_no_character_hides_an_address():
+    change = privacy.replacer(KEY, [("mac", "02:00:00:00:00:aa")])
+    alias = privacy.pseudonym(KEY, "mac", "02:00:00:00:00:aa")
+    bare = alias.replace(":", "")
+    assert change("\u0130 raw 0200000000aa end") == f"\u0130 raw {bare} end"
+    assert change("\u0130\u0130 0200000000AA \u1e9e 0200000000aa") == f"\u0130\u0130 {bare.upper()} \u1e9e {bare}"
+
+
+def test_stamps_beyond_the_range_end_no_query(spark):
+    lines = ["123456789012: x", "99999999999999999999999: x", "9223372036.854775807 x", "9223372036.854775808 x", "1700000000.5: x"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(integrity.embedded_ns(F.col("t"))).collect()]
+    top = (1 << 63) - 1
+    assert got == [top, top, top, top, 1_700_000_000_500_000_000]
+    cut = bundles.window_cut(spark.range(1), *(F.lit(x) for x in (1, 1, 2_000_000_000_000_000_000, 2)), F.lit("123456789012: x"))
+    assert spark.range(1).select(cut.alias("c")).first().c == "own_time_after_end"
