@@ -119,6 +119,11 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def drawn_below(share: float) -> int:
+    """The bound that a share of all 64-bit hashes does not pass: hash <= bound draws it, however small it is."""
+    return min(1 << 64, max(1, int(share * (1 << 64)))) - (1 << 63) - 1
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the texts of each slice hold about `most` bytes; a longer text comes alone."""
     for batch in batches:

@@ -225,7 +225,8 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
     a null or non-finite component link with nothing, nor do vectors of different lengths. Repeated rows link. A null id has a null component, is
     kept, and counts as a link of others. An empty table gives no rows. Ties need no rule; only the two columns are read, whatever others are called.
     Pivots, at most a quarter of `sample`, are fitted on a hash sample of about `sample` classes; they only steer the work, and every vector is indexed.
-    block: vectors of a block; by default 16 times the root of their number (1,024 to 16,384), so that the copies of a vector grow with that root at most.
+    block: vectors of a block; by default 16 times the root of their number, 1,024 to 16,384. The copies of a vector grow with that root up to 1,048,576
+    vectors, and with their number from there on.
     """
     single = df.schema[vector_col].dataType.elementType == T.FloatType()
     dtype = "<f4" if single else "<f8"

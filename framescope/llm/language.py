@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescope.llm.common import flat_bytes, keep_where, map_batches, slices
+from framescope.llm.common import drawn_below, flat_bytes, keep_where, map_batches, slices
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -151,8 +151,8 @@ def _drawn_texts(known: DataFrame, text: str, lang: str, most_docs: int, seed: s
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}  # a row for each language
     if not sizes:
         return rows.select("lang", "text"), []
-    share = F.create_map(*(F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, most_docs / max(1, sizes[k])) * 1_000_000)))
-    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*(F.lit(x) for k in sorted(sizes) for x in (k, drawn_below(most_docs / max(1, sizes[k])))))
+    drawn = rows.where(F.col("h") <= share[F.col("lang")])
     return drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text"), sorted(sizes)
 
 

@@ -68,9 +68,6 @@ def to_postfix(expression: str | bytes, at: int = 0, stated: bool = True) -> lis
     held: list[str] = []
     operand_next, depth, good, free = True, 0, None, stated
 
-    def closed() -> list[str]:
-        return out + held[::-1]
-
     for match in _TOKEN.finditer(data, at):
         said = match[0].decode().rstrip(".:")
         token = said.lower()
@@ -105,8 +102,8 @@ def to_postfix(expression: str | bytes, at: int = 0, stated: bool = True) -> lis
             out.append(token)
             operand_next = False
         if not operand_next and not depth:
-            good = closed()
-    return good
+            good = len(out), held[::-1]  # at this depth three operators wait at most
+    return out[: good[0]] + good[1] if good else None
 
 
 def evaluate(postfix: list[str], permitted: Iterable[str] = PERMITTED) -> tuple[set[str], bool]:

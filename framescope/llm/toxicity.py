@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescope.llm.common import join_small, keep_where, map_batches, slices, stage
+from framescope.llm.common import drawn_below, join_small, keep_where, map_batches, slices, stage
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 HOMOGLYPHS = {
@@ -126,9 +126,8 @@ def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
     """(id, toxic) of about most_rows label rows of each class (0, 1), picked by a hash of the id; all of them where there are fewer. Null ids and other labels do not count."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    share = {k: min(1.0, most_rows / max(1, sizes.get(k, 0))) for k in (0, 1)}
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    return rows.where(draw < F.when(F.col("toxic") == 1, share[1] * 1_000_000).otherwise(share[0] * 1_000_000))
+    bound = {k: drawn_below(most_rows / max(1, sizes.get(k, 0))) for k in (0, 1)}
+    return rows.where(F.xxhash64("id") <= F.when(F.col("toxic") == 1, bound[1]).otherwise(bound[0]))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, least_docs: int = 4, least_weight: float = 2.0, least_g: float = 25.0) -> Lexicon:

@@ -492,3 +492,18 @@ def test_base_phrases_equal_brute_force(spark):
         words = [w for w in "".join(c if c.isalnum() or not c.isascii() else " " for c in words).split()]
         places = sorted((k, label) for phrase, label in licenses.BASE_PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
         assert (r.n_words, r.base_starts, r.base_labels) == (len(words), [k for k, _ in places], sorted({x for _, x in places}))
+
+
+def test_long_licence_expression_is_read_once():
+    import time
+
+    began = time.perf_counter()
+    postfix = licenses.to_postfix("mit OR " * 200_000 + "mit")
+    assert len(postfix) == 400_001 and time.perf_counter() - began < 10  # in place of hours
+
+
+def test_draws_stay_bounded():
+    from framescope.llm.common import drawn_below
+
+    assert drawn_below(1.0) == (1 << 63) - 1 == drawn_below(7.0) and drawn_below(0.0) == -(1 << 63) and drawn_below(0.5) == -1
+    assert drawn_below(400 / 1e12) - -(1 << 63) == pytest.approx(400 / 1e12 * 2**64)
