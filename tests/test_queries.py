@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from framescope.plans import captures, catalogue, evidence  # noqa: F401
+from framescope.plans import captures, catalogue, evidence, recorded  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
