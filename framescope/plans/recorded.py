@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framescope.operators import bundles, frames, scenarios, tools
 from framescope.operators import captures as trimming
+from framescope.plans.captures import _FRAMES, decoded
 from framescope.plans.catalogue import CUTOFF, micros, query, table
 from framescope.sources import capture_index, capture_sink
 from framescope.sources.pcap import raw_records
@@ -19,6 +21,13 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for plans that read it several times."""
+    folder = _folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _hex(value: Column, size: int, little: Column) -> Column:
     big = F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")
     return F.when(little, F.concat(*(F.substring(big, 2 * k + 1, 2) for k in range(size - 1, -1, -1)))).otherwise(big)
@@ -87,3 +96,76 @@ def q75_sliced_captures(spark, sf_dir):
     return packets.groupBy(F.regexp_extract("path", r"([^/]*)\.pcap$", 1).alias("path")).agg(
         F.count("*").alias("frames"), F.max("frame").alias("last_frame"), F.sum(size).alias("bytes"), F.sum(F.col("frame") * size).alias("weighted"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns")
     )
+
+
+@query("q76_drawn_parameters")
+def q76_drawn_parameters(spark, sf_dir):
+    """What each order's key draws as a seed. SQL can't draw so; the draws are held against the library's in the tests."""
+    split = F.when(F.col("o_custkey") % 2 == 0, "dev").otherwise("test")
+    drawn = table(spark, sf_dir, "orders").select("o_orderkey", scenarios.draw_parameters(F.col("o_orderkey"), split).alias("p"))
+    return drawn.select("o_orderkey", "p.*")
+
+
+_LABELLED = "([" + ", ".join(f"'{x}'" for x in bundles.CLASSES) + "])[o_orderkey % 9 + 1]"
+_CHANGES = [(k, f, ",".join(sorted(told))) for k, (ap, station, _) in scenarios.CAUSES.items() for f, told in (("hostapd.conf", ap), ("station.conf", station)) if told]
+
+
+@query(
+    "q77_changed_settings",
+    f"""SELECT o_orderkey, label, file, changed FROM (SELECT o_orderkey, {_LABELLED} AS label FROM orders)
+        JOIN (VALUES {", ".join(map(str, [*_CHANGES, ("pmf_required_unsupported", "occupant.conf", "ieee80211w")]))}) c(label, file, changed) USING (label)""",
+)
+def q77_changed_settings(spark, sf_dir):
+    """Each order is a bundle of one of nine classes; its files are held against those of a sound bundle with the same draws."""
+    k = F.col("o_orderkey")
+    label = F.element_at(F.array(*map(F.lit, bundles.CLASSES)), (k % 9 + 1).cast("int"))
+    drawn = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), scenarios.draw_parameters(k, F.lit("dev")).alias("parameters"))
+    files = lambda of: scenarios.render_configs(of, F.lit("/run/lab"), "o_orderkey")
+    changed = scenarios.changed_settings(files(drawn), files(drawn.withColumn("label", F.lit("ok"))), "o_orderkey")
+    return changed.join(drawn.select("o_orderkey", "label"), "o_orderkey").select("o_orderkey", "label", "file", F.array_join("changed", ",").alias("changed"))
+
+
+#: Each user's events as lines of four logs, and six calls for each user.
+_TOOL_LINES = f"""l AS (SELECT user_id, ([{", ".join(f"'{x}'" for x in bundles.SOURCES)}])[event_id % 4 + 1] AS source, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) AS line, coalesce(props, '') AS text FROM events),
+users AS (SELECT user_id AS u, count(*) AS n, ([{", ".join(f"'{x}'" for x in bundles.SOURCES)}])[user_id % 4 + 1] AS source, user_id % 4 IN (1, 3) AS seen FROM events GROUP BY user_id)"""
+
+
+@query(
+    "q78_tools",
+    _FRAMES
+    + f""", {_TOOL_LINES},
+    listed AS (SELECT u, frame, row_number() OVER (PARTITION BY u ORDER BY frame) AS r, count(*) OVER (PARTITION BY u) AS total, u % 60 AS most FROM d WHERE subtype = 'deauth'),
+    found AS (SELECT u, line, text, row_number() OVER (PARTITION BY u ORDER BY line) AS r, count(*) OVER (PARTITION BY u) AS total FROM users JOIN l ON l.user_id = u AND l.source = users.source WHERE seen AND regexp_matches(text, '[13]7?\}}')),
+    ranged AS (SELECT u, line, text, count(*) OVER (PARTITION BY u) AS total FROM users JOIN l ON l.user_id = u AND l.source = users.source WHERE seen)
+    SELECT u AS user_id, 'list' AS tool, frame AS n, NULL AS text, total > most AS truncated, NULL AS error FROM listed WHERE r <= most AND most BETWEEN 1 AND 50
+    UNION ALL SELECT u, 'list', NULL, NULL, NULL, '{tools.WRONG}' FROM users WHERE u % 60 NOT BETWEEN 1 AND 50
+    UNION ALL SELECT u, 'frame', frame, NULL, false, CASE WHEN frame IS NULL THEN '{tools.WRONG}' END FROM users LEFT JOIN d USING (u) WHERE d.frame = 5 AND d.error IS NULL
+    UNION ALL SELECT u, 'frame', NULL, NULL, NULL, '{tools.WRONG}' FROM users WHERE u NOT IN (SELECT u FROM d WHERE frame = 5 AND error IS NULL AND u IS NOT NULL)
+    UNION ALL SELECT u, 'search', line, text, total > 40, NULL FROM found WHERE r <= 40
+    UNION ALL SELECT u, 'search', NULL, NULL, NULL, '{tools.WRONG}' FROM users WHERE NOT seen
+    UNION ALL SELECT u, 'read', line, text || ' of ' || total, false, NULL FROM ranged WHERE line BETWEEN 3 AND 3 + u % 90 AND u % 90 < 80
+    UNION ALL SELECT u, 'read', NULL, NULL, NULL, '{tools.WRONG}' FROM users WHERE NOT seen OR u % 90 >= 80
+    UNION ALL SELECT u, 'code', u, CASE u {" ".join(f"WHEN {k} THEN '{v}'" for k, v in tools.REASON.items())} ELSE 'unknown' END, NULL, NULL FROM users
+    UNION ALL SELECT u, 'summary', NULL, n || ' events', false, NULL FROM users""",
+)
+def q78_tools(spark, sf_dir):
+    """Six calls for each user over their decoded capture and logs, some with wrong arguments, as one query with LATERAL."""
+    e = F.col("event_id")
+    events = table(spark, sf_dir, "events")
+    source = lambda at: F.element_at(F.array(*map(F.lit, bundles.SOURCES)), (at % 4 + 1).cast("int"))
+    within = Window.partitionBy("user_id", e % 4).orderBy("event_id")
+    lines = events.select(F.col("user_id").cast("string").alias("bundle_id"), source(e).alias("source"), F.row_number().over(within).alias("line"), F.coalesce("props", F.lit("")).alias("text"))
+    users = events.groupBy("user_id").agg(F.count("*").alias("n"))
+    stats = users.select(F.col("user_id").cast("string").alias("bundle_id"), F.concat(F.col("n").cast("string"), F.lit(" events")).alias("stats"))
+    seen = _written(decoded(spark, sf_dir), "frames")
+    named = lambda df: df.withColumnRenamed("path", "bundle_id")
+    tools.register_tools(named(seen), named(frames.frame_json(seen)), lines, stats, "client")
+    users.select("user_id", F.col("user_id").cast("string").alias("b"), source(F.col("user_id")).alias("s")).createOrReplaceTempView("tool_calls")
+    return spark.sql(
+        r"""SELECT user_id, 'list' AS tool, t.frame AS n, CAST(NULL AS STRING) AS text, t.truncated, t.error FROM tool_calls c, LATERAL tool_list_frames(c.b, 'deauth', most => user_id % 60) t
+        UNION ALL SELECT user_id, 'frame', t.frame, NULL, t.truncated, t.error FROM tool_calls c, LATERAL tool_get_frame(c.b, 5) t
+        UNION ALL SELECT user_id, 'search', t.line, t.text, t.truncated, t.error FROM tool_calls c, LATERAL tool_search_log(c.b, c.s, '[13]7?\}') t
+        UNION ALL SELECT user_id, 'read', t.line, t.text || ' of ' || t.total_lines, t.truncated, t.error FROM tool_calls c, LATERAL tool_read_log(c.b, c.s, 3, 3 + user_id % 90) t
+        UNION ALL SELECT user_id, 'code', t.code, t.meaning, NULL, t.error FROM tool_calls c, LATERAL tool_lookup_code('reason', user_id) t
+        UNION ALL SELECT user_id, 'summary', NULL, t.stats, t.truncated, t.error FROM tool_calls c, LATERAL tool_capture_summary(c.b) t"""
+    )
