@@ -14,6 +14,7 @@ from framescope.plans.catalogue import CUTOFF, micros, query, table
 from framescope.sources import capture_index, capture_sink
 from framescope.sources.pcap import raw_records
 from framescope.sources.stores import shared_dir
+from framescope.streaming import recorder
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -169,3 +170,31 @@ def q78_tools(spark, sf_dir):
         UNION ALL SELECT user_id, 'code', t.code, t.meaning, NULL, t.error FROM tool_calls c, LATERAL tool_lookup_code('reason', user_id) t
         UNION ALL SELECT user_id, 'summary', NULL, t.stats, t.truncated, t.error FROM tool_calls c, LATERAL tool_capture_summary(c.b) t"""
     )
+
+
+@query(
+    "q79_recorded_logs",
+    f"""WITH e AS (SELECT user_id, ([{", ".join(f"'{x}'" for x in bundles.SOURCES)}])[event_id % 4 + 1] AS source, event_id, epoch_us(ts) * 1000 AS unix_ns, epoch_us(ts) // 1000 - 1700000000000 + event_id % 7 * 3600000 AS monotonic_ns,
+          CASE event_id % 5 WHEN 0 THEN epoch_us(ts) // 1000000 + event_id % 3 * 86400 END AS own FROM events),
+        j AS (SELECT *, unix_ns <= epoch_us(TIMESTAMP '{CUTOFF}') * 1000 AND monotonic_ns <= epoch_us(TIMESTAMP '{CUTOFF}') // 1000 - 1700000000000 AND coalesce(own <= epoch_us(TIMESTAMP '{CUTOFF}') // 1000000, true) AS inside FROM e),
+        k AS (SELECT *, monotonic_ns < lag(monotonic_ns) OVER (PARTITION BY user_id, source, inside ORDER BY event_id) AS back FROM j)
+        SELECT user_id::VARCHAR AS bundle_id, source, count(*) FILTER (WHERE inside) AS kept, count(*) FILTER (WHERE NOT inside) AS omitted, count(*) FILTER (WHERE inside AND back) AS goes_back,
+          coalesce(sum(event_id) FILTER (WHERE inside), 0)::BIGINT AS lines FROM k GROUP BY user_id, source""",
+)
+def q79_recorded_logs(spark, sf_dir):
+    """Events as a stream of log lines with receipts by two clocks; each log's end comes with them. What the checkpointed stream has written is read at
+    its last version."""
+    e, us = F.col("event_id"), micros("ts")
+    end = F.unix_micros(F.to_timestamp(F.lit(CUTOFF)))
+    source = F.element_at(F.array(*map(F.lit, bundles.SOURCES)), (e % 4 + 1).cast("int"))
+    text = F.when(e % 5 == 0, F.concat((F.floor(us / 1_000_000) + e % 3 * 86_400).cast("string"), F.lit(": told"))).otherwise(F.col("props"))
+    line = F.struct(e.alias("line"), text.alias("text"), (us * 1000).alias("unix_ns"), (F.floor(us / 1000) - 1_700_000_000_000 + e % 7 * 3_600_000).alias("monotonic_ns"), F.lit(False).alias("ends"))
+    ended = F.struct(F.lit(None).cast("bigint").alias("line"), F.lit(None).cast("string").alias("text"), (end * 1000).alias("unix_ns"), (F.floor(end / 1000) - 1_700_000_000_000).alias("monotonic_ns"), F.lit(True).alias("ends"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("bundle_id"), source.alias("source"), F.explode(F.array(line, ended)).alias("r")).select("bundle_id", "source", "r.*")
+    arriving, folder = _folder(spark, "arriving"), _folder(spark, "recorded")
+    rows.write.parquet(arriving)
+    query_ = recorder.write_versions(recorder.record_lines(spark.readStream.schema(rows.schema).parquet(arriving)), folder, _folder(spark, "recorded-at"))
+    query_.awaitTermination()
+    recorded = recorder.snapshot(spark, folder, recorder.versions(folder)[-1])
+    lines = recorded.groupBy("bundle_id", "source").agg(F.coalesce(F.sum("line"), F.lit(0)).alias("lines"))
+    return recorder.log_counts(recorded).join(lines, ["bundle_id", "source"])
