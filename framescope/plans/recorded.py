@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framescope.operators import bundles, frames, scenarios, tools
+from framescope.operators import bundles, frames, freezing, scenarios, tools
 from framescope.operators import captures as trimming
 from framescope.plans.captures import _FRAMES, decoded
 from framescope.plans.catalogue import CUTOFF, micros, query, table
@@ -198,3 +198,32 @@ def q79_recorded_logs(spark, sf_dir):
     recorded = recorder.snapshot(spark, folder, recorder.versions(folder)[-1])
     lines = recorded.groupBy("bundle_id", "source").agg(F.coalesce(F.sum("line"), F.lit(0)).alias("lines"))
     return recorder.log_counts(recorded).join(lines, ["bundle_id", "source"])
+
+
+_TREES = """f AS (SELECT 'page ' || page_id AS name, sha256(coalesce(html, '')) AS digest, page_id FROM pages),
+g AS (SELECT CASE WHEN page_id % 107 = 5 THEN name || ' moved' ELSE name END AS name, CASE WHEN page_id % 101 = 7 THEN sha256(digest) ELSE digest END AS digest FROM f WHERE page_id % 103 <> 3)"""
+
+
+def _sql_tree(side: str) -> str:
+    key = "sha256(name)"
+    low = f"(SELECT {key}[1:2] AS p, sha256(string_agg(name || chr(0) || digest || chr(10), '' ORDER BY name)) AS d FROM {side} GROUP BY 1)"
+    mid = f"(SELECT p[1:1] AS p, sha256(string_agg(p || chr(0) || d || chr(10), '' ORDER BY p)) AS d FROM {low} GROUP BY p[1:1])"
+    return f"(SELECT sha256(string_agg(p || chr(0) || d || chr(10), '' ORDER BY p)) FROM {mid})"
+
+
+@query(
+    "q80_frozen_pages",
+    f"""WITH {_TREES}
+        SELECT coalesce(f.name, g.name) AS name, CASE WHEN f.name IS NULL THEN 'added' WHEN g.name IS NULL THEN 'removed' ELSE 'changed' END AS status, {_sql_tree("f")} AS frozen_root, {_sql_tree("g")} AS present_root
+        FROM f FULL JOIN g USING (name) WHERE f.digest IS DISTINCT FROM g.digest""",
+)
+def q80_frozen_pages(spark, sf_dir):
+    """Pages as frozen files; some are changed, removed or moved since. Both trees are written, and compared from their roots down."""
+    page = F.col("page_id")
+    name, digest = F.concat(F.lit("page "), page.cast("string")), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    files = table(spark, sf_dir, "pages").select(F.lit("pages").alias("grp"), name.alias("name"), digest.alias("digest"), "page_id")
+    since = files.where(page % 103 != 3).select("grp", F.when(page % 107 == 5, F.concat("name", F.lit(" moved"))).otherwise(F.col("name")).alias("name"), F.when(page % 101 == 7, F.sha2(F.col("digest").cast("binary"), 256)).otherwise(F.col("digest")).alias("digest"))
+    frozen, present = (_written(freezing.freeze_tree(x, depth=2), "tree") for x in (files.drop("page_id"), since))
+    root = lambda tree, c: F.broadcast(freezing.tree_roots(tree).withColumnRenamed("root", c))  # noqa: E731  one row
+    changes = freezing.frozen_changes(frozen, present)
+    return changes.join(root(frozen, "frozen_root"), "grp").join(root(present, "present_root"), "grp").select("name", "status", "frozen_root", "present_root")
