@@ -48,6 +48,17 @@ def run_totals(calls: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     return calls.groupBy(*keys).agg(*(F.when(F.count(c) == F.count("*"), F.sum(c)).alias(c) for c in columns))
 
 
+def recorded_attempts(traces: DataFrame, keys: list[str], trace: str = "trace") -> DataFrame:
+    """(keys, attempts): the attempts of recorded calls, JSON documents with an array `attempts` of objects with status and error; as `retries` takes them.
+
+    The documents stay as they are (VARIANT): members of other names, and attempts of other shapes, do no harm. What is no JSON, or has no attempts, gives
+    an empty array."""
+    said = F.try_parse_json(trace)
+    opened = traces.select(*keys, F.try_variant_get(said, "$.attempts", "array<variant>").alias("held"))
+    one = "transform(coalesce(held, array()), (a, i) -> named_struct('index', i, 'status', try_variant_get(a, '$.status', 'int'), 'error', try_variant_get(a, '$.error', 'string')))"
+    return opened.select(*keys, F.expr(one).alias("attempts"))
+
+
 def retries(calls: DataFrame, keys: list[str], attempts: str = "attempts") -> DataFrame:
     """(keys, status, error, retryable, n) over the recorded attempts: array of struct(index, status, error). A time-out, 429 and 5xx may be tried again."""
     a = calls.select(*keys, F.explode(attempts).alias("a")).select(*keys, "a.status", "a.error")

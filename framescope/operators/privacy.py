@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framescope.functions.texts import name_variants, unescape_name
+from framescope.operators.bundles import visible
 
 #: Six octets joined by colons or hyphens, not inside a longer run of digits; a network name in quotes (fixed values).
 ADDRESS = r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}(?![0-9a-fA-F])"
@@ -138,22 +139,39 @@ def learn_identifiers(texts: DataFrame, names: DataFrame, parameters: DataFrame,
     return out.where("value <> ''").distinct()
 
 
-def redact(rows: DataFrame, identifiers: DataFrame, key: bytes, bundle: str = "bundle_id", text: str = "text", part_rows: int = 50_000) -> DataFrame:
+def redact(rows: DataFrame, identifiers: DataFrame, key: bytes, bundle: str = "bundle_id", text: str = "text", part_rows: int = 50_000, as_json: bool = False) -> DataFrame:
     """rows with identifiers in `text` replaced. identifiers: (bundle, kind, value), learnt from all of a bundle's sources, visible or not.
 
     A bundle of more than part_rows rows is dealt into parts by a hash of the text, and each part meets the bundle's identifiers, so no task holds a
-    whole large bundle. Addresses with colons or hyphens need no listing.
+    whole large bundle. Addresses with colons or hyphens need no listing. as_json: the texts are JSON, of which all strings are changed at any depth,
+    each on its own, and written in canonical form; names of members stay.
     """
     columns, one = rows.columns, F.lit(1)
     parts = rows.groupBy(bundle).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts"))
     dealt = rows.join(parts, bundle, "left").withColumn("_part", F.pmod(F.xxhash64(text), F.greatest(F.coalesce("_parts", one), one)).cast("int"))
-    met = identifiers.join(parts, bundle).select(bundle, "kind", "value", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    # names of their own, as identifiers may come from the very rows
+    known = identifiers.select(F.col(bundle).alias("_b"), F.col("kind").alias("_kind"), F.col("value").alias("_value"))
+    met = known.join(parts.select(F.col(bundle).alias("_b"), F.col("_parts").alias("_n")), "_b").select("_b", "_kind", "_value", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_p"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        change = replacer(key, zip(right["kind"], right["value"]))
-        return left.assign(**{text: left[text].map(change, na_action="ignore")})[columns]
+        change = replacer(key, zip(right["_kind"], right["_value"]))
+        each = (lambda t: json.dumps(redact_json(json.loads(t), change), sort_keys=True)) if as_json else change
+        return left.assign(**{text: left[text].map(each, na_action="ignore")})[columns]
 
-    return dealt.groupBy(bundle, "_part").cogroup(met.groupBy(bundle, "_part")).applyInPandas(run, rows.schema)
+    return dealt.groupBy(bundle, "_part").cogroup(met.groupBy("_b", "_p")).applyInPandas(run, rows.schema)
+
+
+def redact_bundles(bundles: DataFrame, records: DataFrame, names: DataFrame, lines: DataFrame, stats: DataFrame, key: bytes, view: str, bundle: str = "bundle_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, lines, stats) of what a view shows, redacted with one key.
+
+    bundles: bundle, parameters (JSON), path. records: bundle, frame, json. names: bundle, ssid (of frames). lines: bundle, source, line, text. stats:
+    bundle, stats. Identifiers are learnt from every record, parameter, line and summary of a bundle, its hidden logs among them, and from its path
+    and the path's last part; only records and lines of the view come out, as no row of a hidden source is ever joined to what is written."""
+    parameters = flattened_parameters(bundles, bundle=bundle)
+    whole = records.select(bundle, F.col("json").alias("text")).unionByName(lines.select(bundle, "text")).unionByName(stats.select(bundle, F.col("stats").alias("text"))).unionByName(bundles.select(bundle, F.col("parameters").alias("text")))
+    paths = bundles.select(bundle, F.explode(F.array("path", F.element_at(F.split("path", "/"), -1))).alias("value")).where("value <> ''").select(bundle, F.lit("path").alias("kind"), "value")
+    known = learn_identifiers(whole, names, parameters, bundle).unionByName(paths).distinct()
+    return redact(records, known, key, bundle, "json", as_json=True), redact(visible(lines, view), known, key, bundle), redact(stats, known, key, bundle, "stats")
 
 
 def redact_json(value: object, change: Callable[[str], str]) -> object:
@@ -177,16 +195,20 @@ def redact_json(value: object, change: Callable[[str], str]) -> object:
 
 
 def flattened_parameters(bundles: DataFrame, column: str = "parameters", bundle: str = "bundle_id") -> DataFrame:
-    """(bundle, name, value): every text member of a JSON parameter object, at any depth of objects, under its own name."""
-
-    @F.udf("array<struct<name:string,value:string>>")
-    def members(text: str | None) -> list[tuple[str, str]]:
-        out, open_ = [], [json.loads(text)] if text else []
-        while open_:
-            item = open_.pop()
-            if isinstance(item, dict):
-                out += [(k, v) for k, v in item.items() if isinstance(v, str)]
-                open_ += [v for v in item.values() if isinstance(v, dict)]
-        return out
-
-    return bundles.select(bundle, F.explode(members(column)).alias("m")).select(bundle, "m.name", "m.value")
+    """(bundle, name, value): every text member of a JSON parameter object, at any depth of objects, under its own name. What is no JSON has none.
+
+    The engine takes the objects apart, one level of all bundles a step; a step more than the deepest object finds nothing, and ends it."""
+    spark = bundles.sparkSession
+    members = lambda df: df.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(bundle, F.col("key").alias("name"), F.col("value").alias("v"), F.schema_of_variant("value").alias("kind"))
+    level = members(bundles.select(bundle, F.try_parse_json(column).alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'"))
+    texts = []
+    while True:
+        texts.append(level.where("kind = 'STRING'").select(bundle, "name", F.variant_get("v", "$", "string").alias("value")))
+        objects = level.where("kind like 'OBJECT%' and kind <> 'OBJECT<>'").select(bundle, "v")
+        if objects.isEmpty():
+            break
+        level = members(objects)
+    out = texts[0]
+    for more in texts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framescope.operators import bundles, frames, freezing, scenarios, tools
+from framescope.operators import bundles, frames, freezing, privacy, scenarios, tools
 from framescope.operators import captures as trimming
 from framescope.plans.captures import _FRAMES, decoded
-from framescope.plans.catalogue import CUTOFF, micros, query, table
+from framescope.plans.catalogue import _HMAC_SQL, CUTOFF, KEY, micros, query, table
 from framescope.sources import capture_index, capture_sink
 from framescope.sources.pcap import raw_records
 from framescope.sources.stores import shared_dir
@@ -227,3 +227,44 @@ def q80_frozen_pages(spark, sf_dir):
     root = lambda tree, c: F.broadcast(freezing.tree_roots(tree).withColumnRenamed("root", c))  # noqa: E731  one row
     changes = freezing.frozen_changes(frozen, present)
     return changes.join(root(frozen, "frozen_root"), "grp").join(root(present, "present_root"), "grp").select("name", "status", "frozen_root", "present_root")
+
+
+def _sql_digest(kind: str, value: str) -> str:
+    return _HMAC_SQL.replace("encode(c_name)", f"encode('{kind}' || chr(0) || {value})")
+
+
+_ALIASES = f"""users AS (SELECT user_id AS u, bool_or(event_id % 4 = 0) AS told, printf('0a:00:%02x:%02x:%02x:%02x', user_id >> 24, (user_id >> 16) & 255, (user_id >> 8) & 255, user_id & 255) AS mac FROM events GROUP BY user_id),
+h AS (SELECT *, {_sql_digest("mac", "mac")} AS m, 'ssid-' || {_sql_digest("ssid", "'net-' || (u % 50)")}[1:8] AS net FROM users),
+a AS (SELECT *, printf('%02x', (('0x' || m[1:2])::INTEGER | 2) & 254) || m[3:12] AS bare FROM h)"""
+
+
+@query(
+    "q81_redacted_views",
+    f"""WITH {_ALIASES}, c AS (SELECT *, bare[1:2] || ':' || bare[3:4] || ':' || bare[5:6] || ':' || bare[7:8] || ':' || bare[9:10] || ':' || bare[11:12] AS colons FROM a)
+        SELECT user_id::VARCHAR AS bundle_id, CASE event_id % 4 WHEN 1 THEN 'wpa_supplicant' ELSE 'dhcp_client' END AS source, event_id AS line,
+          CASE event_id % 4 WHEN 1 THEN 'raw ' || CASE WHEN told THEN bare ELSE replace(mac, ':', '') END || ' joins ' || net || ' by <redacted-secret>' ELSE 'lease at <bundle>/leases for ' || colons END AS text FROM events JOIN c ON u = user_id WHERE event_id % 4 IN (1, 3)
+        UNION ALL SELECT user_id::VARCHAR, 'frame', event_id, '{{"addrs": ["' || colons || '"], "event": ' || event_id || ', "ssid": "' || net || '"}}' FROM events JOIN c ON u = user_id WHERE event_id % 4 = 2
+        UNION ALL SELECT u::VARCHAR, 'stats', NULL, net || ' seen' FROM c""",
+)
+def q81_redacted_views(spark, sf_dir):
+    """Users as bundles, redacted end to end for the client's view: addresses as bare digits are known from hidden logs only, names and secrets from
+    nested parameters."""
+    e, u = F.col("event_id"), F.col("user_id")
+    bundle, digits = u.cast("string").alias("bundle_id"), F.concat(F.lit("0a00"), F.lower(F.lpad(F.hex(u), 8, "0")))
+    colons = F.concat_ws(":", *(F.substring(digits, 2 * k + 1, 2) for k in range(6)))
+    net, secret = F.concat(F.lit("net-"), (u % 50).cast("string")), F.concat(F.lit("pass-word-"), u.cast("string"))
+    path = F.concat(F.lit("/runs/ok/lab-"), u.cast("string"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    users = events.select("user_id").distinct()
+    meta = users.select(bundle, F.to_json(F.struct(F.struct(F.struct(net.alias("ssid"), secret.alias("psk")).alias("ap"), F.lit(6).alias("channel")).alias("lab"))).alias("parameters"), path.alias("path"))
+    hidden = F.concat(F.lit("station "), F.upper(F.translate(colons, ":", "-")), F.lit(" joined"))
+    raw = F.concat(F.lit("raw "), digits, F.lit(" joins "), net, F.lit(" by "), secret)
+    said = F.when(e % 4 == 0, hidden).when(e % 4 == 1, raw).otherwise(F.concat(F.lit("lease at "), path, F.lit("/leases for "), colons))
+    source = F.element_at(F.array(*map(F.lit, ("hostapd", "wpa_supplicant", "dhcp_server", "dhcp_client"))), (e % 4 + 1).cast("int"))
+    lines = events.where(e % 4 != 2).select(bundle, source.alias("source"), e.alias("line"), said.alias("text"))
+    records = events.where(e % 4 == 2).select(bundle, e.alias("frame"), F.to_json(F.struct(net.alias("ssid"), e.alias("event"), F.array(colons).alias("addrs"))).alias("json"))
+    names = events.where(e % 4 == 2).select(bundle, net.alias("ssid"))
+    stats = users.select(bundle, F.concat(net, F.lit(" seen")).alias("stats"))
+    shown, seen, told = privacy.redact_bundles(meta, records, names, lines, stats, KEY, "client")
+    frames_ = shown.select("bundle_id", F.lit("frame").alias("source"), F.col("frame").alias("line"), F.col("json").alias("text"))
+    return seen.unionByName(frames_).unionByName(told.select("bundle_id", F.lit("stats").alias("source"), F.lit(None).cast("bigint").alias("line"), F.col("stats").alias("text")))

@@ -35,8 +35,35 @@ def test_overlaps_of_identifiers():
 
 
 def test_parameters_at_any_depth(spark):
-    df = spark.createDataFrame([("b", json.dumps({"ssid": "x", "ap": {"psk": "y", "channel": 6}})), ("c", None)], "bundle_id string, parameters string")
-    assert sorted(map(tuple, privacy.flattened_parameters(df).collect())) == [("b", "psk", "y"), ("b", "ssid", "x")]
+    deep = {"psk": "deepest"}
+    for _ in range(6):
+        deep = {"in": deep, "list": [{"ssid": "no member of an object's object"}], "none": None, "empty": {}}
+    rows = [("b", json.dumps({"ssid": "x", "ap": {"psk": "y", "channel": 6}})), ("c", None), ("d", json.dumps(deep)), ("e", "no json"), ("f", "[1]"), ("g", "{}"), ("h", '"text"')]
+    df = spark.createDataFrame(rows, "bundle_id string, parameters string")
+    assert sorted(map(tuple, privacy.flattened_parameters(df).collect())) == [("b", "psk", "y"), ("b", "ssid", "x"), ("d", "psk", "deepest")]
+    assert privacy.flattened_parameters(df.where("bundle_id = 'c'")).collect() == []
+
+
+def test_bundle_is_redacted_end_to_end(spark):
+    bundles_ = spark.createDataFrame([("a", json.dumps({"ap": {"ssid": "Lab net", "wpa_passphrase": "s3cret-word"}}), "/runs/ok/a1"), ("b", None, "/runs/b1")], "bundle_id string, parameters string, path string")
+    records = spark.createDataFrame([("a", 1, json.dumps({"addrs": ["02:00:00:00:00:aa"], "ssid": "Lab net", "n": 1, "in": {"x": ["at a1"]}})), ("b", 1, json.dumps({"ssid": "Lab net"}))], "bundle_id string, frame int, json string")
+    names = spark.createDataFrame([("b", "other")], "bundle_id string, ssid string")
+    lines = spark.createDataFrame([("a", "hostapd", 1, "station 02-00-00-00-00-BB joined"), ("a", "wpa_supplicant", 1, "raw 0200000000bb and 4c6162206e6574, s3cret-word in /runs/ok/a1/x"), ("a", "wpa_supplicant", 2, None), ("b", "wpa_supplicant", 1, 'raw 0200000000bb ssid="mine" other mine')], "bundle_id string, source string, line int, text string")
+    stats = spark.createDataFrame([("a", "1 of Lab net from 02:00:00:00:00:AA"), ("b", "none")], "bundle_id string, stats string")
+    shown, seen, told = privacy.redact_bundles(bundles_, records, names, lines, stats, KEY, "client")
+    alias = lambda kind, v: privacy.pseudonym(KEY, kind, v)
+    aa, bb, net = alias("mac", "02:00:00:00:00:aa"), alias("mac", "02:00:00:00:00:bb"), alias("ssid", "Lab net")
+    assert {r.bundle_id: json.loads(r.json) for r in shown.collect()} == {"a": {"addrs": [aa], "ssid": net, "n": 1, "in": {"x": ["at <bundle>"]}}, "b": {"ssid": "Lab net"}}
+    assert {(r.bundle_id, r.source, r.line): r.text for r in seen.collect()} == {("a", "wpa_supplicant", 1): f"raw {bb.replace(':', '')} and {net}, <redacted-secret> in <bundle>/x", ("a", "wpa_supplicant", 2): None, ("b", "wpa_supplicant", 1): f'raw 0200000000bb ssid="{alias("ssid", "mine")}" {alias("ssid", "other")} {alias("ssid", "mine")}'}
+    assert {r.bundle_id: r.stats for r in told.collect()} == {"a": f"1 of {net} from {aa}", "b": "none"}
+
+
+def test_recorded_attempts(spark):
+    rows = [(1, json.dumps({"attempts": [{"status": 429, "error": "slow"}, {"status": None, "error": "request timed out", "more": {}}, {"status": "x"}, 5], "z": 1})), (2, "no json"), (3, json.dumps({"attempts": "none"})), (4, None)]
+    found = accounting.recorded_attempts(spark.createDataFrame(rows, "k int, trace string"), ["k"])
+    assert {r.k: [tuple(a) for a in r.attempts] for r in found.collect()} == {1: [(0, 429, "slow"), (1, None, "request timed out"), (2, None, None), (3, None, None)], 2: [], 3: [], 4: []}
+    again = {(r.status, r.error): (r.retryable, r.n) for r in accounting.retries(found.where("k = 1"), ["k"]).collect()}
+    assert again == {(429, "slow"): (True, 1), (None, "request timed out"): (True, 1), (None, None): (False, 2)}
 
 
 def test_credentials_behind_layers(spark):
