@@ -262,13 +262,20 @@ def pairing_faults(rows: DataFrame, group: str, key: str, label: str) -> DataFra
     return each.select(key, F.explode(violations({"missing_in_group": F.col("_g") == n_groups, "repeated": F.col("_n") == F.col("_g"), "label_differs": F.col("_l") == 1})).alias("fault"))
 
 
+def paired_differences(rows: DataFrame, group: str, key: str, label: str, prediction: str) -> DataFrame:
+    """(left, right, key, difference): for every two groups and each key that both label alike, right or wrong (1, 0) of the one less that of the other."""
+    side = lambda x: rows.select(F.col(group).alias(x), key, F.col(label).alias(f"_{x}_label"), (F.col(label) == F.col(prediction)).cast("int").alias(f"_{x}"))
+    both = side("left").join(side("right"), key).where("left < right and _left_label <=> _right_label")
+    return both.select("left", "right", key, (F.col("_left") - F.col("_right")).alias("difference"))
+
+
 def paired_groups(rows: DataFrame, group: str, key: str, label: str, prediction: str) -> DataFrame:
     """(left, right, n, difference, only_left, only_right) of every two groups: a partial sum for each pair of groups, after one join on the key.
 
     Only keys that both groups label alike count; pairing_faults lists the others."""
-    side = lambda x: rows.select(F.col(group).alias(x), key, F.col(label).alias(f"_{x}_label"), (F.col(label) == F.col(prediction)).cast("int").alias(f"_{x}"))
-    both = side("left").join(side("right"), key).where("left < right and _left_label <=> _right_label")
-    return both.groupBy("left", "right").agg(F.count("*").alias("n"), F.avg(F.col("_left") - F.col("_right")).alias("difference"), F.count_if(F.col("_left") > F.col("_right")).alias("only_left"), F.count_if(F.col("_left") < F.col("_right")).alias("only_right"))
+    d = F.col("difference")
+    both = paired_differences(rows, group, key, label, prediction)
+    return both.groupBy("left", "right").agg(F.count("*").alias("n"), F.avg(d).alias("difference"), F.count_if(d > 0).alias("only_left"), F.count_if(d < 0).alias("only_right"))
 
 
 def dense_confusion(rows: DataFrame, label: str, prediction: str, labels: Sequence[str], predictions: Sequence[str]) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framescope.functions.statistics import mcnemar_exact
+from framescope.operators.bundles import paired_differences, paired_groups
 from framescope.operators.relations import first_reason
 from framescope.operators.summaries import class_scores, majority, quantiles
 
@@ -40,24 +46,65 @@ def group_metrics(rows: DataFrame, classes: int, group: str = "group") -> DataFr
     return plain.join(f1, group, "left")
 
 
-def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, order: str, resamples: int = 2000, seed: int = 20260926, level: float = 0.95) -> DataFrame:
-    """Per key: n, mean, and the percentile interval of resampled means.
+#: Rows of a block that a resample's draws are split over, and distinct values up to which a block draws counts of values in place of rows.
+BLOCK_ROWS, FEW_VALUES = 65_536, 256
 
-    Each row's weight in a resample is Poisson(1), drawn from a hash of (row, resample): no row needs to see another, so a group may be of any size,
-    and what is shuffled is one partial sum for each key and resample.
-    """
-    u = (F.pmod(F.xxhash64(order, "_r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    steps, total, term = F.lit(0), 0.0, 0.36787944117144233  # exp(-1)
-    for k in range(8):
-        total += term
-        steps = steps + F.when(u > total, 1).otherwise(0)
-        term /= k + 1
-    drawn = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), order, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_r")).withColumn("_w", steps)
-    means = drawn.groupBy(*keys, "_r").agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias("_m"))
+
+def block_draws(sizes: Sequence[int], block: int, resamples: int, seed: int) -> np.ndarray:
+    """How many of each resample's draws, one for each row of all blocks, fall into one block.
+
+    A multinomial split down a binary tree of blocks: each half's share of its parent's draws is binomial, drawn from a generator that the half's place
+    seeds. So every block finds its own counts alone, and they add up to the rows for each resample."""
+    draws, low, high = np.full(resamples, sum(sizes)), 0, len(sizes)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = np.random.default_rng([seed, low, high]).binomial(draws, sum(sizes[low:middle]) / max(1, sum(sizes[low:high])))
+        draws, low, high = (first, low, middle) if block < middle else (draws - first, middle, high)
+    return draws
+
+
+def block_sums(values: np.ndarray, draws: np.ndarray, seed: Sequence[int]) -> np.ndarray:
+    """For each resample, the sum of so many draws with replacement from a block's values."""
+    rng = np.random.default_rng(seed)
+    told, counts = np.unique(values, return_counts=True)
+    if told.size <= FEW_VALUES:
+        return rng.multinomial(draws, counts / counts.sum()) @ told
+    return np.array([values[rng.integers(0, values.size, n)].sum() for n in draws.tolist()])
+
+
+def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, order: str, resamples: int = 2000, seed: int = 20260926, level: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per key: n, mean, and the percentile interval of the means of resamples with replacement.
+
+    Rows are dealt into blocks by a hash of `order` (unique in a key), and each block makes its own part of every resample (block_draws), so a group may
+    be of any size, no row is repeated, and what is shuffled after the blocks are one partial sum for each block and resample. Null values don't count. The draws
+    depend on seed, order and values alone."""
+    few = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.col(order).alias("_o"))
+    counts = few.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("_n"))
+    dealt = (few.join(counts, keys) if keys else few.join(F.broadcast(counts), how="cross")).select(*keys, "_v", "_o", F.pmod(F.xxhash64("_o"), F.col("_n")).cast("int").alias("_b"))  # one row, where there are no keys
+    held = dealt.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_c"))).alias("_held"))  # a few bytes for each block
+    sizes = held.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), F.posexplode("_held").alias("_at", "_one"), F.col("_held._c").alias("_sizes")).withColumn("_k", F.col("_one._b"))
+
+    def run(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        at, held = int(told["_at"].iloc[0]), [int(x) for x in told["_sizes"].iloc[0]]
+        values = block.sort_values(["_o", "_v"])["_v"].to_numpy()
+        sums = block_sums(values, block_draws(held, at, resamples, seed), [seed, at])
+        return pd.DataFrame({**{k: block[k].iloc[:1].to_numpy() for k in keys}, "_sums": [sums.astype(float)]})
+
+    types = ", ".join([*(f"`{k}` {few.schema[k].dataType.simpleString()}" for k in keys), "_sums array<double>"])
+    parts = dealt.groupBy(*keys, "_b").cogroup(sizes.groupBy(*(f"_{i}" for i in range(len(keys))), "_k")).applyInPandas(run, types)
+    sums = parts.select(*keys, F.posexplode("_sums").alias("_r", "_s")).groupBy(*keys, "_r").agg(F.sum("_s").alias("_s"))
     low, high = (1 - level) / 2, (1 + level) / 2
-    limits = means.groupBy(*keys).agg(F.expr(f"percentile(_m, {low})").alias("low"), F.expr(f"percentile(_m, {high})").alias("high"))
+    limits = sums.groupBy(*keys).agg(F.expr(f"percentile(_s, {low})").alias("low"), F.expr(f"percentile(_s, {high})").alias("high"))
     plain = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    return plain.join(limits, keys) if keys else plain.join(limits)
+    both = plain.join(limits, keys) if keys else plain.join(limits)
+    return both.withColumns({c: F.col(c) / F.col("n") for c in ("low", "high")})
+
+
+def paired_intervals(rows: DataFrame, group: str, key: str, label: str, prediction: str, resamples: int = 2000) -> DataFrame:
+    """paired_groups of every two groups with the interval of their difference (low, high) and the exact two-sided p of their discordant pairs."""
+    pairs = paired_groups(rows, group, key, label, prediction)
+    limits = bootstrap_interval(paired_differences(rows, group, key, label, prediction), ["left", "right"], "difference", key, resamples)
+    return pairs.join(limits.select("left", "right", "low", "high"), ["left", "right"]).withColumn("p", mcnemar_exact(F.col("only_left"), F.col("only_right")))
 
 
 def leak_probe(df: DataFrame, id_col: str, vector: str, label: str, dev: F.Column, seed: int = 9173) -> DataFrame:

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framescope.operators import bundles, frames, freezing, privacy, scenarios, tools
+from framescope.operators import bundles, evaluation, frames, freezing, privacy, scenarios, tools
 from framescope.operators import captures as trimming
 from framescope.plans.captures import _FRAMES, decoded
 from framescope.plans.catalogue import _HMAC_SQL, CUTOFF, KEY, micros, query, table
+from framescope.plans.evidence import _GRADED, _graded
 from framescope.sources import capture_index, capture_sink
 from framescope.sources.pcap import raw_records
 from framescope.sources.stores import shared_dir
@@ -268,3 +269,18 @@ def q81_redacted_views(spark, sf_dir):
     shown, seen, told = privacy.redact_bundles(meta, records, names, lines, stats, KEY, "client")
     frames_ = shown.select("bundle_id", F.lit("frame").alias("source"), F.col("frame").alias("line"), F.col("json").alias("text"))
     return seen.unionByName(frames_).unionByName(told.select("bundle_id", F.lit("stats").alias("source"), F.lit(None).cast("bigint").alias("line"), F.col("stats").alias("text")))
+
+
+@query(
+    "q82_paired_intervals",
+    f"""WITH r AS (SELECT g, vec_id, (label = prediction)::INT AS hit FROM ({_GRADED})), d AS (SELECT a.g AS "left", b.g AS "right", a.hit - b.hit AS d FROM r a JOIN r b USING (vec_id) WHERE a.g < b.g)
+        SELECT "left", "right", count(*) AS n, round(avg(d), 9) AS difference, count(*) FILTER (WHERE d > 0) AS only_left, count(*) FILTER (WHERE d < 0) AS only_right, true AS covers, true AS as_wide FROM d GROUP BY ALL""",
+)
+def q82_paired_intervals(spark, sf_dir):
+    """Differences between graded groups with their resampled intervals; what SQL can say of those is that they hold the difference, and are as wide as the
+    normal law's to a third."""
+    found = evaluation.paired_intervals(_graded(spark, sf_dir), "g", "vec_id", "label", "prediction")
+    d, n = F.col("difference"), F.col("n")
+    error = F.sqrt(((F.col("only_left") + F.col("only_right")) / n - d * d) / n)
+    as_wide = (error == 0) | (F.col("high") - F.col("low")).between(2 * 1.96 * error * 2 / 3, 2 * 1.96 * error * 4 / 3)
+    return found.select("left", "right", "n", F.round(d, 9).alias("difference"), "only_left", "only_right", d.between(F.col("low"), F.col("high")).alias("covers"), as_wide.alias("as_wide"))
