@@ -284,3 +284,72 @@ def q82_paired_intervals(spark, sf_dir):
     error = F.sqrt(((F.col("only_left") + F.col("only_right")) / n - d * d) / n)
     as_wide = (error == 0) | (F.col("high") - F.col("low")).between(2 * 1.96 * error * 2 / 3, 2 * 1.96 * error * 4 / 3)
     return found.select("left", "right", "n", F.round(d, 9).alias("difference"), "only_left", "only_right", d.between(F.col("low"), F.col("high")).alias("covers"), as_wide.alias("as_wide"))
+
+
+def varied_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packet for each event, of 24 kinds by event_id % 24: management frames of every subtype with fields, headers of every length, bodies that must not be
+    read, radiotap headers with namespaces, vendors' words and typed lists, check sequences, padding, and each kind of error but a scan's."""
+    e, u = F.col("event_id"), F.col("user_id")
+    low = lambda value, size: _hex(value, size, F.lit(True))
+    client, network = F.concat(F.lit("0600"), F.lpad(F.hex(e), 8, "0")), F.concat(F.lit("020000"), F.lpad(F.hex(u % 50), 6, "0"))
+    freq, signal = low(2412 + 5 * (u % 13), 2), F.lpad(F.hex(226 - u % 60), 2, "0")
+    head = lambda control: [F.lit(control + "0000"), client, network, network, low(e % 4096 * 16, 2)]
+    name = F.concat(F.lit("net-"), (u % 50).cast("string"))
+    ssid = [F.lit("00"), F.lpad(F.hex(F.length(name)), 2, "0"), F.hex(name)]
+    plain = [F.lit("00000d0028000000"), freq, F.lit("a000"), signal]
+    flagged = lambda flags: [F.lit(f"00000f002a000000{flags}00"), freq, F.lit("a000"), signal]
+    message = lambda info: [F.lit(f"aaaa03000000888e0203005f02{info}0000"), F.lpad(F.hex(e), 16, "0"), F.lit("00" * 82)]
+    ended = [*head("a000"), low(e % 60, 2)]
+    frames_ = [
+        [*plain, *head("0000"), F.lit("11040a00"), *ssid],
+        [*plain, *head("1000"), F.lit("1104"), low(e % 50, 2), low(F.lit(0xC000) + e % 2000 + 1, 2)],
+        [*plain, *head("2000"), F.lit("11040500"), network, F.lit("010482848b96")],
+        [*plain, *head("3000"), F.lit("1104"), low(e % 50, 2), low(F.lit(0xC000) + e % 2000 + 1, 2)],
+        [*plain, *head("4000"), F.lit("0000")],
+        [*plain, *head("5000"), low(e, 8), F.lit("64001104"), *ssid, F.lit("03010b")],
+        [*plain, *ended],
+        [*flagged("10"), *head("c000"), low(e % 60, 2), F.lit("deadbeef")],
+        [*plain, *head("b000"), F.lit("030001000000ffffffffff")],
+        [*plain, *head("0842"), F.lit("aaaa03000000888e02")],
+        [*plain, *head("8004"), F.lit("00")],
+        [*plain, *head("8802"), F.lit("8000aaaa03000000888e02")],
+        [*flagged("20"), *head("8802"), F.lit("00000000"), *message("008a")],
+        [F.lit("00000e00200000a020000000d0"), signal, *ended],
+        [F.lit("00001c00200000c0070000a020000000d000001122010300ffffff"), signal, *ended],
+        [F.lit("000018000000001005000100"), signal, F.lit("00000003000400"), freq, F.lit("a000"), *ended],
+        [F.lit("0000080000000060"), *ended],
+        [*plain, *head("8000"), low(e, 8), F.lit("6400110403020101")],
+        [*plain, *head("8100"), low(e, 8)],
+        [*plain, *head("8002"), low(e, 8)],
+        [*plain, *head("0803"), client, F.lit("aaaa030000000800")],
+        [*plain, *head("8882"), F.lit("000000000000"), *message("010a")],
+        [*plain, F.lit("d4000000"), client],
+        [*plain, *head("8000"), low(e, 8), F.lit("64001104" + "dd00" * 129)],
+    ]
+    data = F.lit(None).cast("string")
+    for k, parts in enumerate(frames_):
+        data = F.when(e % len(frames_) == k, F.concat(*parts)).otherwise(data)
+    raw = table(spark, sf_dir, "events").select(u.cast("string").alias("path"), (e + 1).alias("frame"), F.lit(127).alias("linktype"), (micros("ts") * 1000).alias("ts_ns"), F.unhex(data).alias("data"))
+    size = F.length("data").cast("bigint")
+    return raw.select("path", "frame", "linktype", "ts_ns", size.alias("captured_len"), size.alias("original_len"), "data", F.lit(None).cast("string").alias("scan_error"))
+
+
+@query(
+    "q83_varied_frames",
+    """WITH e AS (SELECT event_id AS e, user_id AS u, event_id % 24 AS k, CASE event_id % 24 WHEN 16 THEN 'malformed input' WHEN 17 THEN 'malformed input' WHEN 18 THEN 'unsupported format' WHEN 19 THEN 'malformed input' WHEN 23 THEN 'fixed capacity exceeded' END AS error FROM events),
+       g AS (SELECT *, error IS NULL AS ok, printf('02:00:00:00:00:%02x', u % 50) AS network FROM e)
+       SELECT u::VARCHAR AS path, e + 1 AS frame, error,
+         CASE WHEN ok THEN (['assoc_req', 'assoc_resp', 'reassoc_req', 'reassoc_resp', 'probe_req', 'probe_resp', 'disassoc', 'deauth', 'auth', 'data', 'beacon', 'qos_data', 'qos_data', 'disassoc', 'disassoc', 'disassoc', '', '', '', '', 'data', 'qos_data', 'ack', ''])[k + 1] END AS subtype,
+         CASE WHEN ok THEN CASE k WHEN 20 THEN 4 WHEN 22 THEN 1 ELSE 3 END END AS n_addrs, CASE WHEN ok AND k NOT IN (20, 22) THEN network END AS bssid,
+         CASE WHEN ok THEN CASE k WHEN 11 THEN 26 WHEN 12 THEN 26 WHEN 20 THEN 30 WHEN 21 THEN 30 WHEN 22 THEN 10 ELSE 24 END END AS header_len, CASE WHEN ok AND k <> 22 THEN e % 4096 END AS seq,
+         CASE WHEN k IN (0, 5) THEN 'net-' || (u % 50) WHEN k = 4 THEN '' END AS ssid, CASE WHEN NOT ok OR k IN (13, 14) THEN NULL WHEN k = 5 THEN 11 ELSE u % 13 + 1 END AS channel, CASE WHEN ok AND k NOT IN (13, 14) THEN 2412 + 5 * (u % 13) END AS freq,
+         CASE WHEN ok THEN -30 - u % 60 END AS rssi_dbm, CASE WHEN k IN (0, 1, 2, 3, 5) THEN 1041 END AS capability, CASE k WHEN 0 THEN 10 WHEN 2 THEN 5 END AS listen_interval, CASE WHEN k = 2 THEN network END AS current_ap,
+         CASE WHEN k IN (1, 3) THEN e % 2000 + 1 END AS aid, CASE WHEN k IN (1, 3) THEN e % 50 WHEN k = 8 THEN 0 END AS status_code, CASE WHEN k IN (6, 7, 13, 14, 15) THEN e % 60 END AS reason_code, CASE k WHEN 8 THEN 3 END AS auth_algorithm,
+         CASE k WHEN 12 THEN 1 WHEN 21 THEN 2 END AS eapol_msg, CASE WHEN ok THEN k = 9 END AS protected, CASE WHEN ok THEN k = 10 END AS more_fragments, CASE WHEN ok THEN k = 7 END AS fcs_present, CASE WHEN ok THEN CASE k WHEN 0 THEN 1 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END END AS n_elements
+       FROM g""",
+)
+def q83_varied_frames(spark, sf_dir):
+    found = frames.decode_frames(varied_packets(spark, sf_dir))
+    plain = "path frame error subtype bssid header_len seq ssid channel freq rssi_dbm capability listen_interval current_ap aid status_code reason_code auth_algorithm eapol_msg protected more_fragments fcs_present".split()
+    ok = F.col("error").isNull()
+    return found.select(*plain, F.when(ok, F.size("addrs")).alias("n_addrs"), F.when(ok, F.size("ies")).alias("n_elements"))
