@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from framescope.operators import bundles, evaluation, frames, freezing, privacy, scenarios, tools
 from framescope.operators import captures as trimming
-from framescope.plans.captures import _FRAMES, decoded
+from framescope.plans.captures import _FRAMES, captures, decoded
 from framescope.plans.catalogue import _HMAC_SQL, CUTOFF, KEY, micros, query, table
 from framescope.plans.evidence import _GRADED, _graded
-from framescope.sources import capture_index, capture_sink
+from framescope.sources import capture_index, capture_sink, dataset
 from framescope.sources.pcap import raw_records
 from framescope.sources.stores import shared_dir
 from framescope.streaming import recorder
@@ -353,3 +353,38 @@ def q83_varied_frames(spark, sf_dir):
     plain = "path frame error subtype bssid header_len seq ssid channel freq rssi_dbm capability listen_interval current_ap aid status_code reason_code auth_algorithm eapol_msg protected more_fragments fcs_present".split()
     ok = F.col("error").isNull()
     return found.select(*plain, F.when(ok, F.size("addrs")).alias("n_addrs"), F.when(ok, F.size("ies")).alias("n_elements"))
+
+
+@query(
+    "q84_loaded_dataset",
+    _FRAMES
+    + """, per_user AS (SELECT user_id AS u, count(*) AS n_lines FROM events GROUP BY user_id), sound AS (SELECT u, count(*) AS n_frames FROM d WHERE error IS NULL GROUP BY u)
+    SELECT u::VARCHAR AS bundle_id, array_to_string(list_sort(list_filter([CASE WHEN u % 7 = 3 THEN 'missing_dhcp_client.log' END, CASE WHEN u % 11 = 5 THEN 'no_document' END, CASE WHEN u % 11 <> 5 AND u % 10 = 0 THEN 'capture_error' END,
+        CASE WHEN u % 11 <> 5 AND u % 9 = 4 THEN 'label' END, CASE WHEN u % 11 <> 5 AND u % 13 = 1 THEN 'failure_without_error' END, CASE WHEN u % 11 <> 5 AND u % 17 = 2 THEN 'other_members' END], lambda x: x IS NOT NULL)), ',') AS reasons,
+      CASE WHEN u % 11 <> 5 THEN u END AS seed, n_lines, n_frames FROM per_user JOIN sound USING (u)""",
+)
+def q84_loaded_dataset(spark, sf_dir):
+    """Users as bundles on disk, some with faults, written as files and read as a dataset."""
+    u, e = F.col("user_id"), F.col("event_id")
+    events = table(spark, sf_dir, "events")
+    users = events.select("user_id").distinct()
+    label = F.when(u % 9 == 4, "no class").otherwise("ok")
+    told = F.struct(
+        label.alias("label"), u.alias("seed"), F.lit("dev").alias("split"), F.struct(F.lit("lab").alias("ssid")).alias("parameters"), F.lit("k").alias("kernel"), F.struct(F.lit("1").alias("x")).alias("tool_versions"), F.lit("2024-01-01T00:00:00Z").alias("started_at"),
+        F.lit("2024-01-01T00:02Z").alias("ended_at"), F.when(u % 13 == 1, "failed").otherwise("ok").alias("status"), F.lit("c").alias("generator_commit"), F.when(u % 17 == 2, "more").alias("surplus"),
+    )
+    name = lambda of, file: F.concat(of.cast("string"), F.lit("/"), F.lit(file)).alias("path")
+    meta = users.select(name(u, "meta.json"), F.when(u % 11 == 5, "no json").otherwise(F.to_json(told)).cast("binary").alias("content"))
+    # a log's lines are pieces of its file, in order, as a capture's records are
+    logs = [users.where((u % 7 != 3) | F.lit(s != "dhcp_client")).select(name(u, f"{s}.log"), F.lit(0).cast("bigint").alias("frame"), F.lit("").cast("binary").alias("record")) for s in bundles.SOURCES]
+    pieces = meta.select("path", F.lit(0).cast("bigint").alias("frame"), F.col("content").alias("record"))
+    for log in logs:
+        pieces = pieces.unionByName(log)
+    lines = events.select(name(u, "hostapd.log"), (e + 1).alias("frame"), F.concat(F.coalesce("props", F.lit("")), F.lit("\n")).cast("binary").alias("record"))
+    taken = captures(spark, sf_dir).select(F.concat("path", F.lit("/capture.pcap")).alias("path"), F.lit(0).cast("bigint").alias("frame"), F.col("content").alias("record"))
+    folder = _folder(spark, "dataset")
+    capture_sink.write_captures(pieces.unionByName(lines).unionByName(taken), folder, suffix="")
+    data = dataset.read_dataset(spark, f"{folder}/part-*", require_window=False)
+    n_lines = data.lines.groupBy("bundle_id").agg(F.count("*").alias("n_lines"))
+    n_frames = data.frames.where("error is null").groupBy("bundle_id").agg(F.count("*").alias("n_frames"))
+    return data.bundles.select("bundle_id", F.array_join("reject_reasons", ",").alias("reasons"), "seed").join(n_lines, "bundle_id").join(n_frames, "bundle_id")

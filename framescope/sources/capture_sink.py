@@ -38,8 +38,8 @@ class Written(WriterCommitMessage):
 
 
 class CaptureWriter(DataSourceArrowWriter):
-    def __init__(self, target: str, overwrite: bool):
-        self.target, self.overwrite = target.rstrip("/"), overwrite
+    def __init__(self, target: str, overwrite: bool, suffix: str):
+        self.target, self.overwrite, self.suffix = target.rstrip("/"), overwrite, suffix
         self.run = uuid.uuid4().hex
         self.staging = f"{self.target}/_temporary-{self.run}"
 
@@ -49,12 +49,12 @@ class CaptureWriter(DataSourceArrowWriter):
         folder = f"{base}/part-{context.partitionId():05d}-{context.taskAttemptId()}"
         store.create_dir(folder, recursive=True)
         listed: list[dict] = []
-        name, stream, digest, frames, size, last = None, None, None, 0, 0, -1
+        name, file, stream, digest, frames, size, last = None, "", None, None, 0, 0, -1
 
         def end() -> None:
             if stream is not None:
                 stream.close()
-                listed.append({"path": name, "file": f"{quote(name, safe='')}.pcap", "frames": frames, "bytes": size, "sha256": digest.hexdigest()})
+                listed.append({"path": name, "file": file, "frames": frames, "bytes": size, "sha256": digest.hexdigest()})
 
         try:
             for batch in iterator:
@@ -62,7 +62,10 @@ class CaptureWriter(DataSourceArrowWriter):
                     if path.as_py() != name:
                         end()
                         name, digest, frames, size, last = path.as_py(), hashlib.sha256(), -1, 0, -1
-                        stream = store.open_output_stream(f"{folder}/{quote(name, safe='')}.pcap")
+                        file = "/".join(quote(part, safe="") for part in name.split("/")) + self.suffix
+                        if "/" in file:
+                            store.create_dir(f"{folder}/{file}".rsplit("/", 1)[0], recursive=True)
+                        stream = store.open_output_stream(f"{folder}/{file}")
                     if frame.as_py() <= last or last < 0 and frame.as_py() != 0:
                         raise ValueError(f"records of {name!r} must begin with frame 0 and ascend")
                     last, data = frame.as_py(), memoryview(record.as_buffer())
@@ -113,19 +116,24 @@ class CaptureFiles(DataSource):
         return SINK_SCHEMA
 
     def writer(self, schema: StructType, overwrite: bool) -> CaptureWriter:
-        return CaptureWriter(self.options["path"], overwrite)
+        return CaptureWriter(self.options["path"], overwrite, self.options.get("suffix", ".pcap"))
 
 
-def write_captures(records: DataFrame, folder: str, mode: str = "append") -> None:
+def write_captures(records: DataFrame, folder: str, mode: str = "append", suffix: str = ".pcap") -> None:
     """Writes each capture (path, frame, record; frame 0 is its header) as one file under folder; nothing is visible there before all tasks have ended.
 
     A capture's records meet in one task, which streams them; captures are dealt by path. A capture without a header, or with a frame twice, fails the
-    write. mode: append adds files, overwrite replaces what is there, in the commit."""
+    write. mode: append adds files, overwrite replaces what is there, in the commit. A path's parts are folders; its last part gets the suffix."""
     spark = records.sparkSession
     spark.dataSource.register(CaptureFiles)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = records.select("path", F.col("frame").cast("bigint").alias("frame"), "record").repartition(parts, "path").sortWithinPartitions("path", "frame")
-    dealt.write.format("capture_files").mode(mode).save(folder)
+    dealt.write.format("capture_files").mode(mode).option("suffix", suffix).save(folder)
+
+
+def write_files(files: DataFrame, folder: str, mode: str = "append") -> None:
+    """Writes whole files (path, content) in the same way; they stand in folders of the tasks that wrote them: folder/part-*/path."""
+    write_captures(files.select("path", F.lit(0).alias("frame"), F.col("content").cast("binary").alias("record")), folder, mode, "")
 
 
 def written_captures(spark: SparkSession, folder: str) -> DataFrame:

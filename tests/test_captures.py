@@ -103,3 +103,9 @@ def test_growing_captures_come_once(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out")).withColumn("path", name)
     wanted = pcap.read_packets(spark, str(tmp_path / "in")).withColumn("path", name)
     assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_whole_files_in_folders(spark, tmp_path):
+    files = [("b1/meta.json", b"{}"), ("b1/log one.txt", b""), ("b 2/meta.json", b"x" * 5000)]
+    capture_sink.write_files(spark.createDataFrame(files, "path string, content binary"), str(tmp_path / "out"))
+    assert {p.relative_to(tmp_path / "out").as_posix().split("/", 1)[1]: p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith((".", "_", "captures"))} == {"b1/meta.json": b"{}", "b1/log%20one.txt": b"", "b%202/meta.json": b"x" * 5000}
