@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framescope.operators import bundles, evaluation, frames, freezing, privacy, scenarios, tools
+from framescope.operators import bundles, evaluation, frames, freezing, privacy, runs, scenarios, tools
 from framescope.operators import captures as trimming
 from framescope.plans.captures import _FRAMES, captures, decoded
 from framescope.plans.catalogue import _HMAC_SQL, CUTOFF, KEY, micros, query, table
@@ -388,3 +388,38 @@ def q84_loaded_dataset(spark, sf_dir):
     n_lines = data.lines.groupBy("bundle_id").agg(F.count("*").alias("n_lines"))
     n_frames = data.frames.where("error is null").groupBy("bundle_id").agg(F.count("*").alias("n_frames"))
     return data.bundles.select("bundle_id", F.array_join("reject_reasons", ",").alias("reasons"), "seed").join(n_lines, "bundle_id").join(n_frames, "bundle_id")
+
+
+@query(
+    "q85_injection_checks",
+    f"""WITH o AS (SELECT o_orderkey AS k, {_LABELLED} AS label FROM orders)
+        SELECT k AS o_orderkey, label, array_to_string(list_sort(list_filter([CASE WHEN k % 5 = 0 THEN 'ap_enabled' END, CASE WHEN k % 7 = 0 THEN 'station_pmf_query' END, CASE WHEN k % 7 = 0 THEN 'station_pmf_loaded' END,
+          CASE WHEN label = 'mac_denied' AND k % 2 = 0 THEN 'station_in_live_deny_acl' END, CASE WHEN label <> 'dhcp_no_server' AND k % 11 = 0 THEN 'server_running' END, CASE WHEN label = 'ap_deauth' AND k % 4 = 1 THEN 'deauthentication_ack_after_completion' END,
+          CASE WHEN label = 'dhcp_no_server' AND k % 3 = 0 THEN 'server_never_launched' END], lambda x: x IS NOT NULL)), ',') AS failed FROM o""",
+)
+def q85_injection_checks(spark, sf_dir):
+    """Each order is a bundle of one of nine classes, with drawn parameters, written files and recorded answers, some of them wrong."""
+    k = F.col("o_orderkey")
+    label = F.element_at(F.array(*map(F.lit, bundles.CLASSES)), (k % 9 + 1).cast("int"))
+    drawn = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), scenarios.draw_parameters(k, F.lit("test")).alias("parameters"))
+    p, of = F.col("parameters"), lambda *names: F.col("label").isin(*names)
+    answer = lambda text, code=0: F.struct(F.lit(code).alias("returncode"), text.alias("stdout"))
+    replies = {
+        "ap_status": F.when(k % 5 == 0, "state=DISABLED\n").otherwise("state=ENABLED\n"),
+        "ap_config": F.concat(F.lit("ssid="), p["ssid"], F.lit("\nkey_mgmt="), F.when(of("akm_mismatch"), "SAE").otherwise("WPA-PSK"), F.lit("\n")),
+        "station_ssid": F.concat(F.lit('"'), F.when(of("ssid_not_found"), p["absent_ssid"]).otherwise(p["ssid"]), F.lit('"\n')),
+        "station_pmf": F.when(k % 7 == 0, "FAIL\n").when(of("pmf_required_unsupported"), "0").otherwise("1"),
+        "station_status": F.lit("wpa_state=SCANNING\n"),
+        "deny_acl": F.when(k % 2 == 0, "").otherwise(F.upper(p["station_mac"])),
+        "occupant_authorized": F.lit("flags=[AUTH][AUTHORIZED]"),
+    }
+    told = F.create_map(*(x for name, text in replies.items() for x in (F.lit(name), answer(text))))
+    logs = lambda gone: F.filter(F.array(F.lit("hostapd.log"), F.lit("wpa_supplicant.log"), F.when(~gone, "dhcp_server.log")), lambda x: x.isNotNull())
+    step = lambda word, said: F.struct(F.array(F.lit("cli"), F.lit(word)).alias("argv"), F.lit(0).alias("returncode"), F.lit(said).alias("stdout"))
+    acted = F.array(step("status", "wpa_state=COMPLETED"), step("deauthenticate", "OK"))
+    steps = F.when(k % 4 == 1, F.reverse(acted)).otherwise(acted)
+    files = scenarios.render_configs(drawn, F.lit("/run/lab"), "o_orderkey").where("file in ('hostapd.conf', 'station.conf')").groupBy("o_orderkey").pivot("file", ["hostapd.conf", "station.conf"]).agg(F.first("content"))
+    none = of("dhcp_no_server")
+    checks = runs.injection_checks(F.col("label"), p, told, F.col("`hostapd.conf`"), F.col("`station.conf`"), logs((k % 11 == 0) | none), logs(none & (k % 3 != 0)), steps)
+    failed = F.array_sort(F.transform(F.filter(F.col("checks"), lambda c: ~c["passed"]), lambda c: c["check"]))
+    return drawn.join(files, "o_orderkey").select("o_orderkey", "label", checks.alias("checks")).select("o_orderkey", "label", F.array_join(failed, ",").alias("failed"))
