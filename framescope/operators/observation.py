@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framescope.functions.texts import fitting_member
+from framescope.functions.texts import assigned_ipv4, fitting_member
 from framescope.operators.summaries import quantiles
 
 BROADCAST = "ff:ff:ff:ff:ff:ff"
+#: Directions and kinds of events in results (fixed values).
 DIRECTIONS = ("ap_to_station", "station_to_ap", "ap_to_broadcast", "other")
 EVENTS = ("auth", "assoc", "eapol", "dhcp")
 #: Log lines that tell of the address protocol, of an address obtained, and of a code; a line that is an address alone (fixed values).
@@ -111,6 +112,24 @@ def station_flags(lines: DataFrame, stations: DataFrame) -> DataFrame:
     return rows.select("bundle_id", has("ASSOC").alias("associated"), has("AUTHORIZED").alias("authorized"), error.alias("error"))
 
 
+#: What is said of an interface's answer that can't be read (fixed values).
+NO_INTERFACE, NO_ADDRESSES, BAD_ADDRESS = "IPv4 query did not return the station interface", "IPv4 query is missing addr_info", "malformed station address record"
+
+
+def interface_lease(answer: Column, interface: str = "wlan1") -> Column:
+    """struct(ipv4_lease_present, error) of what an interface's addresses were told to be: JSON, a list of the one interface with its addr_info. A lease is an
+    IPv4 address that is neither loopback nor unspecified; present is null where there is an error. A null answer tells nothing."""
+    document = F.try_parse_json(answer)
+    only = F.when(F.size(F.try_variant_get(document, "$", "array<variant>")) == 1, F.try_variant_get(document, "$[0]", "variant"))
+    named = F.coalesce(F.try_variant_get(only, "$.ifname", "string") == interface, F.lit(False))
+    listed = F.coalesce(F.schema_of_variant(F.try_variant_get(only, "$.addr_info", "variant")).startswith("ARRAY"), F.lit(False))
+    addresses = F.coalesce(F.try_variant_get(only, "$.addr_info", "array<variant>"), F.array().cast("array<variant>"))
+    records = F.forall(addresses, lambda a: F.coalesce(F.schema_of_variant(a).startswith("OBJECT"), F.lit(False)))
+    four = F.transform(F.filter(addresses, lambda a: F.try_variant_get(a, "$.family", "string") == "inet"), lambda a: assigned_ipv4(F.try_variant_get(a, "$.local", "string")))
+    error = F.when(answer.isNotNull(), F.when(~named, NO_INTERFACE).when(~listed, NO_ADDRESSES).when(~records | F.exists(four, lambda x: x.isNull()), BAD_ADDRESS))
+    return F.struct(F.when(answer.isNotNull() & error.isNull(), F.exists(four, lambda x: F.coalesce(x, F.lit(False)))).alias("ipv4_lease_present"), error.alias("error"))
+
+
 def outcome_distributions(runs: DataFrame) -> DataFrame:
     """(label, field, value, n): how often each outcome field had each value; nulls are 'unknown'. runs: label and OUTCOME_FIELDS."""
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in OUTCOME_FIELDS))

@@ -114,3 +114,16 @@ def test_long_frames_are_cited_by_a_member(spark):
     none = spark.createDataFrame([], "bundle_id string, source string, line int, text string")
     cited = {r.bundle_id: (r.source, r.ref, r.quote) for r in observation.first_evidence(none, shown, ["hostapd"]).collect()}
     assert cited == {"a": ("frame", 1, '"frame": 1'), "b": ("frame", 2, '"frame": 1'), "c": ("frame", 5, '{"frame": 5}')}
+
+
+def test_interface_answers(spark):
+    told = lambda *addresses, name="wlan1": json.dumps([{"ifname": name, "addr_info": list(addresses)}])
+    four = lambda local: {"family": "inet", "local": local}
+    cases = [
+        (told(four("192.0.2.20"), {"family": "inet6", "local": "::1"}), True, None), (told(four("127.0.0.1"), four("0.0.0.0")), False, None), (told(), False, None), (told({"family": "inet6", "local": "no"}), False, None),
+        (told(four("10.1.1.1"), name="eth0"), None, observation.NO_INTERFACE), ("[]", None, observation.NO_INTERFACE), ("no json", None, observation.NO_INTERFACE), ('[{"ifname": "wlan1"}, {}]', None, observation.NO_INTERFACE),
+        ('[{"ifname": "wlan1"}]', None, observation.NO_ADDRESSES), ('[{"ifname": "wlan1", "addr_info": {}}]', None, observation.NO_ADDRESSES), (told("text"), None, observation.BAD_ADDRESS), (told(four("300.1.1.1")), None, observation.BAD_ADDRESS), (told(four(None)), None, observation.BAD_ADDRESS),
+        (None, None, None),
+    ]
+    out = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, a string").select("k", observation.interface_lease(F.col("a")).alias("s")).collect()
+    assert {r.k: tuple(r.s) for r in out} == {k: tuple(c[1:]) for k, c in enumerate(cases)}
