@@ -121,15 +121,14 @@ def _filled(lines: list[str], values: dict[str, Column]) -> Column:
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-def render_configs(bundles: DataFrame, directory: Column, key: str = "bundle_id", parameters: str = "parameters") -> DataFrame:
-    """(key, file, content): the six files of each bundle (label, parameters: struct as draw_parameters makes it). Rows of other labels give none."""
-    p = F.col(parameters)
-    values = {c.split()[0]: p[c.split()[0]].cast("string") for c in PARAMETERS.split(", ")} | {"directory": directory}
-    by_label = lambda told: _by_label({k: _filled(v, values) if isinstance(v, list) else F.lit(v) for k, v in told.items()})
-    asked = F.when(F.col("label") == "ssid_not_found", values["absent_ssid"]).otherwise(values["ssid"])
-    secret = F.when(F.col("label") == "wrong_passphrase", values["wrong_passphrase"]).otherwise(values["passphrase"])
+def config_files(label: Column, parameters: Column, directory: Column) -> dict[str, Column]:
+    """The content of each of the six files, by name, of a bundle of a class with parameters (struct as draw_parameters makes it)."""
+    values = {c.split()[0]: parameters[c.split()[0]].cast("string") for c in PARAMETERS.split(", ")} | {"directory": directory}
+    by_label = lambda told: _by_label(label, {k: _filled(v, values) if isinstance(v, list) else F.lit(v) for k, v in told.items()})
+    asked = F.when(label == "ssid_not_found", values["absent_ssid"]).otherwise(values["ssid"])
+    secret = F.when(label == "wrong_passphrase", values["wrong_passphrase"]).otherwise(values["passphrase"])
     station = lambda network, key_, control: _filled(STATION_LINES, values | {"network": network, "secret": key_, "control": F.lit(control), "protection": by_label(STATION_PROTECTION)})
-    files = {
+    return {
         "hostapd.conf": F.concat(_filled(AP_SETTINGS, values), by_label(AP_KEYS)),
         "station.conf": station(asked, secret, "sta-control"),
         "occupant.conf": station(values["ssid"], values["passphrase"], "occupant-control"),
@@ -137,15 +136,20 @@ def render_configs(bundles: DataFrame, directory: Column, key: str = "bundle_id"
         "dnsmasq.conf": _filled(DHCP_SETTINGS, values),
         "dhcp-script.sh": F.lit("\n".join([*DHCP_SCRIPT, ""])),
     }
+
+
+def render_configs(bundles: DataFrame, directory: Column, key: str = "bundle_id", parameters: str = "parameters") -> DataFrame:
+    """(key, file, content): the six files of each bundle (label, parameters: struct as draw_parameters makes it). Rows of other labels give none."""
+    files = config_files(F.col("label"), F.col(parameters), directory)
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("file"), content.alias("content")) for name, content in files.items())))
-    return bundles.where(F.col("label").isin(*CLASSES) & p.isNotNull()).select(key, each.alias("f")).select(key, "f.file", "f.content")
+    return bundles.where(F.col("label").isin(*CLASSES) & F.col(parameters).isNotNull()).select(key, each.alias("f")).select(key, "f.file", "f.content")
 
 
-def _by_label(cases: dict[str | None, Column]) -> Column:
+def _by_label(label: Column, cases: dict[str | None, Column]) -> Column:
     out = F
-    for label, value in cases.items():
-        if label is not None:
-            out = out.when(F.col("label") == label, value)
+    for name, value in cases.items():
+        if name is not None:
+            out = out.when(label == name, value)
     return out.otherwise(cases[None])
 
 

@@ -418,8 +418,8 @@ def q85_injection_checks(spark, sf_dir):
     step = lambda word, said: F.struct(F.array(F.lit("cli"), F.lit(word)).alias("argv"), F.lit(0).alias("returncode"), F.lit(said).alias("stdout"))
     acted = F.array(step("status", "wpa_state=COMPLETED"), step("deauthenticate", "OK"))
     steps = F.when(k % 4 == 1, F.reverse(acted)).otherwise(acted)
-    files = scenarios.render_configs(drawn, F.lit("/run/lab"), "o_orderkey").where("file in ('hostapd.conf', 'station.conf')").groupBy("o_orderkey").pivot("file", ["hostapd.conf", "station.conf"]).agg(F.first("content"))
+    files = scenarios.config_files(F.col("label"), p, F.lit("/run/lab"))  # beside what they belong to: no join, which Spark might broadcast by the size of the keys alone
     none = of("dhcp_no_server")
-    checks = runs.injection_checks(F.col("label"), p, told, F.col("`hostapd.conf`"), F.col("`station.conf`"), logs((k % 11 == 0) | none), logs(none & (k % 3 != 0)), steps)
+    checks = runs.injection_checks(F.col("label"), p, told, files["hostapd.conf"], files["station.conf"], logs((k % 11 == 0) | none), logs(none & (k % 3 != 0)), steps)
     failed = F.array_sort(F.transform(F.filter(F.col("checks"), lambda c: ~c["passed"]), lambda c: c["check"]))
-    return drawn.join(files, "o_orderkey").select("o_orderkey", "label", checks.alias("checks")).select("o_orderkey", "label", F.array_join(failed, ",").alias("failed"))
+    return drawn.where(p.isNotNull()).select("o_orderkey", "label", checks.alias("checks")).select("o_orderkey", "label", F.array_join(failed, ",").alias("failed"))

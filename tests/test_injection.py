@@ -56,3 +56,10 @@ def test_what_fails_is_named(verdicts):
     assert verdicts["ok", "code"][2] == {"ap_config_query", "ap_ssid_loaded"}
     assert verdicts["dhcp_no_server", "started"][2] == {"server_never_launched"}
     assert verdicts["ok", "down"][2] == {"daemon_processes_running", "server_running"}
+
+
+def test_checks_need_no_join(spark):
+    """A join's side of drawn parameters would be broadcast by the size of its keys, through the driver."""
+    from framescope.plans import recorded
+
+    assert "Join" not in recorded.q85_injection_checks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
