@@ -63,11 +63,15 @@ def with_scenario(bundles: DataFrame) -> DataFrame:
     return bundles.join(F.broadcast(scenarios(bundles.sparkSession)), "label", "left")
 
 
+_OCTETS = np.array([f"{x:02x}:" for x in range(256)])
+
+
 def _addresses(draws: Draws, who: np.ndarray) -> np.ndarray:
     """Locally administered unicast addresses."""
     octets = np.stack([draws.below(256, who) for _ in range(6)], axis=1)
     octets[:, 0] = (octets[:, 0] | 2) & 254
-    return np.array([":".join(f"{x:02x}" for x in row) for row in octets], object)
+    parts = np.stack([_OCTETS[octets[:, k]] for k in range(6)], axis=1)
+    return parts.view("<U18").ravel().astype("<U17").astype(object)  # without the last colon
 
 
 def drawn(seeds: np.ndarray, split: str, prefix: str) -> pd.DataFrame:
@@ -153,9 +157,33 @@ def _by_label(label: Column, cases: dict[str | None, Column]) -> Column:
     return out.otherwise(cases[None])
 
 
+def changed_values(content: Column, baseline: Column) -> Column:
+    """Names of the settings (key=value lines) that differ between two texts, sorted; a setting of one side only differs. Null counts as no text."""
+    told, base = (F.coalesce(config_values(x), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))) for x in (content, baseline))
+    # a let: each side is taken apart once
+    both = F.array(F.struct(told.alias("a"), base.alias("b")))
+    differ = lambda s: F.filter(F.array_union(F.map_keys(s["a"]), F.map_keys(s["b"])), lambda k: ~F.try_element_at(s["a"], k).eqNullSafe(F.try_element_at(s["b"], k)))
+    return F.array_sort(F.get(F.transform(both, differ), F.lit(0)))
+
+
 def changed_settings(configs: DataFrame, baseline: DataFrame, key: str = "bundle_id") -> DataFrame:
     """(key, file, changed): which settings of each file differ from the same file of the baseline, sorted; files without any are left out. Both sides
-    are (key, file, content) of key=value lines; a setting of one side only differs."""
-    side = lambda df, name: df.select(key, "file", F.explode(config_values(F.col("content"))).alias("setting", name))
-    both = side(configs, "_a").join(side(baseline, "_b"), [key, "file", "setting"], "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
-    return both.groupBy(key, "file").agg(F.array_sort(F.collect_list("setting")).alias("changed"))  # a file's settings: a dozen
+    are (key, file, content) of key=value lines, with a row for each file; a setting of one side only differs. Whole files meet, and only those that differ
+    are taken apart."""
+    side = lambda df, name: df.select(key, "file", F.col("content").alias(name))
+    both = side(configs, "_a").join(side(baseline, "_b"), [key, "file"], "full_outer")
+    return _with_changes(both, [key, "file"])
+
+
+def changed_from_class(bundles: DataFrame, directory: Column, baseline: str = "ok", key: str = "bundle_id", parameters: str = "parameters") -> DataFrame:
+    """(key, label, file, changed), as changed_settings gives it, of each bundle's files (see render_configs) against those of a bundle of another class
+    with the same parameters. Both are written side by side in the bundle's own row, so nothing is drawn twice and nothing shuffled."""
+    own, other = (config_files(label, F.col(parameters), directory) for label in (F.col("label"), F.lit(baseline)))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("file"), own[name].alias("_a"), other[name].alias("_b")) for name in own)))
+    return _with_changes(bundles.where(F.col("label").isin(*CLASSES) & F.col(parameters).isNotNull()).select(key, "label", each.alias("f")).select(key, "label", "f.*"), [key, "label", "file"])
+
+
+def _with_changes(both: DataFrame, columns: list[str]) -> DataFrame:
+    a, b = F.col("_a"), F.col("_b")
+    # exploded, as a filter behind the projection would be moved before it and take the texts apart twice
+    return both.where(~a.eqNullSafe(b)).select(*columns, F.explode(F.filter(F.array(changed_values(a, b)), lambda x: F.size(x) > 0)).alias("changed"))

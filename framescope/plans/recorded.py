@@ -122,9 +122,8 @@ def q77_changed_settings(spark, sf_dir):
     k = F.col("o_orderkey")
     label = F.element_at(F.array(*map(F.lit, bundles.CLASSES)), (k % 9 + 1).cast("int"))
     drawn = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), scenarios.draw_parameters(k, F.lit("dev")).alias("parameters"))
-    files = lambda of: scenarios.render_configs(of, F.lit("/run/lab"), "o_orderkey")
-    changed = scenarios.changed_settings(files(drawn), files(drawn.withColumn("label", F.lit("ok"))), "o_orderkey")
-    return changed.join(drawn.select("o_orderkey", "label"), "o_orderkey").select("o_orderkey", "label", "file", F.array_join("changed", ",").alias("changed"))
+    changed = scenarios.changed_from_class(drawn, F.lit("/run/lab"), "ok", "o_orderkey")
+    return changed.select("o_orderkey", "label", "file", F.array_join("changed", ",").alias("changed"))
 
 
 #: Each user's events as lines of four logs, and six calls for each user.

@@ -59,3 +59,11 @@ def test_only_causes_differ(spark):
     assert f'\n    ssid="{p.absent_ssid}"\n    psk="{p.passphrase}"\n    scan_ssid=1\n    key_mgmt=WPA-PSK\n    ieee80211w=1\n}}\n' in files["station.conf"]
     assert f"ctrl_interface=/run/x/ap-control\nssid={p.ssid}\nhw_mode=g\nchannel={p.channel}\nbssid={p.ap_mac}\n" in files["hostapd.conf"] and files["deny.txt"] == p.station_mac + "\n"
     assert {r.label: (tuple(r.ap_keys or ()), tuple(r.actions or ())) for r in scenarios.with_scenario(drawn).collect()}["mac_denied"] == (("macaddr_acl", "deny_mac_file"), ("deny_station",))
+
+
+def test_changed_files_need_no_shuffle(spark):
+    """Settings of both sides were exploded, and met in a shuffle for every line of every file."""
+    from framescope.plans import recorded
+
+    plan = recorded.q77_changed_settings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
