@@ -6,9 +6,11 @@ are faults. Captures are decoded frame by frame, logs are numbered lines; each k
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,41 @@ def _place(path: str, k: int) -> Column:
     return F.element_at(F.split(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), "/"), -k)
 
 
-def _files(spark: SparkSession, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(pattern).select(_place("path", 2).alias("bundle_id"), _place("path", 1).alias("file"), "content")
+def _found(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Files of a name (a glob will do) that stand in a bundle below a folder.
+
+    The folder is listed as a whole, by tasks that each take many bundles; a path for each file would be looked up by the driver, and listed by a task of
+    its own. Spark passes over names with a leading underscore or dot where it lists, so bundles of such names are listed by themselves."""
+    if _depth(folder) is None:
+        return spark.read.format("binaryFile").load(f"{folder}/*/{name}")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    roots = [folder]
+    try:
+        reader.load(f"{folder}/[_.]*")
+        roots.append(f"{folder}/[_.]*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return reader.load(roots).where(_in_bundle(folder))
+
+
+_STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _depth(folder: str) -> int | None:
+    """How many parts the paths of a folder have (a glob will do); None for a relative one, and for alternatives of unlike depth."""
+    inside = re.sub(_STORE, "", folder)
+    return len([x for x in inside.split("/") if x]) if inside.startswith("/") and not re.search(r"\{[^}]*/", inside) else None
+
+
+def _in_bundle(folder: str) -> Column:
+    """Whether a path is that of a file right in a bundle below a folder, and not deeper."""
+    depth = _depth(folder)
+    return F.lit(True) if depth is None else F.size(F.split(F.ltrim(F.regexp_replace("path", _STORE, ""), F.lit("/")), "/")) == depth + 2
+
+
+def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return _found(spark, folder, name).select(_place("path", 2).alias("bundle_id"), _place("path", 1).alias("file"), "content")
 
 
 def _text(content: str) -> Column:
@@ -67,7 +102,7 @@ def _kind(document: Column, member: str) -> Column:
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each bundle's metadata, with what its rules need, and document_faults: what is wrong with the document itself."""
     v = F.col("v")
-    said = _files(spark, f"{folder}/*/meta.json").select("bundle_id", _text("content").alias("text")).withColumn("v", F.try_parse_json("text"))
+    said = _files(spark, folder, "meta.json").select("bundle_id", _text("content").alias("text")).withColumn("v", F.try_parse_json("text"))
     get = lambda member, kind="string": F.try_variant_get(v, f"$.{member}", kind)
     right = {f"member_{m}": _kind(v, m) == k for m, k in REQUIRED.items()}
     for m, k in OPTIONAL.items():
@@ -120,18 +155,18 @@ def read_dataset(spark: SparkSession, folder: str, require_window: bool = True,
     error or whose frames repeat, and a window or log that is not what was recorded; errors of single frames are no fault."""
     folder = folder.rstrip("/")
     meta = read_metadata(spark, folder)
-    captured = _files(spark, f"{folder}/*/capture.pcap")
+    captured = _files(spark, folder, "capture.pcap")
     packets = packets_of(captured.select(F.col("bundle_id").alias("path"), "content"), most=most)
     frames = decode_frames(packets).withColumnRenamed("path", "bundle_id")
-    logs = _files(spark, f"{folder}/*/*.log").where(F.col("file").isin(*(f"{s}.log" for s in SOURCES))).withColumn("source", F.regexp_replace("file", r"\.log$", ""))
+    logs = _files(spark, folder, "*.log").where(F.col("file").isin(*(f"{s}.log" for s in SOURCES))).withColumn("source", F.regexp_replace("file", r"\.log$", ""))
     lines = lines_of(logs.select("bundle_id", "source", _text("content").alias("t")), ["bundle_id", "source"], "t").withColumnRenamed("content", "text")
     # names of files come from Spark's listing, which has the empty ones too
-    listed = [unquote(urlparse(f).path).split("/")[-2:] for f in spark.read.format("binaryFile").load(f"{folder}/*/*").inputFiles()]
-    there = spark.createDataFrame(listed or [["", ""]], "bundle_id string, file string").groupBy("bundle_id").agg(F.collect_set("file").alias("files"))
+    listed = spark.createDataFrame(pa.table({"path": pa.array(_found(spark, folder, "*").inputFiles(), pa.string())}))
+    there = listed.where(_in_bundle(folder)).select(_place("path", 2).alias("bundle_id"), _place("path", 1).alias("file")).groupBy("bundle_id").agg(F.collect_set("file").alias("files"))
     seen = packets.where("frame > 0").groupBy(F.col("path").alias("bundle_id")).agg(F.count("*").alias("found_frames"), F.max("ts_ns").alias("last_frame_ns"))
     digests = captured.select("bundle_id", F.sha2("content", 256).alias("found_capture_digest"))
     judged = accepted_bundles(meta, packets.select(F.col("path").alias("bundle_id"), "frame", "scan_error"))
-    joined = there.where("bundle_id <> ''").join(judged, "bundle_id", "left").join(seen, "bundle_id", "left").join(digests, "bundle_id", "left").na.fill(0, ["found_frames"])
+    joined = there.join(judged, "bundle_id", "left").join(seen, "bundle_id", "left").join(digests, "bundle_id", "left").na.fill(0, ["found_frames"])
     lacks = F.array_except(F.array(*map(F.lit, REQUIRED_FILES)), F.col("files"))
     lacking = F.transform(lacks, lambda f: F.concat(F.lit("missing_"), f))
     own = F.when(F.col("document_faults").isNull(), F.array(F.lit("no_document"))).when(F.array_contains("document_faults", "no_document"), F.col("document_faults")).otherwise(F.array_distinct(F.concat("document_faults", "reject_reasons", window_record_faults(require_window))))
@@ -139,7 +174,7 @@ def read_dataset(spark: SparkSession, folder: str, require_window: bool = True,
     windowed = meta.where("version is not null or end_unix_ns is not null")
     faults = faults.unionByName(log_window_faults(windowed, logs.select("bundle_id", "source", F.sha2("content", 256).alias("digest")), lines)).distinct()
     reasons = faults.groupBy("bundle_id").agg(F.array_sort(F.collect_set("fault")).alias("reject_reasons"))  # a few names
-    bundles = there.where("bundle_id <> ''").select("bundle_id").join(meta, "bundle_id", "left").join(reasons, "bundle_id", "left").withColumn("reject_reasons", F.coalesce("reject_reasons", F.array().cast("array<string>")))
+    bundles = there.select("bundle_id").join(meta, "bundle_id", "left").join(reasons, "bundle_id", "left").withColumn("reject_reasons", F.coalesce("reject_reasons", F.array().cast("array<string>")))
     return Dataset(bundles, frames, lines, faults)
 
 

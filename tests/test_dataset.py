@@ -90,3 +90,13 @@ def test_models(spark, tmp_path):
     assert faults.isEmpty() and [(r.name, r.max_tokens, r.context_length, r.rpm, r.input_price_inr_per_million) for r in models.orderBy("name").collect()] == [("a", 4096, 131072, 30.0, None), ("b", 9, 131072, 30.0, 1.5)]
     faults = sorted(map(tuple, dataset.read_models(spark, str(tmp_path / "object.json"))[1].collect()))
     assert faults == sorted([("a", "unique"), ("a", "unique"), ("a", "base_url"), ("", "name"), ("", "model"), ("", "rpm"), ("", "retries"), ("", "price")])
+
+
+def test_only_folders_of_bundles_count(spark, tmp_path):
+    """Files deeper than a bundle's own are none of a bundle's; a bundle's name may begin with an underscore, and blanks are names too."""
+    write_bundle(tmp_path, "_first one")
+    write_bundle(tmp_path, "second")
+    write_bundle(tmp_path / "second", "deeper")
+    data = dataset.read_dataset(spark, str(tmp_path))
+    assert {(r.bundle_id, tuple(r.reject_reasons)) for r in data.bundles.collect()} == {("_first one", ()), ("second", ())}
+    assert {(r.bundle_id, r["count"]) for r in data.lines.groupBy("bundle_id").count().collect()} == {("_first one", 2), ("second", 2)}
