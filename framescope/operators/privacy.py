@@ -6,13 +6,15 @@ import hashlib
 import hmac
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framescope.functions.batches import map_batches
 from framescope.functions.texts import name_variants, unescape_name
 from framescope.operators.bundles import visible
 
@@ -153,12 +155,29 @@ def redact(rows: DataFrame, identifiers: DataFrame, key: bytes, bundle: str = "b
     known = identifiers.select(F.col(bundle).alias("_b"), F.col("kind").alias("_kind"), F.col("value").alias("_value"))
     met = known.join(parts.select(F.col(bundle).alias("_b"), F.col("_parts").alias("_n")), "_b").select("_b", "_kind", "_value", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_p"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        change = replacer(key, zip(right["_kind"], right["_value"]))
-        each = (lambda t: json.dumps(redact_json(json.loads(t), change), sort_keys=True)) if as_json else change
-        return left.assign(**{text: left[text].map(each, na_action="ignore")})[columns]
-
-    return dealt.groupBy(bundle, "_part").cogroup(met.groupBy("_b", "_p")).applyInPandas(run, rows.schema)
+    nothing = lambda df, taken: [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in taken]
+    known_first = met.select(F.col("_b").alias(bundle), F.col("_p").alias("_part"), "_kind", "_value", *nothing(rows, {bundle}))
+    # a bundle's identifiers come before its rows: tasks read on from bundle to bundle, without a call and a table for each
+    both = dealt.select(*columns, "_part", F.lit(None).cast("string").alias("_kind"), F.lit(None).cast("string").alias("_value"), F.lit(1).alias("_side")).unionByName(known_first.withColumn("_side", F.lit(0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        at, held, change = None, [], None
+        for batch in batches:
+            out, mine = [], []
+            for b, p, side, kind, value, told in zip(*(batch.column(c).to_pylist() for c in (bundle, "_part", "_side", "_kind", "_value", text))):
+                if at != (b, p):
+                    at, held, change = (b, p), [], None
+                mine.append(side == 1)
+                if side == 0:
+                    held.append((kind, value))
+                    continue
+                if change is None:
+                    change = replacer(key, held)
+                out.append(None if told is None else json.dumps(redact_json(json.loads(told), change), sort_keys=True) if as_json else change(told))
+            shown = batch.select(columns).filter(pa.array(mine, pa.bool_()))
+            yield shown.set_column(columns.index(text), text, pa.array(out, shown.schema.field(text).type))
+
+    return map_batches(both.repartition(bundle, "_part").sortWithinPartitions(bundle, "_part", "_side"), run, rows.schema)
 
 
 def redact_bundles(bundles: DataFrame, records: DataFrame, names: DataFrame, lines: DataFrame, stats: DataFrame, key: bytes, view: str, bundle: str = "bundle_id") -> tuple[DataFrame, DataFrame, DataFrame]:

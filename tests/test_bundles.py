@@ -119,3 +119,15 @@ def test_frame_lookup_and_names(spark):
     with pytest.raises(LookupError):
         frames.frame(df, 3)
     assert [r.n for r in df.select(frames.escaped_name(F.col("raw")).alias("n")).collect()] == ['a\\"\\\\\\u00e9\\u0000~', None]
+
+
+def test_redaction_calls_nothing_for_each_bundle(spark):
+    """A call and a table for each bundle cost more than its texts; bundles are read one after the other."""
+    from framescope.operators import privacy
+
+    rows = spark.createDataFrame([("a", 1, "at 0A0000000001, net"), ("a", 2, None), ("b", 1, "at 0a0000000001, net"), (None, 1, "x")], "bundle_id string, n int, text string")
+    known = spark.createDataFrame([("a", "mac", "0a:00:00:00:00:01"), ("b", "ssid", "net"), ("c", "ssid", "x")], "bundle_id string, kind string, value string")
+    found = privacy.redact(rows, known, b"k" * 16)
+    assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()
+    bare, name = privacy.address_alias(b"k" * 16, "0a0000000001").upper(), privacy.name_alias(b"k" * 16, "net")
+    assert {(r.bundle_id, r.n, r.text) for r in found.collect()} == {("a", 1, f"at {bare}, net"), ("a", 2, None), ("b", 1, f"at 0a0000000001, {name}"), (None, 1, "x")}
