@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framescope.functions.batches import map_batches
 from framescope.functions.scalars import frequency_channel
 from framescope.operators.integrity import violations
 from framescope.sources.pcap import IEEE802_11, RADIOTAP
@@ -115,7 +116,7 @@ def _with_radiotap(packets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, _RADIOTAP_COLUMNS.values()))], [*batch.schema.names, *_RADIOTAP_COLUMNS])
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packets.schema)
-    return packets.mapInArrow(run, f"{ddl}, {_RADIOTAP_DDL}")
+    return map_batches(packets, run, f"{ddl}, {_RADIOTAP_DDL}")
 
 
 def elements(body: bytes) -> tuple[list[tuple[int, int, int]], str | None]:
@@ -147,7 +148,7 @@ def _with_elements(frames: DataFrame, body: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ies, kind), pa.array([r[1] for r in rows], pa.string())], [*batch.schema.names, "_ies", "_ie_error"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
-    return frames.mapInArrow(run, f"{ddl}, _ies array<struct<id:int,len:int,offset:int>>, _ie_error string")
+    return map_batches(frames, run, f"{ddl}, _ies array<struct<id:int,len:int,offset:int>>, _ie_error string")
 
 
 def le(b: Column, at: int | Column, size: int) -> Column:

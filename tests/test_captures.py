@@ -109,3 +109,12 @@ def test_whole_files_in_folders(spark, tmp_path):
     files = [("b1/meta.json", b"{}"), ("b1/log one.txt", b""), ("b 2/meta.json", b"x" * 5000)]
     capture_sink.write_files(spark.createDataFrame(files, "path string, content binary"), str(tmp_path / "out"))
     assert {p.relative_to(tmp_path / "out").as_posix().split("/", 1)[1]: p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith((".", "_", "captures"))} == {"b1/meta.json": b"{}", "b1/log%20one.txt": b"", "b%202/meta.json": b"x" * 5000}
+
+
+def test_captures_reach_python_in_bounded_batches(spark):
+    from framescope.sources import pcap
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    pcap.packets_of(spark.createDataFrame([("a", b"")], "path string, content binary"))
+    assert int(spark.conf.get(key)) <= 4 << 20
