@@ -256,34 +256,55 @@ def position_labels(net: Network, text: str, width: int = 64) -> list[str]:
     return [net.langs[k] for k in best.tolist()]
 
 
-def length_bounds(net: Network, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = 0.005, slack: float = 0.1, full: int = 256, most_docs: int = 400) -> np.ndarray:
+def _beginnings(text: str) -> tuple[list[int], list[str]]:
+    """The beginnings of 2 ** k bytes of a text that have letters, for k from 0 on: each k, and the beginning without a character that it cuts."""
+    data = text.encode("utf-8", "replace")
+    cuts = [(k, data[: 1 << k].decode("utf-8", "ignore")) for k in range(_LONGEST + 1) if len(data) >= 1 << k]
+    found = [(k, x) for k, x in cuts if _LETTER.search(x)]
+    return [k for k, _ in found], [x for _, x in found]
+
+
+#: Steps of a sureness of 1 by which length_bounds counts.
+_STEPS = 10_000
+
+
+def length_bounds(net: Network, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = 0.005, slack: float = 0.1, full: int = 256) -> np.ndarray:
     """The least sureness by which a text of 2**k to 2**(k+1) - 1 bytes counts as one of a learnt language, for k from 0 on; longer texts have the last.
 
-    Beginnings of all such lengths of about most_docs labelled texts a language, drawn apart from the training windows, are scored: the bound of a
-    length is the sureness that all but `share` of them reach, less `slack` of its distance from chance, 1 / languages. As short texts tell little, the
-    bound falls to chance in proportion to the length below `full` bytes. It never falls with the length. A network of less than two languages cannot tell unlike texts: its bounds are 0.
+    Beginnings of all such lengths of every labelled text are scored, a text once whatever its copies: the bound of a length is the sureness that all but
+    `share` of them reach, less `slack` of its distance from chance, 1 / languages. As short texts tell little, the bound falls to chance in proportion to
+    the length below `full` bytes. It never falls with the length. A network of less than two languages cannot tell unlike texts: its bounds are 0.
+
+    Surenesses are counted by ten-thousandths, rounded down, so that what is shuffled is a row for each text, and what reaches the driver a row for each
+    length and ten-thousandth, however many texts there are.
     """
     bounds = np.zeros(_LONGEST + 1)
     if len(net.langs) < 2:
         return bounds
     known = docs.where(F.col(f"`{lang_col}`").cast("string").isin(net.langs) & F.col(f"`{text_col}`").isNotNull())
-    drawn, found_langs = _drawn_texts(known, text_col, lang_col, most_docs, "bounds")
-    if not found_langs:
-        return bounds
+    rows = known.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{text_col}`"), F.lit("bounds")).alias("h"), F.col(f"`{text_col}`").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in slices(batches):
-            data = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-            cuts = [(k, x[: 1 << k].decode("utf-8", "ignore")) for x in data for k in range(_LONGEST + 1) if len(x) >= 1 << k]
-            cuts = [(k, x) for k, x in cuts if _LETTER.search(x)]
-            found = text_sureness(net, pa.array([x for _, x in cuts], pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cuts], pa.int32()), pa.array(found, pa.float64())], ["k", "score"])
-
-    reached = map_batches(drawn.select("text"), score, "k int, score double").groupBy("k").agg(F.expr(f"percentile(score, {share})"))
-    found = {r[0]: r[1] for r in reached.collect()}
+            cuts = [_beginnings(t) for t in batch.column("text").to_pylist()]
+            found = np.floor(text_sureness(net, pa.array([x for _, texts in cuts for x in texts], pa.string())) * _STEPS).astype(np.int32)
+            ends = np.cumsum([len(ks) for ks, _ in cuts])
+            told = [[k * (_STEPS + 1) + int(x) for k, x in zip(ks, found[end - len(ks) : end])] for (ks, _), end in zip(cuts, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(told, pa.list_(pa.int32()))], ["lang", "h", "told"])
+
+    each = map_batches(rows, score, "lang string, h bigint, told array<int>").groupBy("lang", "h").agg(F.first("told").alias("told"))
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for cell, n in sorted(each.select(F.explode("told").alias("cell")).groupBy("cell").count().collect()):
+        counts.setdefault(cell // (_STEPS + 1), []).append((cell % (_STEPS + 1), n))
+    if not counts:
+        return bounds
     chance = at = 1 / len(net.langs)
     for k in range(_LONGEST + 1):
-        at = max(at, found.get(k, at))
+        if k in counts:
+            values, n = zip(*counts[k])
+            place = share * (sum(n) - 1)
+            low, high = np.searchsorted(np.cumsum(n), [int(place), int(np.ceil(place))], side="right")
+            at = max(at, (values[low] + (values[high] - values[low]) * (place - int(place))) / _STEPS)
         bounds[k] = chance + (1 - slack) * (at - chance) * min(1.0, (1 << k) / full)
     return bounds
 

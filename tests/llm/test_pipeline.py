@@ -37,3 +37,30 @@ def test_pipeline_edge_rows(spark, tmp_path, empty):
     assert kept == ([] if empty else [0, 3, 5])
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == (set() if empty else {None, 3, 5})
+
+
+def test_bounds_come_from_every_text(spark):
+    """Texts that a sample of 400 a language would mostly leave out still move the bound, and copies do not."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from framescope.llm import language
+
+    words = {"aa": "abcdefg", "bb": "tuvwxyz"}
+    rows = [(" ".join("".join(letters[(i * j + j + n) % 7] for j in range(5)) for n in range(4)) + f" {lang} {i}", lang) for lang, letters in words.items() for i in range(900)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    net = language.train(*language.training_windows(docs), steps=40)
+    cuts = {k: [] for k in range(13)}
+    for text, _ in set(rows):
+        for k, x in zip(*language._beginnings(text)):
+            cuts[k].append(x)
+    import pyarrow as pa
+
+    at, wanted = 0.5, []
+    for k in range(13):
+        if cuts[k]:
+            at = max(at, np.quantile(np.floor(language.text_sureness(net, pa.array(cuts[k], pa.string())) * 10_000), 0.005) / 10_000)
+        wanted.append(0.5 + 0.9 * (at - 0.5) * min(1.0, (1 << k) / 256))
+    assert np.allclose(language.length_bounds(net, docs), wanted, atol=1e-4)
+    assert np.allclose(language.length_bounds(net, docs.union(docs.where(F.col("text").endswith("7")))), wanted, atol=1e-4)
+    assert not language.length_bounds(net, docs.limit(0)).any()
