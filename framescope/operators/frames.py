@@ -1,16 +1,18 @@
 """Decoding of 802.11 packets: fixed fields are column expressions; only the two walks of unknown length (radiotap fields and information
-elements) run in Python, on Arrow batches."""
+elements) run in Python, on Arrow batches of the octets that they need, not of whole rows."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framescope.functions.batches import map_batches
+from framescope.functions.batches import bound_batches, give_back
 from framescope.functions.scalars import frequency_channel
 from framescope.operators.integrity import violations
 from framescope.sources.pcap import IEEE802_11, RADIOTAP
@@ -90,7 +92,8 @@ def radiotap_values(data: bytes) -> tuple[int, dict[int, bytes]]:
 
 
 _RADIOTAP_COLUMNS = {"radiotap_error": pa.string(), "radiotap_len": pa.int32(), "tsft": pa.decimal128(20, 0), "radiotap_flags": pa.int32(), "rate": pa.int32(), "freq": pa.int32(), "channel_flags": pa.int32(), "rssi_dbm": pa.int32(), "mcs_known": pa.int32(), "mcs_flags": pa.int32(), "mcs_index": pa.int32()}
-_RADIOTAP_DDL = "radiotap_error string, radiotap_len int, tsft decimal(20,0), radiotap_flags int, rate int, freq int, channel_flags int, rssi_dbm int, mcs_known int, mcs_flags int, mcs_index int"
+_RADIOTAP_TYPE = T.StructType([T.StructField(c, {pa.string(): T.StringType(), pa.int32(): T.IntegerType()}.get(t, T.DecimalType(20, 0))) for c, t in _RADIOTAP_COLUMNS.items()])
+_IES_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("id", "len", "offset")]))
 
 
 def _radiotap_row(data: bytes | None, linktype: int | None) -> tuple:
@@ -108,15 +111,13 @@ def _radiotap_row(data: bytes | None, linktype: int | None) -> tuple:
     )
 
 
-def _with_radiotap(packets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_radiotap_row(d, t) for d, t in zip(batch.column("data").to_pylist(), batch.column("linktype").to_pylist())]
-            columns = zip(*rows) if rows else [()] * len(_RADIOTAP_COLUMNS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, _RADIOTAP_COLUMNS.values()))], [*batch.schema.names, *_RADIOTAP_COLUMNS])
-
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packets.schema)
-    return map_batches(packets, run, f"{ddl}, {_RADIOTAP_DDL}")
+@F.arrow_udf(_RADIOTAP_TYPE)
+def _radiotap(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for data, linktypes in parts:
+        rows = [_radiotap_row(d, t) for d, t in zip(data.to_pylist(), linktypes.to_pylist())]
+        columns = zip(*rows) if rows else [()] * len(_RADIOTAP_COLUMNS)
+        yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _RADIOTAP_COLUMNS.values())], list(_RADIOTAP_COLUMNS))
+    give_back()
 
 
 def elements(body: bytes) -> tuple[list[tuple[int, int, int]], str | None]:
@@ -137,35 +138,36 @@ def elements(body: bytes) -> tuple[list[tuple[int, int, int]], str | None]:
     return out, None
 
 
-def _with_elements(frames: DataFrame, body: str) -> DataFrame:
-    """Adds `_ies` and `_ie_error` from the element list in column `body` (null: no list)."""
+@F.arrow_udf(T.StructType([T.StructField("ies", _IES_TYPE), T.StructField("error", T.StringType())]))
+def _elements(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The element list of each body (null: no list), and what is wrong with it."""
+    for bodies in parts:
+        found = [elements(b) if b is not None else ([], None) for b in bodies.to_pylist()]
+        every = [x for ies, _ in found for x in ies]
+        parts_of = pa.StructArray.from_arrays([pa.array([x[k] for x in every], pa.int32()) for k in range(3)], ["id", "len", "offset"])
+        ends = pa.array([0, *accumulate(len(ies) for ies, _ in found)], pa.int32())
+        yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, parts_of), pa.array([bad for _, bad in found], pa.string())], ["ies", "error"])
+    give_back()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("len", pa.int32()), ("offset", pa.int32())]))
-        for batch in batches:
-            rows = [elements(b) if b is not None else ([], None) for b in batch.column(body).to_pylist()]
-            ies = [[{"id": i, "len": n, "offset": o} for i, n, o in r[0]] for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ies, kind), pa.array([r[1] for r in rows], pa.string())], [*batch.schema.names, "_ies", "_ie_error"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
-    return map_batches(frames, run, f"{ddl}, _ies array<struct<id:int,len:int,offset:int>>, _ie_error string")
+def _digits(octets: Column, size: int) -> Column:
+    """Two digits for each of the first octets: what fields are cut from, so that it is written once."""
+    return F.lower(F.hex(F.substring(octets, 1, size)))
 
 
-def le(b: Column, at: int | Column, size: int) -> Column:
-    """An unsigned little-endian integer of up to 4 bytes at an offset; null if the bytes aren't there."""
-    part = F.hex(F.substring(b, (at if isinstance(at, Column) else F.lit(at)) + 1, F.lit(size)))
-    flipped = F.concat(*(F.substring(part, 2 * k + 1, 2) for k in range(size - 1, -1, -1)))
-    return F.when(F.length(part) == 2 * size, F.conv(flipped, 16, 10).cast("bigint")).cast("int" if size < 4 else "bigint")
+def le(digits: Column, at: int | Column, size: int) -> Column:
+    """An unsigned little-endian integer of up to 4 octets at an offset; null if the octets aren't there."""
+    octet = lambda k: F.substring(digits, (at if isinstance(at, Column) else F.lit(at)) * 2 + (2 * k + 1), F.lit(2))
+    return F.when(F.length(octet(size - 1)) == 2, F.conv(F.concat(*(octet(k) for k in range(size - 1, -1, -1))), 16, 10).cast("int" if size < 4 else "bigint"))
 
 
-def be(b: Column, at: Column, size: int, kind: str = "int") -> Column:
-    part = F.hex(F.substring(b, at + 1, F.lit(size)))
+def be(digits: Column, at: int, size: int, kind: str = "int") -> Column:
+    part = F.substring(digits, 2 * at + 1, 2 * size)
     return F.when(F.length(part) == 2 * size, F.conv(part, 16, 10).cast(kind))
 
 
-def address(b: Column, at: int) -> Column:
-    digits = F.lower(F.hex(F.substring(b, at + 1, 6)))
-    return F.concat_ws(":", *(F.substring(digits, 2 * k + 1, 2) for k in range(6)))
+def address(digits: Column, at: int) -> Column:
+    return F.concat_ws(":", *(F.substring(digits, 2 * (at + k) + 1, 2) for k in range(6)))
 
 
 def decode_frames(packets: DataFrame) -> DataFrame:
@@ -174,13 +176,16 @@ def decode_frames(packets: DataFrame) -> DataFrame:
     Absent fields are null; an empty network name is ''. A packet of a failed scan keeps its scan error.
     """
     keys = ["path", "frame", "linktype", "ts_ns"]
-    d = _with_radiotap(packets.select(*keys, "data", "scan_error"))
+    bound_batches(packets.sparkSession)
+    # the walks are told to Spark as not deterministic: what a query filters by is then not evaluated below them, and again above
+    d = packets.select(*keys, "data", "scan_error", _radiotap.asNondeterministic()("data", "linktype").alias("_radio")).select(*keys, "data", "scan_error", "_radio.*")
     fcs = F.coalesce(F.col("radiotap_flags").bitwiseAND(F.lit(0x10)) != 0, F.lit(False))
     start = F.coalesce("radiotap_len", F.lit(0))
     room = F.length("data") - start - F.when(fcs, 4).otherwise(0)
-    d = d.withColumns({"_start": start, "fcs_present": fcs, "_room": room, "_mac": F.substring("data", start + 1, F.greatest(room, F.lit(0)))})
-    mac = F.col("_mac")
-    d = d.withColumn("frame_control", le(mac, 0, 2))
+    d = d.withColumns({"_start": start, "fcs_present": fcs, "_room": room, "_mac": F.substring("data", start + 1, F.greatest(room, F.lit(0)))}).drop("data")
+    d = d.withColumn("_head", _digits(F.col("_mac"), 32))
+    mac, head = F.col("_mac"), F.col("_head")
+    d = d.withColumn("frame_control", le(head, 0, 2))
     fc = F.col("frame_control")
     bit = lambda mask: fc.bitwiseAND(F.lit(mask)) != 0
     d = d.withColumns({"type_id": F.shiftright(fc, 2).bitwiseAND(F.lit(3)), "subtype_id": F.shiftright(fc, 4).bitwiseAND(F.lit(15)), "to_ds": bit(0x100), "from_ds": bit(0x200), "more_fragments": bit(0x400), "retry": bit(0x800), "protected": bit(0x4000), "_order": bit(0x8000)})
@@ -190,46 +195,59 @@ def decode_frames(packets: DataFrame) -> DataFrame:
     qos = (kind == 2) & (sub.bitwiseAND(F.lit(8)) != 0)
     d = d.withColumns({"_fixed": F.when(kind == 1, control).when(both, 30).otherwise(24), "_n": n_addrs, "_qos": qos})
     header = F.col("_fixed") + F.when(F.col("_qos"), 2).otherwise(0) + F.when(F.col("_order") & (F.col("_qos") | (kind == 0)), 4).otherwise(0)
-    d = d.withColumns({"header_len": header, "sequence_control": F.when(kind != 1, le(mac, 22, 2)), "qos_control": F.when(F.col("_qos"), le(mac, F.col("_fixed"), 2))})
+    d = d.withColumns({"header_len": header, "sequence_control": F.when(kind != 1, le(head, 22, 2)), "qos_control": F.when(F.col("_qos"), le(head, F.col("_fixed"), 2))})
     seq = F.col("sequence_control")
     opened = (kind != 1) & ~F.col("protected") & ~F.col("more_fragments") & (seq.bitwiseAND(F.lit(15)) == 0)
     size = F.lit(None).cast("int")
     for s, n in FIXED_SIZES.items():
         size = F.when(sub == s, n).otherwise(size)
     managed = opened & (kind == 0) & size.isNotNull()
-    d = d.withColumns({"_size": F.when(managed, size), "_at": F.col("header_len"), "_body": F.when(managed, F.expr("substring(_mac, header_len + 1)"))})
-    body = F.col("_body")
+    # link-layer header, then a key frame: what stands after the header of an open data frame that carries data
+    padded = F.when(F.coalesce(F.col("radiotap_flags").bitwiseAND(F.lit(0x20)) != 0, F.lit(False)), F.ceil(F.col("header_len") / 4) * 4).otherwise(F.col("header_len")).cast("int")
+    carries = opened & (kind == 2) & (sub.bitwiseAND(F.lit(4)) == 0) & ~F.coalesce(F.col("qos_control").bitwiseAND(F.lit(0x80)) != 0, F.lit(False))
+    d = d.withColumns({"_size": F.when(managed, size), "_body": F.when(managed, F.expr("substring(_mac, header_len + 1)")), "_pad": F.when(carries, padded)})
+    pad = F.col("_pad")
+    keyed = F.when(F.substring("_mac", pad + 1, F.lit(8)) == F.lit(bytearray.fromhex("aaaa03000000888e")), F.substring("_mac", pad + 9, F.lit(1 << 20)))
+    before = F.coalesce(
+        "scan_error",
+        "radiotap_error",
+        F.when((F.col("_room") < 0) | (F.length("_mac") < 2), TRUNCATED),
+        F.when((fc.bitwiseAND(F.lit(3)) != 0) | (kind == 3) | ((kind == 1) & (sub < 7)), UNSUPPORTED),
+        F.when((kind == 0) & (F.col("to_ds") | F.col("from_ds")), MALFORMED),
+        F.when(F.length("_mac") < F.col("header_len"), TRUNCATED),
+        F.when(F.length("_body") < F.col("_size"), TRUNCATED),
+    )
+    # steps, each of which takes several times what the one before it made: Spark leaves those apart, so that each is small enough for Java's compiler
+    d = d.withColumns({"_fields": _digits(F.col("_body"), 12), "_eapol": keyed, "_before": before})
+    body, e = F.col("_fields"), F.col("_key")
     u16 = lambda at, *subs: F.when(sub.isin(*subs), le(body, at, 2))
     d = d.withColumns(
         {
+            "_key": _digits(F.col("_eapol"), 99),
             "capability": F.coalesce(u16(0, 0, 1, 2, 3), u16(10, 5, 8)),
             "listen_interval": u16(2, 0, 2),
-            "current_ap": F.when(sub == 2, address(body, 4)),
             "status_code": F.coalesce(u16(2, 1, 3), u16(4, 11)),
             "aid": u16(4, 1, 3).bitwiseAND(F.lit(0x3FFF)),
-            "timestamp": F.when(sub.isin(5, 8), le(body, 0, 4).cast("decimal(20,0)") + le(body, 4, 4).cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)")).cast("decimal(20,0)"),
             "beacon_interval": u16(8, 5, 8),
             "auth_algorithm": u16(0, 11),
             "auth_seq": u16(2, 11),
             "reason_code": u16(0, 10, 12),
         }
     )
-    listed = F.col("_size").isNotNull() & ~F.coalesce((sub == 11) & (F.col("auth_algorithm") >= 3), F.lit(False))
-    d = _with_elements(d.withColumn("_list", F.when(listed, F.expr("substring(_body, _size + 1)"))), "_list")
-    value = lambda k: F.get(F.filter("_ies", lambda x: x["id"] == k), F.lit(0))
-    held = lambda k: F.substring(F.col("_list"), value(k)["offset"] + 1, value(k)["len"])
-    # link-layer header, then a key frame: what stands after the header of an open data frame that carries data
-    padded = F.when(F.coalesce(F.col("radiotap_flags").bitwiseAND(F.lit(0x20)) != 0, F.lit(False)), F.ceil(F.col("header_len") / 4) * 4).otherwise(F.col("header_len")).cast("int")
-    carries = opened & (kind == 2) & (sub.bitwiseAND(F.lit(4)) == 0) & ~F.coalesce(F.col("qos_control").bitwiseAND(F.lit(0x80)) != 0, F.lit(False))
-    d = d.withColumns({"_pad": F.when(carries, padded), "_eapol": F.when(carries & (F.substring("_mac", padded + 1, F.lit(8)) == F.lit(bytearray.fromhex("aaaa03000000888e"))), F.substring("_mac", padded + 9, F.lit(1 << 20)))})
-    e = F.col("_eapol")
-    length, packet_type, descriptor = be(e, F.lit(2), 2), be(e, F.lit(1), 1), be(e, F.lit(4), 1)
-    key_data, info = be(e, F.lit(97), 2), be(e, F.lit(5), 2)
+    d = d.withColumns(
+        {
+            "current_ap": F.when(sub == 2, address(body, 4)),
+            "timestamp": F.when(sub.isin(5, 8), le(body, 0, 4).cast("decimal(20,0)") + le(body, 4, 4).cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)")).cast("decimal(20,0)"),
+            "_length": be(e, 2, 2), "_packet": be(e, 1, 1), "_descriptor": be(e, 4, 1), "_key_data": be(e, 97, 2), "_info": be(e, 5, 2),
+            "_first": address(head, 4), "_second": address(head, 10), "_third": address(head, 16),
+        }
+    )
+    length, packet_type, descriptor, key_data, info = (F.col(c) for c in ("_length", "_packet", "_descriptor", "_key_data", "_info"))
     is_key = (packet_type == 3) & descriptor.isin(2, 254)
     eapol_error = (
         F.when(e.isNull(), None)
-        .when(F.length(e) < 4, TRUNCATED)
-        .when(F.length(e) < length + 4, TRUNCATED)
+        .when(F.length("_eapol") < 4, TRUNCATED)
+        .when(F.length("_eapol") < length + 4, TRUNCATED)
         .when((packet_type == 3) & (length == 0), MALFORMED)
         .when(is_key & (length < 95), TRUNCATED)
         .when(is_key & (key_data != length - 95), MALFORMED)
@@ -237,42 +255,45 @@ def decode_frames(packets: DataFrame) -> DataFrame:
     four = is_key & (info.bitwiseAND(F.lit(8)) != 0) & (info.bitwiseAND(F.lit(0x2C00)) == 0)
     bits = info.bitwiseAND(F.lit(0x03C0))
     message = F.when(four, F.when(bits == 0x0080, 1).when(bits == 0x0100, F.when((descriptor == 254) & (key_data == 0), 4).otherwise(2)).when(bits.isin(0x01C0, 0x03C0), 3).when(bits == 0x0300, 4))
-    error = F.coalesce(
-        "scan_error",
-        "radiotap_error",
-        F.when((F.col("_room") < 0) | (F.length("_mac") < 2), TRUNCATED),
-        F.when((fc.bitwiseAND(F.lit(3)) != 0) | (kind == 3) | ((kind == 1) & (sub < 7)), UNSUPPORTED),
-        F.when((kind == 0) & (F.col("to_ds") | F.col("from_ds")), MALFORMED),
-        F.when(F.length("_mac") < F.col("header_len"), TRUNCATED),
-        F.when(F.length("_body") < F.col("_size"), TRUNCATED),
-        "_ie_error",
-        F.when(F.length("_mac") < F.col("_pad"), TRUNCATED),
-        eapol_error,
-    )
-    addresses = F.array(*(F.when(F.col("_n") > k, address(mac, at)) for k, at in enumerate((4, 10, 16, 24))))
+    after = F.coalesce(F.when(F.length("_mac") < pad, TRUNCATED), eapol_error)
+    first, second, third = F.col("_first"), F.col("_second"), F.col("_third")
+    addresses = F.array(first, F.when(F.col("_n") > 1, second), F.when(F.col("_n") > 2, third), F.when(F.col("_n") > 3, address(head, 24)))
+    own = F.when(kind == 1, F.when(sub == 10, first).when(sub.isin(14, 15), F.when(F.col("_n") > 1, second))).when(both, None).when(F.col("to_ds"), first).when(F.col("from_ds"), second).otherwise(third)
+    listed = F.col("_size").isNotNull() & ~F.coalesce((sub == 11) & (F.col("auth_algorithm") >= 3), F.lit(False))
     names = F.array(*(F.array(*(F.lit(x) for x in row)) for row in SUBTYPES))
-    d = d.withColumns({"error": error, "addrs": F.filter(addresses, lambda x: x.isNotNull()), "duration": le(mac, 2, 2)})
-    own = F.when(kind == 1, F.when(sub == 10, F.get("addrs", F.lit(0))).when(sub.isin(14, 15), F.get("addrs", F.lit(1)))).when(both, None).when(F.col("to_ds"), F.get("addrs", F.lit(0))).when(F.col("from_ds"), F.get("addrs", F.lit(1))).otherwise(F.get("addrs", F.lit(2)))
-    radio_channel = F.when(frequency_channel(F.col("freq")) > 0, frequency_channel(F.col("freq")))
-    ds = be(held(3), F.lit(0), 1)
-    named = F.transform("_ies", lambda x: F.struct(x["id"].alias("id"), F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in ELEMENT_NAMES.items() for v in kv)), x["id"]), F.lit("unknown")).alias("name"), x["len"].alias("len")))
+    d = d.withColumns(
+        {
+            "_after": after, "addrs": F.array_compact(addresses), "bssid": own, "duration": le(head, 2, 2), "eapol_msg": message,
+            "eapol_key_info": F.when(is_key, info), "eapol_replay_counter": F.when(is_key, be(e, 9, 8, "decimal(20,0)")),
+            "_radio_channel": frequency_channel(F.col("freq")), "_list": F.when(listed, F.expr("substring(_body, _size + 1)")),
+        }
+    )
+    # the elements come last, so that little has to be evaluated with a query's filters
+    d = d.withColumn("_walked", _elements.asNondeterministic()("_list"))
+    ies, lists = F.col("_walked.ies"), F.col("_list")
+    value = lambda k: F.get(F.filter(ies, lambda x: x["id"] == k), F.lit(0))
+    held = lambda k: F.when(lists.isNotNull(), F.substring(lists, value(k)["offset"] + 1, value(k)["len"]))
+    error = F.coalesce("_before", "_walked.error", "_after")
+    ds = F.when(lists.isNotNull(), F.conv(F.hex(held(3)), 16, 10).cast("int"))
+    named = F.transform(ies, lambda x: F.struct(x["id"].alias("id"), F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in ELEMENT_NAMES.items() for v in kv)), x["id"]), F.lit("unknown")).alias("name"), x["len"].alias("len")))
+    d = d.withColumns({"error": error, "_ds": ds})
     fields = {
         "radiotap_len": F.col("radiotap_len"), "tsft": F.col("tsft"), "radiotap_flags": F.col("radiotap_flags"), "rate": F.col("rate"), "freq": F.col("freq"), "channel_flags": F.col("channel_flags"),
         "rssi_dbm": F.col("rssi_dbm"), "mcs_known": F.col("mcs_known"), "mcs_flags": F.col("mcs_flags"), "mcs_index": F.col("mcs_index"), "fcs_present": F.col("fcs_present"),
         "frame_control": fc, "duration": F.col("duration"), "type_id": kind, "subtype_id": sub, "type": F.get(F.array(*(F.lit(x) for x in TYPES)), kind), "subtype": F.get(F.get(names, kind), sub),
         "to_ds": F.col("to_ds"), "from_ds": F.col("from_ds"), "more_fragments": F.col("more_fragments"), "retry": F.col("retry"), "protected": F.col("protected"),
-        "addrs": F.col("addrs"), "bssid": own, "sequence_control": seq, "seq": F.shiftright(seq, 4), "fragment": seq.bitwiseAND(F.lit(15)), "qos_control": F.col("qos_control"), "header_len": F.col("header_len"),
+        "addrs": F.col("addrs"), "bssid": F.col("bssid"), "sequence_control": seq, "seq": F.shiftright(seq, 4), "fragment": seq.bitwiseAND(F.lit(15)), "qos_control": F.col("qos_control"), "header_len": F.col("header_len"),
         **{c: F.col(c) for c in ("capability", "listen_interval", "current_ap", "aid", "timestamp", "beacon_interval", "auth_algorithm", "auth_seq", "status_code", "reason_code")},
-        "channel": F.coalesce(F.when(ds.isNotNull(), F.nullif(ds, F.lit(0))), F.when(ds.isNull(), radio_channel)),
+        "channel": F.when(F.col("_ds").isNotNull(), F.nullif("_ds", F.lit(0))).otherwise(F.nullif("_radio_channel", F.lit(0))),
         "ssid_raw": held(0), "ssid": F.decode(held(0), "ISO-8859-1"), "supported_rates": held(1), "ht_cap": held(45), "rsn_raw": held(48), "vht_cap": held(191),
-        "ies": F.transform("_ies", lambda x: F.struct(x["id"].alias("id"), x["len"].alias("len"), (x["offset"] + F.col("_start") + F.col("header_len") + F.col("_size")).alias("offset"))), "ie_summary": named,
-        "eapol_key_info": F.when(is_key, info), "eapol_replay_counter": F.when(is_key, be(e, F.lit(9), 8, "decimal(20,0)")), "eapol_msg": message,
+        "ies": F.transform(ies, lambda x: F.struct(x["id"].alias("id"), x["len"].alias("len"), (x["offset"] + F.col("_start") + F.col("header_len") + F.col("_size")).alias("offset"))), "ie_summary": named,
+        **{c: F.col(c) for c in ("eapol_key_info", "eapol_replay_counter", "eapol_msg")},
     }
     return d.select(*keys, "error", *(F.when(F.col("error").isNull(), x).alias(c) for c, x in fields.items()))
 
 
-def frame_json(frames: DataFrame) -> DataFrame:
-    """(path, frame, json): each frame's record as one line of JSON in a fixed order of keys; a failed one has its error only."""
+def frame_record() -> Column:
+    """A decoded frame's record as one line of JSON in a fixed order of keys; a failed one has its error only."""
     ts = (F.col("ts_ns").cast("decimal(20,0)") / F.lit(1_000_000_000).cast("decimal(10,0)")).cast("decimal(20,9)").alias("ts")
     before = ["rssi_dbm", "freq", "channel", "type", "subtype", "type_id", "subtype_id", "addrs", "bssid"]
     behind = ["seq", "retry", "protected", "status_code", "reason_code", "eapol_msg", "ie_summary"]
@@ -281,8 +302,12 @@ def frame_json(frames: DataFrame) -> DataFrame:
     head = F.regexp_replace(F.to_json(F.struct("frame", ts, *before), options), r"\}$", "")
     tail = F.regexp_replace(F.to_json(F.struct(*behind), options), r"^\{", "")
     name = F.coalesce(F.concat(F.lit('"'), escaped_name(F.col("ssid_raw")), F.lit('"')), F.lit("null"))
-    line = F.when(F.col("error").isNull(), F.concat(head, F.lit(',"ssid":'), name, F.lit(","), tail)).otherwise(F.to_json(F.struct("frame", ts, "error"), options))
-    return frames.select("path", "frame", line.alias("json"))
+    return F.when(F.col("error").isNull(), F.concat(head, F.lit(',"ssid":'), name, F.lit(","), tail)).otherwise(F.to_json(F.struct("frame", ts, "error"), options))
+
+
+def frame_json(frames: DataFrame) -> DataFrame:
+    """(path, frame, json): each frame's record."""
+    return frames.select("path", "frame", frame_record().alias("json"))
 
 
 def escaped_name(raw: Column) -> Column:

@@ -6,6 +6,8 @@ ends a block acknowledgement; captures of users divisible by 10 end in half a re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +19,16 @@ KEY_BITS = ("008a", "010a", "13ca", "030a")
 
 
 def _flipped(value: Column, size: int) -> Column:
-    """The hexadecimal digits of a little-endian integer."""
-    digits = F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")
-    return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)))
+    """The hexadecimal digits of a little-endian integer: its octets change places as a number, which is written once."""
+    number = value.cast("bigint")
+    octets = (F.shiftleft(F.shiftright(number, 8 * k).bitwiseAND(F.lit(255)), 8 * (size - 1 - k)) for k in range(size))
+    return F.lpad(F.hex(reduce(Column.bitwiseOR, octets)), 2 * size, "0")
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a capture for each user."""
     e, user = F.col("event_id"), F.col("user_id")
-    network = F.concat(F.lit("020000"), F.lpad(F.hex(user % 50), 6, "0"))
+    network = F.col("network")
     client = F.concat(F.lit("0600"), F.lpad(F.hex(e), 8, "0"))
     radio = F.concat(F.lit("00000d0028000000"), _flipped(2412 + 5 * (user % 13), 2), F.lit("a000"), F.lpad(F.hex(226 - user % 60), 2, "0"))
     head = lambda control, to: F.concat(F.lit(control + "0000"), to, network, network, _flipped(e % 4096 * 16, 2))
@@ -39,12 +42,17 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = F.concat(F.lit("9400aabb"), client, network, F.lit("05000000"))
     frame = F.when(e % 6 == 0, beacon).when(e % 6 == 1, deauth).when(e % 6 == 2, auth).when(e % 6 == 3, message).when(e % 6 == 4, F.lit("c0000000ffff")).otherwise(ended)
     data = F.concat(radio, frame)
-    ts, size = micros("ts"), F.length(data) / 2
-    record = F.concat(_flipped(F.floor(ts / 1_000_000), 4), _flipped(ts % 1_000_000, 4), _flipped(size, 4), _flipped(size, 4), data)
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))).alias("rows"))
+    us = F.col("us")
+    # events travel bare and once, dealt over all cores, where adaptive execution would put them together; a frame is made where its capture is. What an aggregate
+    # collects is evaluated by an interpreter: the frame is a column below it, of which it takes the length and the digits
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", micros("ts").alias("us")).repartition(parts, "user_id")
+    events = events.withColumn("network", F.concat(F.lit("020000"), F.lpad(F.hex(user % 50), 6, "0")))
+    framed = events.select("user_id", "event_id", F.concat(_flipped(F.floor(us / 1_000_000), 4), _flipped(us % 1_000_000, 4)).alias("stamp"), data.alias("data"))
+    record = F.concat("stamp", F.repeat(_flipped(F.length("data") / 2, 4), F.lit(2)), "data")
+    rows = framed.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))).alias("rows"))
     body = F.concat(F.lit("d4c3b2a1020004000000000000000000ffff0000"), _flipped(F.lit(RADIOTAP), 4), F.array_join(F.transform("rows", lambda x: x["r"]), ""), F.when(user % 10 == 0, "0000000000").otherwise(""))
-    # captures are small beside the work of decoding them: they are spread over all cores, where adaptive execution would put them together
-    return rows.select(user.cast("string").alias("path"), F.unhex(body).alias("content")).repartition(spark.sparkContext.defaultParallelism, "path")
+    return rows.select(user.cast("string").alias("path"), F.unhex(body).alias("content"))
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:

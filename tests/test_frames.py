@@ -2,8 +2,10 @@ import json
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from framescope.operators import frames as fr
+from framescope.plans import captures
 from framescope.sources import pcap
 
 AP, STA = bytes.fromhex("02000000aa01"), bytes.fromhex("02000000bb02")
@@ -109,3 +111,29 @@ def test_json(decoded):
     assert list(first)[:5] == ["frame", "ts", "rssi_dbm", "freq", "channel"] and first["rssi_dbm"] is None and first["ssid"] == "lab"
     assert list(json.loads(lines["a", 10])) == ["frame", "ts", "error"]
     assert '"ts":1.000000000' in lines["a", 1]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_octets_reach_the_walks(spark):
+    """Whole rows went to Python and back for each walk, and a query's filters evaluated the decoding a second time."""
+    packets = spark.createDataFrame([("a", 1, pcap.IEEE802_11, 0, beacon(), None)], "path string, frame long, linktype int, ts_ns long, data binary, scan_error string")
+    plan = plan_of(fr.network_summary(fr.decode_frames(packets)))
+    assert "MapInArrow" not in plan and "_elements(_list" in plan
+    (told,) = [x for x in plan.splitlines() if "Filter" in x and "error" in x]
+    assert "hex(" not in told
+
+
+def test_events_travel_bare_and_once(spark):
+    """Frames were made where the events are read, by few tasks, and whole captures were dealt again."""
+    lines = plan_of(captures.captures(spark, "/root/testdata/sf0.001")).splitlines()
+    (at,) = [k for k, x in enumerate(lines) if "Repartition" in x]
+    assert not any("hex(" in x for x in lines[at:]) and any("hex(" in x for x in lines[:at])
+    assert sum("Aggregate" in x for x in lines[:at]) == 1 and not any("Aggregate" in x for x in lines[at:])
+
+
+def test_little_endian_digits(spark):
+    for value, size in ((0, 2), (2412, 2), (0xFFFE, 2), (1_700_000_000, 4), (0xFFFFFFFF, 4), (1, 8), (2**63 - 1, 8)):
+        assert spark.range(1).select(captures._flipped(F.lit(value), size)).first()[0].lower() == value.to_bytes(size, "little").hex()
