@@ -147,17 +147,20 @@ def _bodies(shown: tuple[str, ...]) -> dict[str, str]:
     }
 
 
-def register_tools(frames: DataFrame, records: DataFrame, lines: DataFrame, stats: DataFrame, view: str, key: str = "bundle_id") -> list[str]:
+def register_tools(frames: DataFrame, records: DataFrame | None, lines: DataFrame, stats: DataFrame, view: str, key: str = "bundle_id") -> list[str]:
     """Makes the six tools known to the session's SQL, over one view of redacted bundles; their names.
 
-    frames: decoded frames with their key; records: (key, frame, json), each frame's record; lines: (key, source, line, text); stats: (key, stats), a
-    text. A bundle without frames or lines gives no rows; see TOOLS for parameters and columns."""
+    frames: decoded frames with their key; records: (key, frame, json), each frame's record, or None where the frames have a column `json`; lines: (key,
+    source, line, text); stats: (key, stats), a text. A bundle without frames or lines gives no rows; see TOOLS for parameters and columns."""
     spark = frames.sparkSession
-    canonical = records.select(F.col(key).alias("bundle_id"), "frame", canonical_json(F.col("json")).alias("json"))
-    told = frames.where("error is null").select(F.col(key).alias("bundle_id"), "frame", "subtype", "addrs", "status_code", "reason_code", "eapol_msg")
+    told = frames.where("error is null").select(F.col(key).alias("bundle_id"), "frame", "subtype", "addrs", "status_code", "reason_code", "eapol_msg", *([] if records is not None else ["json"]))
+    if records is not None:
+        told = told.join(records.select(F.col(key).alias("bundle_id"), "frame", "json"), ["bundle_id", "frame"])
+    # only the frames that a tool may return come here: their records are sorted above its filters
+    canonical = told.withColumn("json", canonical_json(F.col("json")))
     # a row in an output: {"frame": 1, "json": ".."} or {"line": 1, "text": "..", "truncated": false}, and two characters between rows
     frame_size = 23 + F.length(F.col("frame").cast("string")) + json_size(F.col("json")) + 2
-    told.join(canonical, ["bundle_id", "frame"]).withColumns({"size": frame_size, "shown": _halved("json")}).createOrReplaceTempView("tool_frames")
+    canonical.withColumns({"size": frame_size, "shown": _halved("json")}).createOrReplaceTempView("tool_frames")
     seen = visible(lines, view).select(F.col(key).alias("bundle_id"), "source", F.col("line").cast("bigint").alias("line"), "text", F.substring("text", 1, LINE).alias("shown"), (F.length("text") > LINE).alias("cut"))
     counts = seen.groupBy("bundle_id", "source").agg(F.count("*").alias("total_lines"))
     line_size = 37 + F.length(F.col("line").cast("string")) + json_size(F.col("shown")) + F.when(F.col("cut"), 4).otherwise(5) + 2

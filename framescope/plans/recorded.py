@@ -159,8 +159,7 @@ def q78_tools(spark, sf_dir):
     users = events.groupBy("user_id").agg(F.count("*").alias("n"))
     stats = users.select(F.col("user_id").cast("string").alias("bundle_id"), F.concat(F.col("n").cast("string"), F.lit(" events")).alias("stats"))
     seen = _written(decoded(spark, sf_dir), "frames")
-    named = lambda df: df.withColumnRenamed("path", "bundle_id")
-    tools.register_tools(named(seen), named(frames.frame_json(seen)), lines, stats, "client")
+    tools.register_tools(seen.select(F.col("path").alias("bundle_id"), *seen.columns, frames.frame_record().alias("json")), None, lines, stats, "client")
     users.select("user_id", F.col("user_id").cast("string").alias("b"), source(F.col("user_id")).alias("s")).createOrReplaceTempView("tool_calls")
     return spark.sql(
         r"""SELECT user_id, 'list' AS tool, t.frame AS n, CAST(NULL AS STRING) AS text, t.truncated, t.error FROM tool_calls c, LATERAL tool_list_frames(c.b, 'deauth', most => user_id % 60) t

@@ -91,3 +91,20 @@ def test_calls_in_one_plan(sql):
     calls = "VALUES (1, 'a', 'auth', 2L), (2, 'a', NULL, 1L), (3, 'b', NULL, 5L), (4, 'a', 'data', 99L), (5, 'a', 'auth', 2L) AS c(id, bundle, sub, n)"
     out = sql(f"SELECT c.id, t.frame, t.truncated, t.error FROM {calls} LEFT JOIN LATERAL tool_list_frames(c.bundle, c.sub, most => c.n) t ORDER BY 1, 2")
     assert out == [(1, 3, True, None), (1, 6, True, None), (2, 1, True, None), (3, None, None, None), (4, None, None, tools.WRONG), (5, 3, True, None), (5, 6, True, None)]
+
+
+def test_records_beside_their_frames(spark):
+    """Frames that carry their records need no join, and only the records that a call may return are sorted."""
+    rows = [("a", k, ["auth", "deauth"][k % 2], [], None, None, None, None, f'{{"z": {k}, "a": 1}}') for k in range(1, 9)] + [("a", 9, None, [], None, None, None, "truncated input", '{"z": 9}')]
+    frames = spark.createDataFrame(rows, "bundle_id string, frame long, subtype string, addrs array<string>, status_code int, reason_code int, eapol_msg int, error string, json string")
+    lines, stats = spark.createDataFrame([], "bundle_id string, source string, line int, text string"), spark.createDataFrame([], "bundle_id string, stats string")
+    found = []
+    for records in (None, frames.select("bundle_id", "frame", "json")):
+        tools.register_tools(frames.drop(*(["json"] if records is not None else [])), records, lines, stats, "client")
+        listed = spark.sql("SELECT * FROM tool_list_frames('a', 'auth')")
+        plan = listed._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join" in plan) == (records is not None)
+        at = min(k for k, x in enumerate(plan.splitlines()) if "ArrowEvalPython [run(" in x)
+        assert any("= auth" in x for x in plan.splitlines()[at:])  # the filter stands below the sorting of records
+        found.append([sorted(map(tuple, listed.collect())), spark.sql("SELECT * FROM tool_get_frame('a', 9)").collect()[0][3], spark.sql("SELECT * FROM tool_get_frame('a', 3)").collect()[0][1]])
+    assert found[0] == found[1] == [[(k, f'{{"a": 1, "z": {k}}}', False, None) for k in (2, 4, 6, 8)], tools.WRONG, '{"a": 1, "z": 3}']
