@@ -48,14 +48,14 @@ def json_size(text: Column) -> Column:
 
 
 class Search:
-    """Whether patterns match lines, whatever the case, within SECONDS for each pattern in a task. The matcher takes a deadline, so one that backtracks
+    """Whether patterns match lines, whatever the case, within SECONDS for each pattern and log. The matcher takes a deadline, so one that backtracks
     without end stops by itself and the session's other queries go on."""
 
     def __init__(self) -> None:
-        self.left: dict[str, float] = {}
+        self.left: dict[tuple[str, object], float] = {}
         self.known: dict[str, regex.Pattern | None] = {}
 
-    def match(self, pattern: str | None, text: str | None) -> tuple[bool | None, str | None]:
+    def match(self, pattern: str | None, text: str | None, log: object = None) -> tuple[bool | None, str | None]:
         if pattern is None or len(pattern) > PATTERN:
             return None, WRONG
         if pattern not in self.known:
@@ -64,26 +64,26 @@ class Search:
                 self.known[pattern] = regex.compile(pattern, regex.IGNORECASE)
             except (re.error, regex.error, OverflowError, RecursionError):
                 self.known[pattern] = None
-            self.left[pattern] = SECONDS
         if self.known[pattern] is None:
             return None, WRONG
-        if self.left[pattern] <= 0:
+        search = (pattern, log)
+        if self.left.setdefault(search, SECONDS) <= 0:
             return None, SLOW
         began = time.perf_counter()
         try:
-            return self.known[pattern].search(text or "", timeout=self.left[pattern]) is not None, None
+            return self.known[pattern].search(text or "", timeout=self.left[search]) is not None, None
         except TimeoutError:
-            self.left[pattern] = 0
+            self.left[search] = 0
             return None, SLOW
         finally:
-            self.left[pattern] -= time.perf_counter() - began
+            self.left[search] -= time.perf_counter() - began
 
 
 @F.pandas_udf(T.StructType([T.StructField("hit", T.BooleanType()), T.StructField("error", T.StringType())]))
-def _timed_match(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _timed_match(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     search = Search()
-    for patterns, texts in parts:
-        yield pd.DataFrame([search.match(p, t) for p, t in zip(patterns, texts)], columns=["hit", "error"], dtype=object)
+    for patterns, texts, *logs in parts:
+        yield pd.DataFrame([search.match(p, t, log) for p, t, log in zip(patterns, texts, zip(*logs))], columns=["hit", "error"], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -121,7 +121,7 @@ _LISTED = """SELECT t.frame, t.json, t.size FROM tool_frames t WHERE t.bundle_id
   AND (has_reason IS NULL OR (t.reason_code IS NOT NULL) = has_reason) AND (NOT eapol_only OR t.eapol_msg IS NOT NULL)"""
 
 _FOUND = """SELECT line, shown, cut, size, bad FROM (SELECT *, max(told.error) OVER () AS bad FROM (
-  SELECT t.line, t.shown, t.cut, t.size, tool_timed_match(pattern, t.text) AS told FROM tool_lines t WHERE t.bundle_id = bundle AND t.source = of_source)) WHERE told.hit OR bad IS NOT NULL"""
+  SELECT t.line, t.shown, t.cut, t.size, tool_timed_match(pattern, t.text, t.bundle_id, t.source) AS told FROM tool_lines t WHERE t.bundle_id = bundle AND t.source = of_source)) WHERE told.hit OR bad IS NOT NULL"""
 
 _RANGE = "SELECT t.line, t.shown, t.cut, t.size, t.total_lines FROM tool_lines t WHERE t.bundle_id = bundle AND t.source = of_source AND t.line BETWEEN first AND last"
 

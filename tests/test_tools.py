@@ -108,3 +108,11 @@ def test_records_beside_their_frames(spark):
         assert any("= auth" in x for x in plan.splitlines()[at:])  # the filter stands below the sorting of records
         found.append([sorted(map(tuple, listed.collect())), spark.sql("SELECT * FROM tool_get_frame('a', 9)").collect()[0][3], spark.sql("SELECT * FROM tool_get_frame('a', 3)").collect()[0][1]])
     assert found[0] == found[1] == [[(k, f'{{"a": 1, "z": {k}}}', False, None) for k in (2, 4, 6, 8)], tools.WRONG, '{"a": 1, "z": 3}']
+
+
+def test_logs_do_not_share_a_search():
+    search = tools.Search()
+    search.match("x", "x", ("a", "log"))
+    search.left = dict.fromkeys(search.left, 0.0)  # the first log's time is spent
+    assert search.match("x", "x", ("a", "log")) == (None, tools.SLOW)
+    assert search.match("x", "x", ("b", "log")) == (True, None)
