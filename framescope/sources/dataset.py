@@ -18,6 +18,7 @@ from framescope.operators.bundles import REQUIRED_FILES, SOURCES, accepted_bundl
 from framescope.operators.frames import decode_frames
 from framescope.operators.integrity import violations
 from framescope.operators.sequences import lines_of
+from framescope.sources.bundle_files import LISTING_SCHEMA, list_files, read_listed
 from framescope.sources.pcap import packets_of
 
 #: Members of a bundle's metadata: what must be there, what may be, and of which kind (fixed values).
@@ -47,13 +48,14 @@ class Dataset:
     faults: DataFrame
 
 
-def _place(path: str, k: int) -> Column:
+def _place(path: Column, k: int) -> Column:
     """The k-th part of a path from its end."""
-    return F.element_at(F.split(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), "/"), -k)
+    return F.element_at(F.split(path, "/"), -k)
 
 
 def _found(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Files of a name (a glob will do) that stand in a bundle below a folder.
+    """Files of a name (a glob will do) that stand in a bundle below a folder, through Spark's own reader: for stores that only it knows. Its driver holds
+    every file's path.
 
     The folder is listed as a whole, by tasks that each take many bundles; a path for each file would be looked up by the driver, and listed by a task of
     its own. Spark passes over names with a leading underscore or dot where it lists, so bundles of such names are listed by themselves."""
@@ -85,8 +87,30 @@ def _in_bundle(folder: str) -> Column:
     return F.lit(True) if depth is None else F.size(F.split(F.ltrim(F.regexp_replace("path", _STORE, ""), F.lit("/")), "/")) == depth + 2
 
 
-def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return _found(spark, folder, name).select(_place("path", 2).alias("bundle_id"), _place("path", 1).alias("file"), "content")
+def _files(spark: SparkSession, folder: str, listing: str | None, names: list[str]) -> DataFrame:
+    """(bundle_id, file, content) of files of some names, but empty ones."""
+    if listing is not None:
+        return read_listed(spark, listing, names)
+    return _found(spark, folder, f"{{{','.join(names)}}}").select(_place(F.col("path"), 2).alias("bundle_id"), _place(F.col("path"), 1).alias("file"), "content")
+
+
+def _captures(spark: SparkSession, folder: str, listing: str | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """(packets with the bundle as path; (bundle_id, digest)) of captures, but empty ones."""
+    names = ["capture.pcap"]
+    if listing is not None:
+        return read_listed(spark, listing, names, "packets", most), read_listed(spark, listing, names, "digest").select("bundle_id", "digest")
+    whole = _files(spark, folder, None, names)
+    return packets_of(whole.select(F.col("bundle_id").alias("path"), "content"), most=most), whole.select("bundle_id", F.sha2("content", 256).alias("digest"))
+
+
+def _names(spark: SparkSession, folder: str, listing: str | None) -> DataFrame:
+    """(bundle_id, file) of all files, empty ones too."""
+    if listing is not None:
+        return spark.read.schema(LISTING_SCHEMA).parquet(listing).select("bundle_id", "file")
+    # names of files come from Spark's listing, which has the empty ones too
+    listed = spark.createDataFrame(pa.table({"path": pa.array(_found(spark, folder, "*").inputFiles(), pa.string())}))
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # these are URLs, where the reader's own column has plain paths
+    return listed.where(_in_bundle(folder)).select(_place(path, 2).alias("bundle_id"), _place(path, 1).alias("file"))
 
 
 def _text(content: str) -> Column:
@@ -101,8 +125,12 @@ def _kind(document: Column, member: str) -> Column:
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each bundle's metadata, with what its rules need, and document_faults: what is wrong with the document itself."""
+    return _metadata(_files(spark, folder, list_files(spark, folder), ["meta.json"]))
+
+
+def _metadata(files: DataFrame) -> DataFrame:
     v = F.col("v")
-    said = _files(spark, folder, "meta.json").select("bundle_id", _text("content").alias("text")).withColumn("v", F.try_parse_json("text"))
+    said = files.select("bundle_id", _text("content").alias("text")).withColumn("v", F.try_parse_json("text"))
     get = lambda member, kind="string": F.try_variant_get(v, f"$.{member}", kind)
     right = {f"member_{m}": _kind(v, m) == k for m, k in REQUIRED.items()}
     for m, k in OPTIONAL.items():
@@ -154,19 +182,16 @@ def read_dataset(spark: SparkSession, folder: str, require_window: bool = True,
     """All bundles below a folder (a glob will do). A bundle is rejected for faults of its metadata, files that it lacks, a capture whose scan ended in an
     error or whose frames repeat, and a window or log that is not what was recorded; errors of single frames are no fault."""
     folder = folder.rstrip("/")
-    meta = read_metadata(spark, folder)
-    captured = _files(spark, folder, "capture.pcap")
-    packets = packets_of(captured.select(F.col("bundle_id").alias("path"), "content"), most=most)
+    listing = list_files(spark, folder)
+    meta = _metadata(_files(spark, folder, listing, ["meta.json"]))
+    packets, digests = _captures(spark, folder, listing, most)
     frames = decode_frames(packets).withColumnRenamed("path", "bundle_id")
-    logs = _files(spark, folder, "*.log").where(F.col("file").isin(*(f"{s}.log" for s in SOURCES))).withColumn("source", F.regexp_replace("file", r"\.log$", ""))
+    logs = _files(spark, folder, listing, [f"{s}.log" for s in SOURCES]).withColumn("source", F.regexp_replace("file", r"\.log$", ""))
     lines = lines_of(logs.select("bundle_id", "source", _text("content").alias("t")), ["bundle_id", "source"], "t").withColumnRenamed("content", "text")
-    # names of files come from Spark's listing, which has the empty ones too
-    listed = spark.createDataFrame(pa.table({"path": pa.array(_found(spark, folder, "*").inputFiles(), pa.string())}))
-    there = listed.where(_in_bundle(folder)).select(_place("path", 2).alias("bundle_id"), _place("path", 1).alias("file")).groupBy("bundle_id").agg(F.collect_set("file").alias("files"))
+    there = _names(spark, folder, listing).groupBy("bundle_id").agg(F.collect_set("file").alias("files"))
     seen = packets.where("frame > 0").groupBy(F.col("path").alias("bundle_id")).agg(F.count("*").alias("found_frames"), F.max("ts_ns").alias("last_frame_ns"))
-    digests = captured.select("bundle_id", F.sha2("content", 256).alias("found_capture_digest"))
     judged = accepted_bundles(meta, packets.select(F.col("path").alias("bundle_id"), "frame", "scan_error"))
-    joined = there.join(judged, "bundle_id", "left").join(seen, "bundle_id", "left").join(digests, "bundle_id", "left").na.fill(0, ["found_frames"])
+    joined = there.join(judged, "bundle_id", "left").join(seen, "bundle_id", "left").join(digests.withColumnRenamed("digest", "found_capture_digest"), "bundle_id", "left").na.fill(0, ["found_frames"])
     lacks = F.array_except(F.array(*map(F.lit, REQUIRED_FILES)), F.col("files"))
     lacking = F.transform(lacks, lambda f: F.concat(F.lit("missing_"), f))
     own = F.when(F.col("document_faults").isNull(), F.array(F.lit("no_document"))).when(F.array_contains("document_faults", "no_document"), F.col("document_faults")).otherwise(F.array_distinct(F.concat("document_faults", "reject_reasons", window_record_faults(require_window))))

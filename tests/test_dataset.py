@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from framescope.sources import dataset, pcap
@@ -100,3 +101,57 @@ def test_only_folders_of_bundles_count(spark, tmp_path):
     data = dataset.read_dataset(spark, str(tmp_path))
     assert {(r.bundle_id, tuple(r.reject_reasons)) for r in data.bundles.collect()} == {("_first one", ()), ("second", ())}
     assert {(r.bundle_id, r["count"]) for r in data.lines.groupBy("bundle_id").count().collect()} == {("_first one", 2), ("second", 2)}
+
+
+def rows_of(data):
+    bundles = {(r.bundle_id, r.seed, tuple(r.reject_reasons)) for r in data.bundles.collect()}
+    frames = sorted((r.bundle_id, r.frame, r.error or "", r.subtype or "") for r in data.frames.collect())
+    return bundles, frames, sorted(map(tuple, data.lines.collect())), sorted(map(tuple, data.faults.collect()))
+
+
+def test_driver_knows_no_files(spark, read):
+    """Tasks list and read files, so the driver keeps no file's path; what Spark knows of their size is nothing that it would broadcast."""
+    data, folder = read
+    for df in (data.bundles, data.frames, data.lines, data.faults):
+        assert not [f for f in df.inputFiles() if str(folder) in f]
+    assert "Broadcast" not in data.bundles._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """Names of all kinds, captures that are empty, cut short and no captures, files that are in no bundle, bundles without files, two folders."""
+    folder = tmp_path_factory.mktemp("odd") / "a set+50%"
+    for name in ("plain", "blank and+plus", "50%25", "\u00e9t\u00e9", "_low", ".dot"):
+        write_bundle(folder / "part-1", name)
+    for name, capture in (("empty", b""), ("short", b"\xd4\xc3"), ("text", b"no capture, but long enough"), ("head", pcap.capture_bytes([])), ("half", pcap.capture_bytes([(SECOND, FRAME)] * 3)[:-9]), ("large", pcap.capture_bytes([(SECOND, FRAME + bytes(60_000))] * 40))):
+        write_bundle(folder / "part-2", name, capture=capture)
+    write_bundle(folder / "part-2", "plain", files=["meta.json"])
+    write_bundle(folder / "part-2" / "plain", "deeper")
+    (folder / "part-2" / "nothing").mkdir()
+    (folder / "part-2" / "hidden").mkdir()
+    (folder / "part-2" / "hidden" / "_meta.json").write_text("{}")
+    (folder / "part-2" / "stray.log").write_text("in no bundle\n")
+    return folder
+
+
+@pytest.mark.parametrize("below", ["part-*", "{part-1,part-2/plain}", "part-2/nothing"])
+def test_tasks_find_what_spark_finds(spark, odd, below, monkeypatch):
+    """Files that tasks list and read are those that Spark's own reader finds."""
+    found = rows_of(dataset.read_dataset(spark, f"{odd}/{below}", require_window=False))
+    monkeypatch.setattr(dataset, "list_files", lambda *_: None)
+    assert rows_of(dataset.read_dataset(spark, f"{odd}/{below}", require_window=False)) == found
+    if below == "part-*":
+        assert {b for b, _, _ in found[0]} == {"plain", "blank and+plus", "50%25", "\u00e9t\u00e9", "_low", ".dot", "empty", "short", "text", "head", "half", "large"}
+        assert ("half", 3, "truncated input") in {(b, f, e) for b, f, e, _ in found[1]} and len([x for x in found[1] if x[0] == "large"]) == 40
+
+
+def test_stores_of_spark_only(spark, odd):
+    """A store that pyarrow doesn't know is read by Spark; a folder that isn't there is an error."""
+    spark.conf.set("fs.viewfs.mounttable.only.link./in", f"file://{odd}".replace("%", "%25").replace(" ", "%20"))
+    try:
+        found = rows_of(dataset.read_dataset(spark, "viewfs://only/in/part-*", require_window=False))
+    finally:
+        spark.conf.unset("fs.viewfs.mounttable.only.link./in")
+    assert found == rows_of(dataset.read_dataset(spark, f"{odd}/part-*", require_window=False))
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        dataset.read_dataset(spark, f"{odd}/part-3")
